@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -66,29 +67,37 @@ def embed_text(
     return scaled.select(key, vector_to_array("scaled").alias("vector"))
 
 
-def image_tensors(images: DataFrame, key: str) -> DataFrame:
-    """(key, tensor): the standard 3 x 224 x 224 input of an image model, flattened."""
+def per_image(images: DataFrame, key: str, fn_maker: Callable[[], Callable[[dict], np.ndarray]], out: str, element: str) -> DataFrame:
+    """(key, out): a function of each picture, null without one.
+
+    A batch's pictures are decoded one after the other and each result leaves at once,
+    so a task holds one tensor, not a batch of them.
+    """
+    value_type = pa.list_(pa.float32() if element == "float" else pa.float64())
 
-    def standardise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = fn_maker()
         for batch in batches:
-            for row_key, image in zip(batch[key], batch["image"]):
-                tensor = standard_tensor(image).ravel()
-                yield pd.DataFrame({key: [row_key], "tensor": [tensor]})
+            keys = batch.column(key)
+            for i, picture in enumerate(batch.column("image")):
+                result = fn(picture.as_py()) if picture.is_valid else None
+                yield pa.RecordBatch.from_arrays([keys.slice(i, 1), pa.array([result], value_type)], [key, out])
 
     key_type = images.schema[key].dataType.simpleString()
-    return images.filter(F.col("image").isNotNull()).select(key, "image").mapInPandas(
-        standardise, f"{key} {key_type}, tensor array<float>"
-    )
+    return images.select(key, "image").mapInArrow(run, f"{key} {key_type}, {out} array<{element}>")
+
+
+def image_tensors(images: DataFrame, key: str) -> DataFrame:
+    """(key, tensor): the standard 3 x 224 x 224 input of an image model, flattened."""
+    pictured = images.filter(F.col("image").isNotNull())
+    return per_image(pictured, key, lambda: lambda image: standard_tensor(image).ravel(), "tensor", "float")
 
 
 def embed_images(images: DataFrame, key: str, make_encoder: Callable[[], ImageEncoder] = lambda: colour_grid) -> DataFrame:
     """(key, vector) for every row; a row without a picture keeps a null vector."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def maker() -> Callable[[dict], np.ndarray]:
         encoder = make_encoder()
-        for batch in batches:
-            vectors = [None if image is None else np.asarray(encoder(standard_tensor(image)), dtype=np.float64) for image in batch["image"]]
-            yield pd.DataFrame({key: batch[key], "vector": pd.Series(vectors, index=batch.index, dtype=object)})
+        return lambda image: np.asarray(encoder(standard_tensor(image)), dtype=np.float64)
 
-    key_type = images.schema[key].dataType.simpleString()
-    return images.select(key, "image").mapInPandas(encode, f"{key} {key_type}, vector array<double>")
+    return per_image(images, key, maker, "vector", "double")

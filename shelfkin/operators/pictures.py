@@ -31,28 +31,29 @@ def resize_weights(old: int, new: int) -> np.ndarray:
     return weights / weights.sum(axis=1, keepdims=True)
 
 
-def resized(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    down = np.tensordot(resize_weights(pixels.shape[0], height), pixels.astype(np.float64), axes=(1, 0))
-    both = np.tensordot(resize_weights(pixels.shape[1], width), down, axes=(1, 1)).transpose(1, 0, 2)
-    return np.clip(np.rint(both), 0, 255)
-
-
 def standard_tensor(image: Mapping) -> np.ndarray:
-    """(3, 224, 224): short side to 256, centre crop, 0..1, scaled per channel."""
-    pixels = rgb(image)
+    """(3, 224, 224): short side to 256, centre crop, 0..1, scaled per channel.
+
+    Only the rows and columns inside the crop are computed; columns first, whole
+    bytes after each pass.
+    """
+    pixels = rgb(image).astype(np.float32)
     height, width = pixels.shape[:2]
     if height <= width:
         target = (SHORT_SIDE, int(SHORT_SIDE * width / height))
     else:
         target = (int(SHORT_SIDE * height / width), SHORT_SIDE)
-    big = resized(pixels, *target)
     top, left = (int(round((side - CROP) / 2.0)) for side in target)
-    crop = big[top : top + CROP, left : left + CROP] / 255.0
-    return ((crop - CHANNEL_MEAN) / CHANNEL_STD).transpose(2, 0, 1).astype(np.float32)
+    across = resize_weights(width, target[1])[left : left + CROP].astype(np.float32)
+    down = resize_weights(height, target[0])[top : top + CROP].astype(np.float32)
+    narrow = np.clip(np.rint(across @ pixels), 0, 255)
+    crop = np.clip(np.rint((down @ narrow.reshape(height, -1)).reshape(CROP, CROP, 3)), 0, 255) / np.float32(255)
+    scaled = (crop - np.float32(CHANNEL_MEAN)) / np.float32(CHANNEL_STD)
+    return np.ascontiguousarray(scaled.transpose(2, 0, 1))
 
 
 def colour_grid(tensor: np.ndarray) -> np.ndarray:
     """Mean and deviation of each channel in each cell of a 4 x 4 grid."""
     channels, side = tensor.shape[0], tensor.shape[1] // GRID
-    cells = tensor.reshape(channels, GRID, side, GRID, side).astype(np.float64)
+    cells = tensor.reshape(channels, GRID, side, GRID, side)
     return np.concatenate([cells.mean(axis=(2, 4)).ravel(), cells.std(axis=(2, 4)).ravel()])

@@ -26,8 +26,4 @@ VECTOR_SCHEMA = T.StructType(
     ]
 )
 
-RUN_PARAM_SCHEMA = "run_id string, experiment_id string, key string, value string"
-RUN_METRIC_SCHEMA = (
-    "run_id string, experiment_id string, key string, value double, step int, ts timestamp"
-)
-TIMING_SCHEMA = "query_type string, duration_s double, outcome string, ts timestamp"
+TIMING_COLUMNS = "query_type string, duration_s double, outcome string"
