@@ -101,8 +101,10 @@ def cells_to_visit(queries: np.ndarray, weights: np.ndarray, cells: Cells, shape
     unit[:, : shape.text] *= weights[:, :1]
     unit[:, shape.text :] *= weights[:, 1:]
     reach = np.linalg.norm(unit, axis=1)[:, None] * np.maximum(cells.radius, 0.0)[None, :]
-    query_norm = np.linalg.norm(queries[:, shape.text :], axis=1)[:, None]
-    shift = np.where(query_norm > 0, IMAGE_EPSILON / (query_norm * cells.least_image_norm[None, :] + IMAGE_EPSILON), 0.0)
+    query_norm = np.linalg.norm(queries[:, shape.text :], axis=1)
+    shift = np.zeros(reach.shape)  # a query or a cell without images shifts nothing
+    lengths = np.outer(query_norm[query_norm > 0], cells.least_image_norm)
+    shift[query_norm > 0] = IMAGE_EPSILON / (lengths + IMAGE_EPSILON)
     ceiling = unit @ unit_parts(cells.pivots, shape).T + reach + np.abs(weights[:, 1:]) * shift
     visit = np.broadcast_to(cells.radius >= 0, ceiling.shape)
     if len(cells.pivots) >= keep:

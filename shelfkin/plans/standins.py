@@ -35,8 +35,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_from_events(table(spark, sf_dir, "events"))
+
+
+def log_from_events(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
         F.when(kind.isin("purchase", "signup"), "POST").otherwise("GET").alias("method"),
