@@ -13,7 +13,7 @@ N = 3
 
 
 def recs(spark, sf):
-    hits = recommend_all(S.vectors(spark, sf), N, text_weight=0.7, image_weight=0.3)
+    hits = recommend_all(S.product_vectors(spark, sf), N, text_weight=0.7, image_weight=0.3)
     return with_details(hits, S.products(spark, sf))
 
 
@@ -108,7 +108,7 @@ QUERIES = {
     "rag1_knowledge_prompts": with_knowledge,
 }
 
-_RECS = recommendations(N, 0.7, 0.3)
+_RECS = recommendations(N, 0.7, 0.3, "JOIN part ON vec_id = p_partkey")
 _LINE = "replace(coalesce(description, ''), chr(10), ', ')"
 _BLOCKS = f"""
   blocks AS (SELECT query_id, string_agg('* ' || name || ', a ' || category || ': ' || {_LINE} || chr(10), '' ORDER BY rank) AS recommended_products

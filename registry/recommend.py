@@ -45,7 +45,7 @@ def best(spark, sf):
 
 
 def one_product(spark, sf):
-    return R.recommend(S.products(spark, sf), vectors(spark, sf), QUERY, 5, text_weight=0.7, image_weight=0.3)
+    return R.recommend(S.products(spark, sf), S.product_vectors(spark, sf), QUERY, 5, text_weight=0.7, image_weight=0.3)
 
 
 def unknown_product(spark, sf):
@@ -82,7 +82,7 @@ def answered_requests(spark, sf):
 def other_metric(metric):
     def query(spark, sf):
         return R.recommend(
-            S.products(spark, sf), vectors(spark, sf), QUERY, 10, text_weight=0.6, image_weight=0.4, metric=metric
+            S.products(spark, sf), S.product_vectors(spark, sf), QUERY, 10, text_weight=0.6, image_weight=0.4, metric=metric
         ).select("query_id", "rank", "id", "score")
 
     return query
@@ -135,7 +135,7 @@ def _scored(wt, wi):
 def _by_metric(text, image, direction):
     return f"""WITH {VECTORS},
         scored AS (SELECT b.id, round({text} * 0.6 + CASE WHEN b.id % 17 <> 0 THEN {image} * 0.4 ELSE 0 END, 6) + 0.0 AS score
-                   FROM vectors a, vectors b WHERE a.id = {QUERY} AND b.id <> {QUERY})
+                   FROM vectors a, vectors b JOIN part ON b.id = p_partkey WHERE a.id = {QUERY} AND b.id <> {QUERY})
         SELECT {QUERY}::BIGINT AS query_id, row_number() OVER (ORDER BY score {direction}, id) AS rank, id, score
         FROM scored ORDER BY rank LIMIT 10"""
 
@@ -165,7 +165,7 @@ SQL = {
     "v7_exclude_query": f"SELECT * FROM ({_scored(0.5, 0.5)}) WHERE id <> {QUERY}",
     "v8_top_n": f"""SELECT {QUERY}::BIGINT AS query_id, row_number() OVER (ORDER BY score DESC, id) AS rank, id, score
         FROM ({_scored(0.5, 0.5)}) WHERE id <> {QUERY} ORDER BY rank LIMIT 10""",
-    "v9_recommend": f"WITH {recommendations(5, 0.7, 0.3)} SELECT * FROM recs WHERE query_id = {QUERY}",
+    "v9_recommend": f"WITH {recommendations(5, 0.7, 0.3, 'JOIN part ON vec_id = p_partkey')} SELECT * FROM recs WHERE query_id = {QUERY}",
     "v9_recommend_unknown": f"WITH {recommendations(5, 0.5, 0.5)} SELECT * FROM recs WHERE query_id = 1000000000",
     "v10_chosen_product": f"""WITH {recommendations(5, 0.7, 0.3)}
         SELECT query_id, p.name, p.category, string_agg(r.id, ',' ORDER BY rank) AS ids

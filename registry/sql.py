@@ -46,9 +46,9 @@ def blend(a: str, b: str, wt: str | float, wi: str | float) -> str:
     return f"round({text} + {image}, 6) + 0.0"
 
 
-def recommendations(n: int, wt: float, wi: float) -> str:
+def recommendations(n: int, wt: float, wi: float, known: str = "") -> str:
     """CTEs up to ``recs``: the n best products of every product."""
-    return f"""{PRODUCTS},{VECTORS},
+    return f"""{PRODUCTS},{VECTORS.replace('FROM embeddings', f'FROM embeddings {known}')},
   scored AS (SELECT a.id AS query_id, b.id AS id, {blend('a', 'b', wt, wi)} AS score
              FROM vectors a JOIN vectors b ON a.id <> b.id),
   placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored),

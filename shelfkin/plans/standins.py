@@ -38,6 +38,12 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_from_events(table(spark, sf_dir, "events"))
 
 
+def product_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that have a product; the smallest table set has some that have none."""
+    ids = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    return vectors(spark, sf_dir).join(ids, "id", "left_semi")
+
+
 def log_from_events(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     return events.select(
