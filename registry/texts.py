@@ -26,9 +26,16 @@ def _joined(tokens):
 
 
 def lemmas(spark, sf):
-    docs = words.preprocess_text(S.documents(spark, sf), "text")
-    known = words.plural_lemmas(words.vocabulary(S.documents(spark, sf), "text"))
-    return words.lemmatize(docs, "doc_id", "clean_text", known)
+    docs = S.documents(spark, sf)
+    known = words.plural_lemmas(words.vocabulary(docs, "text"))
+    return words.lemmatize(words.preprocess_text(docs, "text"), "doc_id", "clean_text", known)
+
+
+def joined_lemmas(spark, sf):
+    """The same with the lemma table joined rather than held by the tasks."""
+    docs = S.documents(spark, sf)
+    known = words.plural_lemmas(words.vocabulary(docs, "text"))
+    return words.lemmatize(words.preprocess_text(docs, "text"), "doc_id", "clean_text", known, held_rows=0)
 
 
 def clean(spark, sf):
@@ -97,6 +104,7 @@ QUERIES = {
     "t3_words": _on_documents(lambda c: _joined(X.words(X.strip_punctuation(c)))),
     "t4_drop_stop_words": _on_documents(lambda c: _joined(X.clean_words(c))),
     "t5_lemmatize": lemmas,
+    "t5_lemmatize_joined": joined_lemmas,
     "t6_preprocess_text": clean,
     "t7_embed_text": text_vectors,
     "i1_image_tensors": tensors,
@@ -112,7 +120,7 @@ _STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in X.STOP_WORDS)
 
 
 def _split(text: str) -> str:
-    spaced = f"regexp_replace({text}, '[«“‘„»”’]', ' \\0 ', 'g')"
+    spaced = f"regexp_replace({text}, '[{X.QUOTES}]', ' \\0 ', 'g')"
     for first, second in X.FUSED_WORDS:
         spaced = f"regexp_replace({spaced}, '\\b{first}{second}\\b', '{first} {second}', 'g')"
     blanks = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]+"
@@ -151,3 +159,4 @@ SQL = {
     "u2_batch_encoder": """
         SELECT doc_id, length(text)::DOUBLE AS chars, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS blanks FROM documents""",
 }
+SQL["t5_lemmatize_joined"] = SQL["t5_lemmatize"]

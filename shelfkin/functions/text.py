@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,9 +39,14 @@ FUSED_WORDS = [
     ("wan", "na"),
 ]
 
-# Typographic quotes are words of their own to the tokenizer.
-QUOTES = "[«“‘„»”’]"
-BLANKS = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]+"
+# Typographic quotes, which are words of their own to the tokenizer.
+QUOTES = "«“‘„»”’"
+
+# The characters that separate words.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Regular noun plurals as (ending, replacement), tried in this order.
 PLURAL_RULES = [
@@ -61,12 +70,35 @@ def strip_punctuation(text: Column) -> Column:
     return F.translate(text, PUNCTUATION, "")
 
 
+def spaced(text: Column) -> Column:
+    """The text with single words set apart by plain blanks.
+
+    Quotes and fused words are rare, so both are looked for with plain substring
+    searches; the regular expression only runs on texts that hold a fused word.
+    """
+    for quote in QUOTES:
+        text = F.replace(text, F.lit(quote), F.lit(f" {quote} "))
+    cut = "|".join(rf"{first}(?={second}\b)" for first, second in FUSED_WORDS)
+
+    def split_fused(t: Column) -> Column:
+        any_fused = reduce(or_, [F.contains(t, F.lit(first + second)) for first, second in FUSED_WORDS])
+        return F.when(any_fused, F.regexp_replace(t, rf"\b(?:{cut})", "$0 ")).otherwise(t)
+
+    return once(text, split_fused)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed a single time, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words(text: Column) -> Column:
     """Words of a text whose punctuation is already gone."""
-    spaced = F.regexp_replace(text, QUOTES, " $0 ")
-    for first, second in FUSED_WORDS:
-        spaced = F.regexp_replace(spaced, rf"\b{first}{second}\b", f"{first} {second}")
-    return F.filter(F.split(spaced, BLANKS), lambda w: w != "")
+    return _split_words(F.translate(text, BLANKS, " " * len(BLANKS)), [])
+
+
+def _split_words(text: Column, stop_words: list[str]) -> Column:
+    return F.filter(F.split(spaced(text), " "), lambda w: ~w.isin("", *stop_words))
 
 
 def drop_stop_words(tokens: Column, stop_words: list[str] = STOP_WORDS) -> Column:
@@ -74,7 +106,12 @@ def drop_stop_words(tokens: Column, stop_words: list[str] = STOP_WORDS) -> Colum
 
 
 def clean_words(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
-    return drop_stop_words(words(strip_punctuation(lowered(text))), stop_words)
+    """Lower-case words without punctuation and stop words.
+
+    Punctuation and blanks go in one pass, empty words and stop words in another.
+    """
+    plain = F.translate(lowered(text), BLANKS + PUNCTUATION, " " * len(BLANKS))
+    return _split_words(plain, stop_words)
 
 
 def clean_text(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:

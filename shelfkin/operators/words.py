@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, clean_text, clean_words, singular_candidates
+from ..session import materialize
+
+HELD_LEMMAS = 200_000  # about 20 MB in a Python worker
 
 
 def preprocess_text(df: DataFrame, column: str, out: str = "clean_text", stop_words: list[str] = STOP_WORDS) -> DataFrame:
@@ -34,18 +38,38 @@ def plural_lemmas(forms: DataFrame) -> DataFrame:
     )
 
 
-def lemmatize(df: DataFrame, key: str, column: str, lemmas: DataFrame, out: str = "lemma_text") -> DataFrame:
+def lemmatize(
+    df: DataFrame, key: str, column: str, lemmas: DataFrame, out: str = "lemma_text", held_rows: int = HELD_LEMMAS
+) -> DataFrame:
     """(key, out): each blank-separated word replaced by its lemma where one is known.
 
-    ``lemmas`` has one row per form.  Spark broadcasts it only while its measured size
-    is under the broadcast threshold; otherwise both sides shuffle on the word, with
-    the most frequent words split by the adaptive skew join.
+    ``lemmas`` has one row per form; it is stored and counted first.  Up to
+    ``held_rows`` forms travel to the tasks as a lookup table and no text is shuffled.
+    A larger table is joined to the words instead, whatever its size.
     """
-    words = df.select(key, F.posexplode(F.split(column, " ")).alias("at", "form"))
-    based = words.join(lemmas.select("form", "lemma"), "form", "left").select(
-        key, "at", F.coalesce("lemma", "form").alias("word")
-    )
-    joined = based.groupBy(key).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda w: w["word"]), " ").alias(out)
-    )
-    return df.select(key).join(joined, key, "left")
+    table = materialize(lemmas.select("form", "lemma"), "lemmas")
+    if table.count() <= held_rows:
+        return _looked_up(df, key, column, table, out)
+    return _joined(df, key, column, table, out)
+
+
+def _looked_up(df: DataFrame, key: str, column: str, lemmas: DataFrame, out: str) -> DataFrame:
+    rows = lemmas.toArrow()
+    held = df.sparkSession.sparkContext.broadcast(dict(zip(rows["form"].to_pylist(), rows["lemma"].to_pylist())))
+
+    def replace(texts: pd.Series) -> pd.Series:
+        lemma = held.value
+        return texts.map(lambda t: None if t is None else " ".join([lemma.get(w, w) for w in t.split(" ")]))
+
+    replace.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return df.select(key, F.pandas_udf(replace, "string")(F.col(column)).alias(out))
+
+
+def _joined(df: DataFrame, key: str, column: str, lemmas: DataFrame, out: str) -> DataFrame:
+    """Words and lemmas meet in a join on the word; frequent words are split by the
+    adaptive skew join.  Texts are put together again by key."""
+    words = df.select(key, F.posexplode_outer(F.split(column, " ")).alias("at", "form"))
+    based = words.join(lemmas, "form", "left").select(key, "at", F.coalesce("lemma", "form").alias("word"))
+    in_order = F.sort_array(F.collect_list(F.struct("at", "word")))
+    text = F.array_join(F.transform(in_order, lambda w: w["word"]), " ")
+    return based.groupBy(key).agg(F.when(F.max("at").isNotNull(), text).alias(out))
