@@ -8,8 +8,10 @@ How a large catalogue is handled:
 * Cells.  Distinct items go to the nearest of a bounded number of pivot items.  A
   query visits a cell only if a proven upper bound of the cell's scores reaches the
   score it is already sure of (see ``tiles.cells_to_visit``): nothing is lost.
-* Tiles.  A cell's items and its visitors are both cut by hash into tiles of about
-  ``tile`` rows; one task call sees one tile of each, whatever the size of the cell.
+* Groups.  Neighbouring cells are compared together, so that data without clusters,
+  where no cell can be skipped, is not copied more often than plain tiles would be.
+* Tiles.  A group's items and its visitors are both cut by hash into tiles of bounded
+  size; one task call sees one tile of each, whatever the size of the group.
 * Only the ``k + 1`` best of each tile leave it; scores of all pairs never exist.
 """
 
@@ -26,10 +28,17 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from . import tiles
 
-TILE_ROWS = 2048
+TILE_BYTES = 32 * 1024 * 1024  # vectors of one tile
+TILE_ROWS = 8192
+CELL_ROWS = 128
+ROUTED_ROWS = 1024  # queries routed at once; the work area is this times the pivots
 MAX_PIVOTS = 1024  # bounds what the driver and every task hold: pivots x width doubles
 
 
+def tile_rows(shape: tiles.Shape) -> int:
+    return max(256, min(TILE_ROWS, TILE_BYTES // (8 * shape.width)))
+
+
 def digest(seed: int, *cols: Column) -> Column:
     """64 bits of a row's content; the separators keep shifted nulls apart."""
     parts: list[Column] = [F.lit(seed)]
@@ -96,7 +105,7 @@ def assign_cells(items: DataFrame, pivots: np.ndarray, shape: tiles.Shape) -> Da
     )
 
 
-def describe_cells(assigned: DataFrame, pivots: np.ndarray) -> tuple[tiles.Cells, dict[int, int]]:
+def describe_cells(assigned: DataFrame, pivots: np.ndarray) -> tiles.Cells:
     """At most one row per pivot reaches the driver."""
     stats = (
         assigned.groupBy("cell")
@@ -107,54 +116,71 @@ def describe_cells(assigned: DataFrame, pivots: np.ndarray) -> tuple[tiles.Cells
         )
         .collect()
     )
-    radius = np.full(len(pivots), -1.0)
+    radius, size = np.zeros(len(pivots)), np.zeros(len(pivots), dtype=np.int64)
     least = np.full(len(pivots), np.inf)
     for row in stats:
+        size[row["cell"]] = row["n"]
         radius[row["cell"]] = row["radius"] + 1e-9
         least[row["cell"]] = np.inf if row["least"] is None else row["least"]
-    return tiles.Cells(pivots, radius, least), {row["cell"]: row["n"] for row in stats}
+    return tiles.Cells(pivots, radius, least, size)
 
 
-def route_queries(queries: DataFrame, cells: tiles.Cells, shape: tiles.Shape, keep: int) -> DataFrame:
-    """Add ``cells``, the cells each query has to visit."""
-    known = queries.sparkSession.sparkContext.broadcast((cells.pivots, cells.radius, cells.least_image_norm))
+def route_queries(
+    queries: DataFrame, cells: tiles.Cells, group_of_cell: np.ndarray, shape: tiles.Shape, keep: int
+) -> DataFrame:
+    """Add ``floor``, a score each query is sure of, and ``groups``, where it has to look."""
+    known = queries.sparkSession.sparkContext.broadcast(
+        (cells.pivots, cells.radius, cells.least_image_norm, cells.size, group_of_cell)
+    )
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        described = tiles.Cells(*known.value)
-        for batch in batches:
-            rows = tiles.matrix(batch.column("vec"), shape.width)
-            weights = np.column_stack([tiles.numbers(batch.column(c)) for c in ("text_weight", "image_weight")])
-            visits = tiles.cells_to_visit(rows, weights, described, shape, keep)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(visits, pa.list_(pa.int32()))], [*batch.schema.names, "cells"]
-            )
+        *parts, group = known.value
+        described = tiles.Cells(*parts)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROUTED_ROWS):
+                batch = whole.slice(at, ROUTED_ROWS)
+                rows = tiles.matrix(batch.column("vec"), shape.width)
+                weights = np.column_stack([tiles.numbers(batch.column(c)) for c in ("text_weight", "image_weight")])
+                visits, floor = tiles.cells_to_visit(rows, weights, described, shape, keep)
+                groups = pa.array([np.unique(group[v]) for v in visits], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(floor), groups], [*batch.schema.names, "floor", "groups"]
+                )
 
     fields = "q1 long, q2 long, vec array<double>, text_weight double, image_weight double"
-    return queries.mapInArrow(route, f"{fields}, cells array<int>")
+    return queries.mapInArrow(route, f"{fields}, floor double, groups array<int>")
 
 
-def compare_tiles(routed: DataFrame, assigned: DataFrame, sizes: dict[int, int], shape: tiles.Shape, keep: int, tile: int) -> DataFrame:
+def compare_tiles(
+    routed: DataFrame, assigned: DataFrame, sizes: np.ndarray, group_of_cell: np.ndarray, shape: tiles.Shape, keep: int, tile: int
+) -> DataFrame:
     """(q1, q2, ids, first_id, score): the ``keep`` best of each pair of tiles."""
-    visits = routed.select("q1", "q2", "vec", "text_weight", "image_weight", F.explode("cells").alias("cell"))
-    visitors = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    cuts = [
-        (cell, math.ceil(sizes[cell] / tile), math.ceil(n / tile)) for cell, n in visitors.items()
-    ]
-    cut = F.broadcast(
-        routed.sparkSession.createDataFrame(cuts, "cell int, item_tiles int, query_tiles int")
+    spark = routed.sparkSession
+    visits = routed.withColumn("group", F.explode("groups")).drop("groups")
+    visitors = {r["group"]: r["n"] for r in visits.groupBy("group").agg(F.count("*").alias("n")).collect()}
+    members = np.bincount(group_of_cell, weights=sizes)
+    cuts = {g: (math.ceil(members[g] / tile), math.ceil(n / tile)) for g, n in visitors.items()}
+    # One row per group or cell, so at most MAX_PIVOTS rows.
+    query_cut = F.broadcast(
+        spark.createDataFrame([(g, *cut) for g, cut in cuts.items()], "group int, item_tiles int, query_tiles int")
+    )
+    groups = enumerate(group_of_cell.tolist())
+    item_cut = F.broadcast(
+        spark.createDataFrame(
+            [(cell, g, *cuts[g]) for cell, g in groups if g in cuts], "cell int, group int, item_tiles int, query_tiles int"
+        )
     )
-    last = F.lit(1)
     left = (
-        visits.join(cut, "cell")
-        .withColumn("query_tile", F.pmod("q1", F.col("query_tiles")).cast("int"))
-        .withColumn("item_tile", F.explode(F.sequence(F.lit(0), F.col("item_tiles") - last)))
+        visits.join(query_cut, "group")
+        .withColumn("query_tile", F.pmod("q1", "query_tiles").cast("int"))
+        .withColumn("item_tile", F.explode(F.sequence(F.lit(0), F.col("item_tiles") - 1)))
         .drop("item_tiles", "query_tiles")
     )
     right = (
-        assigned.select("k1", "ids", "vec", "cell").join(cut, "cell")
-        .withColumn("item_tile", F.pmod("k1", F.col("item_tiles")).cast("int"))
-        .withColumn("query_tile", F.explode(F.sequence(F.lit(0), F.col("query_tiles") - last)))
-        .drop("item_tiles", "query_tiles", "k1")
+        assigned.select("k1", "ids", "vec", "cell").join(item_cut, "cell")
+        .withColumn("item_tile", F.pmod("k1", "item_tiles").cast("int"))
+        .withColumn("query_tile", F.explode(F.sequence(F.lit(0), F.col("query_tiles") - 1)))
+        .drop("item_tiles", "query_tiles", "k1", "cell")
     )
     out = pa.schema([
         ("q1", pa.int64()), ("q2", pa.int64()), ("ids", pa.list_(pa.int64())),
@@ -165,21 +191,16 @@ def compare_tiles(routed: DataFrame, assigned: DataFrame, sizes: dict[int, int],
         if not len(queries) or not len(items):
             return out.empty_table()
         weights = np.column_stack([tiles.numbers(queries[c]) for c in ("text_weight", "image_weight")])
-        score = tiles.scores(
-            tiles.matrix(queries["vec"], shape.width), weights, tiles.matrix(items["vec"], shape.width), shape
-        )
         ids = items["ids"].combine_chunks()
         first = np.asarray(ids.flatten())[np.asarray(ids.offsets)[:-1] - ids.offsets[0].as_py()]
-        rows, cols = tiles.best_per_row(score, first, keep)
-        return pa.Table.from_arrays(
-            [
-                pa.array(tiles.numbers(queries["q1"])[rows]), pa.array(tiles.numbers(queries["q2"])[rows]),
-                ids.take(pa.array(cols)), pa.array(first[cols]), pa.array(score[rows, cols]),
-            ],
-            schema=out,
+        rows, cols, value = tiles.best_of_tile(
+            tiles.matrix(queries["vec"], shape.width), weights, tiles.numbers(queries["floor"]),
+            tiles.matrix(items["vec"], shape.width), first, shape, keep,
         )
+        q1, q2 = (pa.array(tiles.numbers(queries[c])[rows]) for c in ("q1", "q2"))
+        return pa.Table.from_arrays([q1, q2, ids.take(pa.array(cols)), pa.array(first[cols]), pa.array(value)], schema=out)
 
-    keys = ["cell", "item_tile", "query_tile"]
+    keys = ["group", "item_tile", "query_tile"]
     return (
         left.groupBy(*keys)
         .cogroup(right.groupBy(*keys))
@@ -207,7 +228,7 @@ def merge_tiles(found: DataFrame, keep: int) -> DataFrame:
 
 
 def top_matches(
-    queries: DataFrame, items: DataFrame, k: int, tile: int = TILE_ROWS, max_pivots: int = MAX_PIVOTS
+    queries: DataFrame, items: DataFrame, k: int, tile: int | None = None, max_pivots: int = MAX_PIVOTS
 ) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` best items of every query, exactly.
 
@@ -225,19 +246,21 @@ def top_matches(
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
 
     packed = stored.select("k1", "k2", "ids", joined_vector(shape).alias("vec"))
-    pivot_count = min(max_pivots, max(1, math.ceil(count / tile)))
+    tile = tile or tile_rows(shape)
+    pivot_count = 1 if count <= tile else min(max_pivots, math.ceil(count / min(CELL_ROWS, tile)))
     pivots = tiles.matrix(packed.orderBy("k1", "k2").limit(pivot_count).select("vec").toArrow()["vec"], shape.width)
     assigned = assign_cells(packed, pivots, shape)
-    cells, sizes = describe_cells(assigned, pivots)
+    cells = describe_cells(assigned, pivots)
+    group_of_cell = tiles.cell_groups(cells, tile, shape)
 
     content = [F.col(c) for c in ("text", "image", "text_weight", "image_weight")]
     keyed = queries.withColumns({"q1": digest(1, *content), "q2": digest(2, *content)})
     different = keyed.select(
         "q1", "q2", joined_vector(shape).alias("vec"), "text_weight", "image_weight"
     ).dropDuplicates(["q1", "q2"])
-    routed = materialize(route_queries(different, cells, shape, keep), "routed-queries")
+    routed = materialize(route_queries(different, cells, group_of_cell, shape, keep), "routed-queries")
 
-    best = merge_tiles(compare_tiles(routed, assigned, sizes, shape, keep, tile), keep)
+    best = merge_tiles(compare_tiles(routed, assigned, cells.size, group_of_cell, shape, keep, tile), keep)
     others = F.slice(F.filter("best", lambda e: ~e["id"].eqNullSafe(F.col("self_id"))), 1, k)
     return (
         keyed.select("query_id", "self_id", "q1", "q2")

@@ -5,6 +5,7 @@ A vector row is the text part followed by the image part; a missing part is zero
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +13,9 @@ import pyarrow as pa
 
 from ..functions.vectors import IMAGE_EPSILON
 
-ROUNDING_SLACK = 2e-6  # two scores this close may be equal after rounding to 6 places
+DECIMALS = 6
+ROUNDING_SLACK = 2e-6  # two scores this close may be equal after rounding
+SLICE_CELLS = 2_000_000  # scores held at once, 16 MB
 
 
 @dataclass(frozen=True)
@@ -30,8 +33,9 @@ class Cells:
     """Pivot vectors and what is known of the items nearest to each of them."""
 
     pivots: np.ndarray  # raw vectors, one row per cell
-    radius: np.ndarray  # largest distance of a member to its pivot; -1 for an empty cell
+    radius: np.ndarray  # largest distance of a member to its pivot, 0 for an empty cell
     least_image_norm: np.ndarray  # smallest non-zero image norm among the members
+    size: np.ndarray  # number of members
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -53,7 +57,7 @@ def unit_parts(rows: np.ndarray, shape: Shape) -> np.ndarray:
 
 
 def scores(queries: np.ndarray, weights: np.ndarray, items: np.ndarray, shape: Shape) -> np.ndarray:
-    """Rounded blended score of every query row against every item row."""
+    """Blended score, not rounded, of every query row against every item row."""
     out = np.zeros((len(queries), len(items)))
     if shape.text and weights[:, 0].any():
         text = unit_rows(queries[:, : shape.text]) @ unit_rows(items[:, : shape.text]).T
@@ -61,23 +65,60 @@ def scores(queries: np.ndarray, weights: np.ndarray, items: np.ndarray, shape: S
     if shape.image and weights[:, 1].any():
         a, b = queries[:, shape.text :], items[:, shape.text :]
         lengths = np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
-        out += weights[:, 1:] * (a @ b.T) / (lengths + IMAGE_EPSILON)
-    return np.round(out, 6) + 0.0
+        lengths += IMAGE_EPSILON
+        image = a @ b.T
+        image /= lengths
+        image *= weights[:, 1:]
+        out += image
+    return out
 
 
-def best_per_row(score: np.ndarray, item_ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of each row's ``keep`` best, equal scores by item id."""
+def rounded(score: np.ndarray) -> np.ndarray:
+    return np.round(score, DECIMALS) + 0.0
+
+
+def kth_best(score: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest value of each row, minus infinity where a row is shorter."""
     columns = score.shape[1]
-    if columns > keep:
-        bar = np.partition(score, columns - keep, axis=1)[:, columns - keep]
-        rows, cols = np.nonzero(score >= bar[:, None])
-    else:
-        rows, cols = np.divmod(np.arange(score.size), columns)
-    order = np.lexsort((item_ids[cols], -score[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
+    if columns < k:
+        return np.full(len(score), -np.inf)
+    return np.partition(score, columns - k, axis=1)[:, columns - k]
+
+
+def best_per_row(
+    score: np.ndarray, item_ids: np.ndarray, keep: int, floor: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and rounded scores of each row's ``keep`` best, equal scores by item id.
+
+    ``floor`` is a score each row's answer is known to reach; where it leaves many
+    candidates, the row's own k-th best cuts them down first.
+    """
+    candidates = score >= (floor - ROUNDING_SLACK)[:, None]
+    crowded = np.nonzero(candidates.sum(axis=1) > 16 * keep)[0]
+    if len(crowded):
+        own = kth_best(score[crowded], keep)
+        candidates[crowded] = score[crowded] >= (own - ROUNDING_SLACK)[:, None]
+    rows, cols = np.nonzero(candidates)
+    value = rounded(score[rows, cols])
+    order = np.lexsort((item_ids[cols], -value, rows))
+    rows, cols, value = rows[order], cols[order], value[order]
     start = np.searchsorted(rows, np.arange(len(score)))
     inside = np.arange(len(rows)) - start[rows] < keep
-    return rows[inside], cols[inside]
+    return rows[inside], cols[inside], value[inside]
+
+
+def best_of_tile(
+    queries: np.ndarray, weights: np.ndarray, floor: np.ndarray, items: np.ndarray, item_ids: np.ndarray, shape: Shape, keep: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``best_per_row`` of a whole tile pair, a few query rows at a time."""
+    step = max(1, SLICE_CELLS // len(items))
+    found = []
+    for at in range(0, len(queries), step):
+        part = slice(at, at + step)
+        score = scores(queries[part], weights[part], items, shape)
+        rows, cols, value = best_per_row(score, item_ids, keep, floor[part])
+        found.append((rows + at, cols, value))
+    return tuple(np.concatenate(columns) for columns in zip(*found))
 
 
 def nearest_pivot(items: np.ndarray, pivots: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
@@ -88,27 +129,47 @@ def nearest_pivot(items: np.ndarray, pivots: np.ndarray, shape: Shape) -> tuple[
     return cell, np.linalg.norm(x - p[cell], axis=1)
 
 
-def cells_to_visit(queries: np.ndarray, weights: np.ndarray, cells: Cells, shape: Shape, keep: int) -> list[np.ndarray]:
-    """Per query, every cell that may hold one of its ``keep`` best items.
+def cell_groups(cells: Cells, tile: int, shape: Shape) -> np.ndarray:
+    """Group number per cell; a group holds about one tile of items.
+
+    Cells join the nearest of a few of the pivots.  Wide cells, which most queries
+    have to visit, are kept among themselves, so that a visit to one does not drag in
+    the tight cells around it.
+    """
+    wide = cells.radius > 1.5 * np.median(cells.radius[cells.size > 0])
+    group = np.zeros(len(cells.pivots), dtype=np.int32)
+    used = 0
+    for part in (np.nonzero(~wide)[0], np.nonzero(wide)[0]):
+        if len(part):
+            seeds = min(len(part), math.ceil(max(1, cells.size[part].sum()) / tile))
+            group[part] = used + nearest_pivot(cells.pivots[part], cells.pivots[part[:seeds]], shape)[0]
+            used += seeds
+    return group
+
+
+def cells_to_visit(
+    queries: np.ndarray, weights: np.ndarray, cells: Cells, shape: Shape, keep: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Per query, a mask of the cells that may hold one of its ``keep`` best items, and
+    a score its answer is known to reach.
 
     With Q the weighted unit query, an item x of a cell with pivot p and radius r
-    scores at most Q.p + |Q| r (Cauchy-Schwarz), plus what the image epsilon can
-    shift.  Pivots are items themselves, so the keep-th best pivot is a score the
-    answer surely reaches; a cell whose ceiling lies below it is skipped, and no
-    other cell is.
+    scores between Q.p - |Q| r and Q.p + |Q| r (Cauchy-Schwarz), give or take what the
+    image epsilon can shift.  Two scores are surely reached by ``keep`` items: the
+    keep-th best pivot, pivots being items themselves, and the lower bound of any cell
+    with ``keep`` members.  A cell whose upper bound lies below them is skipped, and
+    no other cell is.
     """
     unit = unit_parts(queries, shape)
     unit[:, : shape.text] *= weights[:, :1]
     unit[:, shape.text :] *= weights[:, 1:]
-    reach = np.linalg.norm(unit, axis=1)[:, None] * np.maximum(cells.radius, 0.0)[None, :]
+    reach = np.linalg.norm(unit, axis=1)[:, None] * cells.radius[None, :]
     query_norm = np.linalg.norm(queries[:, shape.text :], axis=1)
     shift = np.zeros(reach.shape)  # a query or a cell without images shifts nothing
     lengths = np.outer(query_norm[query_norm > 0], cells.least_image_norm)
     shift[query_norm > 0] = IMAGE_EPSILON / (lengths + IMAGE_EPSILON)
-    ceiling = unit @ unit_parts(cells.pivots, shape).T + reach + np.abs(weights[:, 1:]) * shift
-    visit = np.broadcast_to(cells.radius >= 0, ceiling.shape)
-    if len(cells.pivots) >= keep:
-        known = scores(queries, weights, cells.pivots, shape)
-        floor = np.partition(known, known.shape[1] - keep, axis=1)[:, known.shape[1] - keep]
-        visit = visit & (ceiling >= floor[:, None] - ROUNDING_SLACK)
-    return [np.nonzero(row)[0] for row in visit]
+    shift *= np.abs(weights[:, 1:])
+    middle = unit @ unit_parts(cells.pivots, shape).T
+    lowest = np.where(cells.size >= keep, middle - reach - shift, -np.inf).max(axis=1) - ROUNDING_SLACK
+    floor = np.maximum(rounded(kth_best(scores(queries, weights, cells.pivots, shape), keep)), lowest)
+    return (cells.size > 0) & (middle + reach + shift >= floor[:, None] - ROUNDING_SLACK), floor

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.weights import DEFAULT_WEIGHT, resolve_weights, switched_weights
-from ..operators.matches import TILE_ROWS, top_matches
+from ..operators.matches import top_matches
 from ..operators.similarity import score_all, top_n as top_scores
 
 BROADCAST_WINNERS = 100_000  # rows of 32 bytes; beyond it Spark picks the join itself
@@ -69,7 +69,7 @@ def recommend_all(
     text_weight: float = DEFAULT_WEIGHT,
     image_weight: float = DEFAULT_WEIGHT,
     strict_weights: bool = False,
-    tile: int = TILE_ROWS,
+    tile: int | None = None,
 ) -> DataFrame:
     """(query_id, rank, id, score) for every product, or for the ids given."""
     wt, wi = switched_weights(use_text, use_image, text_weight, image_weight, strict_weights)
@@ -85,7 +85,7 @@ def recommend_all(
     return top_matches(queries, items, top_n, tile)
 
 
-def recommend_requests(vectors: DataFrame, requests: DataFrame, top_n: int, tile: int = TILE_ROWS) -> DataFrame:
+def recommend_requests(vectors: DataFrame, requests: DataFrame, top_n: int, tile: int | None = None) -> DataFrame:
     """Answer (request_id, product_id, use_text, use_image, percent) rows in one job."""
     weighted = requests.withColumn("w", resolve_weights(F.col("use_text"), F.col("use_image"), F.col("percent")))
     queries = weighted.join(vectors.withColumnRenamed("id", "product_id"), "product_id").select(

@@ -85,10 +85,13 @@ def test_far_cells_are_skipped_without_losing_answers(spark):
     shape = tiles.Shape(16, 0)
     pivots = text[::10]
     cell, gap = tiles.nearest_pivot(text, pivots, shape)
-    radius = np.array([gap[cell == c].max() if (cell == c).any() else -1 for c in range(len(pivots))])
-    cells = tiles.Cells(pivots, radius, np.full(len(pivots), np.inf))
-    visits = tiles.cells_to_visit(text, np.ones((600, 2)) * [1.0, 0.0], cells, shape, 6)
-    assert np.mean([len(v) for v in visits]) < len(pivots) / 4
+    size = np.bincount(cell, minlength=len(pivots))
+    radius = np.array([gap[cell == c].max() if size[c] else 0.0 for c in range(len(pivots))])
+    cells = tiles.Cells(pivots, radius, np.full(len(pivots), np.inf), size)
+    visits, floor = tiles.cells_to_visit(text, np.ones((600, 2)) * [1.0, 0.0], cells, shape, 6)
+    assert visits.mean() < 0.1
+    exact = tiles.scores(text, np.ones((600, 2)) * [1.0, 0.0], text, shape)
+    assert (tiles.rounded(tiles.kth_best(exact, 6)) >= floor).all()
 
 
 def test_tiny_image_norms_keep_their_epsilon(spark):
@@ -148,8 +151,9 @@ def test_k_below_one_is_refused(spark):
 
 def test_best_per_row_prefers_low_ids():
     score = np.array([[0.5, 0.5, 0.1, 0.5]])
-    _, cols = tiles.best_per_row(score, np.array([9, 3, 1, 4]), 2)
-    assert list(cols) == [1, 3]
+    for floor in (-np.inf, 0.5, 0.3):
+        _, cols, value = tiles.best_per_row(score, np.array([9, 3, 1, 4]), 2, np.array([floor]))
+        assert list(cols) == [1, 3] and list(value) == [0.5, 0.5]
 
 
 def test_digest_separates_shifted_nulls(spark):
