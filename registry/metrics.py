@@ -78,6 +78,12 @@ def exposition(spark, sf):
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
+def exposed_histogram(spark, sf):
+    wide = C.histogram(log(spark, sf), SERIES, B.REQUEST_BOUNDS)
+    rows = C.histogram_rows(wide, SERIES, B.REQUEST_BOUNDS)
+    return E.histogram_lines(rows, "api_request_duration_seconds", SERIES).select("line")
+
+
 def rate(spark, sf):
     return rounded(R.event_rate(log(spark, sf), [*SERIES, "status_code"]), "rate")
 
@@ -144,6 +150,7 @@ QUERIES = {
     "m8_query_histogram": query_durations,
     "m9_activity_counts": activities,
     "m10_exposition": exposition,
+    "m10_exposition_histogram": exposed_histogram,
     "m11_event_rate": rate,
     "m11_counter_rate": sampled_rate,
     "m12_quantiles_windowed": quantiles,
@@ -241,3 +248,10 @@ SQL = {
     "m18_retained": """SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events
         WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 15 DAYS""",
 }
+
+_LABELS = "'{method=\"' || method || '\",endpoint=\"' || endpoint || '\"'"
+SQL["m10_exposition_histogram"] = f"""
+    WITH rows AS ({_histogram('method, endpoint', B.REQUEST_BOUNDS, 'method, endpoint')})
+    SELECT 'api_request_duration_seconds_bucket' || {_LABELS} || ',le="' || le || '"}} ' || printf('%.6f', n::DOUBLE) AS line FROM rows
+    UNION ALL SELECT 'api_request_duration_seconds_count' || {_LABELS} || '}} ' || printf('%.6f', n::DOUBLE) FROM rows WHERE le = '+Inf'
+    UNION ALL SELECT 'api_request_duration_seconds_sum' || {_LABELS} || '}} ' || printf('%.6f', total) FROM rows WHERE le = '+Inf'"""

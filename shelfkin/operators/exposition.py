@@ -23,6 +23,15 @@ def exposition_lines(df: DataFrame, metric: str, labels: list[str], value: str)
     return df.select(F.lit(metric).alias("metric"), F.concat(head, number).alias("line"))
 
 
+def histogram_lines(rows: DataFrame, metric: str, labels: list[str]) -> DataFrame:
+    """(metric, line) of (labels, le, n, total) bucket rows, with their sum and count."""
+    whole = rows.filter(F.col("le") == "+Inf")
+    buckets = exposition_lines(rows, f"{metric}_bucket", [*labels, "le"], "n")
+    sums = exposition_lines(whole, f"{metric}_sum", labels, "total")
+    counts = exposition_lines(whole, f"{metric}_count", labels, "n")
+    return buckets.unionByName(sums).unionByName(counts).withColumn("metric", F.lit(metric))
+
+
 def write_exposition(lines: DataFrame, types: dict[str, str], path: str) -> None:
     """Text files in metric order, each family's TYPE line ahead of its samples."""
     spark = lines.sparkSession

@@ -232,8 +232,8 @@ def top_matches(
 ) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` best items of every query, exactly.
 
-    ``queries`` has (query_id, self_id, text, image, text_weight, image_weight); the
-    item named by self_id is left out of that query's answer.  ``items`` has
+    ``queries`` has (query_id, self_id, text, image, text_weight, image_weight) with a
+    query_id of any type; the item named by self_id is left out of that query's answer.  ``items`` has
     (id, text, image).  Builds two scratch tables, so calling it starts jobs.
     """
     if k is None or k < 1:
@@ -243,7 +243,8 @@ def top_matches(
     stored = materialize(distinct_items(items, keep), "distinct-items")
     count, shape = vector_shape(stored)
     if not count or not shape.width:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+        query_type = queries.schema["query_id"].dataType.simpleString()
+        return spark.createDataFrame([], f"query_id {query_type}, rank int, id long, score double")
 
     packed = stored.select("k1", "k2", "ids", joined_vector(shape).alias("vec"))
     tile = tile or tile_rows(shape)

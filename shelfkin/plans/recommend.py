@@ -86,11 +86,16 @@ def recommend_all(
 
 
 def recommend_requests(vectors: DataFrame, requests: DataFrame, top_n: int, tile: int | None = None) -> DataFrame:
-    """Answer (request_id, product_id, use_text, use_image, percent) rows in one job."""
-    weighted = requests.withColumn("w", resolve_weights(F.col("use_text"), F.col("use_image"), F.col("percent")))
-    queries = weighted.join(vectors.withColumnRenamed("id", "product_id"), "product_id").select(
-        F.col("request_id").alias("query_id"), F.col("product_id").alias("self_id"),
-        "text", "image", "w.text_weight", "w.image_weight",
-    )
-    found = top_matches(queries, vectors, top_n, tile)
-    return found.withColumnRenamed("query_id", "request_id")
+    """Answer (request_id, product_id, use_text, use_image, percent) rows in one job.
+
+    Requests for the same product with the same weights are answered once: they are
+    made distinct before any vector is joined, and joined to the answers at the end.
+    """
+    settings = resolve_weights(F.col("use_text"), F.col("use_image"), F.col("percent"))
+    asked = requests.select("request_id", "product_id", settings.alias("w")).select("request_id", "product_id", "w.*")
+    same = ["product_id", "text_weight", "image_weight"]
+    queries = asked.select(*same).distinct().join(vectors.withColumnRenamed("id", "product_id"), "product_id").select(
+        F.struct(*same).alias("query_id"), F.col("product_id").alias("self_id"), "text", "image", "text_weight", "image_weight"
+    )
+    found = top_matches(queries, vectors, top_n, tile).select("query_id.*", "rank", "id", "score")
+    return asked.join(found, same).select("request_id", "rank", "id", "score")
