@@ -88,6 +88,10 @@ def other_metric(metric):
     return query
 
 
+def other_metric_everywhere(metric):
+    return lambda spark, sf: R.recommend_all(vectors(spark, sf), 5, text_weight=0.6, image_weight=0.4, metric=metric)
+
+
 def strict(spark, sf):
     return M.score_all(vectors(spark, sf), QUERY, text_weight=0.25, image_weight=0.75, strict_weights=True)
 
@@ -122,6 +126,9 @@ QUERIES = {
     "v13_euclidean": other_metric("euclidean"),
     "v13_manhattan": other_metric("manhattan"),
     "v13_dot_product": other_metric("dot_product"),
+    "v13_euclidean_all": other_metric_everywhere("euclidean"),
+    "v13_manhattan_all": other_metric_everywhere("manhattan"),
+    "v13_dot_product_all": other_metric_everywhere("dot_product"),
     "v14_strict_weights": strict,
     "v9_recommend_from_descriptions": from_descriptions,
 }
@@ -191,3 +198,25 @@ SQL = {
     "v13_dot_product": _by_metric("list_dot_product(a.text, b.text)", "list_dot_product(a.image, b.image)", "DESC"),
     "v14_strict_weights": _scored(0.25, 0.75),
 }
+
+
+def _all_by_metric(metric, direction):
+    """The same formulas over every pair; the SQL is quick enough on whole tables."""
+    text, image = _PARTS[metric]
+    return f"""WITH {VECTORS},
+        scored AS (SELECT a.id AS query_id, b.id,
+                          round({text} * 0.6 + CASE WHEN a.id % 17 <> 0 AND b.id % 17 <> 0 THEN {image} * 0.4 ELSE 0 END, 6) + 0.0 AS score
+                   FROM vectors a JOIN vectors b ON a.id <> b.id),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {direction}, id) AS rank FROM scored)
+        SELECT query_id, rank, id, score FROM placed WHERE rank <= 5"""
+
+
+_SQUARE = "(p[1] - p[2]) * (p[1] - p[2])"
+_PARTS = {
+    "euclidean": tuple(f"sqrt({_sum(_SQUARE, part)})" for part in ("text", "image")),
+    "manhattan": tuple(_sum("abs(p[1] - p[2])", part) for part in ("text", "image")),
+    "dot_product": tuple(f"list_dot_product(a.{part}, b.{part})" for part in ("text", "image")),
+}
+SQL["v13_euclidean_all"] = _all_by_metric("euclidean", "ASC")
+SQL["v13_manhattan_all"] = _all_by_metric("manhattan", "ASC")
+SQL["v13_dot_product_all"] = _all_by_metric("dot_product", "DESC")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .counters import flat_window, time_windows
-from .numbering import running_total
+from .numbering import hour_bucket, moment, running_total
 
 # Lower bounds of the colour bands per gauge, ascending.
 THRESHOLDS = {
@@ -29,8 +29,7 @@ def in_progress(log: DataFrame, window_s: int = 3600) -> DataFrame:
         F.struct(begun.alias("at"), F.lit(1).alias("delta")), F.struct(ended.alias("at"), F.lit(-1).alias("delta"))
     )
     moves = log.select("method", "endpoint", F.inline(steps)).withColumn("ts", F.timestamp_micros("at"))
-    hour = F.floor(F.col("at") / F.lit(3_600_000_000))
-    gauge = running_total(moves, ["method", "endpoint"], ["at", "delta"], "delta", hour, "open")
+    gauge = running_total(moves, ["method", "endpoint"], ["at", "delta"], "delta", hour_bucket(), "open")
     return flat_window(
         gauge.groupBy(*time_windows(window_s), "method", "endpoint").agg(F.max("open").alias("most_in_progress"))
     )
@@ -38,11 +37,10 @@ def in_progress(log: DataFrame, window_s: int = 3600) -> DataFrame:
 
 def last_values(df: DataFrame, keys: list[str | Column], value: str = "value", tie: str = "event_id") -> DataFrame:
     """The latest value that is not null, per series."""
-    order = F.struct("ts", tie)
     return (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys)
-        .agg(F.max_by(value, order).alias(value), F.max("ts").alias("ts"))
+        .agg(F.max_by(value, moment(tie=tie)).alias(value), F.max("ts").alias("ts"))
     )
 
 
@@ -53,7 +51,7 @@ def service_status(scrapes: DataFrame, jobs: DataFrame, as_of: Column, tie: str
     interval; a job that never answered is DOWN.  ``jobs`` has (job, interval_s).
     """
     last = scrapes.filter(F.col("ts") <= as_of).groupBy("job").agg(
-        F.max_by("up", F.struct("ts", tie)).alias("last_up"), F.max("ts").alias("last_ts")
+        F.max_by("up", moment(tie=tie)).alias("last_up"), F.max("ts").alias("last_ts")
     )
     fresh = F.unix_micros(as_of) - F.unix_micros("last_ts") <= F.col("interval_s") * 1_000_000
     up = F.when(fresh & (F.col("last_up") == 1), 1).otherwise(0)

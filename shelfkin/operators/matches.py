@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import METRICS
 from ..session import materialize
 from . import tiles
 
@@ -78,9 +79,11 @@ def vector_shape(items: DataFrame) -> tuple[int, tiles.Shape]:
     return row["n"], tiles.Shape(row["max_text"] or 0, row["max_image"] or 0)
 
 
-def joined_vector(shape: tiles.Shape) -> Column:
+def joined_vector(shape: tiles.Shape, missing: float) -> Column:
+    """Text part, then image part; a part that is null is filled with ``missing``."""
+
     def part(name: str, size: int) -> Column:
-        return F.coalesce(F.col(name), F.array_repeat(F.lit(0.0), size))
+        return F.coalesce(F.col(name), F.array_repeat(F.lit(missing), size))
 
     return F.concat(part("text", shape.text), part("image", shape.image))
 
@@ -152,7 +155,7 @@ def route_queries(
 
 
 def compare_tiles(
-    routed: DataFrame, assigned: DataFrame, sizes: np.ndarray, group_of_cell: np.ndarray, shape: tiles.Shape, keep: int, tile: int
+    routed: DataFrame, assigned: DataFrame, sizes: np.ndarray, group_of_cell: np.ndarray, shape: tiles.Shape, keep: int, tile: int, metric: str
 ) -> DataFrame:
     """(q1, q2, ids, first_id, score): the ``keep`` best of each pair of tiles."""
     spark = routed.sparkSession
@@ -195,7 +198,7 @@ def compare_tiles(
         first = np.asarray(ids.flatten())[np.asarray(ids.offsets)[:-1] - ids.offsets[0].as_py()]
         rows, cols, value = tiles.best_of_tile(
             tiles.matrix(queries["vec"], shape.width), weights, tiles.numbers(queries["floor"]),
-            tiles.matrix(items["vec"], shape.width), first, shape, keep,
+            tiles.matrix(items["vec"], shape.width), first, shape, keep, metric,
         )
         q1, q2 = (pa.array(tiles.numbers(queries[c])[rows]) for c in ("q1", "q2"))
         return pa.Table.from_arrays([q1, q2, ids.take(pa.array(cols)), pa.array(first[cols]), pa.array(value)], schema=out)
@@ -227,17 +230,34 @@ def merge_tiles(found: DataFrame, keep: int) -> DataFrame:
     )
 
 
+def route_everywhere(queries: DataFrame) -> DataFrame:
+    """Without bounds for a metric every query looks at the one cell there is."""
+    return queries.withColumns({"floor": F.lit(float("-inf")), "groups": F.array(F.lit(0))})
+
+
+def one_cell(items: DataFrame, count: int) -> tuple[DataFrame, np.ndarray]:
+    return items.withColumn("cell", F.lit(0)), np.array([count])
+
+
 def top_matches(
-    queries: DataFrame, items: DataFrame, k: int, tile: int | None = None, max_pivots: int = MAX_PIVOTS
+    queries: DataFrame,
+    items: DataFrame,
+    k: int,
+    tile: int | None = None,
+    max_pivots: int = MAX_PIVOTS,
+    metric: str = "cosine",
 ) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` best items of every query, exactly.
 
     ``queries`` has (query_id, self_id, text, image, text_weight, image_weight) with a
-    query_id of any type; the item named by self_id is left out of that query's answer.  ``items`` has
-    (id, text, image).  Builds two scratch tables, so calling it starts jobs.
+    query_id of any type; the item named by self_id is left out of that query's answer.
+    ``items`` has (id, text, image).  Cells are only used for the cosine; other metrics
+    compare all tiles.  Builds two scratch tables, so calling it starts jobs.
     """
     if k is None or k < 1:
         raise ValueError("k must be 1 or more")
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; choose one of {sorted(METRICS)}")
     keep = k + 1
     spark = items.sparkSession
     stored = materialize(distinct_items(items, keep), "distinct-items")
@@ -245,32 +265,37 @@ def top_matches(
     if not count or not shape.width:
         query_type = queries.schema["query_id"].dataType.simpleString()
         return spark.createDataFrame([], f"query_id {query_type}, rank int, id long, score double")
-
-    packed = stored.select("k1", "k2", "ids", joined_vector(shape).alias("vec"))
     tile = tile or tile_rows(shape)
-    pivot_count = 1 if count <= tile else min(max_pivots, math.ceil(count / min(CELL_ROWS, tile)))
-    pivots = tiles.matrix(packed.orderBy("k1", "k2").limit(pivot_count).select("vec").toArrow()["vec"], shape.width)
-    assigned = assign_cells(packed, pivots, shape)
-    cells = describe_cells(assigned, pivots)
-    group_of_cell = tiles.cell_groups(cells, tile, shape)
+    vec = joined_vector(shape, 0.0 if metric == "cosine" else float("nan")).alias("vec")
+    packed = stored.select("k1", "k2", "ids", vec)
 
     content = [F.col(c) for c in ("text", "image", "text_weight", "image_weight")]
     keyed = queries.withColumns({"q1": digest(1, *content), "q2": digest(2, *content)})
-    different = keyed.select(
-        "q1", "q2", joined_vector(shape).alias("vec"), "text_weight", "image_weight"
-    ).dropDuplicates(["q1", "q2"])
-    routed = materialize(route_queries(different, cells, group_of_cell, shape, keep), "routed-queries")
-
-    best = merge_tiles(compare_tiles(routed, assigned, cells.size, group_of_cell, shape, keep, tile), keep)
+    different = keyed.select("q1", "q2", vec, "text_weight", "image_weight").dropDuplicates(["q1", "q2"])
+
+    if metric == "cosine":
+        pivot_count = 1 if count <= tile else min(max_pivots, math.ceil(count / min(CELL_ROWS, tile)))
+        pivots = tiles.matrix(packed.orderBy("k1", "k2").limit(pivot_count).select("vec").toArrow()["vec"], shape.width)
+        assigned = assign_cells(packed, pivots, shape)
+        cells = describe_cells(assigned, pivots)
+        group_of_cell, sizes = tiles.cell_groups(cells, tile, shape), cells.size
+        routed = route_queries(different, cells, group_of_cell, shape, keep)
+    else:
+        assigned, sizes = one_cell(packed, count)
+        group_of_cell, routed = np.zeros(1, dtype=np.int32), route_everywhere(different)
+    routed = materialize(routed, "routed-queries")
+
+    found = compare_tiles(routed, assigned, sizes, group_of_cell, shape, keep, tile, metric)
     others = F.slice(F.filter("best", lambda e: ~e["id"].eqNullSafe(F.col("self_id"))), 1, k)
+    below = F.col("entry.below")
     return (
         keyed.select("query_id", "self_id", "q1", "q2")
-        .join(best, ["q1", "q2"])
+        .join(merge_tiles(found, keep), ["q1", "q2"])
         .select("query_id", F.posexplode(others).alias("at", "entry"))
         .select(
             "query_id",
             (F.col("at") + 1).alias("rank"),
             F.col("entry.id").alias("id"),
-            (F.lit(0.0) - F.col("entry.below")).alias("score"),
+            (F.lit(0.0) - below if METRICS[metric] else below).alias("score"),
         )
     )

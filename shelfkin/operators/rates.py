@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .counters import flat_window, time_windows
-from .numbering import previous_value
+from .numbering import hour_bucket, previous_value
 
 WINDOW_S = 300  # fixed value: the five minutes the dashboards look back
-SAMPLE_BUCKET = "hour"
 
 
 def event_rate(log: DataFrame, keys: list[str], window_s: int = WINDOW_S, slide_s: int = 60) -> DataFrame:
@@ -24,7 +23,7 @@ def counter_increases(samples: DataFrame, keys: list[str], tie: str = "event_id"
     A value below its predecessor means the counter restarted from 0; the first
     sample of a series has no predecessor and grows by nothing.
     """
-    previous = previous_value(samples, keys, "ts", "value", tie, F.date_trunc(SAMPLE_BUCKET, "ts"))
+    previous = previous_value(samples, keys, "ts", "value", tie, hour_bucket())
     grown = (
         F.when(F.col("previous").isNull(), F.lit(0.0))
         .when(F.col("value") < F.col("previous"), F.col("value"))

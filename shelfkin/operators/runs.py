@@ -6,11 +6,12 @@ import time
 from collections.abc import Callable
 from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import TIMING_COLUMNS
 from .counters import ERROR_SUFFIX
+from .numbering import ordered_by
 
 RUN = ["run_id", "experiment_id"]
 FINISHED, FAILED = "FINISHED", "FAILED"
@@ -29,7 +30,8 @@ def metric_rows(runs: DataFrame, metrics: list[str], step: str = "step", ts: str
     kept = [*RUN, step, ts]
     numbers = runs.select(*kept, *[F.col(m).cast("double").alias(m) for m in metrics])
     rows = numbers.unpivot(kept, metrics, "key", "value").filter(F.col("value").isNotNull())
-    return rows.select(*RUN, "key", "value", F.col(step).cast("int").alias("step"), F.col(ts).alias("ts"))
+    number = F.coalesce(F.col(step).cast("int"), F.lit(0))  # metrics without a step belong to step 0
+    return rows.select(*RUN, "key", "value", number.alias("step"), F.col(ts).alias("ts"))
 
 
 def append_rows(rows: DataFrame, path: str) -> None:
@@ -50,20 +52,29 @@ def ensure_experiments(existing: DataFrame, names: DataFrame) -> DataFrame:
 
 def run_states(attempts: DataFrame) -> DataFrame:
     """Latest state per run from (run_id, ts, error) rows."""
-    state = F.when(F.col("error").isNotNull(), FAILED).otherwise(FINISHED)
-    return attempts.groupBy("run_id").agg(
-        F.max_by(state, F.struct("ts", state)).alias("status"), F.max("ts").alias("ended_at")
+    failed = F.col("error").isNotNull().cast("int")
+    last = attempts.groupBy("run_id").agg(
+        F.max_by(failed, ordered_by(F.unix_micros("ts"), failed)).alias("failed"), F.max("ts").alias("ended_at")
     )
+    return last.select("run_id", F.when(F.col("failed") == 1, FAILED).otherwise(FINISHED).alias("status"), "ended_at")
+
+
+def logged_at() -> Column:
+    """The order metric values were logged in: by step, then by time."""
+    return ordered_by(F.col("step"), F.unix_micros("ts"))
 
 
 def search_runs(metrics: DataFrame, experiment_id: str, keys: list[str]) -> DataFrame:
-    """One row per run of the experiment with the latest value of each named metric."""
-    return (
-        metrics.filter(F.col("experiment_id") == experiment_id)
-        .groupBy("run_id")
-        .pivot("key", keys)
-        .agg(F.max_by("value", F.struct("step", "ts")))
-    )
+    """One row per run of the experiment with the latest value of each named metric.
+
+    The keys are known, so the pivot is one aggregate and one shuffle.
+    """
+
+    def latest(key: str) -> Column:
+        here = F.col("key") == key
+        return F.max_by(F.when(here, F.col("value")), F.when(here, logged_at())).alias(key)
+
+    return metrics.filter(F.col("experiment_id") == experiment_id).groupBy("run_id").agg(*[latest(k) for k in keys])
 
 
 def best_run(metrics: DataFrame, experiment_id: str, key: str, ascending: bool = False) -> DataFrame:
@@ -74,7 +85,7 @@ def best_run(metrics: DataFrame, experiment_id: str, key: str, ascending: bool =
     latest = (
         metrics.filter((F.col("experiment_id") == experiment_id) & (F.col("key") == key))
         .groupBy("run_id")
-        .agg(F.max_by("value", F.struct("step", "ts")).alias("value"))
+        .agg(F.max_by("value", logged_at()).alias("value"))
     )
     distance = F.col("value") if ascending else -F.col("value")
     best = F.min_by(F.struct("run_id", "value"), F.struct(distance, F.col("run_id")))

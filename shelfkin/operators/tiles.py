@@ -73,6 +73,29 @@ def scores(queries: np.ndarray, weights: np.ndarray, items: np.ndarray, shape: S
     return out
 
 
+def other_scores(metric: str, queries: np.ndarray, weights: np.ndarray, items: np.ndarray, shape: Shape) -> np.ndarray:
+    """Blended value of another metric, distances negated so that larger is closer.
+
+    A missing part is NaN here, to tell it from a vector of zeros; it adds 0.
+    """
+    out = np.zeros((len(queries), len(items)))
+    for number, part in enumerate((slice(0, shape.text), slice(shape.text, shape.width))):
+        a, b = queries[:, part], items[:, part]
+        if not a.shape[1] or not weights[:, number].any():
+            continue
+        if metric == "dot_product":
+            value = a @ b.T
+        else:
+            value = np.zeros(out.shape)
+            for j in range(a.shape[1]):
+                gap = a[:, j, None] - b[None, :, j]
+                value -= np.abs(gap) if metric == "manhattan" else gap * gap
+            if metric == "euclidean":
+                value = -np.sqrt(-value)
+        out += weights[:, number, None] * np.nan_to_num(value, nan=0.0)
+    return out
+
+
 def rounded(score: np.ndarray) -> np.ndarray:
     return np.round(score, DECIMALS) + 0.0
 
@@ -108,14 +131,24 @@ def best_per_row(
 
 
 def best_of_tile(
-    queries: np.ndarray, weights: np.ndarray, floor: np.ndarray, items: np.ndarray, item_ids: np.ndarray, shape: Shape, keep: int
+    queries: np.ndarray,
+    weights: np.ndarray,
+    floor: np.ndarray,
+    items: np.ndarray,
+    item_ids: np.ndarray,
+    shape: Shape,
+    keep: int,
+    metric: str = "cosine",
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``best_per_row`` of a whole tile pair, a few query rows at a time."""
     step = max(1, SLICE_CELLS // len(items))
     found = []
     for at in range(0, len(queries), step):
         part = slice(at, at + step)
-        score = scores(queries[part], weights[part], items, shape)
+        if metric == "cosine":
+            score = scores(queries[part], weights[part], items, shape)
+        else:
+            score = other_scores(metric, queries[part], weights[part], items, shape)
         rows, cols, value = best_per_row(score, item_ids, keep, floor[part])
         found.append((rows + at, cols, value))
     return tuple(np.concatenate(columns) for columns in zip(*found))

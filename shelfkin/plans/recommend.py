@@ -70,6 +70,7 @@ def recommend_all(
     image_weight: float = DEFAULT_WEIGHT,
     strict_weights: bool = False,
     tile: int | None = None,
+    metric: str = "cosine",
 ) -> DataFrame:
     """(query_id, rank, id, score) for every product, or for the ids given."""
     wt, wi = switched_weights(use_text, use_image, text_weight, image_weight, strict_weights)
@@ -82,7 +83,7 @@ def recommend_all(
         F.col("id").alias("query_id"), F.col("id").alias("self_id"), "text", "image",
         F.lit(float(wt)).alias("text_weight"), F.lit(float(wi)).alias("image_weight"),
     )
-    return top_matches(queries, items, top_n, tile)
+    return top_matches(queries, items, top_n, tile, metric=metric)
 
 
 def recommend_requests(vectors: DataFrame, requests: DataFrame, top_n: int, tile: int | None = None) -> DataFrame:

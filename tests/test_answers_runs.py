@@ -110,7 +110,8 @@ def test_experiments_are_made_once(spark):
 
 
 def test_states_take_the_latest_attempt(spark):
-    df = spark.createDataFrame([("a", 1, "boom"), ("a", 2, None), ("b", 1, None), ("b", 2, "boom")], "run_id string, ts int, error string")
+    df = spark.createDataFrame([("a", 1, "boom"), ("a", 2, None), ("b", 1, None), ("b", 2, "boom")], "run_id string, t int, error string")
+    df = df.withColumn("ts", F.timestamp_seconds("t"))
     assert {r["run_id"]: r["status"] for r in X.run_states(df).collect()} == {"a": "FINISHED", "b": "FAILED"}
 
 

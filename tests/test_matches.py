@@ -160,3 +160,17 @@ def test_digest_separates_shifted_nulls(spark):
     df = spark.createDataFrame([([1.0], None), (None, [1.0])], "text array<double>, image array<double>")
     keys = df.select(matches.digest(1, F.col("text"), F.col("image")).alias("k")).collect()
     assert keys[0]["k"] != keys[1]["k"]
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "dot_product"])
+def test_other_metrics_equal_one_query(spark, metric):
+    rng = np.random.default_rng(8)
+    image = [None if i % 6 == 0 else v for i, v in enumerate(rng.normal(size=(40, 2)))]
+    image[7] = np.zeros(2)
+    vectors = frame(spark, rng.integers(-2, 3, size=(40, 3)), image)
+    every = rows(recommend_all(vectors, 4, text_weight=0.6, image_weight=0.4, tile=11, metric=metric))
+    products = vectors.select("id", *[F.lit("x").alias(c) for c in ("name", "category", "description", "image_path")])
+    for q in (0, 7, 13):
+        single = recommend(products, vectors, q, 4, text_weight=0.6, image_weight=0.4, metric=metric)
+        assert rows(single.select("query_id", "rank", "id", "score")) == {r for r in every if r[0] == q}
+    assert len(every) == 160

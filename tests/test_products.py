@@ -96,9 +96,11 @@ def test_option_labels(spark):
 
 
 def test_numbering_across_buckets(spark):
-    df = spark.range(1000).select(F.col("id"), (F.col("id") % 10 < 7).alias("hot"))
+    hot = F.when(F.col("id") % 10 < 7, True).when(F.col("id") % 10 < 9, False)  # else null, a group of its own
+    df = spark.range(-40, 960).select(F.col("id"), hot.alias("hot"))
     got = numbering.numbered(df, ["hot"], ["id"], numbering.id_bucket("id", 17))
-    seen = {True: 0, False: 0}
+    seen = {True: 0, False: 0, None: 0}
+    assert got.count() == 1000
     for r in sorted(got.collect(), key=lambda r: r["id"]):
         seen[r["hot"]] += 1
         assert r["n"] == seen[r["hot"]]
