@@ -231,7 +231,7 @@ def merge_tiles(found: DataFrame, keep: int) -> DataFrame:
 
 
 def route_everywhere(queries: DataFrame) -> DataFrame:
-    """Without bounds for a metric every query looks at the one cell there is."""
+    """Every query looks at the one cell there is."""
     return queries.withColumns({"floor": F.lit(float("-inf")), "groups": F.array(F.lit(0))})
 
 
@@ -251,8 +251,9 @@ def top_matches(
 
     ``queries`` has (query_id, self_id, text, image, text_weight, image_weight) with a
     query_id of any type; the item named by self_id is left out of that query's answer.
-    ``items`` has (id, text, image).  Cells are only used for the cosine; other metrics
-    compare all tiles.  Builds two scratch tables, so calling it starts jobs.
+    ``items`` has (id, text, image).  Cells are only used for the cosine and for more
+    than one tile of items; otherwise all tiles are compared.  Builds two scratch
+    tables, so calling it starts jobs.
     """
     if k is None or k < 1:
         raise ValueError("k must be 1 or more")
@@ -273,8 +274,8 @@ def top_matches(
     keyed = queries.withColumns({"q1": digest(1, *content), "q2": digest(2, *content)})
     different = keyed.select("q1", "q2", vec, "text_weight", "image_weight").dropDuplicates(["q1", "q2"])
 
-    if metric == "cosine":
-        pivot_count = 1 if count <= tile else min(max_pivots, math.ceil(count / min(CELL_ROWS, tile)))
+    if metric == "cosine" and count > tile:
+        pivot_count = min(max_pivots, math.ceil(count / min(CELL_ROWS, tile)))
         pivots = tiles.matrix(packed.orderBy("k1", "k2").limit(pivot_count).select("vec").toArrow()["vec"], shape.width)
         assigned = assign_cells(packed, pivots, shape)
         cells = describe_cells(assigned, pivots)
