@@ -113,3 +113,6 @@ SQL = {
     "x5_best_run_min": f"WITH {_METRICS} SELECT run_id, value FROM latest WHERE key = 'length' ORDER BY value, run_id LIMIT 1",
     "x5_best_run_unknown": f"WITH {_METRICS} SELECT run_id, value FROM latest WHERE key = 'no_such_metric'",
 }
+SQL["u3_timed"] = """
+    SELECT 'store_products' AS query_type, 'ok' AS outcome, 1 AS calls
+    UNION ALL SELECT 'check_columns_error', 'error', 1"""

@@ -60,7 +60,7 @@ def decoded(spark, sf):
 
 def tensors(spark, sf):
     return embedding.image_tensors(decoded(spark, sf), "id").select(
-        "id", F.array_size("tensor").alias("width"), F.round(F.element_at("tensor", 1), 3).alias("first_red")
+        "id", F.array_size("tensor").alias("width"), F.round(F.element_at("tensor", 1).cast("double"), 3).alias("first_red")
     )
 
 
@@ -160,3 +160,14 @@ SQL = {
         SELECT doc_id, length(text)::DOUBLE AS chars, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS blanks FROM documents""",
 }
 SQL["t5_lemmatize_joined"] = SQL["t5_lemmatize"]
+# Lengths only: the hash behind the vectors is Spark's own; tests check the contents.
+SQL["t7_embed_text"] = f"""
+    SELECT doc_id, 256 AS width, CASE WHEN len({_CLEAN}) = 0 THEN 0 ELSE 1 END::DOUBLE AS length FROM documents"""
+
+# The first pixel of the crop lies 1/64 of the way from the first grey value to the next.
+_GREY = "greatest(0, least(255, round(embedding[{}]::DOUBLE * 400 + 128)))"
+_ACROSS = ["round_even((63 * " + _GREY.format(i) + " + " + _GREY.format(i + 1) + ") / 64, 0)" for i in (1, 9)]
+SQL["i1_image_tensors"] = f"""
+    SELECT vec_id AS id, 150528 AS width,
+           round((round_even((63 * {_ACROSS[0]} + {_ACROSS[1]}) / 64, 0) / 255 - 0.485) / 0.229, 3) AS first_red
+    FROM embeddings WHERE label NOT IN (3, 5)"""
