@@ -32,6 +32,8 @@ from . import tiles
 TILE_BYTES = 32 * 1024 * 1024  # vectors of one tile
 TILE_ROWS = 8192
 CELL_ROWS = 128
+SPARK_GROUP_LIMIT = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
+SALTS = 64
 ROUTED_ROWS = 1024  # queries routed at once; the work area is this times the pivots
 MAX_PIVOTS = 1024  # bounds what the driver and every task hold: pivots x width doubles
 
@@ -49,15 +51,24 @@ def digest(seed: int, *cols: Column) -> Column:
 
 
 def distinct_items(items: DataFrame, keep: int) -> DataFrame:
-    """(k1, k2, ids, text, image): each distinct vector with its lowest ids."""
+    """(k1, k2, ids, text, image): each distinct vector with its lowest ids.
+
+    Up to SPARK_GROUP_LIMIT rows Spark cuts a row_number filter down before its shuffle,
+    so a vector with very many copies is no burden; above it the copies are salted.
+    """
     keyed = items.select(
         "id", "text", "image", digest(1, F.col("text"), F.col("image")).alias("k1"),
         digest(2, F.col("text"), F.col("image")).alias("k2"),
     )
-    place = Window.partitionBy("k1", "k2").orderBy("id")
+
+    def lowest(rows: DataFrame, *keys: str) -> DataFrame:
+        place = Window.partitionBy(*keys).orderBy("id")
+        return rows.withColumn("copy", F.row_number().over(place)).filter(F.col("copy") <= keep).drop("copy")
+
+    if keep > SPARK_GROUP_LIMIT:
+        keyed = lowest(keyed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))), "k1", "k2", "salt").drop("salt")
     return (
-        keyed.withColumn("copy", F.row_number().over(place))
-        .filter(F.col("copy") <= keep)
+        lowest(keyed, "k1", "k2")
         .groupBy("k1", "k2")
         .agg(
             F.sort_array(F.collect_list("id")).alias("ids"),

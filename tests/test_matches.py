@@ -71,6 +71,14 @@ def test_fewer_items_than_asked_for(spark):
     assert len(got) == 6
 
 
+def test_very_long_answers(spark):
+    text = np.ones((1500, 2))
+    text[::3] = [1.0, 0.0]
+    some = spark.createDataFrame([(0,), (1,)], "id long")
+    got = rows(recommend_all(frame(spark, text), 1200, some, use_image=False, text_weight=1.0))
+    assert got == {r for r in brute(text, None, 1200, 1.0, 0) if r[0] < 2}
+
+
 def test_ties_at_the_cut_go_to_the_lowest_id(spark):
     rng = np.random.default_rng(1)
     text = rng.integers(-1, 2, size=(80, 2)).astype(float)
