@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bbit_minhash, bpe, fm_decontam, jump_shards
+from shelfkin.session import scratch_dir
+
+from . import bbit_minhash, bpe, fm_decontam, jump_shards, orc_ids, quality_gbdt
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,6 +25,20 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_decontam.contamination_report(found).drop("text", "spans", "item_ids")
 
 
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality_gbdt.train(documents, _read(spark, sf_dir, "labels", "doc_id", "quality"))
+    scored = quality_gbdt.score_documents(documents, model)
+    predicted = (F.col("score") >= quality_gbdt.THRESHOLD).cast("int")
+    return scored.select("doc_id", (quality_gbdt.fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "token-ids")
+    orc_ids.write_ids(_read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(TOKENIZER), path)
+    return orc_ids.file_report(spark, path)
+
+
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shards.shard_rows(_read(spark, sf_dir, "documents", "doc_id", "text"), 24)
 
@@ -37,6 +54,8 @@ def token_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontaminate": decontamination,
+    "op6_quality": quality,
+    "op7_orc_token_ids": orc_token_ids,
     "op8_jump_shards": shards,
     "op9_near_duplicates": near_duplicates,
     "op10_bpe_round_trip": token_round_trip,
