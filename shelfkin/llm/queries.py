@@ -9,7 +9,7 @@ import public_tokenizers
 
 from shelfkin.session import scratch_dir
 
-from . import bbit_minhash, bpe, fm_decontam, jump_shards, orc_ids, quality_gbdt
+from . import bbit_minhash, bpe, fm_decontam, jump_shards, orc_ids, quality_gbdt, template_html, vector_graph
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,12 +19,20 @@ def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return table(spark.read.parquet(f"{sf_dir}/{name}.parquet"), *columns)
 
 
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_html.extract_pages(_read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents", "doc_id", "text")
     found = fm_decontam.find_contamination(documents, _read(spark, sf_dir, "benchmark", "item_id", "text"))
     return fm_decontam.contamination_report(found).drop("text", "spans", "item_ids")
 
 
+def embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.linked_vectors(_read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents", "doc_id", "text")
     model = quality_gbdt.train(documents, _read(spark, sf_dir, "labels", "doc_id", "quality"))
@@ -53,7 +61,9 @@ def token_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_main_text": main_text,
     "op2_decontaminate": decontamination,
+    "op3_embedding_links": embedding_links,
     "op6_quality": quality,
     "op7_orc_token_ids": orc_token_ids,
     "op8_jump_shards": shards,
