@@ -11,14 +11,17 @@
    better go on.
 4. First every node meets the leaders of its buckets; links are confirmed on the full
    sets and joined to components.  Then the members that a bucket's leader did not
-   reach meet all other members of the bucket that are in another component.  Pairs
-   inside a component are never formed, so a group of copies costs one pair per copy,
-   and no link between components is lost.
+   reach meet all other members of the bucket that are in another component, each pair
+   in the first bucket that it shares.  Here 1024 minima, made for members of buckets
+   only, sharpen the estimate, so that few pairs below the threshold are left to
+   confirm.  Pairs inside a component are never formed: a group of copies costs one pair
+   per copy, and no link between components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +42,15 @@ PERMUTATIONS = BANDS * ROWS
 PLANE_WORDS = PERMUTATIONS // 64
 # Share of equal places that a pair must show: similarity 0.55, five deviations below 0.75.
 LEAST_SIMILARITY = 0.55
+# The same by five deviations of the deeper signature.
+DEEP_WORDS = 16
+DEEP_SIMILARITY = 0.684
 BLOCK = 1 << 16
 SEED = 20240229
 
 _random = np.random.default_rng(SEED)
-FACTORS = (_random.integers(0, 2**31, PERMUTATIONS, np.int64) * 2 + 1).astype(np.uint32)
-SHIFTS = _random.integers(0, 2**32, PERMUTATIONS, np.int64).astype(np.uint32)
+FACTORS = (_random.integers(0, 2**31, PERMUTATIONS + 64 * DEEP_WORDS, np.int64) * 2 + 1).astype(np.uint32)
+SHIFTS = _random.integers(0, 2**32, PERMUTATIONS + 64 * DEEP_WORDS, np.int64).astype(np.uint32)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -67,9 +73,9 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """PERMUTATIONS minima of every set, none of them empty; blocks of shingles stay in the cache."""
-    out = np.empty((len(sets), PERMUTATIONS), np.uint32)
+def minima(sets: list[np.ndarray], first: int = 0, many: int = PERMUTATIONS) -> np.ndarray:
+    """Minima of every set, none of them empty; blocks of shingles stay in the cache."""
+    out = np.empty((len(sets), many), np.uint32)
     lengths = np.array([len(s) for s in sets], np.int64)
     block = np.cumsum(lengths) // BLOCK
     for b in np.unique(block):
@@ -77,13 +83,13 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
         values = np.concatenate([sets[k] for k in rows])
         values = (values ^ (values >> np.uint64(32))).astype(np.uint32)
         starts = np.r_[0, np.cumsum(lengths[rows])[:-1]]
-        for p in range(PERMUTATIONS):
-            out[rows, p] = np.minimum.reduceat(values * FACTORS[p] + SHIFTS[p], starts)
+        for p in range(many):
+            out[rows, p] = np.minimum.reduceat(values * FACTORS[first + p] + SHIFTS[first + p], starts)
     return out
 
 
 def bit_planes(least: np.ndarray) -> np.ndarray:
-    """The lowest BITS bits of each minimum, as BITS planes of PERMUTATIONS bits in 64-bit words."""
+    """The lowest BITS bits of each minimum, as BITS planes of bits in 64-bit words."""
     planes = [np.packbits((least >> k) & 1, axis=1, bitorder="little") for k in range(BITS)]
     return np.concatenate(planes, axis=1).view("<i8")
 
@@ -138,6 +144,18 @@ def estimated(a: Column, b: Column) -> Column:
     return (1 - different / PERMUTATIONS - chance) / (1 - chance)
 
 
+def deeply_estimated(a: Column, b: Column) -> Column:
+    """The same from the deeper signatures."""
+
+    def word(total: Column, w: Column) -> Column:
+        planes = [a[w + p * DEEP_WORDS].bitwiseXOR(b[w + p * DEEP_WORDS]) for p in range(BITS)]
+        return total + F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), planes))
+
+    different = F.aggregate(F.sequence(F.lit(0), F.lit(DEEP_WORDS - 1)), F.lit(0), word)
+    chance = 0.5**BITS
+    return (1 - different / (64 * DEEP_WORDS) - chance) / (1 - chance)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
@@ -146,18 +164,22 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").where(100 * common >= percent * union).select("a", "b").distinct()
 
 
-def _sets(documents: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
-    """(node, set of shingle hashes) of the documents that name the given nodes."""
-    chosen = documents.select(F.col(f"`{key}`").alias("node"), F.col(f"`{text}`").alias("text")).join(held(nodes), "node", "left_semi")
+def _sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, set of shingle hashes, deeper bit planes) of the documents that name the given nodes."""
+    chosen = documents.join(held(nodes), "node", "left_semi")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 2 << 20):
                 sets = [shingles(t) for t in encoded_texts(part, "text")]
-                flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), lists(flat, np.array([len(s) for s in sets], np.int64))], names=["node", "set"])
+                full = [s for s in sets if len(s)]
+                flat = np.concatenate([np.empty(0, np.uint64), *full]).view(np.int64)
+                deep = bit_planes(minima(full, PERMUTATIONS, 64 * DEEP_WORDS)).ravel()
+                sizes = np.array([len(s) for s in sets], np.int64)
+                columns = [part.column(0), lists(flat, sizes), lists(deep, (sizes > 0) * DEEP_WORDS * BITS)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "set", "deep"])
 
-    return chosen.mapInArrow(run, T.StructType([T.StructField("node", T.LongType()), T.StructField("set", T.ArrayType(T.LongType()))]))
+    return chosen.mapInArrow(run, "node bigint, set array<bigint>, deep array<bigint>")
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -185,8 +207,8 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     led = leaders.join(planes.select(F.col("node").alias("a"), F.col("planes").alias("planes_a")), "a").where(near("planes_a", "planes"))
     first = materialize(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-pairs")
 
-    in_pairs = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct()
-    sets = materialize(_sets(docs.select(F.col("doc").alias("node"), "text"), materialize(in_pairs(first), "minhash-named"), "node", "text"), "minhash-sets")
+    texts = docs.select(F.col("doc").alias("node"), "text")
+    sets = materialize(_sets(texts, materialize(members.select("node").distinct(), "minhash-named")), "minhash-sets")
     links = materialize(_confirm(first, sets, percent), "minhash-links")
     reached = components(links, "minhash-components")
 
@@ -194,17 +216,21 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     of_leader = reached.select(F.col("node").alias("low"), F.col("component").alias("main"))
     placed = placed.join(of_leader, "low", "left").withColumn("main", F.coalesce("main", "low"))
     placed = materialize(placed.select("band", "node", "planes", "component", "main"), "minhash-placed")
-    left = placed.where("component <> main").select("band", F.col("node").alias("x"), F.col("planes").alias("planes_x"), F.col("component").alias("component_x"), "main")
-    right = placed.select("band", F.col("node").alias("y"), F.col("planes").alias("planes_y"), F.col("component").alias("component_y"))
+    unreached = placed.where("component <> main").select("band").distinct()
+    deep = sets.select("node", "deep", F.size("set").alias("n")).join(nodes.select("node", "bands"), "node")
+    placed = materialize(placed.join(unreached, "band", "left_semi").join(deep, "node"), "minhash-unreached")
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("node", "planes", "component", "bands", "deep", "n")]
+    left = placed.where("component <> main").select("band", "main", *side("x"))
+    right = placed.select("band", *side("y"))
     # A pair of two members outside the leader's component comes up twice: take it once.
-    once = (F.col("component_y") == F.col("main")) | (F.col("x") < F.col("y"))
-    across = left.join(right, "band").where((F.col("component_x") != F.col("component_y")) & once & near("planes_x", "planes_y"))
-    second = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = materialize(second, "minhash-pairs")
-    more = in_pairs(second).join(sets.select("node"), "node", "left_anti")
-    more_sets = _sets(docs.select(F.col("doc").alias("node"), "text"), materialize(more, "minhash-named"), "node", "text")
-    all_sets = sets.unionByName(materialize(more_sets, "minhash-sets"))
-    all_links = links.unionByName(_confirm(second, all_sets, percent))
+    once = (F.col("component_y") == F.col("main")) | (F.col("node_x") < F.col("node_y"))
+    sizes = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
+    in_first = F.array_intersect("bands_x", "bands_y")[0] == F.col("band")
+    deeply = deeply_estimated(F.col("deep_x"), F.col("deep_y")) >= DEEP_SIMILARITY
+    across = left.join(right, "band").where((F.col("component_x") != F.col("component_y")) & once & sizes & near("planes_x", "planes_y") & in_first & deeply)
+    second = across.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    second = materialize(second.join(first, ["a", "b"], "left_anti"), "minhash-pairs")
+    all_links = links.unionByName(_confirm(second, sets, percent))
     found = materialize(components(all_links, "minhash-components"), "minhash-components")
 
     of_set = nodes.select("set_key", "node").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
