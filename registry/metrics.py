@@ -1,5 +1,6 @@
 """Counters, histograms, gauges and rates over the request log."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfkin.functions import buckets as B
@@ -80,8 +81,16 @@ def exposition(spark, sf):
 
 def exposed_histogram(spark, sf):
     wide = C.histogram(log(spark, sf), SERIES, B.REQUEST_BOUNDS)
-    rows = C.histogram_rows(wide, SERIES, B.REQUEST_BOUNDS)
-    return E.histogram_lines(rows, "api_request_duration_seconds", SERIES).select("line")
+    rows = rounded(C.histogram_rows(wide, SERIES, B.REQUEST_BOUNDS), "total")
+    return E.histogram_lines(rows, "api_request_duration_seconds", SERIES)
+
+
+def written_histogram(spark, sf):
+    """The histogram written as text files and read back, each line with its number in the files."""
+    path = scratch_dir(spark, "exposition")
+    E.write_exposition(exposed_histogram(spark, sf), {"api_request_duration_seconds": "histogram"}, path)
+    read = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    return read.select(F.col("value").alias("line"), F.row_number().over(Window.orderBy("file", "at")).alias("number"))
 
 
 def rate(spark, sf):
@@ -150,7 +159,8 @@ QUERIES = {
     "m8_query_histogram": query_durations,
     "m9_activity_counts": activities,
     "m10_exposition": exposition,
-    "m10_exposition_histogram": exposed_histogram,
+    "m10_exposition_histogram": lambda spark, sf: exposed_histogram(spark, sf).select("line"),
+    "m10_written_histogram": written_histogram,
     "m11_event_rate": rate,
     "m11_counter_rate": sampled_rate,
     "m12_quantiles_windowed": quantiles,
@@ -196,12 +206,18 @@ def _quantile_sql(group, source):
 SQL = {
     "m1_request_counts": f"WITH {LOG} SELECT method, endpoint, status_code, count(*) AS requests FROM log GROUP BY ALL",
     "m2_duration_histogram": _histogram("method, endpoint", B.REQUEST_BOUNDS, "method, endpoint"),
+    # Counted where it can peak: at every start of a request, and where a window begins.
     "m3_in_progress": f"""WITH {LOG},
-        moves AS (SELECT method, endpoint, epoch_us(ts) AS us, 1 AS delta FROM log
-                  UNION ALL SELECT method, endpoint, epoch_us(ts) + round(duration_s * 1000000)::BIGINT, -1 FROM log),
-        gauge AS (SELECT *, sum(delta) OVER (PARTITION BY method, endpoint ORDER BY us, delta ROWS UNBOUNDED PRECEDING) AS open FROM moves)
-        SELECT make_timestamp(us - us % 3600000000) AS window_start, make_timestamp(us - us % 3600000000 + 3600000000) AS window_end,
-               method, endpoint, max(open)::BIGINT AS most_in_progress FROM gauge GROUP BY ALL""",
+        spans AS (SELECT method, endpoint, epoch_us(ts) AS low, epoch_us(ts) + round(duration_s * 1000000)::BIGINT AS high FROM log),
+        ends AS (SELECT method, endpoint, min(low) - min(low) % 3600000000 AS first, max(high) - max(high) % 3600000000 AS last FROM spans GROUP BY ALL),
+        windows AS (SELECT method, endpoint, unnest(range(first, last + 1, 3600000000)) AS start FROM ends),
+        moments AS (SELECT method, endpoint, start, start AS us FROM windows
+                    UNION SELECT method, endpoint, low - low % 3600000000, low FROM spans),
+        counted AS (SELECT m.method, m.endpoint, m.start, m.us, count(s.low) AS open
+                    FROM moments m LEFT JOIN spans s ON s.method = m.method AND s.endpoint = m.endpoint AND s.low <= m.us AND s.high > m.us
+                    GROUP BY ALL)
+        SELECT make_timestamp(start) AS window_start, make_timestamp(start + 3600000000) AS window_end,
+               method, endpoint, max(open) AS most_in_progress FROM counted GROUP BY ALL""",
     "m4_recommendation_counts": f"""WITH {LOG} SELECT coalesce(user_id, 'unknown') AS user_id, {_TYPE} AS recommendation_type,
         count(*) AS recommendations FROM log GROUP BY ALL""",
     "m5_recommendation_histogram": _histogram(_TYPE, B.RECOMMENDATION_BOUNDS, f"{_TYPE} AS recommendation_type"),
@@ -213,7 +229,7 @@ SQL = {
         count(*) FILTER (event_type = 'signup') AS models_saved FROM events""",
     "m10_exposition": f"""WITH {LOG}
         SELECT 'api_requests_total{{method="' || method || '",endpoint="' || endpoint || '",status_code="' || status_code || '"}} '
-               || printf('%.6f', count(*)::DOUBLE) AS line FROM log GROUP BY method, endpoint, status_code
+               || count(*) AS line FROM log GROUP BY method, endpoint, status_code
         UNION ALL SELECT '# TYPE api_requests_total counter'""",
     "m11_event_rate": f"""WITH {LOG},{sliding('log')}
         SELECT window_start, window_end, method, endpoint, status_code, count(*) AS events, round(count(*) / 300.0::DOUBLE, 6) AS rate
@@ -250,8 +266,14 @@ SQL = {
 }
 
 _LABELS = "'{method=\"' || method || '\",endpoint=\"' || endpoint || '\"'"
-SQL["m10_exposition_histogram"] = f"""
-    WITH rows AS ({_histogram('method, endpoint', B.REQUEST_BOUNDS, 'method, endpoint')})
-    SELECT 'api_request_duration_seconds_bucket' || {_LABELS} || ',le="' || le || '"}} ' || printf('%.6f', n::DOUBLE) AS line FROM rows
-    UNION ALL SELECT 'api_request_duration_seconds_count' || {_LABELS} || '}} ' || printf('%.6f', n::DOUBLE) FROM rows WHERE le = '+Inf'
-    UNION ALL SELECT 'api_request_duration_seconds_sum' || {_LABELS} || '}} ' || printf('%.6f', total) FROM rows WHERE le = '+Inf'"""
+_LINES = f"""
+    SELECT 'api_request_duration_seconds_bucket' || {_LABELS} || ',le="' || le || '"}} ' || n AS line,
+           {_LABELS} AS series, 0 AS part, CASE WHEN le = '+Inf' THEN 'inf' ELSE le END::DOUBLE AS le FROM rows
+    UNION ALL SELECT 'api_request_duration_seconds_sum' || {_LABELS} || '}} ' || CASE WHEN total = floor(total) THEN total::BIGINT::VARCHAR ELSE total::VARCHAR END,
+           {_LABELS}, 1, 0 FROM rows WHERE le = '+Inf'
+    UNION ALL SELECT 'api_request_duration_seconds_count' || {_LABELS} || '}} ' || n, {_LABELS}, 2, 0 FROM rows WHERE le = '+Inf'"""
+_ROWS = f"rows AS ({_histogram('method, endpoint', B.REQUEST_BOUNDS, 'method, endpoint')}), lines AS ({_LINES})"
+SQL["m10_exposition_histogram"] = f"WITH {_ROWS} SELECT line FROM lines"
+SQL["m10_written_histogram"] = f"""
+    WITH {_ROWS} SELECT line, (1 + row_number() OVER (ORDER BY series, part, le))::INT AS number FROM lines
+    UNION ALL SELECT '# TYPE api_request_duration_seconds histogram', 1"""

@@ -6,6 +6,8 @@ from shelfkin.operators import similarity as M
 from shelfkin.operators.embedding import embed_text
 from shelfkin.plans import recommend as R
 from shelfkin.plans import standins as S
+from shelfkin.session import scratch_dir
+from shelfkin.sources.vector_store import read_vectors, write_vectors
 
 from .sql import PRODUCTS, VECTORS, blend, image_cosine, recommendations, text_cosine
 
@@ -48,6 +50,24 @@ def one_product(spark, sf):
     return R.recommend(S.products(spark, sf), S.product_vectors(spark, sf), QUERY, 5, text_weight=0.7, image_weight=0.3)
 
 
+def stored_product(spark, sf):
+    """The same through the vector store; vectors without a product row keep their place."""
+    path = scratch_dir(spark, "vectors")
+    write_vectors(vectors(spark, sf), path)
+    few = S.products(spark, sf).filter("id % 3 <> 0")
+    return R.recommend(few, read_vectors(spark, path), QUERY, 5, text_weight=0.7, image_weight=0.3)
+
+
+def odd_requests(spark, sf):
+    """Requests in which switches and the slider may be null."""
+    settings = requests(spark, sf).withColumns({
+        "use_text": F.when(F.col("request_id") % 3 != 0, F.col("use_text")),
+        "use_image": F.when(F.col("request_id") % 5 != 0, F.col("use_image")),
+        "percent": F.when(F.col("request_id") % 2 != 0, F.col("percent")),
+    })
+    return R.recommend_requests(vectors(spark, sf), settings, 3)
+
+
 def unknown_product(spark, sf):
     return R.recommend(S.products(spark, sf), vectors(spark, sf), 1_000_000_000, 5)
 
@@ -120,9 +140,11 @@ QUERIES = {
     "v8_top_n": best,
     "v9_recommend": one_product,
     "v9_recommend_unknown": unknown_product,
+    "v9_recommend_stored": stored_product,
     "v10_chosen_product": chosen,
     "v11_recommend_all": every_product,
     "v12_recommend_requests": answered_requests,
+    "v12_requests_with_defaults": odd_requests,
     "v13_euclidean": other_metric("euclidean"),
     "v13_manhattan": other_metric("manhattan"),
     "v13_dot_product": other_metric("dot_product"),
@@ -139,9 +161,14 @@ def _scored(wt, wi):
         FROM vectors a, vectors b WHERE a.id = {QUERY}"""
 
 
+def _none(direction):
+    """What an item without a picture adds: nothing to a similarity, any distance."""
+    return "'inf'::DOUBLE" if direction == "ASC" else "0"
+
+
 def _by_metric(text, image, direction):
     return f"""WITH {VECTORS},
-        scored AS (SELECT b.id, round({text} * 0.6 + CASE WHEN b.id % 17 <> 0 THEN {image} * 0.4 ELSE 0 END, 6) + 0.0 AS score
+        scored AS (SELECT b.id, round({text} * 0.6 + CASE WHEN b.id % 17 <> 0 THEN {image} * 0.4 ELSE {_none(direction)} END, 6) + 0.0 AS score
                    FROM vectors a, vectors b JOIN part ON b.id = p_partkey WHERE a.id = {QUERY} AND b.id <> {QUERY})
         SELECT {QUERY}::BIGINT AS query_id, row_number() OVER (ORDER BY score {direction}, id) AS rank, id, score
         FROM scored ORDER BY rank LIMIT 10"""
@@ -205,7 +232,8 @@ def _all_by_metric(metric, direction):
     text, image = _PARTS[metric]
     return f"""WITH {VECTORS},
         scored AS (SELECT a.id AS query_id, b.id,
-                          round({text} * 0.6 + CASE WHEN a.id % 17 <> 0 AND b.id % 17 <> 0 THEN {image} * 0.4 ELSE 0 END, 6) + 0.0 AS score
+                          round({text} * 0.6 + CASE WHEN a.id % 17 <> 0 AND b.id % 17 <> 0 THEN {image} * 0.4
+                                                    WHEN a.id % 17 <> 0 THEN {_none(direction)} ELSE 0 END, 6) + 0.0 AS score
                    FROM vectors a JOIN vectors b ON a.id <> b.id),
         placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {direction}, id) AS rank FROM scored)
         SELECT query_id, rank, id, score FROM placed WHERE rank <= 5"""
@@ -217,6 +245,17 @@ _PARTS = {
     "manhattan": tuple(_sum("abs(p[1] - p[2])", part) for part in ("text", "image")),
     "dot_product": tuple(f"list_dot_product(a.{part}, b.{part})" for part in ("text", "image")),
 }
+SQL["v9_recommend_stored"] = f"""WITH {PRODUCTS},{VECTORS},
+    scored AS (SELECT b.id, {blend('a', 'b', 0.7, 0.3)} AS score FROM vectors a, vectors b WHERE a.id = {QUERY} AND b.id <> {QUERY}),
+    placed AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM scored)
+    SELECT {QUERY}::BIGINT AS query_id, rank, s.id, name, category, description, image_path, score
+    FROM placed s LEFT JOIN (SELECT * FROM products WHERE id % 3 <> 0) p ON p.id = s.id WHERE rank <= 5"""
+SQL["v12_requests_with_defaults"] = (
+    SQL["v12_recommend_requests"]
+    .replace("event_type IN ('view', 'click', 'purchase') AS use_text", "event_id % 3 = 0 OR event_type IN ('view', 'click', 'purchase') AS use_text")
+    .replace("event_type IN ('view', 'click', 'signup') AS use_image", "event_id % 5 = 0 OR event_type IN ('view', 'click', 'signup') AS use_image")
+    .replace("CASE WHEN value < 20 THEN 30 ELSE 70 END AS percent", "CASE WHEN event_id % 2 = 0 THEN 50 WHEN value < 20 THEN 30 ELSE 70 END AS percent")
+)
 SQL["v13_euclidean_all"] = _all_by_metric("euclidean", "ASC")
 SQL["v13_manhattan_all"] = _all_by_metric("manhattan", "ASC")
 SQL["v13_dot_product_all"] = _all_by_metric("dot_product", "DESC")

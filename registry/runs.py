@@ -58,6 +58,21 @@ def search(spark, sf):
     return X.search_runs(metrics(spark, sf), _id(EXPERIMENT), ["length", "response_length"])
 
 
+def all_runs(spark, sf):
+    """Every conversation is a run, also those without an answer, which is the metric."""
+    t = turns(spark, sf)
+    failed = F.when(F.col("length") > 400, F.lit("too long"))
+    known = t.groupBy("run_id", "experiment_id").agg(F.count("*").alias("n_turns"))
+    runs = known.join(X.run_states(t.withColumn("error", failed)).select("run_id", "status"), "run_id")
+    return X.search_runs(
+        X.metric_rows(t, ["response_length"]), _id(EXPERIMENT), ["response_length"], runs, X.param_rows(t, ["experiment", "role"]), ["experiment", "role"]
+    )
+
+
+def best_row(spark, sf):
+    return X.best_of(all_runs(spark, sf), "response_length")
+
+
 def best(key, ascending):
     return lambda spark, sf: X.best_run(metrics(spark, sf), _id(EXPERIMENT), key, ascending)
 
@@ -79,6 +94,8 @@ QUERIES = {
     "x2_ensure_experiments": experiments,
     "x3_run_states": states,
     "x4_search_runs": search,
+    "x4_search_all_runs": all_runs,
+    "x5_best_run_row": best_row,
     "x5_best_run_max": best("length", False),
     "x5_best_run_min": best("length", True),
     "x5_best_run_unknown": best("no_such_metric", False),
@@ -109,6 +126,8 @@ SQL = {
     "x4_search_runs": f"""WITH {_METRICS}
         SELECT run_id, max(value) FILTER (key = 'length') AS length, max(value) FILTER (key = 'response_length') AS response_length
         FROM latest GROUP BY run_id""",
+    "x4_search_all_runs": all_runs,
+    "x5_best_run_row": best_row,
     "x5_best_run_max": f"WITH {_METRICS} SELECT run_id, value FROM latest WHERE key = 'length' ORDER BY value DESC, run_id LIMIT 1",
     "x5_best_run_min": f"WITH {_METRICS} SELECT run_id, value FROM latest WHERE key = 'length' ORDER BY value, run_id LIMIT 1",
     "x5_best_run_unknown": f"WITH {_METRICS} SELECT run_id, value FROM latest WHERE key = 'no_such_metric'",
@@ -116,3 +135,12 @@ SQL = {
 SQL["u3_timed"] = """
     SELECT 'store_products' AS query_type, 'ok' AS outcome, 1 AS calls
     UNION ALL SELECT 'check_columns_error', 'error', 1"""
+
+SQL["x4_search_all_runs"] = f"""WITH {_TURNS},
+    states AS (SELECT run_id, CASE WHEN arg_max(length > 400, (ts, length > 400)) THEN 'FAILED' ELSE 'FINISHED' END AS status FROM turns GROUP BY run_id)
+    SELECT t.run_id, experiment_id, count(*) AS n_turns, status,
+           arg_max(response_length, step) FILTER (response_length IS NOT NULL)::DOUBLE AS response_length,
+           max(experiment) AS experiment, max(role) AS role
+    FROM turns t JOIN states USING (run_id) WHERE experiment_id = md5('{EXPERIMENT}') GROUP BY t.run_id, experiment_id, status"""
+SQL["x5_best_run_row"] = f"""SELECT * FROM ({SQL['x4_search_all_runs']})
+    WHERE response_length IS NOT NULL ORDER BY response_length DESC, run_id LIMIT 1"""

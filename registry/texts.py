@@ -26,24 +26,29 @@ def _joined(tokens):
 
 
 def lemmas(spark, sf):
-    docs = S.documents(spark, sf)
-    known = words.plural_lemmas(words.vocabulary(docs, "text"))
-    return words.lemmatize(words.preprocess_text(docs, "text"), "doc_id", "clean_text", known)
+    """Lemmas made of the words of the cleaned texts."""
+    cleaned = words.preprocess_text(S.documents(spark, sf), "text")
+    return words.lemmatize(cleaned, "doc_id", "clean_text", lambda forms: words.plural_lemmas(forms.filter("form <> ''")))
 
 
 def joined_lemmas(spark, sf):
-    """The same with the lemma table joined rather than held by the tasks."""
+    """The same with a caller's table, which lists forms twice and has rows without a lemma."""
     docs = S.documents(spark, sf)
     known = words.plural_lemmas(words.vocabulary(docs, "text"))
-    return words.lemmatize(words.preprocess_text(docs, "text"), "doc_id", "clean_text", known, held_rows=0)
+    table = known.unionByName(known).unionByName(known.select(F.col("lemma").alias("form"), F.lit(None).cast("string").alias("lemma")))
+    return words.lemmatize(words.preprocess_text(docs, "text"), "doc_id", "clean_text", table)
 
 
 def clean(spark, sf):
+    return words.preprocess_text(S.documents(spark, sf), "text", lemmas=words.plural_lemmas).select("doc_id", "clean_text")
+
+
+def clean_only(spark, sf):
     return words.preprocess_text(S.documents(spark, sf), "text").select("doc_id", "clean_text")
 
 
 def text_vectors(spark, sf):
-    vectors = embedding.embed_text(S.documents(spark, sf), "doc_id", "text")
+    vectors = embedding.embed_text(S.documents(spark, sf), "doc_id", "text", lemmas=words.plural_lemmas)
     square = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x)
     return vectors.select("doc_id", F.array_size("vector").alias("width"), F.round(F.sqrt(square), 6).alias("length"))
 
@@ -105,7 +110,9 @@ QUERIES = {
     "t4_drop_stop_words": _on_documents(lambda c: _joined(X.clean_words(c))),
     "t5_lemmatize": lemmas,
     "t5_lemmatize_joined": joined_lemmas,
+    "t4_own_stop_words": _on_documents(lambda c: _joined(X.drop_stop_words(X.words(X.strip_punctuation(X.lowered(c)))))),
     "t6_preprocess_text": clean,
+    "t6_without_lemmas": clean_only,
     "t7_embed_text": text_vectors,
     "i1_image_tensors": tensors,
     "i2_embed_images": image_vectors,
@@ -150,7 +157,8 @@ SQL = {
         FROM documents d JOIN cleaned c USING (doc_id) LEFT JOIN
              (SELECT doc_id, string_agg(coalesce(lemma, form), ' ' ORDER BY place) AS joined
               FROM tokens LEFT JOIN known USING (form) GROUP BY doc_id) t USING (doc_id)""",
-    "t6_preprocess_text": f"SELECT doc_id, array_to_string({_CLEAN}, ' ') AS clean_text FROM documents",
+    "t4_own_stop_words": f"SELECT doc_id, array_to_string({_CLEAN}, '|') AS result FROM documents",
+    "t6_without_lemmas": f"SELECT doc_id, array_to_string({_CLEAN}, ' ') AS clean_text FROM documents",
     "i3_valid_vectors": "SELECT vec_id AS id, 32 AS width FROM embeddings WHERE vec_id % 17 <> 0",
     "i4_build_vectors": """
         SELECT p_partkey AS id, 256 AS text_width, CASE WHEN label NOT IN (3, 5) THEN 96 END AS image_width
@@ -160,6 +168,7 @@ SQL = {
         SELECT doc_id, length(text)::DOUBLE AS chars, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS blanks FROM documents""",
 }
 SQL["t5_lemmatize_joined"] = SQL["t5_lemmatize"]
+SQL["t6_preprocess_text"] = f"SELECT doc_id, lemma_text AS clean_text FROM ({SQL['t5_lemmatize']})"
 # Lengths only: the hash behind the vectors is Spark's own; tests check the contents.
 SQL["t7_embed_text"] = f"""
     SELECT doc_id, 256 AS width, CASE WHEN len({_CLEAN}) = 0 THEN 0 ELSE 1 END::DOUBLE AS length FROM documents"""

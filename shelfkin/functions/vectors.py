@@ -25,15 +25,15 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column, b_norm: Column | None = None) -> Column:
-    """Cosine; 0 where either vector is all zeros or missing."""
+    """Cosine; 0 where either vector is all zeros, missing or holds a NaN."""
     length = norm(b) if b_norm is None else b_norm
-    return F.coalesce(F.try_divide(dot(a, b), norm(a) * length), F.lit(0.0))
+    return F.nanvl(F.coalesce(F.try_divide(dot(a, b), norm(a) * length), F.lit(0.0)), F.lit(0.0))
 
 
 def image_cosine(a: Column, b: Column, b_norm: Column | None = None) -> Column:
     """Cosine with the epsilon in the denominator; 0 for a missing image."""
     length = norm(b) if b_norm is None else b_norm
-    return F.coalesce(dot(a, b) / (norm(a) * length + F.lit(IMAGE_EPSILON)), F.lit(0.0))
+    return F.nanvl(F.coalesce(dot(a, b) / (norm(a) * length + F.lit(IMAGE_EPSILON)), F.lit(0.0)), F.lit(0.0))
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -45,10 +45,16 @@ def manhattan(a: Column, b: Column) -> Column:
 
 
 def closeness(metric: str, a: Column, b: Column, image: bool = False, b_norm: Column | None = None) -> Column:
-    """The metric's value for one modality; a missing vector contributes 0."""
+    """The metric's value for one modality.
+
+    Where either vector is missing a similarity is 0.  A distance of 0 would be the best
+    there is: an item without the vector is infinitely far instead, unless the query
+    ``b`` lacks it too, which then says nothing about any item.
+    """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; choose one of {sorted(METRICS)}")
     if metric == "cosine":
         return image_cosine(a, b, b_norm) if image else cosine(a, b, b_norm)
     body = {"euclidean": euclidean, "manhattan": manhattan, "dot_product": dot}[metric]
-    return F.coalesce(body(a, b), F.lit(0.0))
+    none = F.lit(0.0) if METRICS[metric] else F.when(b.isNotNull(), F.lit(float("inf"))).otherwise(F.lit(0.0))
+    return F.coalesce(body(a, b), none)

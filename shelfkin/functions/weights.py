@@ -13,8 +13,10 @@ def resolve_weights(use_text: Column, use_image: Column, percent: Column) -> Col
     """struct(text_weight, image_weight) for one settings row.
 
     Both on: the slider splits 100 percent.  One on: it gets everything.  None on:
-    text alone.
+    text alone.  A switch that is null is on, a slider that is null stands in the middle.
     """
+    use_text, use_image = F.coalesce(use_text, F.lit(True)), F.coalesce(use_image, F.lit(True))
+    percent = F.coalesce(percent, F.lit(100 * DEFAULT_WEIGHT))
     both = use_text & use_image
     text = F.when(both, percent / F.lit(100.0)).when(use_image & ~use_text, F.lit(0.0)).otherwise(F.lit(1.0))
     image = F.when(both, (F.lit(100) - percent) / F.lit(100.0)).when(

@@ -39,8 +39,8 @@ def type_or_error(kind: str, error: str = "error") -> Column:
 
 
 def request_counts(log: DataFrame, window_s: int | None = None, slide_s: int | None = None) -> DataFrame:
-    keys = [*time_windows(window_s, slide_s), "method", "endpoint", "status_code"]
-    return flat_window(log.groupBy(*keys).agg(F.count("*").alias("requests")))
+    keys = ["method", "endpoint", "status_code"]
+    return windowed_sums(log, keys, [F.count("*").alias("requests")], window_s, slide_s)
 
 
 def recommendation_counts(log: DataFrame) -> DataFrame:
@@ -53,6 +53,25 @@ def activity_counts(activities: DataFrame, kind: str = "activity") -> DataFrame:
     return activities.agg(*[F.count_if(F.col(kind) == v).alias(c) for c, v in ACTIVITIES.items()])
 
 
+def windowed_sums(
+    log: DataFrame, keys: list[str | Column], sums: list[Column], window_s: int | None = None, slide_s: int | None = None
+) -> DataFrame:
+    """One grouped aggregate of counts and sums, ``sums``, per window and ``keys``.
+
+    Sliding windows are made of slots as long as the slide: rows are summed per slot,
+    and only the few slot rows are copied to the windows they lie in.  A stream, which
+    keeps one aggregate, and a window that is no multiple of its slide copy the rows.
+    """
+    whole_slots = window_s and slide_s and slide_s < window_s and window_s % slide_s == 0
+    if not whole_slots or log.isStreaming:
+        return flat_window(log.groupBy(*time_windows(window_s, slide_s), *keys).agg(*sums))
+    slots = log.groupBy(*time_windows(slide_s), *keys).agg(*sums)
+    names = slots.columns[1 : 1 + len(keys)]
+    added = slots.columns[1 + len(keys) :]
+    slots = slots.withColumn("ts", F.col("window.start")).drop("window")
+    return flat_window(slots.groupBy(*time_windows(window_s, slide_s), *names).agg(*[F.sum(c).alias(c) for c in added]))
+
+
 def histogram(
     log: DataFrame,
     keys: list[str | Column],
@@ -62,8 +81,7 @@ def histogram(
     slide_s: int | None = None,
 ) -> DataFrame:
     """One row per group: cumulative count per bound, count ``n``, sum ``total``."""
-    windows = time_windows(window_s, slide_s)
-    return flat_window(log.groupBy(*windows, *keys).agg(*cumulative_counts(F.col(value), bounds)))
+    return windowed_sums(log, keys, cumulative_counts(F.col(value), bounds), window_s, slide_s)
 
 
 def histogram_rows(wide: DataFrame, keys: list[str], bounds: list[float]) -> DataFrame:

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, clean_words
+from ..session import materialize
 from .pictures import colour_grid, standard_tensor
+from .words import Lemmas, base_words
 
 TextEncoder = Callable[[list[str]], np.ndarray]
 ImageEncoder = Callable[[np.ndarray], np.ndarray]
@@ -49,19 +51,24 @@ def encode_batches(df: DataFrame, key: str, column: str, make_encoder: Callable[
 
 
 def embed_text(
-    df: DataFrame, key: str, column: str, width: int = TEXT_WIDTH, make_encoder: Callable[[], TextEncoder] | None = None
-) -> DataFrame:
+    df: DataFrame, key: str, column: str, width: int = TEXT_WIDTH, make_encoder: Callable[[], TextEncoder] | None = None,
+    lemmas: Lemmas | None = None,
+) -> DataFrame:
     """(key, vector): hashed word counts, weighted by rarity, scaled to length 1.
 
-    The text is cleaned here.  Fitting the weights is one distributed pass that keeps
-    ``width`` counters.
+    The text is cleaned here, and its words replaced by ``lemmas`` if given.  The counts
+    are stored: fitting the weights is one distributed pass over them that keeps
+    ``width`` counters, and the texts are not cleaned again.
     """
+    cleaned = df.select(key, clean_words(F.col(column), STOP_WORDS).alias("words"))
+    if lemmas is not None:
+        cleaned = base_words(cleaned, "words", lemmas)
     if make_encoder is not None:
-        cleaned = df.select(key, F.array_join(clean_words(F.col(column), STOP_WORDS), " ").alias(column))
-        return encode_batches(cleaned, key, column, make_encoder)
+        return encode_batches(cleaned.select(key, F.array_join("words", " ").alias(column)), key, column, make_encoder)
     counted = HashingTF(inputCol="words", outputCol="counts", numFeatures=width).transform(
-        df.select(key, F.coalesce(clean_words(F.col(column), STOP_WORDS), F.array().cast("array<string>")).alias("words"))
+        cleaned.select(key, F.coalesce("words", F.array().cast("array<string>")).alias("words"))
     )
+    counted = materialize(counted.select(key, "counts"), "word-counts")
     weighted = IDF(inputCol="counts", outputCol="weighted").fit(counted.select("counts")).transform(counted)
     scaled = Normalizer(inputCol="weighted", outputCol="scaled", p=2.0).transform(weighted)
     return scaled.select(key, vector_to_array("scaled").alias("vector"))

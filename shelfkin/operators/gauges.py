@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .counters import flat_window, time_windows
-from .numbering import hour_bucket, moment, running_total
+from .numbering import moment, running_total, step_down
 
 # Lower bounds of the colour bands per gauge, ascending.
 THRESHOLDS = {
@@ -16,22 +15,49 @@ THRESHOLDS = {
 }
 
 
-def in_progress(log: DataFrame, window_s: int = 3600) -> DataFrame:
+def in_progress(log: DataFrame, window_s: int = 3600, slot_s: int = 60) -> DataFrame:
     """Most requests under way at once, per method, endpoint and window.
 
-    Each request is +1 when it starts and -1 when it ends.  The running sum is taken
-    hour by hour with the net total of the hours before as offset, so no task sees
-    the whole history of an endpoint.
+    A request is under way from its start up to, not including, its end; without a
+    duration it has not ended.  A window counts what was carried into it, and every
+    window from the first start to the last end has a row.
+
+    Moves at the same moment are added up first.  The running sum is taken slot by slot
+    with the net total of the slots before as offset, so a busy endpoint is spread over
+    as many tasks as it has slots; carrying over windows only sees one row per window.
     """
+    series = ["method", "endpoint"]
     begun = F.unix_micros("ts")
-    ended = begun + F.round(F.col("duration_s") * 1_000_000).cast("long")
+    lasts = F.round(F.col("duration_s") * 1_000_000).cast("long")
+    ended = begun + F.when(lasts.isNotNull(), F.greatest(F.lit(0), lasts))
     steps = F.array(
         F.struct(begun.alias("at"), F.lit(1).alias("delta")), F.struct(ended.alias("at"), F.lit(-1).alias("delta"))
     )
-    moves = log.select("method", "endpoint", F.inline(steps)).withColumn("ts", F.timestamp_micros("at"))
-    gauge = running_total(moves, ["method", "endpoint"], ["at", "delta"], "delta", hour_bucket(), "open")
-    return flat_window(
-        gauge.groupBy(*time_windows(window_s), "method", "endpoint").agg(F.max("open").alias("most_in_progress"))
+    moves = log.filter("ts is not null").select(*series, F.inline(steps)).filter("at is not null")
+    moves = moves.groupBy(*series, "at").agg(F.sum("delta").alias("delta"))
+    slot = step_down(F.col("at"), slot_s * 1_000_000)
+    gauge = running_total(moves, series, ["at"], "delta", slot, "open")
+    width = window_s * 1_000_000
+    windows = gauge.groupBy(*series, step_down(F.col("at"), width).alias("start")).agg(
+        F.max("open").alias("peak"), F.sum("delta").alias("net"), F.min("at").alias("first")
+    )
+    ordered = Window.partitionBy(*series).orderBy("start")
+    before = F.coalesce(F.sum("net").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    following = F.coalesce(F.lead("start").over(ordered), F.col("start") + width)
+    carried = windows.withColumns({"carried": before, "following": following})
+    # A quiet stretch up to the next window with moves holds what was open at its start.
+    most = F.when(F.col("first") > F.col("start"), F.greatest("carried", "peak")).otherwise(F.col("peak"))
+    own = F.struct(F.col("start").alias("at"), most.alias("most_in_progress"))
+    gap = F.when(
+        F.col("following") > F.col("start") + width,
+        F.transform(
+            F.sequence(F.col("start") + width, F.col("following") - width, F.lit(width)),
+            lambda at: F.struct(at.alias("at"), (F.col("carried") + F.col("net")).alias("most_in_progress")),
+        ),
+    )
+    rows = carried.select(*series, F.inline(F.concat(F.array(own), F.coalesce(gap, F.array()))))
+    return rows.select(
+        F.timestamp_micros("at").alias("window_start"), F.timestamp_micros(F.col("at") + width).alias("window_end"), *series, "most_in_progress"
     )
 
 

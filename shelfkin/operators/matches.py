@@ -90,10 +90,21 @@ def vector_shape(items: DataFrame) -> tuple[int, tiles.Shape]:
     return row["n"], tiles.Shape(row["max_text"] or 0, row["max_image"] or 0)
 
 
+def check_queries(queries: DataFrame, shape: tiles.Shape) -> None:
+    """Queries need vectors of the items' lengths; a part that no item has may be of any length."""
+    sizes = queries.agg(*[f(F.array_size(c)).alias(f"{f.__name__}_{c}") for c in ("text", "image") for f in (F.min, F.max)]).first()
+    for c, size in (("text", shape.text), ("image", shape.image)):
+        low, high = sizes[f"min_{c}"], sizes[f"max_{c}"]
+        if size and low is not None and not low == high == size:
+            raise ValueError(f"{c} vectors of queries have {low} to {high} numbers, those of items {size}")
+
+
 def joined_vector(shape: tiles.Shape, missing: float) -> Column:
     """Text part, then image part; a part that is null is filled with ``missing``."""
 
     def part(name: str, size: int) -> Column:
+        if not size:
+            return F.array().cast("array<double>")
         return F.coalesce(F.col(name), F.array_repeat(F.lit(missing), size))
 
     return F.concat(part("text", shape.text), part("image", shape.image))
@@ -281,6 +292,7 @@ def top_matches(
     vec = joined_vector(shape, 0.0 if metric == "cosine" else float("nan")).alias("vec")
     packed = stored.select("k1", "k2", "ids", vec)
 
+    check_queries(queries, shape)
     content = [F.col(c) for c in ("text", "image", "text_weight", "image_weight")]
     keyed = queries.withColumns({"q1": digest(1, *content), "q2": digest(2, *content)})
     different = keyed.select("q1", "q2", vec, "text_weight", "image_weight").dropDuplicates(["q1", "q2"])

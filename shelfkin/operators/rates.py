@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .counters import flat_window, time_windows
+from .counters import windowed_sums
 from .numbering import hour_bucket, previous_value
 
 WINDOW_S = 300  # fixed value: the five minutes the dashboards look back
@@ -13,8 +13,8 @@ WINDOW_S = 300  # fixed value: the five minutes the dashboards look back
 
 def event_rate(log: DataFrame, keys: list[str], window_s: int = WINDOW_S, slide_s: int = 60) -> DataFrame:
     """Events per second and series in each window."""
-    counted = log.groupBy(*time_windows(window_s, slide_s), *keys).agg(F.count("*").alias("events"))
-    return flat_window(counted.withColumn("rate", F.col("events") / F.lit(float(window_s))))
+    counted = windowed_sums(log, keys, [F.count("*").alias("events")], window_s, slide_s)
+    return counted.withColumn("rate", F.col("events") / F.lit(float(window_s)))
 
 
 def counter_increases(samples: DataFrame, keys: list[str], tie: str = "event_id") -> DataFrame:
@@ -34,8 +34,8 @@ def counter_increases(samples: DataFrame, keys: list[str], tie: str = "event_id"
 
 def counter_rate(samples: DataFrame, keys: list[str], window_s: int = WINDOW_S, slide_s: int = 60, tie: str = "event_id") -> DataFrame:
     grown = counter_increases(samples, keys, tie)
-    summed = grown.groupBy(*time_windows(window_s, slide_s), *keys).agg(F.sum("increase").alias("increase"))
-    return flat_window(summed.withColumn("rate", F.col("increase") / F.lit(float(window_s))))
+    summed = windowed_sums(grown, keys, [F.sum("increase").alias("increase")], window_s, slide_s)
+    return summed.withColumn("rate", F.col("increase") / F.lit(float(window_s)))
 
 
 def status_shares(log: DataFrame, window_s: int = WINDOW_S, slide_s: int = 60) -> DataFrame:
@@ -47,10 +47,9 @@ def status_shares(log: DataFrame, window_s: int = WINDOW_S, slide_s: int = 60) -
 
 def mean_duration(log: DataFrame, keys: list[str], window_s: int = WINDOW_S, slide_s: int = 60) -> DataFrame:
     """Rate of the duration sum over rate of the count: the window's mean duration."""
-    summed = log.groupBy(*time_windows(window_s, slide_s), *keys).agg(
-        F.sum("duration_s").alias("total"), F.count("duration_s").alias("n")
-    )
-    return flat_window(summed.withColumn("mean_s", F.try_divide(F.col("total"), F.col("n"))))
+    sums = [F.sum("duration_s").alias("total"), F.count("duration_s").alias("n")]
+    summed = windowed_sums(log, keys, sums, window_s, slide_s)
+    return summed.withColumn("mean_s", F.try_divide(F.col("total"), F.col("n")))
 
 
 def recent(df: DataFrame, as_of: Column, seconds: int = 3600, ts: str = "ts") -> DataFrame:
@@ -65,6 +64,24 @@ def retained(df: DataFrame, as_of: Column, days: int = 15, ts: str = "ts") -> Da
 
 
 def write_retained(df: DataFrame, path: str, as_of: Column, days: int = 15, ts: str = "ts") -> None:
-    """Store the rows to keep, a folder per day, so later clean-ups drop whole folders."""
+    """Store the rows to keep, a folder per day.
+
+    Only the days that ``df`` holds are written anew; folders of days that have expired
+    are dropped, all others stay as they are.
+    """
     kept = retained(df, as_of, days, ts).withColumn("day", F.to_date(ts))
-    kept.write.mode("overwrite").partitionBy("day").parquet(path)
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    _drop_expired_days(df.sparkSession, path, df.select(F.to_date(F.timestamp_micros(F.unix_micros(as_of) - F.lit(days * 86_400_000_000)))))
+
+
+def _drop_expired_days(spark: SparkSession, path: str, first_day: DataFrame) -> None:
+    """Delete the day folders before the first day to keep; one small row reaches the driver."""
+    row = first_day.limit(1).first()
+    if row is None or row[0] is None:
+        return
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("day=") and name < f"day={row[0].isoformat()}":
+            files.delete(status.getPath(), True)

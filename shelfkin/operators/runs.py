@@ -64,17 +64,36 @@ def logged_at() -> Column:
     return ordered_by(F.col("step"), F.unix_micros("ts"))
 
 
-def search_runs(metrics: DataFrame, experiment_id: str, keys: list[str]) -> DataFrame:
+def search_runs(
+    metrics: DataFrame, experiment_id: str, keys: list[str], runs: DataFrame | None = None,
+    params: DataFrame | None = None, param_keys: list[str] | None = None,
+) -> DataFrame:
     """One row per run of the experiment with the latest value of each named metric.
 
-    The keys are known, so the pivot is one aggregate and one shuffle.
+    With ``runs`` (run_id, experiment_id, status, ...) every run has a row, whether it
+    logged a metric or not, with all its columns; with ``params`` a column per named
+    parameter is added.  The keys are known, so a pivot is one aggregate and one shuffle.
     """
 
     def latest(key: str) -> Column:
         here = F.col("key") == key
         return F.max_by(F.when(here, F.col("value")), F.when(here, logged_at())).alias(key)
 
-    return metrics.filter(F.col("experiment_id") == experiment_id).groupBy("run_id").agg(*[latest(k) for k in keys])
+    here = F.col("experiment_id") == experiment_id
+    found = metrics.filter(here).groupBy("run_id").agg(*[latest(k) for k in keys])
+    if runs is None:
+        return found
+    rows = runs.filter(here).join(found, "run_id", "left")
+    if params is None:
+        return rows
+    texts = params.filter(here).groupBy("run_id").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in param_keys or []])
+    return rows.join(texts, "run_id", "left")
+
+
+def best_of(found: DataFrame, key: str, ascending: bool = False) -> DataFrame:
+    """The whole row of the best run that ``search_runs`` found; equal values go to the lowest run id."""
+    value = F.col(key).asc() if ascending else F.col(key).desc()
+    return found.filter(F.col(key).isNotNull()).orderBy(value, "run_id").limit(1)
 
 
 def best_run(metrics: DataFrame, experiment_id: str, key: str, ascending: bool = False) -> DataFrame:

@@ -66,8 +66,8 @@ def scores(queries: np.ndarray, weights: np.ndarray, items: np.ndarray, shape: S
         a, b = queries[:, shape.text :], items[:, shape.text :]
         lengths = np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
         lengths += IMAGE_EPSILON
-        image = a @ b.T
-        image /= lengths
+        image = np.nan_to_num(a @ b.T, nan=0.0)
+        image /= np.where(np.isnan(lengths), 1.0, lengths)
         image *= weights[:, 1:]
         out += image
     return out
@@ -76,7 +76,9 @@ def scores(queries: np.ndarray, weights: np.ndarray, items: np.ndarray, shape: S
 def other_scores(metric: str, queries: np.ndarray, weights: np.ndarray, items: np.ndarray, shape: Shape) -> np.ndarray:
     """Blended value of another metric, distances negated so that larger is closer.
 
-    A missing part is NaN here, to tell it from a vector of zeros; it adds 0.
+    A missing part is NaN here, to tell it from a vector of zeros.  It adds 0 to a
+    similarity; in a distance an item without the part is infinitely far from a query
+    that has it.
     """
     out = np.zeros((len(queries), len(items)))
     for number, part in enumerate((slice(0, shape.text), slice(shape.text, shape.width))):
@@ -92,7 +94,14 @@ def other_scores(metric: str, queries: np.ndarray, weights: np.ndarray, items: n
                 value -= np.abs(gap) if metric == "manhattan" else gap * gap
             if metric == "euclidean":
                 value = -np.sqrt(-value)
-        out += weights[:, number, None] * np.nan_to_num(value, nan=0.0)
+        weight = weights[:, number, None]
+        if metric != "dot_product":
+            far = np.isnan(b[:, 0])[None, :] & ~np.isnan(a[:, 0])[:, None] & (weight > 0)
+            value = np.where(np.isnan(value), 0.0, value)
+            out += weight * value
+            out[far] = -np.inf
+        else:
+            out += weight * np.nan_to_num(value, nan=0.0)
     return out
 
 

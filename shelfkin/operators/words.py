@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, clean_text, clean_words, singular_candidates
 from ..session import materialize
 
-HELD_LEMMAS = 200_000  # about 20 MB in a Python worker
+# A lemma table (form, lemma), or what makes one of the (form) table of all cleaned words.
+Lemmas = DataFrame | Callable[[DataFrame], DataFrame]
+
 
+def preprocess_text(
+    df: DataFrame, column: str, out: str = "clean_text", stop_words: list[str] = STOP_WORDS, lemmas: Lemmas | None = None
+) -> DataFrame:
+    """Add the cleaned text; a null text stays null.
 
-def preprocess_text(df: DataFrame, column: str, out: str = "clean_text", stop_words: list[str] = STOP_WORDS) -> DataFrame:
-    """Add the cleaned text; a null text stays null.  Narrow, no shuffle."""
-    return df.withColumn(out, clean_text(F.col(column), stop_words))
+    Without ``lemmas`` this is narrow.  With them texts are cleaned once and stored, and
+    each word is replaced by its lemma.
+    """
+    if lemmas is None:
+        return df.withColumn(out, clean_text(F.col(column), stop_words))
+    return base_words(df.withColumn(out, clean_words(F.col(column), stop_words)), out, lemmas).withColumn(out, F.array_join(out, " "))
 
 
 def vocabulary(df: DataFrame, column: str, stop_words: list[str] = STOP_WORDS) -> DataFrame:
@@ -38,38 +48,26 @@ def plural_lemmas(forms: DataFrame) -> DataFrame:
     )
 
 
-def lemmatize(
-    df: DataFrame, key: str, column: str, lemmas: DataFrame, out: str = "lemma_text", held_rows: int = HELD_LEMMAS
-) -> DataFrame:
-    """(key, out): each blank-separated word replaced by its lemma where one is known.
+def base_words(df: DataFrame, words: str, lemmas: Lemmas) -> DataFrame:
+    """``df`` with each word of an array column replaced by its lemma where one is known.
 
-    ``lemmas`` has one row per form; it is stored and counted first.  Up to
-    ``held_rows`` forms travel to the tasks as a lookup table and no text is shuffled.
-    A larger table is joined to the words instead, whatever its size.
+    Rows are stored and numbered first, so texts are made once and rows may be equal.
+    Only the different words of a text meet the lemmas; a text gets back a small map of
+    those that changed.  One plan serves every size of lemma table.  Of several lemmas of
+    a form the first in order counts; null forms and lemmas are ignored.
     """
-    table = materialize(lemmas.select("form", "lemma"), "lemmas")
-    if table.count() <= held_rows:
-        return _looked_up(df, key, column, table, out)
-    return _joined(df, key, column, table, out)
-
-
-def _looked_up(df: DataFrame, key: str, column: str, lemmas: DataFrame, out: str) -> DataFrame:
-    rows = lemmas.toArrow()
-    held = df.sparkSession.sparkContext.broadcast(dict(zip(rows["form"].to_pylist(), rows["lemma"].to_pylist())))
-
-    def replace(texts: pd.Series) -> pd.Series:
-        lemma = held.value
-        return texts.map(lambda t: None if t is None else " ".join([lemma.get(w, w) for w in t.split(" ")]))
-
-    replace.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return df.select(key, F.pandas_udf(replace, "string")(F.col(column)).alias(out))
-
-
-def _joined(df: DataFrame, key: str, column: str, lemmas: DataFrame, out: str) -> DataFrame:
-    """Words and lemmas meet in a join on the word; frequent words are split by the
-    adaptive skew join.  Texts are put together again by key."""
-    words = df.select(key, F.posexplode_outer(F.split(column, " ")).alias("at", "form"))
-    based = words.join(lemmas, "form", "left").select(key, "at", F.coalesce("lemma", "form").alias("word"))
-    in_order = F.sort_array(F.collect_list(F.struct("at", "word")))
-    text = F.array_join(F.transform(in_order, lambda w: w["word"]), " ")
-    return based.groupBy(key).agg(F.when(F.max("at").isNotNull(), text).alias(out))
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "words")
+    forms = rows.select("_row", F.explode(F.array_distinct(words)).alias("form"))
+    table = lemmas(forms.select("form").distinct()) if callable(lemmas) else lemmas
+    table = table.filter("form is not null and lemma is not null").groupBy("form").agg(F.min("lemma").alias("lemma"))
+    changed = forms.join(table.filter("form <> lemma"), "form").groupBy("_row")
+    maps = changed.agg(F.map_from_entries(F.collect_list(F.struct("form", "lemma"))).alias("_lemma_of"))
+    based = F.transform(words, lambda w: F.coalesce(F.col("_lemma_of")[w], w))
+    joined = rows.join(maps, "_row", "left")
+    return joined.withColumn(words, F.when(F.col("_lemma_of").isNull(), F.col(words)).otherwise(based)).drop("_row", "_lemma_of")
+
+
+def lemmatize(df: DataFrame, key: str, column: str, lemmas: Lemmas, out: str = "lemma_text") -> DataFrame:
+    """(key, out): each blank-separated word replaced by its lemma where one is known."""
+    split = df.select(key, F.split(column, " ").alias(out))
+    return base_words(split, out, lemmas).withColumn(out, F.array_join(out, " "))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.embedding import TEXT_WIDTH, embed_images, embed_text
+from ..operators.words import plural_lemmas
 from ..sources.image_files import with_images
 from ..sources.vector_store import read_vectors, write_vectors
 
@@ -14,7 +15,7 @@ def build_vectors(products: DataFrame, images: DataFrame, text_width: int = TEXT
 
     ``images`` has (file_name, image) rows; products name their file in image_path.
     """
-    text = embed_text(products, "id", "description", text_width).withColumnRenamed("vector", "text")
+    text = embed_text(products, "id", "description", text_width, lemmas=plural_lemmas).withColumnRenamed("vector", "text")
     pictured = with_images(products.select("id", "image_path"), images)
     image = embed_images(pictured.filter("image is not null"), "id").withColumnRenamed("vector", "image")
     return text.join(image, "id", "left")

@@ -35,8 +35,8 @@ def recommend(
     """The ``top_n`` products most like one product; no rows for an unknown id.
 
     Scores are made where the vectors are read; only the ``top_n`` winners are sent to
-    the product table, whose rows are not shuffled.  Vectors are keyed by product id,
-    so every winner finds its product row.
+    the product table, whose rows are not shuffled.  A winner without a product row stays,
+    with null details, as in ``with_details``.
     """
     if product_id is None or top_n is None:
         raise ValueError("product_id and top_n are both needed")
@@ -44,11 +44,9 @@ def recommend(
         vectors, product_id, use_text, use_image, text_weight, image_weight, metric, strict_weights
     )
     winners = top_scores(scores, product_id, top_n, metric)
-    return (
-        products.select("id", *DETAILS)
-        .join(F.broadcast(winners) if top_n <= BROADCAST_WINNERS else winners, "id")
-        .select("query_id", "rank", "id", *DETAILS, "score")
-    )
+    few = F.broadcast(winners) if top_n <= BROADCAST_WINNERS else winners
+    named = products.select("id", *DETAILS).join(few.select("id"), "id", "left_semi")
+    return with_details(winners, F.broadcast(named) if top_n <= BROADCAST_WINNERS else named)
 
 
 def chosen_product(products: DataFrame, recommendations: DataFrame) -> DataFrame:

@@ -1,13 +1,12 @@
-"""The vector store: parquet (id, vector), one partition folder per modality."""
+"""The vector store: parquet rows (id, text, image), a column per modality."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import VECTOR_SCHEMA
-
 TEXT, IMAGE = "text", "image"
+WIDE_SCHEMA = "id bigint, text array<double>, image array<double>"
 
 
 def long_vectors(wide: DataFrame) -> DataFrame:
@@ -19,26 +18,23 @@ def long_vectors(wide: DataFrame) -> DataFrame:
 
 
 def write_vectors(wide: DataFrame, path: str) -> None:
-    long_vectors(wide).select("id", "vector", "modality").write.mode("overwrite").partitionBy("modality").parquet(path)
+    """One row per product; a filter on the id is pushed down to row groups."""
+    wide.select("id", "text", "image").write.mode("overwrite").parquet(path)
 
 
 def read_modality(spark: SparkSession, path: str, modality: str) -> DataFrame:
-    """(id, vector) of one modality; the other folder is not read."""
-    return spark.read.schema(VECTOR_SCHEMA).parquet(path).filter(F.col("modality") == modality).select("id", "vector")
+    """(id, vector) of one modality; the other column is not read."""
+    stored = spark.read.schema(WIDE_SCHEMA).parquet(path)
+    return stored.select("id", F.col(modality).alias("vector")).filter(F.col("vector").isNotNull())
 
 
 def read_vectors(spark: SparkSession, path: str, use_text: bool = True, use_image: bool = True) -> DataFrame:
     """(id, text, image) rows; a modality that is switched off is not scanned."""
     if not (use_text or use_image):
         use_text = True
+    stored = spark.read.schema(WIDE_SCHEMA).parquet(path)
     none = F.lit(None).cast("array<double>")
-    if use_text and use_image:
-        text = read_modality(spark, path, TEXT).withColumnRenamed("vector", "text")
-        image = read_modality(spark, path, IMAGE).withColumnRenamed("vector", "image")
-        return text.join(image, "id", "full").select("id", "text", "image")
-    if use_text:
-        return read_modality(spark, path, TEXT).select("id", F.col("vector").alias("text"), none.alias("image"))
-    return read_modality(spark, path, IMAGE).select("id", none.alias("text"), F.col("vector").alias("image"))
+    return stored.select("id", F.col("text") if use_text else none.alias("text"), F.col("image") if use_image else none.alias("image"))
 
 
 def valid_vectors(vectors: DataFrame, column: str = "image") -> DataFrame:

@@ -106,7 +106,25 @@ def test_mean_duration(spark):
 def test_in_progress_across_hours(spark):
     rows = [(0, 7300.0, 200, "u", "t", False), (3000, 100.0, 200, "u", "t", False), (3050, 10.0, 200, "u", "t", False), (4000, 1.0, 200, "u", "t", False)]
     got = {r["window_start"]: r["most_in_progress"] for r in G.in_progress(log(spark, rows)).collect()}
-    assert got == {T0: 3, T0 + timedelta(hours=1): 2, T0 + timedelta(hours=2): 0}
+    # At 2:00:00 the first request is still under way.
+    assert got == {T0: 3, T0 + timedelta(hours=1): 2, T0 + timedelta(hours=2): 1}
+
+
+def test_in_progress_is_carried_over_quiet_windows(spark):
+    rows = [(600, 9000.0, 200, "u", "t", False), (700, None, 200, "u", "t", False), (800, 0.0, 200, "u", "t", False), (4 * 3600, 5.0, 200, "u", "t", False)]
+    got = {r["window_start"]: r["most_in_progress"] for r in G.in_progress(log(spark, rows)).collect()}
+    assert got == {T0 + timedelta(hours=h): n for h, n in enumerate([2, 2, 2, 1, 2])}
+
+
+def test_in_progress_does_not_depend_on_slots(spark):
+    rows = [(k * 37 % 9000, float(k * 13 % 1700), 200, "u", "t", False) for k in range(300)]
+    each = [sorted(map(tuple, G.in_progress(log(spark, rows), 600, slot).collect())) for slot in (1, 60, 100_000)]
+    assert each[0] == each[1] == each[2]
+    spans = [(a, a + d) for a, d, *_ in rows]
+    for start, _, _, _, most in each[0]:
+        low = (start - T0).total_seconds()
+        moments = [low, *[a for a, _ in spans if low <= a < low + 600]]
+        assert most == max(sum(a <= m < b for a, b in spans) for m in moments)
 
 
 def test_an_end_counts_before_a_start_at_the_same_moment(spark):
@@ -146,7 +164,22 @@ def test_exposition_escapes_and_orders(spark, tmp_path):
     lines = E.exposition_lines(df, "hits_total", ["l"], "n")
     E.write_exposition(lines, {"hits_total": "counter"}, str(tmp_path / "x"))
     written = [r["value"] for r in spark.read.text(str(tmp_path / "x")).coalesce(1).collect()]
-    assert written == ["# TYPE hits_total counter", 'hits_total{l=""} 1.000000', 'hits_total{l="a\\"b\\\\c\\nd"} 2.000000']
+    assert written == ["# TYPE hits_total counter", 'hits_total{l=""} 1', 'hits_total{l="a\\"b\\\\c\\nd"} 2']
+
+
+def test_written_numbers_are_exact(spark):
+    df = spark.createDataFrame([(1e-9,), (0.1,), (2.5e7,), (3.0,), (float("inf"),), (float("nan"),)], "n double")
+    got = [r["line"].split(" ")[1] for r in E.exposition_lines(df, "m", [], "n").collect()]
+    assert got == ["1.0E-9", "0.1", "25000000", "3", "+Inf", "NaN"]
+
+
+def test_histogram_buckets_rise(spark, tmp_path):
+    wide = C.histogram(durations(spark, [0.3, 3.0, 70.0]), ["endpoint"], B.REQUEST_BOUNDS)
+    lines = E.histogram_lines(C.histogram_rows(wide, ["endpoint"], B.REQUEST_BOUNDS), "d", ["endpoint"])
+    E.write_exposition(lines.repartition(3), {"d": "histogram"}, str(tmp_path / "h"))
+    written = [r["value"] for r in spark.read.text(str(tmp_path / "h")).coalesce(1).collect()]
+    le = [x.split('le="')[1].split('"')[0] for x in written if "le=" in x]
+    assert le == [*map(str, B.REQUEST_BOUNDS), "+Inf"] and written[-2].startswith("d_sum") and written[-1].startswith("d_count")
 
 
 def test_histogram_takes_one_pass_without_exploding(spark):

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from shelfkin.operators import catalog, generating, loading, numbering
 from shelfkin.schema import PRODUCT_SCHEMA
+from shelfkin.operators.similarity import score_all
 from shelfkin.sources import product_csv, product_tables, vector_store
 
 
@@ -141,5 +142,16 @@ def test_vector_store_reads_one_modality(spark, tmp_path):
     text_only = vector_store.read_vectors(spark, path, use_image=False)
 
     plan = text_only._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(modality" in plan and "Join" not in plan
+    assert "image:array" not in plan and "Join" not in plan
     assert {r["id"]: r["image"] for r in text_only.collect()} == {1: None, 2: None}
+    image = vector_store.read_modality(spark, path, "image")
+    assert [tuple(r) for r in image.collect()] == [(1, [2.0, 3.0])]
+
+
+def test_one_recommendation_through_the_store_moves_no_vectors(spark, tmp_path):
+    path = str(tmp_path / "v")
+    wide = spark.createDataFrame([(k, [1.0, float(k)], [2.0, 3.0]) for k in range(20)], "id long, text array<double>, image array<double>")
+    vector_store.write_vectors(wide, path)
+    scores = score_all(vector_store.read_vectors(spark, path), 3)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and "EqualTo(id,3)" in plan

