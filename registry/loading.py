@@ -160,7 +160,7 @@ def pictures_read(spark, sf):
     made = bitmaps(spark, sf)
     image_files.write_files(made.filter("label <> 5"), folder).write.format("noop").mode("overwrite").save()
     products = made.select("id", F.concat(F.lit("img/"), "file_name").alias("image_path"))
-    return image_files.with_images(products, image_files.read_images(spark, folder))
+    return image_files.with_images(products, image_files.read_images(spark, folder), "img")
 
 
 def read_pictures(spark, sf):

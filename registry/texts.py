@@ -86,7 +86,7 @@ def both_vectors(spark, sf):
         F.col("vec_id").alias("id"), F.format_string("img/pic_%d.bmp", "vec_id").alias("image_path")
     )
     images = pictures.select(F.format_string("pic_%d.bmp", "id").alias("file_name"), "image")
-    stored = store_vectors(spark, described.join(named, "id", "left"), images, scratch_dir(spark, "vectors"))
+    stored = store_vectors(spark, described.join(named, "id", "left"), images, scratch_dir(spark, "vectors"), root="img")
     return stored.select("id", F.array_size("text").alias("text_width"), F.array_size("image").alias("image_width"))
 
 

@@ -21,6 +21,7 @@ TextEncoder = Callable[[list[str]], np.ndarray]
 ImageEncoder = Callable[[np.ndarray], np.ndarray]
 
 TEXT_WIDTH = 256
+OUTPUT_BYTES = 8 << 20
 
 
 def apply_series(df: DataFrame, column: str, fn: Callable[[pd.Series], pd.Series], out: str, type_: str = "string") -> DataFrame:
@@ -77,18 +78,21 @@ def embed_text(
 def per_image(images: DataFrame, key: str, fn_maker: Callable[[], Callable[[dict], np.ndarray]], out: str, element: str) -> DataFrame:
     """(key, out): a function of each picture, null without one.
 
-    A batch's pictures are decoded one after the other and each result leaves at once,
-    so a task holds one tensor, not a batch of them.
+    Pictures are decoded one after the other; results leave in batches of a few
+    megabytes, so a task holds some tensors, not those of a whole input batch.
     """
     value_type = pa.list_(pa.float32() if element == "float" else pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = fn_maker()
         for batch in batches:
-            keys = batch.column(key)
+            keys, results, held, at = batch.column(key), [], 0, 0
             for i, picture in enumerate(batch.column("image")):
-                result = fn(picture.as_py()) if picture.is_valid else None
-                yield pa.RecordBatch.from_arrays([keys.slice(i, 1), pa.array([result], value_type)], [key, out])
+                results.append(fn(picture.as_py()) if picture.is_valid else None)
+                held += 0 if results[-1] is None else results[-1].nbytes
+                if held >= OUTPUT_BYTES or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([keys.slice(at, len(results)), pa.array(results, value_type)], [key, out])
+                    results, held, at = [], 0, i + 1
 
     key_type = images.schema[key].dataType.simpleString()
     return images.select(key, "image").mapInArrow(run, f"{key} {key_type}, {out} array<{element}>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,14 +13,25 @@ COLOUR, GREY = 16, 0  # OpenCV type codes used in Spark's image struct
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_name, image) of every file that decodes; others are left out."""
-    images = spark.read.format("image").option("dropInvalid", True).load(folder)
-    return images.select(F.element_at(F.split("image.origin", "/"), -1).alias("file_name"), "image")
+    """(file_name, image) of every file that decodes; others are left out.
 
+    ``file_name`` is the path below ``folder``, so files of the same name in two folders
+    stay apart.
+    """
+    images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(folder)
+    top = re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", folder).rstrip("/") + "/"
+    return images.select(F.substring_index("image.origin", top, -1).alias("file_name"), "image")
 
-def with_images(products: DataFrame, images: DataFrame) -> DataFrame:
-    """Products with their picture; a missing or broken file leaves a null picture."""
-    named = products.withColumn("file_name", F.element_at(F.split("image_path", "/"), -1))
+
+def file_name(image_path: Column, root: str = "") -> Column:
+    """The path of a product's picture below the folder its paths start from, ``root``."""
+    start = root.rstrip("/") + "/" if root else ""
+    return F.when(image_path.startswith(start), image_path.substr(F.lit(len(start) + 1), F.length(image_path))).otherwise(image_path)
+
+
+def with_images(products: DataFrame, images: DataFrame, root: str = "") -> DataFrame:
+    """Products with their picture, matched by path; a missing or broken file leaves a null picture."""
+    named = products.withColumn("file_name", file_name(F.col("image_path"), root))
     return named.join(images, "file_name", "left").drop("file_name")
 
 
@@ -36,12 +48,19 @@ def image_struct(height: Column, width: Column, pixels: Column, origin: Column)
 
 
 def write_files(contents: DataFrame, folder: str) -> DataFrame:
-    """Tasks write (file_name, content) rows into a shared folder; returns names and sizes."""
+    """Tasks write (file_name, content) rows into a shared folder; returns names and sizes.
+
+    A folder without a scheme lies in the cluster's default file system, as for Spark's
+    own writers.
+    """
+    if not re.match(r"[A-Za-z][\w+.-]*:", folder):
+        default = contents.sparkSession._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        folder = f"file://{folder}" if default.startswith("file:") else default.rstrip("/") + folder
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        target, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        target, root = fs.FileSystem.from_uri(folder)
         target.create_dir(root, recursive=True)
         for batch in batches:
             names = batch.column("file_name").to_pylist()

@@ -3,7 +3,7 @@ import struct
 import numpy as np
 
 from shelfkin.operators import embedding, pictures
-from shelfkin.plans.build_vectors import store_vectors
+from shelfkin.plans.build_vectors import build_vectors, store_vectors
 from shelfkin.schema import PRODUCT_SCHEMA
 from shelfkin.sources import image_files
 
@@ -31,13 +31,30 @@ def test_reading_skips_broken_files_and_keeps_products(spark, tmp_path):
     images = image_files.read_images(spark, str(tmp_path))
     rows = [(1, "x/red.bmp"), (2, "x/broken.bmp"), (3, "x/none.bmp"), (4, None)]
     products = spark.createDataFrame(rows, "id long, image_path string")
-    joined = image_files.with_images(products, images)
+    joined = image_files.with_images(products, images, "x")
     assert {r["id"]: r["image"] is not None for r in joined.collect()} == {1: True, 2: False, 3: False, 4: False}
     image = joined.filter("id = 1").first()["image"]
     assert (image["height"], image["width"]) == (6, 10)
     assert (pictures.rgb(image.asDict())[0, 0] == [255, 0, 0]).all()
 
 
+def test_equal_names_in_two_folders_stay_apart(spark, tmp_path):
+    for name, colour in (("x", (255, 0, 0)), ("y", (0, 0, 255))):
+        (tmp_path / name).mkdir()
+        write(tmp_path / name, "1.bmp", bitmap(plain(colour)))
+    products = spark.createDataFrame([(1, "x/1.bmp"), (2, "y/1.bmp"), (3, "1.bmp")], "id long, image_path string")
+    joined = image_files.with_images(products, image_files.read_images(spark, str(tmp_path)))
+    got = {r["id"]: r["image"] and pictures.rgb(r["image"].asDict())[0, 0].tolist() for r in joined.collect()}
+    assert got == {1: [255, 0, 0], 2: [0, 0, 255], 3: None}
+
+
+def test_shared_pictures_are_encoded_once(spark, tmp_path):
+    write(tmp_path, "a.bmp", bitmap(plain((10, 20, 30))))
+    products = spark.createDataFrame([(k, "c", "n", "d", "a.bmp") for k in range(6)], PRODUCT_SCHEMA)
+    built = build_vectors(products, image_files.read_images(spark, str(tmp_path)), 16)
+    assert len({tuple(r["image"]) for r in built.collect()}) == 1 and built.count() == 6
+
+
 def test_plain_picture_becomes_the_scaled_colour():
     picture = {"height": 6, "width": 10, "nChannels": 3, "data": plain((51, 102, 204))[:, :, ::-1].tobytes()}
     tensor = pictures.standard_tensor(picture)
@@ -69,7 +86,7 @@ def test_vectors_of_both_kinds_are_stored(spark, tmp_path):
     write(folder, "a.bmp", bitmap(plain((10, 20, 30))))
     rows = [(1, "c", "n", "small red", "p/a.bmp"), (2, "c", "n", "large blue", "p/missing.bmp")]
     products = spark.createDataFrame(rows, PRODUCT_SCHEMA)
-    stored = store_vectors(spark, products, image_files.read_images(spark, str(folder)), str(tmp_path / "store"), 32)
+    stored = store_vectors(spark, products, image_files.read_images(spark, str(folder)), str(tmp_path / "store"), 32, "p")
     got = {r["id"]: (len(r["text"]), r["image"] and len(r["image"])) for r in stored.collect()}
     assert got == {1: (32, 96), 2: (32, None)}
 
