@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from shelfkin.operators import answers as A
+from shelfkin.operators import runs as X
 from shelfkin.plans import answer as P
 from shelfkin.plans import standins as S
 from shelfkin.plans.recommend import recommend_all, with_details
@@ -80,6 +81,19 @@ def run_records(spark, sf):
     return P.record_runs(made, histories(spark, sf)).drop("generation_time_seconds")
 
 
+def logged_runs(spark, sf):
+    """Run records as rows of the parameter and metric tables; the seconds differ from run to run."""
+    made = P.answer(recs(spark, sf), S.products(spark, sf), lambda: counting_generator())
+    runs = P.record_runs(made, histories(spark, sf), S.products(spark, sf)).withColumns(
+        {"experiment_id": F.lit("answers"), "step": F.lit(0), "ts": F.lit("2024-01-01 00:00:00").cast("timestamp")}
+    )
+    params = X.param_rows(runs, [*X.RUN_PARAMS, "error"]).withColumn("kind", F.lit("param"))
+    metrics = X.metric_rows(runs, X.RUN_METRICS).withColumn("kind", F.lit("metric"))
+    value = F.when(F.col("key") != "generation_time_seconds", F.col("value")).otherwise(F.least(F.floor("value"), F.lit(0)).cast("double"))
+    metrics = metrics.withColumn("value", value.cast("string"))
+    return params.select("run_id", "kind", "key", "value").unionByName(metrics.select("run_id", "kind", "key", "value"))
+
+
 def knowledge(spark, sf):
     """Passages of documents, each with a vector of its own."""
     vectors = S.table(spark, sf, "embeddings").select(
@@ -105,6 +119,7 @@ QUERIES = {
     "r6_paragraphs": paragraphs,
     "r7_generate": generated,
     "x6_recommendation_runs": run_records,
+    "x6_logged_runs": logged_runs,
     "rag1_knowledge_prompts": with_knowledge,
 }
 
@@ -181,3 +196,12 @@ SQL = {
                       FROM products LEFT JOIN joined ON query_id = id)
         SELECT query_id, md5(prompt) AS digest, length(prompt)::INT AS chars FROM full_text""",
 }
+SQL["x6_logged_runs"] = f"""
+    WITH runs AS ({SQL['x6_recommendation_runs']}),
+    named AS (SELECT runs.*, p_name, p_type FROM runs LEFT JOIN part ON p_partkey::VARCHAR = run_id)
+    SELECT run_id, 'param' AS kind, unnest(['original_product_name', 'original_product_category', 'error']) AS key, unnest([p_name, p_type, error]) AS value FROM named
+    UNION ALL
+    SELECT * FROM (
+        SELECT run_id, 'metric', unnest(['output_product_count', 'chat_history_length', 'response_length_chars', 'generation_time_seconds', 'success']) AS key,
+               unnest([output_product_count::DOUBLE, chat_history_length, response_length_chars, 0, success])::VARCHAR AS value FROM named)
+    WHERE value IS NOT NULL"""

@@ -6,6 +6,7 @@ A query has at most top_n rows, so lists per query stay short.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -72,56 +73,73 @@ def prompts(recs: DataFrame, products: DataFrame, system_text: str = SYSTEM_TEXT
     return product_blocks(recs).join(original_fields(products), "query_id").select("query_id", text.alias("prompt"))
 
 
-def image_lists(recs: DataFrame) -> DataFrame:
-    """(query_id, images, product_count) with images in rank order."""
-    image = F.struct(
+def _image() -> Column:
+    return F.struct(
         F.coalesce("name", F.lit("")).alias("product_name"),
         F.coalesce("image_path", F.lit("")).alias("image_path"),
         F.coalesce("category", F.lit("")).alias("category"),
     )
-    listed = recs.groupBy("query_id").agg(in_rank_order(image).alias("images"))
+
+
+def image_lists(recs: DataFrame) -> DataFrame:
+    """(query_id, images, product_count) with images in rank order."""
+    listed = recs.groupBy("query_id").agg(in_rank_order(_image()).alias("images"))
     return listed.withColumn("product_count", F.size("images"))
 
 
-def template_texts(recs: DataFrame) -> DataFrame:
-    """(query_id, text): the built-in generator, a plain sentence per product."""
+def _template_text() -> Column:
+    """Aggregate of a query's recommendations: a plain sentence per product."""
     line = F.concat(
         F.lit(f"\n{MARKER} "), F.coalesce("name", F.lit(UNKNOWN_NAME)), F.lit(": "),
         one_line(F.coalesce("description", F.lit(""))),
     )
-    return recs.groupBy("query_id").agg(
-        F.concat(F.lit("Similar products:"), F.array_join(in_rank_order(line), "")).alias("text")
-    )
+    return F.concat(F.lit("Similar products:"), F.array_join(in_rank_order(line), "")).alias("text")
+
+
+def template_texts(recs: DataFrame) -> DataFrame:
+    """(query_id, text): the built-in generator."""
+    return recs.groupBy("query_id").agg(_template_text())
+
+
+def template_answers(recs: DataFrame) -> DataFrame:
+    """(query_id, text, images, product_count, error) of the built-in generator, in one aggregate."""
+    both = recs.groupBy("query_id").agg(_template_text(), in_rank_order(_image()).alias("images"))
+    return both.select("query_id", "text", "images", F.size("images").alias("product_count"), F.lit(None).cast("string").alias("error"))
 
 
 def generate(prompt_rows: DataFrame, make_generator: Callable[[], Generator]) -> DataFrame:
-    """(query_id, text, error) from a caller's batch generator, made once per task.
+    """(query_id, text, error, generation_s) from a caller's batch generator, made once per task.
 
     If a batch fails, its prompts are tried one by one; only those that fail again
-    get the fixed error text.
+    get the fixed error text.  ``generation_s`` is measured: the seconds of the call, or
+    an equal share of a batch's seconds.
     """
 
-    def one(generator: Generator, prompt: str) -> tuple[str, str | None]:
+    def one(generator: Generator, prompt: str) -> tuple[str, str | None, float]:
+        began = time.perf_counter()
         try:
-            return generator([prompt])[0], None
+            text, error = generator([prompt])[0], None
         except Exception as problem:
-            return GENERATION_FAILED, str(problem)
+            text, error = GENERATION_FAILED, str(problem)
+        return text, error, time.perf_counter() - began
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generator = make_generator()
         for batch in batches:
-            asked = batch["prompt"].tolist()
+            asked, began = batch["prompt"].tolist(), time.perf_counter()
             try:
-                answers = [(text, None) for text in generator(asked)] if asked else []
+                made = list(generator(asked)) if asked else []
+                share = (time.perf_counter() - began) / max(1, len(asked))
+                answers = [(text, None, share) for text in made]
                 if len(answers) != len(asked):
                     raise ValueError("the generator must answer every prompt")
             except Exception:
                 answers = [one(generator, prompt) for prompt in asked]
             yield pd.DataFrame(
-                {"query_id": batch["query_id"], "text": [a[0] for a in answers], "error": [a[1] for a in answers]}
+                {"query_id": batch["query_id"], "text": [a[0] for a in answers], "error": [a[1] for a in answers], "generation_s": [a[2] for a in answers]}
             )
 
-    return prompt_rows.select("query_id", "prompt").mapInPandas(run, "query_id long, text string, error string")
+    return prompt_rows.select("query_id", "prompt").mapInPandas(run, "query_id long, text string, error string, generation_s double")
 
 
 def formatted(texts: DataFrame, recs: DataFrame) -> DataFrame:
@@ -135,7 +153,7 @@ def formatted(texts: DataFrame, recs: DataFrame) -> DataFrame:
         "query_id", "text",
         F.when(shown, F.col("images")).otherwise(F.coalesce(none, F.array().cast(joined.schema["images"].dataType))).alias("images"),
         F.when(shown, F.col("product_count")).otherwise(0).alias("product_count"),
-        "error",
+        "error", *[c for c in ["generation_s"] if c in texts.columns],
     )
 
 

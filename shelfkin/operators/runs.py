@@ -16,6 +16,10 @@ from .numbering import ordered_by
 RUN = ["run_id", "experiment_id"]
 FINISHED, FAILED = "FINISHED", "FAILED"
 
+# Names of the parameters and metrics of a run that made an answer.
+RUN_PARAMS = ["original_product_name", "original_product_category"]
+RUN_METRICS = ["output_product_count", "chat_history_length", "response_length_chars", "generation_time_seconds", "success"]
+
 T = TypeVar("T")
 
 
@@ -127,6 +131,7 @@ def recommendation_runs(responses: DataFrame, no_text: str) -> DataFrame:
         F.col("generation_s").alias("generation_time_seconds"),
         F.when(failed | (F.col("text") == no_text), 0.0).otherwise(1.0).alias("success"),
         "error",
+        *[c for c in RUN_PARAMS if c in responses.columns],
     )
 
 

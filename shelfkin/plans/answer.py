@@ -14,19 +14,29 @@ from ..operators.runs import recommendation_runs
 
 def answer(recs: DataFrame, products: DataFrame, make_generator: Callable[[], A.Generator] | None = None) -> DataFrame:
     """(query_id, text, images, product_count, error): generate, then add the images."""
-    texts = A.template_texts(recs) if make_generator is None else A.generate(A.prompts(recs, products), make_generator)
-    return A.formatted(texts, recs)
+    if make_generator is None:
+        return A.template_answers(recs)
+    return A.formatted(A.generate(A.prompts(recs, products), make_generator), recs)
 
 
-def record_runs(answered: DataFrame, histories: DataFrame | None = None, generation_s: float = 0.0) -> DataFrame:
-    """Run rows of answers; ``histories`` has (query_id, history_length)."""
+def record_runs(answered: DataFrame, histories: DataFrame | None = None, products: DataFrame | None = None) -> DataFrame:
+    """Run rows of answers; ``histories`` has (query_id, history_length).
+
+    The seconds are those the generator took; the built-in one takes none of its own.
+    With ``products`` the name and category asked about are added.
+    """
+    if "generation_s" not in answered.columns:
+        answered = answered.withColumn("generation_s", F.lit(0.0))
+    if products is not None:
+        asked = products.select(F.col("id").alias("query_id"), F.col("name").alias("original_product_name"), F.col("category").alias("original_product_category"))
+        answered = answered.join(asked, "query_id", "left")
     if histories is None:
         answered = answered.withColumn("history_length", F.lit(0))
     else:
         answered = answered.join(histories, "query_id", "left").withColumn(
             "history_length", F.coalesce("history_length", F.lit(0))
         )
-    return recommendation_runs(answered.withColumn("generation_s", F.lit(generation_s)), A.NO_TEXT)
+    return recommendation_runs(answered, A.NO_TEXT)
 
 
 def knowledge_prompts(prompt_rows: DataFrame, queries: DataFrame, knowledge: DataFrame, k: int) -> DataFrame:

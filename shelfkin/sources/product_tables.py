@@ -26,7 +26,7 @@ def replace_jdbc_table(products: DataFrame, url: str, table: str, connections: i
     flood the database.
     """
     (
-        products.coalesce(connections)
+        products.repartition(connections)
         .write.format("jdbc")
         .mode("overwrite")
         .option("url", url)
