@@ -31,13 +31,16 @@ from pyspark.sql import types as T
 from .common import append_columns, lists, texts
 
 NEVER = np.iinfo(np.int64).max
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 200_000
 LONG_WORD = 64
+STRETCH = 250_000
 
 # White space by Unicode; the space itself is handled apart.
 OTHER_SPACES = "\t\n\x0b\x0c\r\x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
+WIDE_SPACE = re.compile("[\x85" + OTHER_SPACES[6:] + "] ")
 # The contractions and classes by which this vocabulary splits texts.
 SIMPLE_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+UNICODE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Beyond these characters the classes of ``re`` and of Unicode may differ.
 UNUSUAL = re.compile("[^\t\n\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 
@@ -68,9 +71,11 @@ class Bpe:
             self.token_bytes[i] = word.encode()
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.id_of = {b: i for i, b in enumerate(self.token_bytes) if b and i not in set(special.values())}
+        # The longest token that begins with up to three given bytes.
         self.longest: dict[bytes, int] = {}
         for b in self.id_of:
-            self.longest[b[:2]] = max(self.longest.get(b[:2], 1), len(b))
+            for n in range(1, 4):
+                self.longest[b[:n]] = max(self.longest.get(b[:n], 1), len(b) if n == 3 else min(n, len(b)))
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         left = np.array([vocab[a] for a, _ in pairs], np.int64)
         right = np.array([vocab[b] for _, b in pairs], np.int64)
@@ -83,6 +88,7 @@ class Bpe:
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self._edges(left, right, made)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.decimal = [str(i) for i in range(size)]
         self.stats = {"chunks": 0, "merged": 0}
 
@@ -142,14 +148,17 @@ class Bpe:
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
+        get, longest = self.id_of.get, self.longest.get
+        if (token := get(word)) is not None:
+            return [token]
         out, at, n = [], 0, len(word)
-        get, longest = self.id_of.get, self.longest
         while at < n:
-            end = min(n, at + longest.get(word[at : at + 2], 1))
+            # Without a token of three bytes here, two or one are left to try.
+            end = at + longest(word[at : at + 3], 2)
             while (token := get(word[at:end])) is None:
                 end -= 1
             out.append(token)
-            at = end
+            at = at + len(self.token_bytes[token]) if end > n else end
         return out
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
@@ -248,41 +257,63 @@ class Bpe:
     def learn(self, chunks: set[str]) -> None:
         """Fill the cache with the ids (little-endian 32-bit integers) of chunks."""
         new = list(chunks)
-        pieces = [self.split(c) for c in new]
-        words = [p.encode() for ps in pieces for p in ps]
-        distinct = list(dict.fromkeys(words))
-        ids = self.encode_words(distinct)
+        # A word of plain letters is one piece; other pieces are chunks that may be known.
+        pieces = [[c] if c[1:].isalpha() and c.isascii() and (c[0] == " " or c[0].isalpha()) else self.split(c) for c in new]
+        cache = self.cache
+        distinct = list({p for ps in pieces for p in ps if p not in cache})
+        ids = self.encode_words([p.encode() for p in distinct])
         ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) * 4).tolist()
         flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
-        found = {w: flat[i:j] for w, i, j in zip(distinct, [0, *ends], ends, strict=False)}
-        at, cache = 0, self.cache
+        cache.update({p: flat[i:j] for p, i, j in zip(distinct, [0, *ends], ends, strict=False)})
+        get = cache.__getitem__
         for chunk, ps in zip(new, pieces, strict=True):
-            n = at + len(ps)
-            cache[chunk] = found[words[at]] if n - at == 1 else b"".join([found[w] for w in words[at:n]])
-            at = n
+            if len(ps) > 1:
+                cache[chunk] = b"".join(map(get, ps))
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as the library encodes it without adding special tokens."""
-        parts, owner, special = [], [], {}
+        """Ids of each text, as the library encodes it without adding special tokens.
+
+        Texts are taken a few at a time, so that what the first ones bring is known to the next.
+        """
+        out, at, held = [], 0, 0
         for k, text in enumerate(batch):
-            for piece in self.special_split.split(text) if self.special_split and any(s in text for s in self.special) else [text]:
-                if piece in self.special:
-                    special[len(parts)] = self.special[piece]
-                    parts.append([])
-                else:
-                    parts.append(self.chunks(piece))
-                owner.append(k)
+            held += len(text)
+            if held >= STRETCH or k == len(batch) - 1:
+                out += self._encode(batch[at : k + 1])
+                at, held = k + 1, 0
+        return out
+
+    def _encode(self, batch: list[str]) -> list[np.ndarray]:
         if len(self.cache) > CACHED_CHUNKS:
-            self.cache.clear()
-        new: set[str] = set()
-        for p in parts:
-            new.update(p)
-        self.learn(new - self.cache.keys())
-        get = self.cache.__getitem__
-        joined: list[list[bytes]] = [[] for _ in batch]
-        for n, (k, p) in enumerate(zip(owner, parts, strict=True)):
-            joined[k].append(np.array([special[n]], "<u4").tobytes() if n in special else b"".join(map(get, p)))
-        return [np.frombuffer(b"".join(j), "<u4") for j in joined]
+            # What is met again comes back from the older half.
+            self.older, self.cache = self.cache, {}
+        get, older = self.cache.get, self.older
+        known: list[list[bytes | None]] = []
+        missing: list[tuple[list[bytes | None], int, str]] = []
+        for text in batch:
+            parts = self.special_split.split(text) if self.special_split and any(s in text for s in self.special) else [text]
+            row: list[bytes | None] = []
+            for part in parts:
+                if part in self.special:
+                    row.append(np.array([self.special[part]], "<u4").tobytes())
+                    continue
+                chunks = self.chunks(part)
+                found = list(map(get, chunks))
+                if None in found:
+                    base = len(row)
+                    for k, ids in enumerate(found):
+                        if ids is None:
+                            chunk = chunks[k]
+                            if (ids := older.get(chunk)) is not None:
+                                found[k] = self.cache[chunk] = ids
+                            else:
+                                missing.append((row, base + k, chunk))
+                row += found
+            known.append(row)
+        self.learn({chunk for _, _, chunk in missing})
+        for row, k, chunk in missing:
+            row[k] = self.cache[chunk]
+        return [np.frombuffer(b"".join(row), "<u4") for row in known]
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -293,7 +324,7 @@ class Bpe:
         """
         if not text:
             return []
-        if "  " in text or any(s + " " in text for s in OTHER_SPACES):
+        if "  " in text or "\n " in text or "\t " in text or "\r " in text or "\x0b " in text or "\x0c " in text or (not text.isascii() and WIDE_SPACE.search(text)):
             return [p for p in (SIMPLE_SPLIT if not UNUSUAL.search(text) else _unicode_split()).findall(text)]
         first, *rest = text.split(" ")
         return [*([first] if first else []), *[" " + r for r in rest]]
@@ -306,7 +337,7 @@ class Bpe:
 def _unicode_split():
     import regex
 
-    return regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    return regex.compile(UNICODE_SPLIT)
 
 
 @lru_cache(4)

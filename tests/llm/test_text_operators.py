@@ -71,6 +71,12 @@ def test_round_trip_rows(spark, library):
     assert all((r["text"] or "") == r["decoded"] for r in both)
 
 
+def test_rank_encoder_equals_library(library):
+    texts = [*odd_texts(), "ab" * 20_000, "x" * 30_000, " " * 5000, "a" * 100 + "\n" * 3000, ""]
+    got = orc_ids.RankEncoder(PATH).encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_orc_files(spark, library, tmp_path):
     rows = [(5, "five five"), (1, "one <|endoftext|> x"), (None, "none"), (3, None), (2, ""), (9, "long  text\n\n " * 3000), (5, "again")]
     path = str(tmp_path / "ids")
