@@ -3,8 +3,10 @@
 DataFrame expressions and joins only.  Units of a file are its lines, its header (what
 comes before the first empty line) and, for a licence file, its whole text.  Vectors are
 sparse: only words of the templates have a dimension of their own; every other word of a
-unit counts as one that no other text has.  Document frequencies are counted over all
-files.  A file without a licence of its own takes that of the nearest directory above it
+unit counts as one that no other text has.  One look at the words of every whole file
+finds the candidates, those with a template word of two letters or more; lines are cut
+and scored only there, and document frequencies count the candidates among all files
+that hold a word.  A file without a licence of its own takes that of the nearest directory above it
 with a recognised licence file; directories, not files, are joined to their ancestors.
 """
 
@@ -13,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfkin.session import materialize
+
 LEAST_COSINE = 0.6
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 # Words too common to tell licences apart.
-STOP_WORDS = "a an and any as at be by for from if in is it may not of on or that the this to under with you your".split()
+STOP_WORDS = "a all an and any are as at be by for from if in is it may not of on or that the this to under with you your".split()
 # Customary notices of the licences; a licence may have several.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -33,8 +37,12 @@ TEMPLATES = [
 ]
 
 
+def split_words(text: Column) -> Column:
+    return F.split(F.lower(text), "[^a-z0-9]+")
+
+
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: ~w.isin("", *STOP_WORDS))
+    return F.filter(split_words(text), lambda w: ~w.isin("", *STOP_WORDS))
 
 
 def _units(text: Column, name: Column) -> Column:
@@ -63,8 +71,11 @@ def detect_licences(files: DataFrame, path: str = "path", text: str = "text", te
     vocabulary = sorted({r["word"] for r in weights.select("word").distinct().collect()})
     known = F.array(*[F.lit(w) for w in vocabulary])
 
-    units = rows.select("path", F.posexplode(_units(F.col("text"), F.element_at(F.split("path", "/"), -1))).alias("unit", "line"))
-    counted = units.select("path", "unit", words_of(F.col("line")).alias("words")).withColumn("found", F.array_intersect("words", known)).where(F.size("found") > 0)
+    telling = F.array(*[F.lit(w) for w in vocabulary if len(w) > 1])
+    candidates = rows.where(F.arrays_overlap(split_words(F.col("text")), telling))
+    units = candidates.select("path", F.posexplode(_units(F.col("text"), F.element_at(F.split("path", "/"), -1))).alias("unit", "line"))
+    counted = materialize(units.select("path", "unit", words_of(F.col("line")).alias("words")), "licence-units")
+    counted = counted.withColumn("found", F.array_intersect("words", known)).where(F.size("found") > 0)
     # How many files hold each template word: a row per word after the partial sums of a task.
     total = float(rows.agg(F.count_distinct("path")).first()[0])
     holding = counted.select("path", F.explode("found").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("n"))

@@ -40,7 +40,7 @@ def licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.floor(F.col("doc_id") / 16).cast("string")
     path = F.concat_ws("/", "source", "lang", place, F.concat(name, F.col("doc_id").cast("string")))
     found = licence_scan.scan_licences(documents.select(path.alias("path"), "text"))
-    return found.withColumn("doc_id", F.regexp_extract("path", r"\.(-?\d+)$", 1).cast("bigint"))
+    return found.withColumn("doc_id", F.regexp_extract("path", r"\.(-?\d+)$", 1).try_cast("bigint"))
 
 
 def warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages", "page_id", "url", "html")
     warc_derive.write_warc(warc_derive.derive(warc_derive.responses_of_pages(pages)), path)
     records = warc_derive.read_derivatives(spark, path)
-    return records.withColumn("page_id", F.col("key").cast("bigint")).withColumn("block_sha256", F.sha2(F.col("block"), 256)).drop("key", "block")
+    return records.withColumn("page_id", F.col("key").try_cast("bigint")).withColumn("block_sha256", F.sha2(F.col("block"), 256)).drop("key", "block")
 
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,11 +92,12 @@ WITH files AS (
     FROM documents),
   notices AS (SELECT * FROM (VALUES {notices}) t(template, licence, notice)),
   weights AS (SELECT template, licence, word, count(*) AS n FROM (SELECT template, licence, unnest({words('notice')}) AS word FROM notices) GROUP BY ALL),
+  telling AS (SELECT list(DISTINCT word) AS long FROM weights WHERE length(word) > 1),
   units AS (
     SELECT path, unnest(list_distinct(list_concat(string_split(text, chr(10)),
         CASE WHEN contains({head}, chr(10)) THEN [replace({head}, chr(10), ' ')] ELSE [] END,
         CASE WHEN {named} THEN [replace(text, chr(10), ' ')] ELSE [] END))) AS line
-    FROM files WHERE text IS NOT NULL),
+    FROM files, telling WHERE text IS NOT NULL AND list_has_any({words('text')}, long)),
   vocabulary AS (SELECT list(DISTINCT word) AS known FROM weights),
   split AS (SELECT path, line, {words('line')} AS words FROM units),
   counted AS (SELECT s.*, known FROM split s, vocabulary WHERE list_has_any(words, known)),
