@@ -40,6 +40,7 @@ LEAST_PAGES = 8
 SUPPORT = 0.5
 CONSTANT = 0.9
 MAIN_SHARE = 0.6
+TEMPLATE_ROWS = 20_000  # sites whose templates are broadcast, a few hundred bytes each; more are joined
 
 TOKENS = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
@@ -303,6 +304,6 @@ def extract_pages(pages: DataFrame, page: str = "page_id", url: str = "url", sou
         found = [extract(Page(s), c, set(k or [])) for s, c, k in zip(texts(batch, "html"), container, constant, strict=True)]
         return [pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())]
 
-    joined = placed.join(held(templates, 100_000), "site", "left")
+    joined = placed.join(held(templates, TEMPLATE_ROWS), "site", "left")
     fields = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
     return append_columns(joined, fields, run).select(F.col("id").alias(page), F.col("url").alias(url), "text", "n_chars")

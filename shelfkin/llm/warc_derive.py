@@ -47,7 +47,7 @@ def record_id(name: str) -> str:
 
 
 def clean_uri(uri: str) -> str:
-    """A URI that fits in a header line: white space and control characters are escaped."""
+    """A URI, or another value, that fits in a header line: white space and control characters are escaped."""
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", uri)
 
 
@@ -60,8 +60,8 @@ def derive_one(response: dict) -> list[dict]:
     """The metadata and the conversion record of one response."""
     payload = response["payload"]
     source_digest = digest(payload.encode())
-    refers_to = response["record_id"]
-    uri, date = clean_uri(response["target_uri"]), response["date"]
+    refers_to = clean_uri(response["record_id"])
+    uri, date = clean_uri(response["target_uri"]), clean_uri(response["date"])
     conversion_id, metadata_id = record_id(f"conversion {refers_to}"), record_id(f"metadata {refers_to}")
     links = [html.unescape(a or b or c) for a, b, c in HREF.findall(payload)]
     title = TITLE.search(payload)
