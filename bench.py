@@ -24,13 +24,21 @@ HEADLINE = [
     "s10_assign_images",
     "l4_product_options",
     "t5_lemmatize",
+    "t5_lemmatize_joined",
     "t6_preprocess_text",
     "t7_embed_text",
     "v1_similarity_entries",
     "v4_blend",
     "v9_recommend",
+    "v9_recommend_stored",
     "v11_recommend_all",
     "v12_recommend_requests",
+    "v13_euclidean_all",
+    "rag1_knowledge_prompts",
+    "r7_generate",
+    "s11_vector_store",
+    "s12_read_images",
+    "i4_build_vectors",
     "r5_responses",
     "r6_paragraphs",
     "x4_search_runs",
