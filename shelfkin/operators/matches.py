@@ -274,8 +274,8 @@ def top_matches(
     ``queries`` has (query_id, self_id, text, image, text_weight, image_weight) with a
     query_id of any type; the item named by self_id is left out of that query's answer.
     ``items`` has (id, text, image).  Cells are only used for the cosine and for more
-    than one tile of items; otherwise all tiles are compared.  Builds two scratch
-    tables, so calling it starts jobs.
+    than one tile of items; otherwise all tiles are compared.  Builds scratch tables, so
+    calling it starts jobs.
     """
     if k is None or k < 1:
         raise ValueError("k must be 1 or more")
@@ -300,7 +300,7 @@ def top_matches(
     if metric == "cosine" and count > tile:
         pivot_count = min(max_pivots, math.ceil(count / min(CELL_ROWS, tile)))
         pivots = tiles.matrix(packed.orderBy("k1", "k2").limit(pivot_count).select("vec").toArrow()["vec"], shape.width)
-        assigned = assign_cells(packed, pivots, shape)
+        assigned = materialize(assign_cells(packed, pivots, shape), "assigned-items")
         cells = describe_cells(assigned, pivots)
         group_of_cell, sizes = tiles.cell_groups(cells, tile, shape), cells.size
         routed = route_queries(different, cells, group_of_cell, shape, keep)
