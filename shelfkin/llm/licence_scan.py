@@ -74,8 +74,8 @@ def detect_licences(files: DataFrame, path: str = "path", text: str = "text", te
     telling = F.array(*[F.lit(w) for w in vocabulary if len(w) > 1])
     candidates = rows.where(F.arrays_overlap(split_words(F.col("text")), telling))
     units = candidates.select("path", F.posexplode(_units(F.col("text"), F.element_at(F.split("path", "/"), -1))).alias("unit", "line"))
-    counted = materialize(units.select("path", "unit", words_of(F.col("line")).alias("words")), "licence-units")
-    counted = counted.withColumn("found", F.array_intersect("words", known)).where(F.size("found") > 0)
+    split = units.select("path", "unit", words_of(F.col("line")).alias("words"))
+    counted = materialize(split.withColumn("found", F.array_intersect("words", known)).where(F.size("found") > 0), "licence-units")
     # How many files hold each template word: a row per word after the partial sums of a task.
     total = float(rows.agg(F.count_distinct("path")).first()[0])
     holding = counted.select("path", F.explode("found").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("n"))
@@ -85,10 +85,11 @@ def detect_licences(files: DataFrame, path: str = "path", text: str = "text", te
     norms = sided.groupBy("template").agg(F.sqrt(F.sum((F.col("in_template") * F.col("idf")) ** 2)).alias("template_norm"))
     sided = sided.join(F.broadcast(norms), "template").select("template", "licence", "word", "idf", (F.col("in_template") * F.col("idf") / F.col("template_norm")).alias("weight"))
 
-    own = counted.select("path", "unit", F.size(F.filter("words", lambda w: ~F.array_contains(known, w))).alias("others"), F.explode(F.filter("words", lambda w: F.array_contains(known, w))).alias("word"))
-    times = own.groupBy("path", "unit", "others", "word").agg(F.count("*").alias("times"))
+    own = counted.select("path", "unit", "words", F.explode("found").alias("word"))
+    times = own.select("path", "unit", "word", F.size("words").alias("all"), F.size(F.filter("words", lambda w: w == F.col("word"))).alias("times"))
     valued = times.join(F.broadcast(idf), "word").withColumn("value", F.col("times") * F.col("idf"))
-    lengths = valued.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("value") ** 2) + F.first("others") * rarest**2).alias("norm"))
+    others = F.first("all") - F.sum("times")
+    lengths = valued.groupBy("path", "unit").agg(F.sqrt(F.sum(F.col("value") ** 2) + others * rarest**2).alias("norm"))
     dots = valued.join(F.broadcast(sided.select("template", "licence", "word", "weight")), "word").groupBy("path", "unit", "template", "licence").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
     scored = dots.join(lengths, ["path", "unit"]).select("path", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
     best = F.max(F.struct("score", F.col("licence")))
