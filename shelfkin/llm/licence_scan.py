@@ -3,10 +3,9 @@
 DataFrame expressions and joins only.  Units of a file are its lines, its header (what
 comes before the first empty line) and, for a licence file, its whole text.  Vectors are
 sparse: only words of the templates have a dimension of their own; every other word of a
-unit counts as one that no other text has.  One look at the words of every whole file
-finds the candidates, those with a template word of two letters or more; lines are cut
-and scored only there, and document frequencies count the candidates among all files
-that hold a word.  A file without a licence of its own takes that of the nearest directory above it
+unit counts as one that no other text has.  Lines are cut only in files that hold a
+template word, of whatever length: any other file scores 0 and counts in no document
+frequency, so those are counted over all files.  A file without a licence of its own takes that of the nearest directory above it
 with a recognised licence file; directories, not files, are joined to their ancestors.
 """
 
@@ -71,8 +70,7 @@ def detect_licences(files: DataFrame, path: str = "path", text: str = "text", te
     vocabulary = sorted({r["word"] for r in weights.select("word").distinct().collect()})
     known = F.array(*[F.lit(w) for w in vocabulary])
 
-    telling = F.array(*[F.lit(w) for w in vocabulary if len(w) > 1])
-    candidates = rows.where(F.arrays_overlap(split_words(F.col("text")), telling))
+    candidates = rows.where(F.arrays_overlap(split_words(F.col("text")), known))
     units = candidates.select("path", F.posexplode(_units(F.col("text"), F.element_at(F.split("path", "/"), -1))).alias("unit", "line"))
     split = units.select("path", "unit", words_of(F.col("line")).alias("words"))
     counted = materialize(split.withColumn("found", F.array_intersect("words", known)).where(F.size("found") > 0), "licence-units")

@@ -3,7 +3,9 @@
 import hashlib
 import html
 import json
+import math
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -170,6 +172,31 @@ def test_licences(spark):
     assert tuple(alone) == ("readme", None, None, "none", None)
 
 
+def test_one_letter_words_count_in_all_files(spark):
+    """'3' and '0' are in files that hold no longer template word; their frequency counts there too."""
+    files = [("a/COPYING", "GNU General Public License, version 3."), ("b/x", "CC0 1.0 Universal"), ("b/y", "v 0 1")] + [(f"n/{k}", f"0 3\nvolume {k + 5} 3") for k in range(40)]
+    words = lambda t: [w for w in re.split("[^a-z0-9]+", t.lower()) if w and w not in licence_scan.STOP_WORDS]
+    sets = [set(words(t)) for _, t in files]
+    idf = lambda w: math.log((1 + len(files)) / (1 + sum(w in s for s in sets))) + 1
+    templates = [(n, Counter(words(t))) for n, t in licence_scan.TEMPLATES]
+    known = {w for _, t in templates for w in t}
+    rare = math.log(1 + len(files)) + 1
+
+    def cosine(own, notice):
+        norm = math.sqrt(sum((n * (idf(w) if w in known else 0)) ** 2 for w, n in own.items()) + sum(n for w, n in own.items() if w not in known) * rare**2)
+        other = math.sqrt(sum((n * idf(w)) ** 2 for w, n in notice.items()))
+        return sum(n * notice[w] * idf(w) ** 2 for w, n in own.items()) / (norm * other)
+
+    expected = {}
+    for path, text in files:
+        score, licence = max((max(round(cosine(Counter(words(line)), t), 6) for line in text.split("\n")), n) for n, t in templates)
+        if score >= 0.1:
+            expected[path] = (licence, score)
+    assert {"a/COPYING", "b/x", "b/y"} <= set(expected)
+    got = licence_scan.detect_licences(spark.createDataFrame(files, "path string, text string"), least=0.1).collect()
+    assert {r["path"]: (r["licence"], r["score"]) for r in got} == {p: (n, pytest.approx(s, abs=2e-6)) for p, (n, s) in expected.items()}
+
+
 def test_licence_plan_is_native(spark, sf):
     assert not re.search("Python|Arrow|Pandas|Cartesian", QUERIES["op4_licences"](spark, sf)._jdf.queryExecution().executedPlan().toString())
 
