@@ -12,8 +12,9 @@
 5. Recall is audited on a hashed set of queries against all rows; while it is below the
    target, the search is repeated with twice as many shards visited.
 
-A link is counted only in the first visited shard that holds the other node, so counts
-add up without listing pairs; for the components a shard gives one edge per node.
+A pair that a search finds, whichever side and shard, is listed once by its two nodes and
+counts for both; for the components a shard gives one edge per node.  The list grows with
+the links, so a dense cluster costs the square of its different vectors.
 """
 
 from __future__ import annotations
@@ -191,10 +192,8 @@ def _build(key, shard: pd.DataFrame) -> pd.DataFrame:
 
 def _search(least: float):
     def run(key, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = {"a": np.empty(0, np.int64), "b": None, "n": np.empty(0, np.int64)}
         if not len(index) or not len(queries):
-            return pd.DataFrame({"a": [], "b": [], "n": []}).astype({"a": "int64", "b": "Int64", "n": "int64"})
-        cluster = key[0]
+            return pd.DataFrame({"a": [], "b": [], "copies_a": [], "copies_b": []}, dtype="int64")
         ids = index["node"].to_numpy()
         place = {int(v): k for k, v in enumerate(ids)}
         x, q = unit(index["raw"]), unit(queries["raw"])
@@ -203,20 +202,23 @@ def _search(least: float):
         a, b = range_search(q, x, graph, least)
         other = own[a] != ids[b]
         a, b = a[other], b[other]
-        probes = np.array(queries["near"].tolist())
-        homes = np.array(index["near"].tolist())[:, :HOMES]
-        met = (homes[b][:, :, None] == probes[a][:, None, :]).any(axis=1)
-        mine = probes[a, met.argmax(axis=1)] == cluster if len(a) else np.empty(0, bool)
-        counts = np.bincount(a[mine], index["copies"].to_numpy()[b[mine]], len(own)).astype(np.int64)
         names = np.unique(np.concatenate([own, ids]))
         u, v = np.searchsorted(names, own[a]), np.searchsorted(names, ids[b])
         root = _roots(len(names), u, v)
         moved = np.flatnonzero(root != np.arange(len(names)))
-        some = counts > 0
-        out["a"] = np.concatenate([own[some], names[moved]])
-        out["b"] = pd.array([None] * int(some.sum()) + names[root[moved]].tolist(), dtype="Int64")
-        out["n"] = np.concatenate([counts[some], np.zeros(len(moved), np.int64)])
-        return pd.DataFrame(out)
+        # Each pair once in this shard, the smaller node first; both sides see the same vectors.
+        pair = np.unique(np.minimum(u, v) * len(names) + np.maximum(u, v))
+        low, high = pair // len(names), pair % len(names)
+        copies = np.zeros(len(names), np.int64)
+        copies[np.searchsorted(names, own)] = queries["copies"]
+        copies[np.searchsorted(names, ids)] = index["copies"]
+        none = np.zeros(len(moved), np.int64)
+        return pd.DataFrame(
+            {
+                "a": np.concatenate([names[low], names[moved]]), "b": np.concatenate([names[high], names[root[moved]]]),
+                "copies_a": np.concatenate([copies[low], none]), "copies_b": np.concatenate([copies[high], none]),
+            }
+        )
 
     return run
 
@@ -298,8 +300,8 @@ def linked_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embed
 def _linked(nodes: DataFrame, centroids, probes: int, least: float) -> tuple[DataFrame, DataFrame]:
     """Per-node link counts, and edges that connect what is linked."""
     near = materialize(_placed(nodes, centroids, probes), "vector-placed")
-    at_home = near.select("node", "raw", "copies", "near", F.explode(F.slice("near", 1, HOMES)).alias("cluster"))
-    visiting = near.select("node", "raw", "near", F.explode("near").alias("cluster"))
+    at_home = near.select("node", "raw", "copies", F.explode(F.slice("near", 1, HOMES)).alias("cluster"))
+    visiting = near.select("node", "raw", "copies", F.explode("near").alias("cluster"))
     # A row per centroid: bounded by MOST_CENTROIDS for each vector length.
     homes = {r["cluster"]: r["count"] for r in at_home.groupBy("cluster").count().collect()}
     visits = {r["cluster"]: r["count"] for r in visiting.groupBy("cluster").count().collect()}
@@ -312,7 +314,10 @@ def _linked(nodes: DataFrame, centroids, probes: int, least: float) -> tuple[Dat
     queries = _spread(visiting, visits, SHARD_ROWS * 2, "chunks").withColumn("chunk", part("chunks"))
     queries = _spread(queries, homes, SHARD_ROWS * 2, "blocks").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = ["cluster", "block", "chunk"]
-    found = index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(_search(least), "a bigint, b bigint, n bigint")
+    found = index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(_search(least), "a bigint, b bigint, copies_a bigint, copies_b bigint")
     found = materialize(found, "vector-links")
-    links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-    return links, found.where("b is not null").select("a", "b")
+    # Edges of the components have no copies; the same pair comes from several shards.
+    pairs = found.where("copies_a > 0").groupBy("a", "b").agg(F.first("copies_a").alias("copies_a"), F.first("copies_b").alias("copies_b"))
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("copies_b").alias("n")), F.struct(F.col("b").alias("node"), F.col("copies_a").alias("n")))).alias("e"))
+    links = ends.groupBy("e.node").agg(F.sum("e.n").alias("n"), F.count("*").alias("others"))
+    return materialize(links, "vector-counts"), found.where("copies_a = 0").select("a", "b")

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -152,6 +153,23 @@ def test_sharded_search_keeps_recall(spark, monkeypatch):
     assert sum(g[0] for g in got.values()) >= 0.95 * sum(e[0] for e in expected.values())
 
 
+def test_pairs_found_one_way_count_for_both_ends(spark, monkeypatch):
+    """With one home and one visit per node, searches across a border go one way at most; n_links is still symmetric."""
+    monkeypatch.setattr(vector_graph, "SHARD_ROWS", 40)
+    monkeypatch.setattr(vector_graph, "AUDIT_RECALL", 0.0)
+    monkeypatch.setattr(vector_graph, "HOMES", 1)
+    monkeypatch.setattr(vector_graph, "PROBES", 2)
+    rng = np.random.default_rng(9)
+    bases = rng.normal(size=(200, 12))
+    rows = [(2 * k + j, (bases[k] + rng.normal(size=12) * (0.0, 0.2)[j]).tolist()) for k in range(200) for j in (0, 1)]
+    rows += [(1000 + k, bases[k].tolist()) for k in range(20)]
+    got = {r["vec_id"]: tuple(r)[1:] for r in vector_graph.linked_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert sum(g[0] for g in got.values()) % 2 == 0
+    component = Counter(g[1] for g in got.values())
+    assert sum(component[g[1]] > 1 for g in got.values()) > 100
+    assert all(g[0] > 0 for g in got.values() if component[g[1]] > 1)
+
+
 def test_graph_and_search_on_one_shard():
     rng = np.random.default_rng(5)
     x = vector_graph.unit(rng.normal(size=(400, 8)).tolist())
