@@ -9,8 +9,11 @@
 4. All nodes are queries.  A query visits the shards of its nearest centroids: greedy
    search from medoids, which goes on through everything near the range until nothing
    new is found.  Links are verified in double precision.
-5. Recall is audited on a hashed set of queries against all rows; while it is below the
-   target, the search is repeated with twice as many shards visited.
+5. Recall is audited on hashed nodes that have true links, against all rows, as the mean
+   share of a node's linked nodes that was found; the choice grows until enough such
+   nodes are in it or ``AUDIT_PAIRS`` are compared.  While recall is below the target,
+   the search is repeated with twice as many shards visited, then with a wider beam, and
+   at last with whole blocks compared.  The result of the audit is logged.
 
 A pair that a search finds, whichever side and shard, is listed once by its two nodes and
 counts for both; for the components a shard gives one edge per node.  The list grows with
@@ -19,7 +22,9 @@ the links, so a dense cluster costs the square of its different vectors.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -40,8 +45,19 @@ HOMES, PROBES = 2, 4
 DEGREE, CANDIDATES, ALPHA = 24, 48, 1.2
 BEAM, STRIDE, SLACK = 24, 4, 0.04
 AUDIT_ROWS, AUDIT_RECALL = 200, 0.97
+AUDIT_PAIRS = 2_000_000_000
 SEED = 7
 
+log = logging.getLogger(__name__)
+
+
+class Audit(NamedTuple):
+    """Mean recall of the ``linked`` nodes with true links among the ``chosen``; None if there are none."""
+
+    recall: float | None
+    linked: int
+    chosen: int
+
 
 def nodes_of(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """(node, copies, vector) of the distinct usable vectors, as doubles of length one."""
@@ -108,12 +124,13 @@ def pruned_graph(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDAT
     return np.split(both % n, np.searchsorted(both // n, np.arange(1, n)))
 
 
-def range_search(queries: np.ndarray, x: np.ndarray, graph: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+def range_search(queries: np.ndarray, x: np.ndarray, graph: list[np.ndarray], least: float, beam: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, row) with a cosine of ``least`` or more that the search reaches.
 
-    All queries walk in step.  Each expands its best rows not expanded yet, ``BEAM`` of
-    them at least, and beyond that all rows within ``SLACK`` of the range.
+    All queries walk in step.  Each expands its best rows not expanded yet, ``beam`` of
+    them at least (``BEAM`` if 0), and beyond that all rows within ``SLACK`` of the range.
     """
+    beam = beam or BEAM
     n = len(x)
     width = max(1, max(map(len, graph)))
     table = np.full((n, width), -1)
@@ -131,7 +148,7 @@ def range_search(queries: np.ndarray, x: np.ndarray, graph: list[np.ndarray], le
         w = waiting[active]
         best = np.argpartition(-w, stride - 1, axis=1)[:, :stride] if stride < n else np.tile(np.arange(n), (len(active), 1))
         value = np.take_along_axis(w, best, 1)
-        go = np.isfinite(value) & ((expanded[active] < BEAM)[:, None] | (value >= least - SLACK))
+        go = np.isfinite(value) & ((expanded[active] < beam)[:, None] | (value >= least - SLACK))
         row, col = np.nonzero(go)
         if not len(row):
             break
@@ -148,7 +165,16 @@ def range_search(queries: np.ndarray, x: np.ndarray, graph: list[np.ndarray], le
             score[i, j] = s
             waiting[i, j] = s
         active = np.unique(q)
-    a, b = np.nonzero(score >= least - 1e-4)
+    return _verified(queries, x, *np.nonzero(score >= least - 1e-4), least)
+
+
+def compared(queries: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (query, row) with a cosine of ``least`` or more."""
+    found = [np.nonzero(queries[at : at + 512] @ x.T >= least - 1e-4) for at in range(0, len(queries), 512)]
+    return _verified(queries, x, np.concatenate([a + 512 * k for k, (a, _) in enumerate(found)]), np.concatenate([b for _, b in found]), least)
+
+
+def _verified(queries: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     exact = np.concatenate([np.empty(0), *[np.einsum("ij,ij->i", queries[a[k : k + (1 << 17)]], x[b[k : k + (1 << 17)]]) for k in range(0, len(a), 1 << 17)]])
     return a[exact >= least], b[exact >= least]
 
@@ -190,16 +216,19 @@ def _build(key, shard: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": ids, "next": [ids[g] for g in pruned_graph(x)]})
 
 
-def _search(least: float):
+def _search(least: float, beam: int | None):
     def run(key, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(index) or not len(queries):
             return pd.DataFrame({"a": [], "b": [], "copies_a": [], "copies_b": []}, dtype="int64")
         ids = index["node"].to_numpy()
         place = {int(v): k for k, v in enumerate(ids)}
         x, q = unit(index["raw"]), unit(queries["raw"])
-        graph = [np.array([place[v] for v in lst if v in place], np.int64) for lst in index["next"]]
         own = queries["node"].to_numpy()
-        a, b = range_search(q, x, graph, least)
+        if beam is None:
+            a, b = compared(q, x, least)
+        else:
+            graph = [np.array([place[v] for v in lst if v in place], np.int64) for lst in index["next"]]
+            a, b = range_search(q, x, graph, least, beam)
         other = own[a] != ids[b]
         a, b = a[other], b[other]
         names = np.unique(np.concatenate([own, ids]))
@@ -230,32 +259,54 @@ def _spread(df: DataFrame, counts: dict[int, int], size: int, column: str) -> Da
     return df.withColumn(column, F.coalesce(known[F.col("cluster")], F.lit(1)) if parts else F.lit(1))
 
 
-def audit(nodes: DataFrame, links: DataFrame, least: float, rows: int = AUDIT_ROWS) -> float:
-    """The share of true links of a hashed choice of nodes (``rows`` of them) that was counted."""
-    chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(rows).join(links, "node", "left").select("node", "raw", F.coalesce("n", F.lit(0)).alias("n")).collect()
-    if not chosen:
-        return 1.0
-    block = nodes.sparkSession.sparkContext.broadcast([(r["node"], r["raw"]) for r in chosen])
+def audit(nodes: DataFrame, total: int, links: DataFrame, least: float, rows: int = AUDIT_ROWS) -> Audit:
+    """Recall over hashed nodes, until ``rows`` of them have true links or AUDIT_PAIRS are compared.
+
+    Every node with links weighs the same, and copies of a vector do not count.
+    """
+    most = min(total, max(rows, AUDIT_PAIRS // max(1, total)))
+    shares: list[float] = []
+    done, last = 0, -1
+    while done < most and len(shares) < rows:
+        size = min(rows if done == 0 else 3 * done, most - done)
+        chosen = nodes.select("node", "raw", F.pmod(F.xxhash64("node"), F.lit(1 << 62)).alias("h")).where(F.col("h") > last).orderBy("h", "node").limit(size)
+        chosen = chosen.join(links, "node", "left").select("node", "raw", "h", F.coalesce("others", F.lit(0)).alias("n")).collect()
+        if not chosen:
+            break
+        true = _true_links(nodes, [(r["node"], r["raw"]) for r in chosen], least)
+        shares += [min(r["n"], true[r["node"]]) / true[r["node"]] for r in chosen if true.get(r["node"])]
+        done += len(chosen)
+        last = max(r["h"] for r in chosen)
+    return Audit(float(np.mean(shares)) if shares else None, len(shares), done)
+
+
+def _true_links(nodes: DataFrame, chosen: list[tuple], least: float) -> dict[int, int]:
+    """How many other nodes are near enough to each chosen one, by comparison with all; bounded by the choice."""
+    block = nodes.sparkSession.sparkContext.broadcast(chosen)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.array([i for i, _ in block.value])
+        theirs: dict[int, list[int]] = {}
+        for k, (_, v) in enumerate(block.value):
+            theirs.setdefault(len(v), []).append(k)
+        vectors = {width: unit([block.value[k][1] for k in rows]) for width, rows in theirs.items()}
         total = np.zeros(len(ids), np.int64)
         for batch in batches:
             raw, node = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            copies = batch.column(2).to_numpy()
-            for width in {len(r) for r in raw}:
+            for width in {len(r) for r in raw} & theirs.keys():
                 mine = [k for k, r in enumerate(raw) if len(r) == width]
-                theirs = [k for k, (_, v) in enumerate(block.value) if len(v) == width]
-                if theirs:
-                    near = unit([block.value[k][1] for k in theirs]) @ unit([raw[k] for k in mine]).T >= least
-                    near &= ids[theirs][:, None] != node[mine][None]
-                    total[theirs] += near @ copies[mine]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["node", "n"])
+                x, asked = unit([raw[k] for k in mine]), np.array(theirs[width])
+                for at in range(0, len(asked), 256):
+                    part = asked[at : at + 256]
+                    near = vectors[width][at : at + 256] @ x.T >= least
+                    near &= ids[part][:, None] != node[mine][None]
+                    total[part] += near.sum(axis=1)
+        some = total > 0
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(total[some])], names=["node", "n"])
 
-    truth = nodes.select("raw", "node", "copies").mapInArrow(count, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n")).collect()
-    true = {r["node"]: r["n"] for r in truth}
-    expected = sum(true.values())
-    return sum(min(r["n"], true[r["node"]]) for r in chosen) / expected if expected else 1.0
+    truth = nodes.select("raw", "node").mapInArrow(count, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n")).collect()
+    block.unpersist()
+    return {r["node"]: r["n"] for r in truth}
 
 
 def linked_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = COSINE) -> DataFrame:
@@ -280,12 +331,17 @@ def linked_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embed
         fitted[width] = (offset, c)
         offset += len(c)
     centroids = spark.sparkContext.broadcast(fitted)
-    probes = PROBES
+    probes, beam = PROBES, BEAM
     while True:
-        links, edges = _linked(nodes, centroids, probes, least)
-        if probes >= offset or audit(nodes, links, least) >= AUDIT_RECALL:
+        links, edges = _linked(nodes, centroids, probes, beam, least)
+        result = audit(nodes, total, links, least)
+        log.warning("vector links: %s, %d shards visited, beam %s", result, min(probes, offset), beam)
+        if beam is None or result.recall is None or result.recall >= AUDIT_RECALL:
             break
-        probes *= 2
+        if probes < offset:
+            probes *= 2
+        else:
+            beam = 4 * beam if beam < SHARD_ROWS // 2 else None
     found = components(edges, "vector-components")
     per_node = nodes.select("raw", "node", "copies").join(links, "node", "left").join(found, "node", "left")
     per_node = per_node.select("raw", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
@@ -297,7 +353,7 @@ def linked_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embed
     )
 
 
-def _linked(nodes: DataFrame, centroids, probes: int, least: float) -> tuple[DataFrame, DataFrame]:
+def _linked(nodes: DataFrame, centroids, probes: int, beam: int | None, least: float) -> tuple[DataFrame, DataFrame]:
     """Per-node link counts, and edges that connect what is linked."""
     near = materialize(_placed(nodes, centroids, probes), "vector-placed")
     at_home = near.select("node", "raw", "copies", F.explode(F.slice("near", 1, HOMES)).alias("cluster"))
@@ -314,7 +370,7 @@ def _linked(nodes: DataFrame, centroids, probes: int, least: float) -> tuple[Dat
     queries = _spread(visiting, visits, SHARD_ROWS * 2, "chunks").withColumn("chunk", part("chunks"))
     queries = _spread(queries, homes, SHARD_ROWS * 2, "blocks").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = ["cluster", "block", "chunk"]
-    found = index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(_search(least), "a bigint, b bigint, copies_a bigint, copies_b bigint")
+    found = index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(_search(least, beam), "a bigint, b bigint, copies_a bigint, copies_b bigint")
     found = materialize(found, "vector-links")
     # Edges of the components have no copies; the same pair comes from several shards.
     pairs = found.where("copies_a > 0").groupBy("a", "b").agg(F.first("copies_a").alias("copies_a"), F.first("copies_b").alias("copies_b"))

@@ -170,6 +170,29 @@ def test_pairs_found_one_way_count_for_both_ends(spark, monkeypatch):
     assert all(g[0] > 0 for g in got.values() if component[g[1]] > 1)
 
 
+def test_audit_counts_nodes_with_links(spark):
+    """Links are rare, a hot group does not decide, and lost links of small groups are seen."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1500, 24))
+    rows = [(k, v.tolist(), 1000 if k < 2 else 1) for k, v in enumerate(x)] + [(2000 + k, (x[k] * 2 + rng.normal(size=24) * 0.02).tolist(), 1) for k in range(20)]
+    nodes = spark.createDataFrame(rows, "node bigint, raw array<double>, copies bigint")
+    found = [(k, 1, 1) for k in range(5)] + [(2000 + k, 1, 1) for k in range(5)]
+    links = spark.createDataFrame(found, "node bigint, n bigint, others bigint")
+    assert vector_graph.audit(nodes, len(rows), links, 0.95, 30) == (0.25, 40, 1520)
+    assert vector_graph.audit(nodes.where("node < 1500"), 1500, links, 0.95, 30) == (None, 0, 1500)
+
+
+def test_small_tables_are_audited_too(spark, monkeypatch):
+    """A search that finds nothing is widened until all blocks are compared."""
+    beams = []
+    monkeypatch.setattr(vector_graph, "audit", lambda *a: (beams.append(1), vector_graph.Audit(0.0, 1, 1))[1])
+    rng = np.random.default_rng(12)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(30)]
+    rows += [(100 + k, r[1]) for k, r in enumerate(rows[:5])] + [(200, (np.array(rows[0][1]) * 1.01 + 0.001).tolist())]
+    got = {r["vec_id"]: tuple(r)[1:] for r in vector_graph.linked_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == brute_vectors(rows) and len(beams) > 2
+
+
 def test_graph_and_search_on_one_shard():
     rng = np.random.default_rng(5)
     x = vector_graph.unit(rng.normal(size=(400, 8)).tolist())
