@@ -9,10 +9,11 @@ import public_tokenizers
 
 from shelfkin.session import scratch_dir
 
-from . import bbit_minhash, bpe, fm_decontam, jump_shards, licence_scan, orc_ids, quality_gbdt, template_html, vector_graph, warc_derive
+from . import bbit_minhash, bpe, fm_decontam, jump_shards, licence_scan, orc_ids, quality_gbdt, suffix_runs, template_html, token_alignment, vector_graph, warc_derive
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -79,6 +80,16 @@ def token_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents, public_tokenizers.path(TOKENIZER)).drop("text")
 
 
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents", "doc_id", "text")
+    return suffix_runs.run_report(suffix_runs.word_runs(documents, key="doc_id", prepare=suffix_runs.periodic_tail)).drop("text")
+
+
+def token_alignment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents", "doc_id", "text")
+    return token_alignment.alignment_report(documents, public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+
+
 def _licence_sql() -> str:
     """The licence scan in DuckDB: the same vectors over all files, joined row by row."""
     stop = ", ".join(f"'{w}'" for w in licence_scan.STOP_WORDS)
@@ -140,6 +151,8 @@ QUERIES = {
     "op8_jump_shards": shards,
     "op9_near_duplicates": near_duplicates,
     "op10_bpe_round_trip": token_round_trip,
+    "op11_periodic_runs": periodic_runs,
+    "op13_token_alignment": token_alignment_report,
 }
 
 SQL: dict[str, str] = {"op4_licences": _licence_sql()}
