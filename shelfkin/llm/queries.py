@@ -9,7 +9,7 @@ import public_tokenizers
 
 from shelfkin.session import scratch_dir
 
-from . import bbit_minhash, bpe, fm_decontam, jump_shards, licence_scan, orc_ids, quality_gbdt, suffix_runs, template_html, token_alignment, vector_graph, warc_derive
+from . import bbit_minhash, bpe, fm_decontam, gru_language, jump_shards, licence_scan, orc_ids, quality_gbdt, suffix_runs, template_html, token_alignment, vector_graph, warc_derive
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -85,6 +85,10 @@ def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_runs.run_report(suffix_runs.word_runs(documents, key="doc_id", prepare=suffix_runs.periodic_tail)).drop("text")
 
 
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_language.language_report(_read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def token_alignment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents", "doc_id", "text")
     return token_alignment.alignment_report(documents, public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
@@ -152,6 +156,7 @@ QUERIES = {
     "op9_near_duplicates": near_duplicates,
     "op10_bpe_round_trip": token_round_trip,
     "op11_periodic_runs": periodic_runs,
+    "op12_language": language,
     "op13_token_alignment": token_alignment_report,
 }
 
