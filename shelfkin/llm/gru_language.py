@@ -30,7 +30,7 @@ BLOCK = 1024  # segments computed at once
 # The training sample: documents of a language, and segments of a document, spread evenly.
 DOCUMENTS = 500
 SEGMENTS = 3
-EPOCHS = 3
+UPDATES = 200
 BATCH = 96
 RATE = 0.02
 CLIP = 1.0
@@ -137,28 +137,26 @@ def gradients(net: Network, steps: np.ndarray, lengths: np.ndarray, labels: np.n
     return loss, [d_table, d_state, d_inner, d_out, d_bias]
 
 
-def fit(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray, labels: np.ndarray, languages: list[str], size: int = STATE, epochs: int = EPOCHS, seed: int = 7) -> Network:
+def fit(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray, labels: np.ndarray, languages: list[str], size: int = STATE, updates: int = UPDATES, seed: int = 7) -> Network:
     """Train on segments of ``buffer``; steps follow running means of gradients and of their squares."""
     net = new_network(languages, size, seed)
     if len(languages) < 2 or not len(starts):
         return net
     draw = np.random.default_rng(seed)
     mean, square = ([np.zeros_like(w) for w in net.weights()] for _ in range(2))
-    rounds = epochs * -(-len(starts) // BATCH)
-    done = 0
-    for _ in range(epochs):
-        order = draw.permutation(len(starts))
-        for at in range(0, len(order), BATCH):
-            rows = order[at : at + BATCH]
-            grads = gradients(net, both_ways(buffer, starts[rows], lengths[rows]), lengths[rows], labels[rows])[1]
-            norm = float(np.sqrt(sum(float((g.astype(np.float64) ** 2).sum()) for g in grads)))
-            done += 1
-            rate = RATE * (1 - done / (rounds + 1)) * (1 - 0.999**done) ** 0.5 / (1 - 0.9**done)
-            for w, g, m, s in zip(net.weights(), grads, mean, square, strict=True):
-                g = g * min(1.0, CLIP / (norm + 1e-9))
-                m += 0.1 * (g - m)
-                s += 0.001 * (g * g - s)
-                w -= (rate * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
+    order = np.zeros(0, np.int64)
+    for done in range(1, updates + 1):
+        while len(order) < min(BATCH, len(starts)):
+            order = np.r_[order, draw.permutation(len(starts))]
+        rows, order = order[:BATCH], order[BATCH:]
+        grads = gradients(net, both_ways(buffer, starts[rows], lengths[rows]), lengths[rows], labels[rows])[1]
+        norm = float(np.sqrt(sum(float((g.astype(np.float64) ** 2).sum()) for g in grads)))
+        rate = RATE * (1 - done / (updates + 1)) * (1 - 0.999**done) ** 0.5 / (1 - 0.9**done)
+        for w, g, m, s in zip(net.weights(), grads, mean, square, strict=True):
+            g = g * min(1.0, CLIP / (norm + 1e-9))
+            m += 0.1 * (g - m)
+            s += 0.001 * (g * g - s)
+            w -= (rate * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
     return net
 
 
