@@ -40,8 +40,9 @@ def append_columns(
     fields: list[T.StructField],
     compute: Callable[[pa.RecordBatch], list[pa.Array]],
     keep: Callable[[list[pa.Array]], pa.Array] | None = None,
+    limit: int = PIECE_BYTES,
 ) -> DataFrame:
-    """``df`` with columns computed from Arrow slices of bounded size.
+    """``df`` with columns computed from Arrow slices of about ``limit`` bytes.
 
     Columns of ``df`` that are named like a new one are replaced.  With ``keep``, only
     the rows it marks stay, and the computed columns are left out.
@@ -52,7 +53,7 @@ def append_columns(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, limit):
                 new = compute(part)
                 if keep:
                     yield part.filter(keep(new))

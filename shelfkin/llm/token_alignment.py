@@ -29,7 +29,8 @@ from shelfkin.session import materialize
 from .bpe import byte_characters
 from .common import append_columns, held, lists, texts
 
-REMEMBERED = 250_000
+REMEMBERED = 200_000
+ALIGNED_BYTES = 2 << 20  # of texts aligned at once
 LONG_CHUNK = 64
 ENCODED_TOGETHER = 64
 # White space by any of the two rules; a space behind it may belong to the same token.
@@ -128,10 +129,27 @@ class Aligner:
         self.known: dict[str, int] = {}
         # Per chunk: tokens of both, groups, links, and whether both give the text back.
         self.counts = np.zeros((0, 5), np.int64)
+        self.uses = np.zeros(0, np.int64)
         self.rendered: list[str] = []
         self.begins = np.zeros(1, np.int64)
         self.pairs = np.zeros(0, np.int64)
 
+    def shrink(self) -> None:
+        """Keep only the chunks that were met again lately."""
+        stay = np.flatnonzero(self.uses > 1)
+        if len(stay) > REMEMBERED // 2:
+            stay = stay[np.argsort(-self.uses[stay], kind="stable")[: REMEMBERED // 2]]
+            stay.sort()
+        names = list(self.known)
+        n = np.diff(self.begins)[stay]
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        self.pairs = self.pairs[np.repeat(self.begins[stay], n) + inside]
+        self.begins = np.r_[0, np.cumsum(n)]
+        self.counts = self.counts[stay]
+        self.rendered = [self.rendered[k] for k in stay.tolist()]
+        self.known = {names[k]: i for i, k in enumerate(stay.tolist())}
+        self.uses = np.zeros(len(stay), np.int64)
+
     def chunks(self, text: str) -> list[str]:
         """Chunks of space + text, each without its first space."""
         return CHUNK.split(text) if LOOSE.search(text) or text[:1] == " " else text.split(" ")
@@ -174,6 +192,7 @@ class Aligner:
         self.known.update(zip(new, range(len(self.rendered), len(self.rendered) + len(new)), strict=True))
         self.rendered += ["".join(signs[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
         self.counts = np.concatenate([self.counts, np.stack([*counts, links, sound], axis=1)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
         self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(links)])
         self.pairs = np.concatenate([self.pairs, a[link_a] * self.width + b[link_b]])
 
@@ -191,7 +210,7 @@ class Aligner:
     def align(self, batch: list[str], digest: bool = False) -> list[pa.Array]:
         """The columns of ``align`` for whole texts."""
         if len(self.known) > REMEMBERED:
-            self.forget()
+            self.shrink()
         known = self.known
         split = [self.chunks(t) if t and META not in t else [] for t in batch]
         new = {c for row in split for c in row if c not in known}
@@ -201,6 +220,7 @@ class Aligner:
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         of = np.repeat(np.arange(len(rows)), sizes)
         chunk = np.fromiter((c for row in rows for c in row), np.int64, int(sizes.sum()))
+        self.uses += np.bincount(chunk, minlength=len(self.uses))
         broken = np.zeros(len(rows), bool)
         broken[of[self.counts[chunk, 4] == 0]] = True
         keep = ~broken[of]
@@ -247,7 +267,7 @@ def align(df: DataFrame, path_a: str, path_b: str, text: str = "text", digest: b
     itself; columns of ``df`` named like a new one are replaced.
     """
     fields = [T.StructField("groups_sha256", T.StringType()) if digest and f.name == "groups" else f for f in FIELDS]
-    return append_columns(df, fields, lambda batch: aligner(path_a, path_b).align(texts(batch, text), digest))
+    return append_columns(df, fields, lambda batch: aligner(path_a, path_b).align(texts(batch, text), digest), limit=ALIGNED_BYTES)
 
 
 def pair_counts(linked: DataFrame) -> DataFrame:
