@@ -8,6 +8,7 @@ from shelfkin.operators import counters as C
 from shelfkin.operators import exposition as E
 from shelfkin.operators import gauges as G
 from shelfkin.operators import rates as R
+from shelfkin.operators import scrapes as Q
 from shelfkin.plans import standins as S
 from shelfkin.session import scratch_dir
 
@@ -107,6 +108,11 @@ def quantiles(spark, sf):
     return rounded(read.select("window_start", "window_end", *SERIES, "n", "p95", "p50"), "p95", "p50")
 
 
+def scraped_quantiles(spark, sf):
+    read = Q.scraped_quantiles(S.scraped_buckets(spark, sf), SERIES, {"p95": 0.95, "p50": 0.5})
+    return rounded(read, "p95", "p50")
+
+
 def whole_quantiles(spark, sf):
     wide = C.histogram(log(spark, sf), SERIES, B.REQUEST_BOUNDS)
     return rounded(C.histogram_quantiles(wide, B.REQUEST_BOUNDS, {"p95": 0.95, "p50": 0.5}).select(*SERIES, "p95", "p50"), "p95", "p50")
@@ -165,6 +171,7 @@ QUERIES = {
     "m11_counter_rate": sampled_rate,
     "m12_quantiles_windowed": quantiles,
     "m12_quantiles": whole_quantiles,
+    "m12_scraped_quantiles": scraped_quantiles,
     "m13_status_shares": shares,
     "m14_mean_duration": means,
     "m15_service_status": status,
@@ -277,3 +284,33 @@ SQL["m10_exposition_histogram"] = f"WITH {_ROWS} SELECT line FROM lines"
 SQL["m10_written_histogram"] = f"""
     WITH {_ROWS} SELECT line, (1 + row_number() OVER (ORDER BY series, part, le))::INT AS number FROM lines
     UNION ALL SELECT '# TYPE api_request_duration_seconds histogram', 1"""
+
+
+def _scraped_sql():
+    """Scraped bucket counters, their increases by windows, and quantiles found row by row."""
+    ends = ", ".join(f"('{b}', {b}::DOUBLE)" for b in B.REQUEST_BOUNDS) + ", ('+Inf', 'inf'::DOUBLE)"
+
+    def pick(q):
+        reached = f"bound < 'inf'::DOUBLE AND upto >= {q} * n"
+        value = f"low + (bound - low) * CASE WHEN upto > below THEN ({q} * n - below) / (upto - below) ELSE 0 END"
+        return f"round(CASE WHEN any_value(n) > 0 THEN coalesce(arg_min({value}, bound) FILTER ({reached}), max(bound) FILTER (bound < 'inf'::DOUBLE)) END, 6) AS p{round(q * 100)}"
+
+    return f"""WITH {LOG},
+        minutes AS (
+            SELECT method, endpoint, le, bound, epoch_us(ts) // 60000000 + 1 AS minute, count(*) FILTER (duration_s <= bound) AS n
+            FROM log, (VALUES {ends}) b(le, bound) GROUP BY ALL),
+        counted AS (SELECT *, make_timestamp(minute * 60000000) AS ts,
+                           sum(n) OVER (PARTITION BY method, endpoint, le, (minute - 1) // 1440 ORDER BY minute)::DOUBLE AS value FROM minutes),
+        samples AS (SELECT * FROM counted WHERE NOT (le = '0.5' AND endpoint = '/view') AND NOT (le = '0.25' AND minute % 3 = 0)),
+        before AS (SELECT *, lag(value) OVER (PARTITION BY method, endpoint, le ORDER BY ts) AS previous FROM samples),
+        grown AS (SELECT *, CASE WHEN previous IS NULL THEN 0 WHEN value < previous THEN value ELSE value - previous END AS increase FROM before),
+        {sliding('grown')},
+        summed AS (SELECT window_start, window_end, method, endpoint, bound, sum(increase) AS increase FROM windowed GROUP BY ALL),
+        repaired AS (SELECT *, max(increase) OVER (PARTITION BY window_start, method, endpoint ORDER BY bound) AS upto FROM summed),
+        sided AS (SELECT *, coalesce(lag(upto) OVER w, 0) AS below, coalesce(lag(bound) OVER w, 0) AS low,
+                         max(CASE WHEN bound = 'inf'::DOUBLE THEN upto END) OVER (PARTITION BY window_start, method, endpoint) AS n
+                  FROM repaired WINDOW w AS (PARTITION BY window_start, method, endpoint ORDER BY bound))
+        SELECT window_start, window_end, method, endpoint, any_value(n) AS n, {pick(0.95)}, {pick(0.5)} FROM sided GROUP BY ALL"""
+
+
+SQL["m12_scraped_quantiles"] = _scraped_sql()

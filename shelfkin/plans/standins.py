@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.buckets import REQUEST_BOUNDS
+from ..operators.counters import histogram, histogram_rows
 from ..operators.generating import fill_template
+from ..operators.numbering import hour_bucket, running_total
 
 PART_TEMPLATE = "brand [p_brand]\nsize [p_size]\nprice [p_retailprice]"
 
@@ -59,6 +62,17 @@ def log_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def samples_from_events(events: DataFrame) -> DataFrame:
+    """Samples of a counter per event type and device, with the device as a column."""
+    return events.select(
+        "event_id",
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_type").alias("metric"),
+        F.concat(F.lit("disk"), (F.col("user_id") % 4).cast("string")).alias("device"),
+        "value",
+    )
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "event_id",
@@ -69,5 +83,21 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scraped_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucket counters of the request log, scraped each minute that had requests.
+
+    They start again from 0 every day; one endpoint has no 0.5 bucket, and every third
+    minute the scrape misses the 0.25 bucket, so that buckets disagree.
+    """
+    keys = ["method", "endpoint"]
+    minutes = histogram(request_log(spark, sf_dir), keys, REQUEST_BOUNDS, window_s=60)
+    rows = histogram_rows(minutes, ["window_end", *keys], REQUEST_BOUNDS).withColumnRenamed("window_end", "ts")
+    day = F.date_trunc("day", F.timestamp_micros(F.unix_micros("ts") - 60_000_000))
+    minute = F.floor(F.unix_seconds("ts") / 60)
+    counted = running_total(rows.withColumn("day", day), [*keys, "le", "day"], ["ts"], "n", hour_bucket(), "value")
+    missed = ((F.col("le") == "0.5") & (F.col("endpoint") == "/view")) | ((F.col("le") == "0.25") & (minute % 3 == 0))
+    return counted.filter(~missed).select(minute.alias("event_id"), "ts", *keys, "le", F.col("value").cast("double").alias("value"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")

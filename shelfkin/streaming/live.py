@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions.buckets import REQUEST_BOUNDS
-from ..operators.counters import histogram, request_counts
+from ..operators.counters import flat_window, histogram, request_counts, time_windows
 from ..operators.rates import event_rate, mean_duration
+from . import stateful
 
 LATENESS = "10 minutes"
 WINDOW_S = 300
@@ -48,6 +50,28 @@ def live_mean_durations(log: DataFrame, window_s: int = WINDOW_S, slide_s: int =
     return mean_duration(once_per_event(log, lateness), ["method", "endpoint"], window_s, slide_s)
 
 
+def live_in_progress(log: DataFrame, window_s: int = 3600, lateness: str = LATENESS) -> DataFrame:
+    return stateful.live_in_progress(once_per_event(log, lateness), window_s)
+
+
+def live_counter_rates(
+    samples: DataFrame, keys: list[str], window_s: int = WINDOW_S, slide_s: int = 60, lateness: str = LATENESS
+) -> DataFrame:
+    return stateful.live_counter_rate(once_per_event(samples, lateness), keys, window_s, slide_s)
+
+
+def live_status_shares(log: DataFrame, window_s: int = WINDOW_S, slide_s: int = 60, lateness: str = LATENESS) -> DataFrame:
+    """Rate per status code and its share of the window: counts per code, then the codes of a window together.
+
+    Two aggregates behind one watermark; the second one holds a row per code.
+    """
+    coded = once_per_event(log, lateness).groupBy(*time_windows(window_s, slide_s), "status_code").agg(F.count("*").alias("events"))
+    codes = F.collect_list(F.struct("status_code", "events", (F.col("events") / F.lit(float(window_s))).alias("rate"))).alias("codes")
+    whole = flat_window(coded.groupBy("window").agg(F.sum("events").alias("whole"), codes))
+    each = whole.select("window_start", "window_end", "whole", F.inline("codes"))
+    return each.withColumn("share", F.col("events") / F.col("whole")).drop("whole")
+
+
 def to_table(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Append closed windows to parquet; without ``every``, drain what is there and stop."""
     writer = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
