@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import PRODUCT_SCHEMA
+from .versions import read_version, write_version
 
 # Fixed value: rows sent per insert statement.
 INSERT_PAGE = 100
 
 
 def replace_table(products: DataFrame, path: str) -> None:
-    """Overwrite the stored table in one commit; a failed job leaves the old files listed."""
-    products.write.mode("overwrite").parquet(path)
+    """Replace the stored table by a new version; a failed job leaves the old one whole."""
+    write_version(products, path)
 
 
 def read_products_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PRODUCT_SCHEMA).parquet(path)
+    return read_version(spark, path, PRODUCT_SCHEMA)
 
 
 def replace_jdbc_table(products: DataFrame, url: str, table: str, connections: int = 8, **options: str) -> None:
