@@ -7,7 +7,8 @@ How a large catalogue is handled:
   for equal queries.  However many rows share a vector, they cost one comparison.
 * Cells.  Distinct items go to the nearest of a bounded number of pivot items.  A
   query visits a cell only if a proven upper bound of the cell's scores reaches the
-  score it is already sure of (see ``tiles.cells_to_visit``): nothing is lost.
+  score it is already sure of (see ``tiles.cells_to_visit`` for the cosine and
+  ``bounds.cells_in_reach`` for the other metrics): nothing is lost.
 * Groups.  Neighbouring cells are compared together, so that data without clusters,
   where no cell can be skipped, is not copied more often than plain tiles would be.
 * Tiles.  A group's items and its visitors are both cut by hash into tiles of bounded
@@ -17,6 +18,7 @@ How a large catalogue is handled:
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import METRICS
 from ..session import materialize
-from . import tiles
+from . import bounds, tiles
+
+LOG = logging.getLogger(__name__)
 
 TILE_BYTES = 32 * 1024 * 1024  # vectors of one tile
 TILE_ROWS = 8192
@@ -150,23 +154,55 @@ def describe_cells(assigned: DataFrame, pivots: np.ndarray) -> tiles.Cells:
     return tiles.Cells(pivots, radius, least, size)
 
 
+def assign_metric_cells(items: DataFrame, pivots: np.ndarray, shape: tiles.Shape, metric: str) -> DataFrame:
+    """Add the nearest cell and, per part, the distance to its pivot, the length, and whether it is absent."""
+    bound = items.sparkSession.sparkContext.broadcast(pivots)
+    names = [f"{what}_{k}" for what in ("gap", "length", "absent") for k in (0, 1)]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = tiles.matrix(batch.column("vec"), shape.width)
+            cell, *measures = bounds.members(metric, rows, bound.value, shape)
+            extra = [pa.array(cell, pa.int32()), *(pa.array(m[:, k].astype(float)) for m in measures for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "cell", *names])
+
+    fields = "k1 long, k2 long, ids array<long>, vec array<double>, cell int"
+    return items.select("k1", "k2", "ids", "vec").mapInArrow(assign, ", ".join([fields, *(f"{n} double" for n in names)]))
+
+
+def describe_metric_cells(assigned: DataFrame, pivots: np.ndarray) -> bounds.MetricCells:
+    """At most one row per pivot reaches the driver."""
+    measures = [F.max(f"gap_{k}") for k in (0, 1)] + [F.max(f"length_{k}") for k in (0, 1)] + [F.sum(f"absent_{k}") for k in (0, 1)]
+    stats = assigned.groupBy("cell").agg(F.count("*"), *measures).collect()
+    out = np.zeros((len(pivots), 7))
+    for cell, *values in stats:
+        out[cell] = values
+    return bounds.MetricCells(pivots, out[:, 1:3], out[:, 3:5], out[:, 5:7], out[:, 0].astype(np.int64))
+
+
+def metric_groups(cells: bounds.MetricCells, tile: int, shape: tiles.Shape) -> np.ndarray:
+    spread = np.where(np.isfinite(cells.spread), cells.spread, np.finfo(float).max)
+    nearest = lambda part, seeds: bounds.nearest_raw(cells.pivots[part], cells.pivots[seeds], shape)
+    return tiles.grouped_cells(spread, cells.size, tile, nearest)
+
+
 def route_queries(
-    queries: DataFrame, cells: tiles.Cells, group_of_cell: np.ndarray, shape: tiles.Shape, keep: int
+    queries: DataFrame, cells: tiles.Cells | bounds.MetricCells, group_of_cell: np.ndarray, shape: tiles.Shape, keep: int, metric: str = "cosine"
 ) -> DataFrame:
     """Add ``floor``, a score each query is sure of, and ``groups``, where it has to look."""
-    known = queries.sparkSession.sparkContext.broadcast(
-        (cells.pivots, cells.radius, cells.least_image_norm, cells.size, group_of_cell)
-    )
+    known = queries.sparkSession.sparkContext.broadcast((cells, group_of_cell))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *parts, group = known.value
-        described = tiles.Cells(*parts)
+        described, group = known.value
         for whole in batches:
             for at in range(0, whole.num_rows, ROUTED_ROWS):
                 batch = whole.slice(at, ROUTED_ROWS)
                 rows = tiles.matrix(batch.column("vec"), shape.width)
                 weights = np.column_stack([tiles.numbers(batch.column(c)) for c in ("text_weight", "image_weight")])
-                visits, floor = tiles.cells_to_visit(rows, weights, described, shape, keep)
+                if metric == "cosine":
+                    visits, floor = tiles.cells_to_visit(rows, weights, described, shape, keep)
+                else:
+                    visits, floor = bounds.cells_in_reach(metric, rows, weights, described, shape, keep)
                 groups = pa.array([np.unique(group[v]) for v in visits], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(floor), groups], [*batch.schema.names, "floor", "groups"]
@@ -184,6 +220,8 @@ def compare_tiles(
     visits = routed.withColumn("group", F.explode("groups")).drop("groups")
     visitors = {r["group"]: r["n"] for r in visits.groupBy("group").agg(F.count("*").alias("n")).collect()}
     members = np.bincount(group_of_cell, weights=sizes)
+    compared, every = sum(n * members[g] for g, n in visitors.items()), routed.count() * members.sum()
+    LOG.info("top-k join by %s: %d of %d comparisons (%.4f)", metric, compared, every, compared / max(1, every))
     cuts = {g: (math.ceil(members[g] / tile), math.ceil(n / tile)) for g, n in visitors.items()}
     # One row per group or cell, so at most MAX_PIVOTS rows.
     query_cut = F.broadcast(
@@ -234,22 +272,20 @@ def compare_tiles(
 
 
 def merge_tiles(found: DataFrame, keep: int) -> DataFrame:
-    """(q1, q2, best): per distinct query its ``keep`` best (distance, id) entries."""
-    place = Window.partitionBy("q1", "q2").orderBy(F.col("score").desc(), F.col("first_id").asc())
-    entries = F.flatten(
-        F.transform(
-            F.collect_list(F.struct("score", "ids")),
-            lambda hit: F.transform(
-                hit["ids"], lambda i: F.struct((F.lit(0.0) - hit["score"]).alias("below"), i.alias("id"))
-            ),
-        )
-    )
-    return (
-        found.withColumn("place", F.row_number().over(place))
-        .filter(F.col("place") <= keep)
-        .groupBy("q1", "q2")
-        .agg(F.slice(F.sort_array(entries), 1, keep).alias("best"))
-    )
+    """(q1, q2, best): per distinct query its ``keep`` best (distance, id) entries.
+
+    Hits whose betters have enough ids are left out before ids are unfolded, and ids are
+    cut down before they are collected: no list is longer than ``keep``.
+    """
+    ranked = Window.partitionBy("q1", "q2").orderBy(F.col("score").desc(), F.col("first_id").asc())
+    upto = Window.partitionBy("q1", "q2").orderBy(F.col("score").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    equal = Window.partitionBy("q1", "q2", "score")
+    hits = found.withColumn("place", F.row_number().over(ranked)).filter(F.col("place") <= keep)
+    hits = hits.withColumn("better", F.sum(F.size("ids")).over(upto) - F.sum(F.size("ids")).over(equal)).filter(F.col("better") < keep)
+    entries = hits.select("q1", "q2", (F.lit(0.0) - F.col("score")).alias("below"), F.explode("ids").alias("id"))
+    lowest = Window.partitionBy("q1", "q2").orderBy("below", "id")
+    entries = entries.withColumn("place", F.row_number().over(lowest)).filter(F.col("place") <= keep)
+    return entries.groupBy("q1", "q2").agg(F.sort_array(F.collect_list(F.struct("below", "id"))).alias("best"))
 
 
 def route_everywhere(queries: DataFrame) -> DataFrame:
@@ -273,9 +309,9 @@ def top_matches(
 
     ``queries`` has (query_id, self_id, text, image, text_weight, image_weight) with a
     query_id of any type; the item named by self_id is left out of that query's answer.
-    ``items`` has (id, text, image).  Cells are only used for the cosine and for more
-    than one tile of items; otherwise all tiles are compared.  Builds scratch tables, so
-    calling it starts jobs.
+    ``items`` has (id, text, image).  Cells are used for more than one tile of items; the
+    share of comparisons that was left is logged.  Builds scratch tables, so calling it
+    starts jobs.
     """
     if k is None or k < 1:
         raise ValueError("k must be 1 or more")
@@ -297,13 +333,19 @@ def top_matches(
     keyed = queries.withColumns({"q1": digest(1, *content), "q2": digest(2, *content)})
     different = keyed.select("q1", "q2", vec, "text_weight", "image_weight").dropDuplicates(["q1", "q2"])
 
-    if metric == "cosine" and count > tile:
+    if count > tile:
         pivot_count = min(max_pivots, math.ceil(count / min(CELL_ROWS, tile)))
         pivots = tiles.matrix(packed.orderBy("k1", "k2").limit(pivot_count).select("vec").toArrow()["vec"], shape.width)
-        assigned = materialize(assign_cells(packed, pivots, shape), "assigned-items")
-        cells = describe_cells(assigned, pivots)
-        group_of_cell, sizes = tiles.cell_groups(cells, tile, shape), cells.size
-        routed = route_queries(different, cells, group_of_cell, shape, keep)
+        if metric == "cosine":
+            assigned = materialize(assign_cells(packed, pivots, shape), "assigned-items")
+            cells = describe_cells(assigned, pivots)
+            group_of_cell = tiles.cell_groups(cells, tile, shape)
+        else:
+            assigned = materialize(assign_metric_cells(packed, pivots, shape, metric), "assigned-items")
+            cells = describe_metric_cells(assigned, pivots)
+            group_of_cell = metric_groups(cells, tile, shape)
+        sizes = cells.size
+        routed = route_queries(different, cells, group_of_cell, shape, keep, metric)
     else:
         assigned, sizes = one_cell(packed, count)
         group_of_cell, routed = np.zeros(1, dtype=np.int32), route_everywhere(different)

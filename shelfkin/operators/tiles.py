@@ -6,6 +6,7 @@ A vector row is the text part followed by the image part; a missing part is zero
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -172,19 +173,23 @@ def nearest_pivot(items: np.ndarray, pivots: np.ndarray, shape: Shape) -> tuple[
 
 
 def cell_groups(cells: Cells, tile: int, shape: Shape) -> np.ndarray:
-    """Group number per cell; a group holds about one tile of items.
+    """Group number per cell; a group holds about one tile of items."""
+    return grouped_cells(cells.radius, cells.size, tile, lambda part, seeds: nearest_pivot(cells.pivots[part], cells.pivots[seeds], shape)[0])
 
-    Cells join the nearest of a few of the pivots.  Wide cells, which most queries
-    have to visit, are kept among themselves, so that a visit to one does not drag in
-    the tight cells around it.
+
+def grouped_cells(radius: np.ndarray, size: np.ndarray, tile: int, nearest: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Cells join the nearest of a few of the pivots.
+
+    Wide cells, which most queries have to visit, are kept among themselves, so that a
+    visit to one does not drag in the tight cells around it.
     """
-    wide = cells.radius > 1.5 * np.median(cells.radius[cells.size > 0])
-    group = np.zeros(len(cells.pivots), dtype=np.int32)
+    wide = radius > 1.5 * np.median(radius[size > 0])
+    group = np.zeros(len(size), dtype=np.int32)
     used = 0
     for part in (np.nonzero(~wide)[0], np.nonzero(wide)[0]):
         if len(part):
-            seeds = min(len(part), math.ceil(max(1, cells.size[part].sum()) / tile))
-            group[part] = used + nearest_pivot(cells.pivots[part], cells.pivots[part[:seeds]], shape)[0]
+            seeds = min(len(part), math.ceil(max(1, size[part].sum()) / tile))
+            group[part] = used + nearest(part, part[:seeds])
             used += seeds
     return group
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfkin.operators import matches, tiles
+from shelfkin.operators import bounds, matches, tiles
 from shelfkin.plans.recommend import recommend, recommend_all, recommend_requests
 
 SCHEMA = "id long, text array<double>, image array<double>"
@@ -182,3 +182,88 @@ def test_other_metrics_equal_one_query(spark, metric):
         single = recommend(products, vectors, q, 4, text_weight=0.6, image_weight=0.4, metric=metric)
         assert rows(single.select("query_id", "rank", "id", "score")) == {r for r in every if r[0] == q}
     assert len(every) == 160
+
+
+def brute_metric(metric, text, image, k, wt, wi):
+    """Distances or products pair by pair; without a picture an item is infinitely far from a query with one."""
+    out = set()
+    for q in range(len(text)):
+        scored = []
+        for j in range(len(text)):
+            if j == q:
+                continue
+            total = 0.0
+            for a, b, w in ((text[q], text[j], wt), (image[q], image[j], wi)):
+                if a is None or w == 0:
+                    continue
+                if metric == "dot_product":
+                    total += 0.0 if b is None else w * sum(x * y for x, y in zip(a, b, strict=True))
+                elif b is None:
+                    total = float("-inf")
+                else:
+                    gaps = [abs(x - y) for x, y in zip(a, b, strict=True)]
+                    total -= w * (sum(gaps) if metric == "manhattan" else sum(g * g for g in gaps) ** 0.5)
+            scored.append((round(total, 6) + 0.0, j))
+        for r, (score, j) in enumerate(sorted(scored, key=lambda s: (-s[0], s[1]))[:k]):
+            out.add((q, r + 1, j, score + 0.0 if metric == "dot_product" else 0.0 - score))
+    return out
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "dot_product"])
+@pytest.mark.parametrize("tile", [6, 4096])
+def test_other_metrics_equal_brute_force(spark, metric, tile):
+    rng = np.random.default_rng(9)
+    # Small whole numbers: exact sums, many ties and copies.
+    text = rng.integers(-3, 4, size=(70, 2)).astype(float)
+    text[20:45] = text[3]
+    image = [None if i % 5 == 0 else rng.integers(-2, 3, size=2).astype(float) for i in range(70)]
+    got = rows(recommend_all(frame(spark, text, image), 3, text_weight=0.5, image_weight=0.25, tile=tile, metric=metric))
+    assert got == brute_metric(metric, text, image, 3, 0.5, 0.25)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "dot_product"])
+def test_other_metrics_visit_few_cells_of_clusters(spark, metric, caplog):
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(25, 8)) * 10
+    text = np.round(np.repeat(centres, 24, axis=0) + rng.normal(size=(600, 8)) * 0.05, 3)
+    with caplog.at_level("INFO", logger="shelfkin.operators.matches"):
+        got = rows(recommend_all(frame(spark, text), 3, use_image=False, text_weight=1.0, tile=12, metric=metric))
+    same = lambda found: {(q, r, i) for q, r, i, _ in found}
+    assert same(got) == same(brute_metric(metric, text, [None] * 600, 3, 1.0, 0.0))
+    share = float(caplog.records[-1].getMessage().split("(")[-1].rstrip(")"))
+    assert share < 0.25
+
+
+def test_many_equal_scores_and_copies(spark):
+    # Different vectors that score alike, each with copies: the lowest ids win across them.
+    text = np.array([[1.0, k] for k in (1, 2, 3, 4)] * 25)
+    image = [np.array([2.0])] * 100
+    got = rows(recommend_all(frame(spark, text, image), 20, use_text=False, image_weight=1.0, tile=2))
+    assert got == brute(np.zeros((100, 1)), image, 20, 0.0, 1.0)
+
+
+def test_bounds_hold_for_every_member():
+    rng = np.random.default_rng(11)
+    for turn in range(240):
+        metric = ("euclidean", "manhattan", "dot_product")[turn % 3]
+        shape = tiles.Shape(int(rng.integers(0, 4)), int(rng.integers(1, 4)))
+        items = rng.normal(size=(int(rng.integers(4, 40)), shape.width)) * rng.choice([0.01, 1, 100])
+        for k, part in bounds.parts_of(shape):
+            items[rng.random(len(items)) < rng.choice([0.0, 0.3, 1.0]) * k, part] = np.nan
+        queries, weights = rng.permutation(items)[:4] * 1.5, rng.choice([0.0, 0.3, 1.0, -0.5], size=(4, 2))
+        pivots = items[: int(rng.integers(1, 4))]
+        cell, gap, length, absent = bounds.members(metric, items, pivots, shape)
+        size = np.bincount(cell, minlength=len(pivots))
+        most = lambda x: np.array([x[cell == c].max(0) if size[c] else np.zeros(2) for c in range(len(pivots))])  # noqa: B023, E731
+        lacking = np.array([absent[cell == c].sum(0) for c in range(len(pivots))])
+        cells = bounds.MetricCells(pivots, most(gap), most(length), lacking, size)
+        low, high = bounds.score_bounds(metric, queries, weights, cells, shape)
+        score = tiles.other_scores(metric, queries, weights, items, shape)
+        slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(score), score, 0.0)))
+        assert (score <= high[:, cell] + slack).all() and (score >= low[:, cell] - slack).all()
+        keep = int(rng.integers(1, 4))
+        mask, floor = bounds.cells_in_reach(metric, queries, weights, cells, shape, keep)
+        best = tiles.kth_best(score, keep)
+        assert (best >= floor - 2e-6).all()
+        needed = score > best[:, None] + 1e-6
+        assert mask[np.nonzero(needed)[0], cell[np.nonzero(needed)[1]]].all()
