@@ -3,10 +3,12 @@
 DataFrame expressions and joins only.  Units of a file are its lines, its header (what
 comes before the first empty line) and, for a licence file, its whole text.  Vectors are
 sparse: only words of the templates have a dimension of their own; every other word of a
-unit counts as one that no other text has.  Lines are cut only in files that hold a
-template word, of whatever length: any other file scores 0 and counts in no document
-frequency, so those are counted over all files.  A file without a licence of its own takes that of the nearest directory above it
-with a recognised licence file; directories, not files, are joined to their ancestors.
+unit counts as one that no other text has.  Document frequencies are counted over the
+whole texts of all files.  A unit is scored if the squared weights of its words, each in
+the template where it weighs most, reach the square of the least cosine: by Cauchy and
+Schwarz no other unit can.  A file without a licence of its own takes that of the nearest
+directory above it with a recognised licence file; directories, not files, are joined to
+their ancestors.
 """
 
 from __future__ import annotations
@@ -17,9 +19,10 @@ from pyspark.sql import functions as F
 from shelfkin.session import materialize
 
 LEAST_COSINE = 0.6
+ROUNDING = 1e-6  # scores are rounded before they are compared
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 # Words too common to tell licences apart.
-STOP_WORDS = "a all an and any are as at be by for from if in is it may not of on or that the this to under with you your".split()
+STOP_WORDS = "a an and any as at be by for from if in is it may not of on or that the this to under with you your".split()
 # Customary notices of the licences; a licence may have several.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -68,20 +71,27 @@ def detect_licences(files: DataFrame, path: str = "path", text: str = "text", te
     notices = spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate(templates)], "template int, licence string, notice string")
     weights = notices.select("template", "licence", F.explode(words_of(F.col("notice"))).alias("word")).groupBy("template", "licence", "word").agg(F.count("*").alias("in_template"))
     vocabulary = sorted({r["word"] for r in weights.select("word").distinct().collect()})
-    known = F.array(*[F.lit(w) for w in vocabulary])
 
-    candidates = rows.where(F.arrays_overlap(split_words(F.col("text")), known))
-    units = candidates.select("path", F.posexplode(_units(F.col("text"), F.element_at(F.split("path", "/"), -1))).alias("unit", "line"))
-    split = units.select("path", "unit", words_of(F.col("line")).alias("words"))
-    counted = materialize(split.withColumn("found", F.array_intersect("words", known)).where(F.size("found") > 0), "licence-units")
     # How many files hold each template word: a row per word after the partial sums of a task.
     total = float(rows.agg(F.count_distinct("path")).first()[0])
-    holding = counted.select("path", F.explode("found").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("n"))
+    words = F.array_distinct(F.filter(split_words(F.col("text")), lambda w: w.isin(*vocabulary)))
+    holding = rows.select("path", F.explode(words).alias("word")).distinct().groupBy("word").agg(F.count("*").alias("n"))
     rarest = F.log(F.lit(1.0 + total)) + 1
     idf = weights.select("word").distinct().join(holding, "word", "left").select("word", (F.log((1.0 + total) / (1 + F.coalesce("n", F.lit(0)))) + 1).alias("idf"))
-    sided = weights.join(F.broadcast(idf), "word")
+    sided = weights.join(F.broadcast(materialize(idf, "licence-words")), "word")
     norms = sided.groupBy("template").agg(F.sqrt(F.sum((F.col("in_template") * F.col("idf")) ** 2)).alias("template_norm"))
     sided = sided.join(F.broadcast(norms), "template").select("template", "licence", "word", "idf", (F.col("in_template") * F.col("idf") / F.col("template_norm")).alias("weight"))
+    sided = materialize(sided, "licence-weights")
+    idf = sided.select("word", "idf").distinct()
+
+    most = {r["word"]: r["most"] ** 2 for r in sided.groupBy("word").agg(F.max("weight").alias("most")).collect()}
+    heaviest = F.create_map(*[x for word, square in sorted(most.items()) for x in (F.lit(word), F.lit(square))])
+    units = rows.select("path", F.posexplode(_units(F.col("text"), F.element_at(F.split("path", "/"), -1))).alias("unit", "line"))
+    split = units.select("path", "unit", split_words(F.col("line")).alias("split"))
+    split = split.withColumn("found", F.array_distinct(F.filter("split", lambda w: w.isin(*vocabulary)))).where(F.size("found") > 0)
+    reach = F.aggregate("found", F.lit(0.0), lambda sum_, w: sum_ + F.element_at(heaviest, w))
+    near = split.where(reach >= max(0.0, least - ROUNDING) ** 2)
+    counted = materialize(near.select("path", "unit", "found", F.filter("split", lambda w: ~w.isin("", *STOP_WORDS)).alias("words")), "licence-units")
 
     own = counted.select("path", "unit", "words", F.explode("found").alias("word"))
     times = own.select("path", "unit", "word", F.size("words").alias("all"), F.size(F.filter("words", lambda w: w == F.col("word"))).alias("times"))

@@ -197,6 +197,24 @@ def test_one_letter_words_count_in_all_files(spark):
     assert {r["path"]: (r["licence"], r["score"]) for r in got} == {p: (n, pytest.approx(s, abs=2e-6)) for p, (n, s) in expected.items()}
 
 
+def test_one_letter_words_count_over_all_files(spark, tmp_path):
+    """CC0 1.0: its score rests on `1` and `0`, which files without any longer template word hold as well."""
+    cc0 = dict(licence_scan.TEMPLATES)["CC0-1.0"].replace("copyright", "rights")
+    scores = []
+    for name, plain in (("rare", "nothing here"), ("common", "page 1 of 9")):
+        rows = [(k, plain, "en", "s") for k in range(1, 40)] + [(0, cc0, "en", "s"), (41, "are all 1 0", "en", "s")]
+        folder = tmp_path / name
+        folder.mkdir()
+        spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").toPandas().to_parquet(folder / "documents.parquet")
+        got = sorted((r["doc_id"], r["licence"], r["score"], r["how"], r["from_path"]) for r in QUERIES["op4_licences"](spark, str(folder)).collect())
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+        expected = con.execute(f"SELECT doc_id, licence, score, how, from_path FROM ({SQL['op4_licences']}) ORDER BY doc_id").fetchall()
+        assert got == expected
+        scores.append(got[0][2])
+    assert scores[0] != scores[1] and min(scores) >= 0.6
+
+
 def test_licence_plan_is_native(spark, sf):
     assert not re.search("Python|Arrow|Pandas|Cartesian", QUERIES["op4_licences"](spark, sf)._jdf.queryExecution().executedPlan().toString())
 
