@@ -5,6 +5,7 @@ import html
 import json
 import math
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -23,8 +24,8 @@ def page(k, body, extra=""):
 <form action="/s"><label>Find</label><input name=q><button>Go</button></form><footer>&copy; all</footer>{extra}</body></html>"""
 
 
-def text_of(source, container=None, constant=()):
-    return template_html.extract(template_html.Page(source), container, set(constant))
+def text_of(source, container=None, fixed=()):
+    return template_html.extract(template_html.Page(source), container, set(fixed))
 
 
 def test_page_parts():
@@ -46,10 +47,10 @@ def test_templates_find_the_slot(spark):
         rows.append((k, f"http://news.example.org/{k}", page(k, body)))
     got = {r["page_id"]: r["text"] for r in template_html.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
     assert got == {k: f"Story {k} {'text ' * (20 + k)}{k} more {k}" for k in range(20)}
-    placed = template_html.with_site(spark.createDataFrame(rows, PAGES))
+    placed = template_html.with_site(spark.createDataFrame(rows, PAGES).withColumnRenamed("page_id", "id"))
     template = template_html.deduce_templates(placed).collect()
     assert [t["site"] for t in template] == ["news.example.org"]
-    assert template[0]["container"] == "/html/body/div.wrap/div.story" and template[0]["constant"] == ["/html/body/div.wrap/div.story/p.promoted"]
+    assert template[0]["container"] == "/html/body/div.wrap/div.story" and template[0]["fixed"] == [template_html._hash("/html/body/div.wrap/div.story/p.promoted\0Read it every day")]
     classes = {t["path"]: (t["class"], t["within"]) for t in template[0]["template"]}
     assert classes["/html/body"][0] == classes["/html/body/div.wrap"][0] == classes["/html/body/div.wrap/div.story/h2"][0]
     inner = classes["/html/body/!nav/ul/li"]
@@ -61,6 +62,79 @@ def test_copies_on_a_host_keep_their_text(spark):
     assert {r["text"] for r in template_html.extract_pages(spark.createDataFrame(rows, PAGES)).collect()} == {"all the same words here"}
 
 
+WRAPPED = [
+    "<div class='layout with-sidebar'><article>{}</article></div>",
+    "<div class='has-banner no-comments'><main>{}</main></div>",
+    "<form><article>{}</article></form>",
+    "<article><section class='search-results-study'>{}</section></article>",
+    "<div class='social-feed'><div class=story>{}</div></div>",
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPED)
+@pytest.mark.parametrize("pages", [1, 2, 20])
+def test_names_of_wrappers_remove_nothing(spark, wrapper, pages):
+    rows = []
+    for k in range(pages):
+        text = f"<h1>Head {k}</h1><p>{'some words ' * (15 + k)}{k}</p><div class=ad>buy now {k}</div>"
+        comments = "<div class=comments><article>a reader said so</article></div>" if "<article" in wrapper else ""
+        rows.append((k, f"http://w.org/{k}", page(k, wrapper.format(text) + comments)))
+    got = {r["page_id"]: r["text"] for r in template_html.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {k: f"Head {k} {'some words ' * (15 + k)}{k}" for k in range(pages)}
+
+
+def test_fixed_blocks_in_the_path_of_the_article_are_template(spark):
+    rows = []
+    for k in range(20):
+        own = [f"<p>{'varying ' * (3 + (k * j) % 7)}{k} {j}</p>" for j in range(4)]
+        own.insert(k % 4, "<p>Sign up now for our letter</p>")
+        rows.append((k, f"http://letters.org/{k}", page(k, f"<article>{''.join(own)}</article>")))
+    # Copies of one page, and the same words once on another host, are no evidence.
+    rows += [(100 + k, "http://letters.org/0", rows[0][2]) for k in range(30)]
+    rows += [(200, "http://alone.org/", "<article><p>Sign up now for our letter</p></article>")]
+    rows += [(300 + k, f"http://near.org/{k}", page(0, f"<article><p>{'the same long text ' * 20}</p><p>{k}</p></article>")) for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in template_html.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    for k in range(20):
+        assert got[k] == " ".join(f"{'varying ' * (3 + (k * j) % 7)}{k} {j}" for j in range(4))
+    assert all(got[100 + k] == got[0] for k in range(30)) and got[200] == "Sign up now for our letter"
+    assert all(got[300 + k] == f"{'the same long text ' * 20}{k}" for k in range(12))
+
+
+def test_classes_equal_brute_force(spark, sf):
+    """The classes of whole vectors, page by page, on the whole table."""
+    pages = template_html.with_site(spark.read.parquet(f"{sf}/pages.parquet").selectExpr("page_id AS id", "url", "html"))
+    by_site = {}
+    for r in pages.collect():
+        by_site.setdefault(r["site"], {})[r["html"]] = None
+    expected = set()
+    for site, sources in by_site.items():
+        counted = []
+        for source in sources:
+            parsed = template_html.Page(source)
+            counted.append(Counter(parsed.elements) + Counter(f"{p}\0{t}" for p, t in parsed.blocks))
+        most = max((sum(e in c for c in counted) for e in {t for c in counted for t in c if "\0" not in t}), default=0)
+        vectors = {}
+        for token in {t for c in counted for t in c}:
+            vector = tuple(c[token] for c in counted)
+            if sum(map(bool, vector)) >= max(2, 0.5 * most):
+                vectors.setdefault(vector, set()).add(template_html._hash(token))
+        expected |= {(site, frozenset(members)) for members in vectors.values()}
+    classes = {}
+    for r in template_html.equivalence_classes(pages).collect():
+        classes.setdefault((r["site"], r["vector"], r["pages"]), set()).add(r["token"])
+    assert {(site, frozenset(members)) for (site, _, _), members in classes.items()} == expected and expected
+
+
+def test_very_long_pages_take_linear_time():
+    took = []
+    for n in (20_000, 80_000):
+        source = "<body>" + "".join(f"<div class=note{k % 7}><article><section><p>w {k}" + "</div>" * (k % 3) + "<li>" for k in range(n))
+        start = time.perf_counter()
+        assert text_of(source)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 10 * took[0]
+
+
 def test_page_rows(spark):
     rows = [(1, None, None), (2, "no url", ""), (3, "http://x.org/", "<article>z</article>"), (3, "http://x.org/", "<article>z</article>"), (None, "HTTP://u@X.org:80/q", "<main>m</main>")]
     df = spark.createDataFrame([(*r, "t", "s") for r in rows], PAGES + ", text string, site string")
