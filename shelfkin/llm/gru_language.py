@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, encoded_texts
+from .common import append_columns, encoded_texts, held
 
 FOLDS = 5
 UNKNOWN = "und"
@@ -236,11 +236,14 @@ def train(documents: DataFrame, key: str = "doc_id", text: str = "text", languag
     """
     own = documents.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{language}`").alias("language"))
     known = own.where("id is not null and language is not null and text rlike '\\\\p{L}'").where(fold_of(F.col("id")) != 0)
-    # The limit is taken in every partition before rows of a language meet.
-    first = Window.partitionBy("language").orderBy(F.xxhash64("id", "text"), "id", "text")
-    chosen = known.withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_language)
+    known = known.withColumn("content", F.xxhash64("text"))
+    # Chosen without their texts; the limit is taken in every partition before rows of a language meet.
+    first = Window.partitionBy("language").orderBy(F.xxhash64("id", "content"), "id", "content")
+    chosen = known.select("language", "id", "content").withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_language)
+    chosen = held(chosen.groupBy("language", "id", "content").agg(F.min("place").alias("place")))
     fields = [T.StructField("parts", T.ArrayType(T.BinaryType()))]
-    rows = append_columns(chosen, fields, _spread_segments).select("language", "place", "parts").toArrow().sort_by([("language", "ascending"), ("place", "ascending")])
+    cut = append_columns(known.join(chosen, ["language", "id", "content"]), fields, _spread_segments)
+    rows = cut.groupBy("language", "place").agg(F.min("parts").alias("parts")).toArrow().sort_by([("language", "ascending"), ("place", "ascending")])
     names = rows["language"].to_pylist()
     languages = sorted(set(names))
     parts = rows["parts"].to_pylist()
