@@ -1,21 +1,23 @@
 """Near duplicates by b-bit MinHash.
 
 1. One pass over the texts: the set of five-word shingles of a document gives a key of
-   the set, 128 minima, their lowest four bits packed as bit planes, and 32 hashed bands
-   of four minima each.  A pair with a similarity of 0.75 shares no band with a
-   probability of 5e-6.
+   the set, 128 minima, their lowest four bits, mixed, packed as bit planes, and 48 hashed
+   bands of four minima each: 32 of neighbours and 16 of minima far from each other.
+   A pair with a similarity of 0.75 shares no band with a probability of about 1e-8.
 2. Documents with equal sets are one node from here on, named by their smallest id.
 3. Buckets are bands with two nodes or more.  Candidate pairs are judged by comparing bit
    planes: the share of equal places, less the share that agrees by chance, estimates
    the similarity.  Only pairs at five standard deviations below the threshold or
-   better go on.
+   better go on, and all pairs with a set of fewer than 64 shingles whose sizes allow
+   the threshold: estimates of few shingles spread wider.
 4. First every node meets the leaders of its buckets; links are confirmed on the full
    sets and joined to components.  Then the members that a bucket's leader did not
    reach meet all other members of the bucket that are in another component, each pair
    in the first bucket that it shares.  Here 1024 minima, made for members of buckets
    only, sharpen the estimate, so that few pairs below the threshold are left to
    confirm.  Pairs inside a component are never formed: a group of copies costs one pair
-   per copy, and no link between components is lost.
+   per copy, and no link between components is lost.  Rows of a hot bucket or leader
+   are dealt over tiles.
 """
 
 from __future__ import annotations
@@ -37,14 +39,19 @@ from .components import components
 
 WORDS = 5
 PERCENT = 75
-BANDS, ROWS, BITS = 32, 4, 4
-PERMUTATIONS = BANDS * ROWS
+ROWS, BITS = 4, 4
+PERMUTATIONS = 128
+# Every minimum is in one band of neighbours; the first ones are dealt to further bands apart.
+NEAR_BANDS, FAR_BANDS = PERMUTATIONS // ROWS, 16
+BANDS = NEAR_BANDS + FAR_BANDS
 PLANE_WORDS = PERMUTATIONS // 64
-# Share of equal places that a pair must show: similarity 0.55, five deviations below 0.75.
+# Estimates that a pair must reach: five deviations of each signature below 0.75.
 LEAST_SIMILARITY = 0.55
-# The same by five deviations of the deeper signature.
 DEEP_WORDS = 16
-DEEP_SIMILARITY = 0.684
+DEEP_SIMILARITY = 0.679
+# Estimates of sets with fewer shingles spread wider; their pairs are compared exactly.
+FEW_SHINGLES = 64
+TILE = 1000  # rows of a hot key that are joined in one place
 BLOCK = 1 << 16
 SEED = 20240229
 
@@ -89,15 +96,28 @@ def minima(sets: list[np.ndarray], first: int = 0, many: int = PERMUTATIONS) ->
 
 
 def bit_planes(least: np.ndarray) -> np.ndarray:
-    """The lowest BITS bits of each minimum, as BITS planes of bits in 64-bit words."""
+    """The lowest BITS bits of each mixed minimum, as BITS planes of bits in 64-bit words.
+
+    Low bits of a product depend on low bits only; mixed, they depend on all of them.
+    """
+    least = (least ^ (least >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    least = (least ^ (least >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    least ^= least >> np.uint32(16)
     planes = [np.packbits((least >> k) & 1, axis=1, bitorder="little") for k in range(BITS)]
     return np.concatenate(planes, axis=1).view("<i8")
 
 
+def band_places() -> np.ndarray:
+    """The places of the minima of every band: ROWS neighbours, or ROWS places far from each other."""
+    near = np.arange(PERMUTATIONS).reshape(NEAR_BANDS, ROWS)
+    far = np.arange(PERMUTATIONS).reshape(ROWS, PERMUTATIONS // ROWS).T[:FAR_BANDS]
+    return np.concatenate([near, far])
+
+
 def band_hashes(least: np.ndarray) -> np.ndarray:
     """One hash for each band of ROWS minima, different for equal minima of other bands."""
     out = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None], len(least), axis=0)
-    grouped = least.reshape(len(least), BANDS, ROWS).astype(np.uint64)
+    grouped = least[:, band_places()].astype(np.uint64)
     for k in range(ROWS):
         out = _mixed(out * MIX + grouped[:, :, k])
     return out.view(np.int64)
@@ -156,12 +176,27 @@ def deeply_estimated(a: Column, b: Column) -> Column:
     return (1 - different / (64 * DEEP_WORDS) - chance) / (1 - chance)
 
 
+def dealt(many: DataFrame, few: DataFrame, key: str, by: str, size: int = TILE) -> DataFrame:
+    """``many`` joined to ``few`` on ``key``, rows of a key with more than ``size`` dealt over tiles by ``by``.
+
+    Every tile meets all rows of ``few``, so no pair is lost and no task has a whole hot key.
+    """
+    hot = many.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("n")).where(F.col("n") > size)
+    hot = held(hot.select("__hot", F.ceil(F.col("n") / size).cast("int").alias("__tiles")))
+    tiles = F.coalesce("__tiles", F.lit(1))
+    left = many.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__tile", F.pmod(F.xxhash64(by), tiles).cast("int"))
+    right = few.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__tile", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    dropped = ["__hot", "__tiles"]
+    return left.drop(*dropped).join(right.drop(*dropped), [key, "__tile"]).drop("__tile")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
-    return pairs.join(right, "b").join(left, "a").where(100 * common >= percent * union).select("a", "b").distinct()
+    both = dealt(dealt(pairs, right, "b", "a"), left, "a", "b")
+    return both.where(100 * common >= percent * union).select("a", "b").distinct()
 
 
 def _sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -193,18 +228,21 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     docs = documents.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text"))
     signed = materialize(signatures(docs, "text").drop("text"), "minhash-signatures")
     usable = signed.where("doc is not null and set_key is not null")
-    nodes = usable.groupBy("set_key").agg(F.min("doc").alias("node"), F.first("planes").alias("planes"), F.first("bands").alias("bands"))
+    nodes = usable.groupBy("set_key").agg(F.min("doc").alias("node"), F.first("n_shingles").alias("n"), F.first("planes").alias("planes"), F.first("bands").alias("bands"))
     nodes = materialize(nodes, "minhash-nodes")
 
     in_bands = nodes.select(F.explode("bands").alias("band"), "node")
     shared = in_bands.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.min_by("node", F.xxhash64("node")).alias("any")).where("n > 1")
     members = in_bands.join(shared.drop("n"), "band")
-    planes = nodes.select("node", "planes")
+    planes = nodes.select("node", "n", "planes")
     members = materialize(members.join(planes, "node"), "minhash-buckets")
 
-    near = lambda a, b: estimated(F.col(a), F.col(b)) >= LEAST_SIMILARITY
-    leaders = members.select(F.explode(F.array("low", "high", "any")).alias("a"), F.col("node").alias("b"), "planes").where("a <> b").distinct()
-    led = leaders.join(planes.select(F.col("node").alias("a"), F.col("planes").alias("planes_a")), "a").where(near("planes_a", "planes"))
+    few = lambda a, b: F.least(a, b) < FEW_SHINGLES
+    alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    near = lambda x, y: estimated(F.col(f"planes{x}"), F.col(f"planes{y}")) >= LEAST_SIMILARITY
+    leaders = members.select(F.explode(F.array("low", "high", "any")).alias("a"), F.col("node").alias("b"), "n", "planes").where("a <> b").distinct()
+    led = dealt(leaders, planes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("planes").alias("planes_a")), "a", "b")
+    led = led.where(alike("n_a", "n") & (few("n_a", "n") | near("_a", "")))
     first = materialize(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-pairs")
 
     texts = docs.select(F.col("doc").alias("node"), "text")
@@ -217,17 +255,19 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     placed = placed.join(of_leader, "low", "left").withColumn("main", F.coalesce("main", "low"))
     placed = materialize(placed.select("band", "node", "planes", "component", "main"), "minhash-placed")
     unreached = placed.where("component <> main").select("band").distinct()
-    deep = sets.select("node", "deep", F.size("set").alias("n")).join(nodes.select("node", "bands"), "node")
+    deep = sets.select("node", "deep").join(nodes.select("node", "n", "bands"), "node")
     placed = materialize(placed.join(unreached, "band", "left_semi").join(deep, "node"), "minhash-unreached")
     side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("node", "planes", "component", "bands", "deep", "n")]
     left = placed.where("component <> main").select("band", "main", *side("x"))
     right = placed.select("band", *side("y"))
     # A pair of two members outside the leader's component comes up twice: take it once.
     once = (F.col("component_y") == F.col("main")) | (F.col("node_x") < F.col("node_y"))
-    sizes = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
     in_first = F.array_intersect("bands_x", "bands_y")[0] == F.col("band")
     deeply = deeply_estimated(F.col("deep_x"), F.col("deep_y")) >= DEEP_SIMILARITY
-    across = left.join(right, "band").where((F.col("component_x") != F.col("component_y")) & once & sizes & near("planes_x", "planes_y") & in_first & deeply)
+    likely = few("n_x", "n_y") | (near("_x", "_y") & deeply)
+    # A band that many unlike documents share is cut into tiles.
+    met = dealt(left, right, "band", "node_x")
+    across = met.where((F.col("component_x") != F.col("component_y")) & once & alike("n_x", "n_y") & in_first & likely)
     second = across.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
     second = materialize(second.join(first, ["a", "b"], "left_anti"), "minhash-pairs")
     all_links = links.unionByName(_confirm(second, sets, percent))

@@ -72,6 +72,34 @@ def test_chains_through_a_hot_bucket(spark):
     assert got == brute_near(rows)
 
 
+def test_pairs_of_few_shingles_at_the_threshold(spark):
+    """Unions of 4, 8, 12 and 20 shingles, of which exactly three quarters are common."""
+    rows = []
+    for k in range(1500):
+        union = (4, 8, 12, 20)[k % 4]
+        words = [f"{k}w{j}" for j in range(union + 4)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: 3 * union // 4 + 4]))]
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in bbit_minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {d: (d - d % 2, d % 2 == 0) for d in range(3000)}
+
+
+def test_one_band_over_many_unlike_documents(spark, monkeypatch):
+    """A passage all share puts unlike documents into the same bands; tiles lose none of the few links."""
+    monkeypatch.setattr(bbit_minhash, "TILE", 7)
+    random.seed(12)
+    passage = " ".join(f"common{j}" for j in range(70))
+    rows = []
+    for k in range(240):
+        own = [f"{k if k % 12 else k // 24}own{j}" for j in range(70 + k % 5)]
+        rows.append((k, f"{passage} {' '.join(own)}"))
+    got = {r["doc_id"]: tuple(r)[1:] for r in bbit_minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    expected = brute_near(rows)
+    assert got == expected and len({e[1] for e in expected.values()}) < 240
+    many = spark.createDataFrame([(1, k) for k in range(50)] + [(2, 0), (None, 1)], "a bigint, b bigint")
+    few = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "a bigint, c string")
+    assert sorted(map(tuple, bbit_minhash.dealt(many, few, "a", "b").select("a", "b", "c").collect())) == sorted([(1, k, c) for k in range(50) for c in "xy"] + [(2, 0, "z")])
+
+
 def test_near_duplicates_of_odd_rows(spark):
     long = " ".join(f"v{k}" for k in range(30_000))
     rows = [(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "a b c"), (None, None), (9, long), (8, long + " end"), (7, "a b c")]
