@@ -11,7 +11,8 @@
    new is found.  Links are verified in double precision.
 5. Recall is audited on hashed nodes that have true links, against all rows, as the mean
    share of a node's linked nodes that was found; the choice grows until enough such
-   nodes are in it or ``AUDIT_PAIRS`` are compared.  While recall is below the target,
+   nodes are in it or ``AUDIT_PAIRS`` are compared.  If none of them has a link, nodes
+   with found links are audited in their place.  While recall is below the target,
    the search is repeated with twice as many shards visited, then with a wider beam, and
    at last with whole blocks compared.  The result of the audit is logged.
 
@@ -46,6 +47,7 @@ DEGREE, CANDIDATES, ALPHA = 24, 48, 1.2
 BEAM, STRIDE, SLACK = 24, 4, 0.04
 AUDIT_ROWS, AUDIT_RECALL = 200, 0.97
 AUDIT_PAIRS = 2_000_000_000
+AUDIT_BYTES = 64 << 20  # of vectors on the driver at once
 SEED = 7
 
 log = logging.getLogger(__name__)
@@ -59,14 +61,25 @@ class Audit(NamedTuple):
     chosen: int
 
 
-def nodes_of(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(node, copies, vector) of the distinct usable vectors, as doubles of length one."""
-    v = F.col(f"`{vector}`")
-    usable = (
-        v.isNotNull() & F.col(f"`{key}`").isNotNull() & (F.size(v) > 0)
+def one_per_id(rows: DataFrame) -> DataFrame:
+    """(id, raw) with one usable vector for every id: of several, the first by its numbers.
+
+    Only rows of ids that repeat are grouped, each group in parts before it meets.
+    """
+    v = F.col("raw")
+    usable = rows.where(
+        v.isNotNull() & F.col("id").isNotNull() & (F.size(v) > 0)
         & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     )
-    return vectors.where(usable).groupBy(v.alias("raw")).agg(F.min(F.col(f"`{key}`")).alias("node"), F.count("*").alias("copies"))
+    again = held(usable.groupBy("id").count().where("count > 1").select(F.col("id").alias("again")))
+    single = usable.join(again, F.col("id") == F.col("again"), "left_anti")
+    several = usable.join(again, F.col("id") == F.col("again"), "left_semi").groupBy("id").agg(F.min("raw").alias("raw"))
+    return single.unionByName(several)
+
+
+def nodes_of(vectors: DataFrame) -> DataFrame:
+    """(node, copies, raw) of the different vectors of (id, raw) rows."""
+    return vectors.groupBy("raw").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
 
 
 def unit(raw: Iterable) -> np.ndarray:
@@ -262,21 +275,36 @@ def _spread(df: DataFrame, counts: dict[int, int], size: int, column: str) -> Da
 def audit(nodes: DataFrame, total: int, links: DataFrame, least: float, rows: int = AUDIT_ROWS) -> Audit:
     """Recall over hashed nodes, until ``rows`` of them have true links or AUDIT_PAIRS are compared.
 
-    Every node with links weighs the same, and copies of a vector do not count.
+    If none has a true link, ``rows`` hashed nodes with found links are audited: a result
+    that is not empty is never accepted unmeasured.  Every node with links weighs the
+    same, and copies of a vector do not count.
     """
-    most = min(total, max(rows, AUDIT_PAIRS // max(1, total)))
+    width = nodes.agg(F.max(F.size("raw"))).first()[0] or 1
+    most = min(total, max(rows, min(AUDIT_PAIRS // max(1, total), AUDIT_BYTES // (8 * width))))
+    hashed = nodes.select("node", "raw", F.pmod(F.xxhash64("node"), F.lit(1 << 62)).alias("h"))
     shares: list[float] = []
     done, last = 0, -1
+
+    def next_ones(source: DataFrame, size: int) -> list:
+        chosen = source.where(F.col("h") > last).orderBy("h", "node").limit(size)
+        return chosen.join(links, "node", "left").select("node", "raw", "h", F.coalesce("others", F.lit(0)).alias("n")).collect()
+
+    def recalls(chosen: list) -> list[float]:
+        true = _true_links(nodes, [(r["node"], r["raw"]) for r in chosen], least)
+        return [min(r["n"], true[r["node"]]) / true[r["node"]] for r in chosen if true.get(r["node"])]
+
     while done < most and len(shares) < rows:
-        size = min(rows if done == 0 else 3 * done, most - done)
-        chosen = nodes.select("node", "raw", F.pmod(F.xxhash64("node"), F.lit(1 << 62)).alias("h")).where(F.col("h") > last).orderBy("h", "node").limit(size)
-        chosen = chosen.join(links, "node", "left").select("node", "raw", "h", F.coalesce("others", F.lit(0)).alias("n")).collect()
+        chosen = next_ones(hashed, min(rows if done == 0 else 3 * done, most - done))
         if not chosen:
             break
-        true = _true_links(nodes, [(r["node"], r["raw"]) for r in chosen], least)
-        shares += [min(r["n"], true[r["node"]]) / true[r["node"]] for r in chosen if true.get(r["node"])]
+        shares += recalls(chosen)
         done += len(chosen)
         last = max(r["h"] for r in chosen)
+    if not shares:
+        last = -1
+        chosen = next_ones(hashed.join(links.select("node"), "node", "left_semi"), rows)
+        shares = recalls(chosen) if chosen else []
+        done += len(chosen) if shares else 0
     return Audit(float(np.mean(shares)) if shares else None, len(shares), done)
 
 
@@ -314,11 +342,13 @@ def linked_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embed
 
     Vectors that are null, empty or zero, or hold null or non-finite components, and
     rows with a null key, link with nothing.  Vectors of different lengths do not link.
-    Equal vectors link with each other.  Other columns are not read.
+    Equal vectors link with each other.  Rows that repeat a key are one vector, of several
+    the first by its numbers, and all have its result.  Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("raw"))
-    nodes = materialize(nodes_of(rows, "id", "raw"), "vector-nodes")
+    chosen = materialize(one_per_id(rows), "vector-rows")
+    nodes = materialize(nodes_of(chosen), "vector-nodes")
     total = nodes.count()
     share = min(1.0, SAMPLE_ROWS / max(1, total))
     sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30))).select("node", "raw").toArrow().sort_by("node")["raw"].to_pylist()
@@ -345,8 +375,8 @@ def linked_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embed
     found = components(edges, "vector-components")
     per_node = nodes.select("raw", "node", "copies").join(links, "node", "left").join(found, "node", "left")
     per_node = per_node.select("raw", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    usable = rows.where("id is not null").join(per_node, "raw", "left").select("id", "n_links", "component")
-    joined = usable.unionByName(rows.where("id is null").select("id", F.lit(0).cast("bigint").alias("n_links"), F.lit(None).cast("bigint").alias("component")))
+    per_id = chosen.join(per_node, "raw").select(F.col("id").alias("of"), "n_links", "component")
+    joined = rows.select("id").join(per_id, F.col("id") == F.col("of"), "left")
     component = F.coalesce("component", "id")
     return joined.select(
         F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")

@@ -167,6 +167,28 @@ def test_vectors_without_ids_or_rows(spark):
     assert vector_graph.linked_vectors(df.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_one_vector(spark):
+    v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, v), (1, v), (3, v), (5, v), (5, w), (6, w), (7, v), (7, None), (8, w)] + [(9, w)] * 30
+    got = {tuple(r) for r in vector_graph.linked_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    # Of 5, the vector that is first by its numbers counts.
+    assert got == {(1, 2, 1, True), (3, 2, 1, False), (7, 2, 1, False), (5, 3, 5, True), (6, 3, 5, False), (8, 3, 5, False), (9, 3, 5, False)}
+    assert vector_graph.linked_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).count() == len(rows)
+
+
+def test_found_links_are_audited_if_no_chosen_node_has_any(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "AUDIT_PAIRS", 0)
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(3000, 24))
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x)] + [(4000 + j, (x[0] + rng.normal(size=24) * 0.01).tolist(), 1) for j in range(2)]
+    nodes = spark.createDataFrame(rows, "node bigint, raw array<double>, copies bigint")
+    # One of the two links of each node was found.
+    links = spark.createDataFrame([(0, 1, 1), (4000, 1, 1)], "node bigint, n bigint, others bigint")
+    assert vector_graph.audit(nodes, len(rows), links, 0.95, 5) == (0.5, 2, 7)
+    none = links.limit(0)
+    assert vector_graph.audit(nodes, len(rows), none, 0.95, 5).recall is None
+
+
 def test_sharded_search_keeps_recall(spark, monkeypatch):
     """Many small shards, some split, some queries in several chunks."""
     monkeypatch.setattr(vector_graph, "SHARD_ROWS", 60)
