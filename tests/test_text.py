@@ -101,3 +101,15 @@ def test_template_keeps_unknown_slots(spark):
 
 def test_preview_is_fifty_characters(spark):
     assert one(spark, "x" * 80, X.preview) == "x" * 50 + "..."
+
+
+@pytest.mark.parametrize("most, chars", [(100_000, 4_000_000), (2, 40), (1, 30)])
+def test_frequent_forms_by_map_and_others_by_join(spark, monkeypatch, most, chars):
+    """One form in half of all rows; the map takes the most frequent, the rest is joined; same rows."""
+    monkeypatch.setattr(words.lemma_map, "__defaults__", (most, chars))
+    texts = ["cats and cats", "dogs", "cats dogs mice", "", None, "nothing", "mice " * 3, "averyverylongformindeed cats"] + ["cats sleep"] * 12
+    table = spark.createDataFrame([("cats", "cat"), ("dogs", "dog"), ("mice", "mouse"), ("averyverylongformindeed", "long"), ("unused", "x")], "form string, lemma string")
+    rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    got = {r["id"]: r["lemma_text"] for r in words.lemmatize(rows, "id", "t", table).collect()}
+    of = {"cats": "cat", "dogs": "dog", "mice": "mouse", "averyverylongformindeed": "long"}
+    assert got == {k: None if t is None else " ".join(of.get(w, w) for w in t.split(" ")) for k, t in enumerate(texts)}
