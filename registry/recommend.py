@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from shelfkin.operators import neighbours as N
 from shelfkin.operators import similarity as M
 from shelfkin.operators.embedding import embed_text
 from shelfkin.plans import recommend as R
@@ -125,9 +126,27 @@ def from_descriptions(spark, sf):
     ).select("query_id", "rank", "id", "name", "score")
 
 
+def similar(spark, sf):
+    """All entries of 0.3 or more, between classes of equal vectors."""
+    return N.similar_classes(vectors(spark, sf), 0.3, 0.7, 0.3)[0]
+
+
+def similar_by_distance(spark, sf):
+    return N.similar_classes(vectors(spark, sf).withColumn("image", F.lit(None).cast("array<double>")), 0.8, metric="euclidean")[0]
+
+
+def class_members(spark, sf):
+    """Classes of vectors that hold only their signs, so that several are equal."""
+    signs = vectors(spark, sf).select("id", F.transform(F.slice("text", 1, 6), F.signum).alias("text"), F.lit(None).cast("array<double>").alias("image"))
+    return N.vector_classes(signs)[1]
+
+
 QUERIES = {
     "v1_similarity_row": matrix_row,
     "v1_similarity_entries": matrix_entries,
+    "v1_similar_classes": similar,
+    "v1_similar_by_distance": similar_by_distance,
+    "v1_class_members": class_members,
     "v2_text_score": lambda spark, sf: M.text_scores(vectors(spark, sf), QUERY, 0.7),
     "v3_image_score": lambda spark, sf: M.image_scores(vectors(spark, sf), QUERY, 0.3),
     "v4_blend": score(text_weight=0.7, image_weight=0.3),
@@ -186,6 +205,16 @@ SQL = {
         pairs AS (SELECT l_partkey AS id_a, l_suppkey AS id_b FROM lineitem UNION SELECT id, id FROM vectors)
         SELECT id_a, id_b, round({text_cosine('a.text', 'b.text')}, 6) + 0.0 AS score
         FROM pairs JOIN vectors a ON a.id = id_a JOIN vectors b ON b.id = id_b""",
+    "v1_similar_classes": f"""WITH {VECTORS},
+        classes AS (SELECT min(id) AS id, text, image FROM vectors GROUP BY text, image)
+        SELECT a.id AS class_a, b.id AS class_b, {blend('a', 'b', 0.7, 0.3)} AS score
+        FROM classes a JOIN classes b ON a.id < b.id WHERE {blend('a', 'b', 0.7, 0.3)} >= 0.3""",
+    "v1_similar_by_distance": f"""WITH {VECTORS},
+        classes AS (SELECT min(id) AS id, text FROM vectors GROUP BY text)
+        SELECT a.id AS class_a, b.id AS class_b, round(list_distance(a.text, b.text), 6) AS score
+        FROM classes a JOIN classes b ON a.id < b.id WHERE round(list_distance(a.text, b.text), 6) <= 0.8""",
+    "v1_class_members": f"""WITH {VECTORS}, signs AS (SELECT id, list_transform(text[1:6], lambda x: sign(x)) AS s FROM vectors)
+        SELECT id, min(id) OVER (PARTITION BY s) AS "class" FROM signs""",
     "v2_text_score": f"""WITH {VECTORS} SELECT b.id, round({text_cosine('a.text', 'b.text')} * 0.7, 6) + 0.0 AS text_score
         FROM vectors a, vectors b WHERE a.id = {QUERY}""",
     "v3_image_score": f"""WITH {VECTORS} SELECT b.id, round({image_cosine('a.image', 'b.image')} * 0.3, 6) + 0.0 AS image_score

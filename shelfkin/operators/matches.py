@@ -212,16 +212,16 @@ def route_queries(
     return queries.mapInArrow(route, f"{fields}, floor double, groups array<int>")
 
 
-def compare_tiles(
-    routed: DataFrame, assigned: DataFrame, sizes: np.ndarray, group_of_cell: np.ndarray, shape: tiles.Shape, keep: int, tile: int, metric: str
-) -> DataFrame:
-    """(q1, q2, ids, first_id, score): the ``keep`` best of each pair of tiles."""
+def tile_sides(
+    routed: DataFrame, assigned: DataFrame, sizes: np.ndarray, group_of_cell: np.ndarray, tile: int, metric: str
+) -> tuple[DataFrame, DataFrame]:
+    """Visitors and members of every group, each row with the (group, item_tile, query_tile) it is compared in."""
     spark = routed.sparkSession
     visits = routed.withColumn("group", F.explode("groups")).drop("groups")
     visitors = {r["group"]: r["n"] for r in visits.groupBy("group").agg(F.count("*").alias("n")).collect()}
     members = np.bincount(group_of_cell, weights=sizes)
     compared, every = sum(n * members[g] for g, n in visitors.items()), routed.count() * members.sum()
-    LOG.info("top-k join by %s: %d of %d comparisons (%.4f)", metric, compared, every, compared / max(1, every))
+    LOG.info("join of vectors by %s: %d of %d comparisons (%.4f)", metric, compared, every, compared / max(1, every))
     cuts = {g: (math.ceil(members[g] / tile), math.ceil(n / tile)) for g, n in visitors.items()}
     # One row per group or cell, so at most MAX_PIVOTS rows.
     query_cut = F.broadcast(
@@ -245,6 +245,17 @@ def compare_tiles(
         .withColumn("query_tile", F.explode(F.sequence(F.lit(0), F.col("query_tiles") - 1)))
         .drop("item_tiles", "query_tiles", "k1", "cell")
     )
+    return left, right
+
+
+TILE_KEYS = ["group", "item_tile", "query_tile"]
+
+
+def compare_tiles(
+    routed: DataFrame, assigned: DataFrame, sizes: np.ndarray, group_of_cell: np.ndarray, shape: tiles.Shape, keep: int, tile: int, metric: str
+) -> DataFrame:
+    """(q1, q2, ids, first_id, score): the ``keep`` best of each pair of tiles."""
+    left, right = tile_sides(routed, assigned, sizes, group_of_cell, tile, metric)
     out = pa.schema([
         ("q1", pa.int64()), ("q2", pa.int64()), ("ids", pa.list_(pa.int64())),
         ("first_id", pa.int64()), ("score", pa.float64()),
@@ -263,10 +274,9 @@ def compare_tiles(
         q1, q2 = (pa.array(tiles.numbers(queries[c])[rows]) for c in ("q1", "q2"))
         return pa.Table.from_arrays([q1, q2, ids.take(pa.array(cols)), pa.array(first[cols]), pa.array(value)], schema=out)
 
-    keys = ["group", "item_tile", "query_tile"]
     return (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
+        left.groupBy(*TILE_KEYS)
+        .cogroup(right.groupBy(*TILE_KEYS))
         .applyInArrow(compare, "q1 long, q2 long, ids array<long>, first_id long, score double")
     )
 
@@ -297,6 +307,21 @@ def one_cell(items: DataFrame, count: int) -> tuple[DataFrame, np.ndarray]:
     return items.withColumn("cell", F.lit(0)), np.array([count])
 
 
+def celled_items(
+    packed: DataFrame, count: int, shape: tiles.Shape, tile: int, max_pivots: int, metric: str
+) -> tuple[DataFrame, tiles.Cells | bounds.MetricCells, np.ndarray]:
+    """Items with their cells, what is known of the cells, and the group of each cell."""
+    pivot_count = min(max_pivots, math.ceil(count / min(CELL_ROWS, tile)))
+    pivots = tiles.matrix(packed.orderBy("k1", "k2").limit(pivot_count).select("vec").toArrow()["vec"], shape.width)
+    if metric == "cosine":
+        assigned = materialize(assign_cells(packed, pivots, shape), "assigned-items")
+        cells = describe_cells(assigned, pivots)
+        return assigned, cells, tiles.cell_groups(cells, tile, shape)
+    assigned = materialize(assign_metric_cells(packed, pivots, shape, metric), "assigned-items")
+    cells = describe_metric_cells(assigned, pivots)
+    return assigned, cells, metric_groups(cells, tile, shape)
+
+
 def top_matches(
     queries: DataFrame,
     items: DataFrame,
@@ -334,16 +359,7 @@ def top_matches(
     different = keyed.select("q1", "q2", vec, "text_weight", "image_weight").dropDuplicates(["q1", "q2"])
 
     if count > tile:
-        pivot_count = min(max_pivots, math.ceil(count / min(CELL_ROWS, tile)))
-        pivots = tiles.matrix(packed.orderBy("k1", "k2").limit(pivot_count).select("vec").toArrow()["vec"], shape.width)
-        if metric == "cosine":
-            assigned = materialize(assign_cells(packed, pivots, shape), "assigned-items")
-            cells = describe_cells(assigned, pivots)
-            group_of_cell = tiles.cell_groups(cells, tile, shape)
-        else:
-            assigned = materialize(assign_metric_cells(packed, pivots, shape, metric), "assigned-items")
-            cells = describe_metric_cells(assigned, pivots)
-            group_of_cell = metric_groups(cells, tile, shape)
+        assigned, cells, group_of_cell = celled_items(packed, count, shape, tile, max_pivots, metric)
         sizes = cells.size
         routed = route_queries(different, cells, group_of_cell, shape, keep, metric)
     else:

@@ -207,6 +207,14 @@ def cells_to_visit(
     with ``keep`` members.  A cell whose upper bound lies below them is skipped, and
     no other cell is.
     """
+    middle, reach, shift = score_span(queries, weights, cells, shape)
+    lowest = np.where(cells.size >= keep, middle - reach - shift, -np.inf).max(axis=1) - ROUNDING_SLACK
+    floor = np.maximum(rounded(kth_best(scores(queries, weights, cells.pivots, shape), keep)), lowest)
+    return (cells.size > 0) & (middle + reach + shift >= floor[:, None] - ROUNDING_SLACK), floor
+
+
+def score_span(queries: np.ndarray, weights: np.ndarray, cells: Cells, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Q.p, |Q| r and what the image epsilon can shift, for every query and cell."""
     unit = unit_parts(queries, shape)
     unit[:, : shape.text] *= weights[:, :1]
     unit[:, shape.text :] *= weights[:, 1:]
@@ -216,7 +224,4 @@ def cells_to_visit(
     lengths = np.outer(query_norm[query_norm > 0], cells.least_image_norm)
     shift[query_norm > 0] = IMAGE_EPSILON / (lengths + IMAGE_EPSILON)
     shift *= np.abs(weights[:, 1:])
-    middle = unit @ unit_parts(cells.pivots, shape).T
-    lowest = np.where(cells.size >= keep, middle - reach - shift, -np.inf).max(axis=1) - ROUNDING_SLACK
-    floor = np.maximum(rounded(kth_best(scores(queries, weights, cells.pivots, shape), keep)), lowest)
-    return (cells.size > 0) & (middle + reach + shift >= floor[:, None] - ROUNDING_SLACK), floor
+    return unit @ unit_parts(cells.pivots, shape).T, reach, shift
