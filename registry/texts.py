@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from shelfkin.functions import text as X
 from shelfkin.operators import embedding, words
+from shelfkin.operators.pictures import CHANNEL_MEAN, CHANNEL_STD
 from shelfkin.plans import standins as S
 from shelfkin.plans.build_vectors import store_vectors
 from shelfkin.session import scratch_dir
@@ -70,8 +71,10 @@ def tensors(spark, sf):
 
 
 def image_vectors(spark, sf):
+    """Width, and the mean of red in the first cell, turned back into the sum of its 56 x 56 bytes."""
     vectors = embedding.embed_images(decoded(spark, sf), "id")
-    return vectors.select("id", F.array_size("vector").alias("width"), F.round(F.element_at("vector", 1), 4).alias("first_mean"))
+    red = (F.element_at("vector", 1) * CHANNEL_STD[0] + CHANNEL_MEAN[0]) * 255 * 56 * 56
+    return vectors.select("id", F.array_size("vector").alias("width"), F.round(red).cast("long").alias("first_red_sum"))
 
 
 def kept_vectors(spark, sf):
@@ -180,3 +183,14 @@ SQL["i1_image_tensors"] = f"""
     SELECT vec_id AS id, 150528 AS width,
            round((round_even((63 * {_ACROSS[0]} + {_ACROSS[1]}) / 64, 0) / 255 - 0.485) / 0.229, 3) AS first_red
     FROM embeddings WHERE label NOT IN (3, 5)"""
+
+# Bytes of the first cell: both passes of the enlargement by 32, rounded one after the other.
+SQL["i2_embed_images"] = """
+    WITH places AS (SELECT range AS k, floor((range + 16.5) / 32 - 0.5)::BIGINT AS low, (range + 16.5) / 32 - 0.5 - floor((range + 16.5) / 32 - 0.5) AS part FROM range(56)),
+    greys AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda v: greatest(0, least(255, round(v * 400 + 128)))) AS g
+              FROM embeddings WHERE label NOT IN (3, 5)),
+    across AS (SELECT id, r.range AS r, k AS x, round_even(g[r.range * 8 + low + 1] * (1 - part) + g[r.range * 8 + low + 2] * part, 0) AS v
+               FROM greys, range(4) r, places),
+    columns_ AS (SELECT id, x, list(v ORDER BY r) AS c FROM across GROUP BY id, x),
+    sums AS (SELECT id, sum(round_even(c[low + 1] * (1 - part) + c[low + 2] * part, 0))::BIGINT AS first_red_sum FROM columns_, places GROUP BY id)
+    SELECT vec_id AS id, CASE WHEN first_red_sum IS NOT NULL THEN 96 END AS width, first_red_sum FROM embeddings LEFT JOIN sums ON id = vec_id"""

@@ -56,4 +56,5 @@ def colour_grid(tensor: np.ndarray) -> np.ndarray:
     """Mean and deviation of each channel in each cell of a 4 x 4 grid."""
     channels, side = tensor.shape[0], tensor.shape[1] // GRID
     cells = tensor.reshape(channels, GRID, side, GRID, side)
-    return np.concatenate([cells.mean(axis=(2, 4)).ravel(), cells.std(axis=(2, 4)).ravel()])
+    exact = {"axis": (2, 4), "dtype": np.float64}
+    return np.concatenate([cells.mean(**exact).ravel(), cells.std(**exact).ravel()])
