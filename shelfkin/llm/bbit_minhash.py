@@ -8,8 +8,8 @@
 3. Buckets are bands with two nodes or more.  Candidate pairs are judged by comparing bit
    planes: the share of equal places, less the share that agrees by chance, estimates
    the similarity.  Only pairs at five standard deviations below the threshold or
-   better go on, and all pairs with a set of fewer than 64 shingles whose sizes allow
-   the threshold: estimates of few shingles spread wider.
+   better go on; for sets of fewer than 64 shingles, seven.  Simulated pairs of 4 to 40
+   shingles at 0.75 spread as computed: 0.040 for 128 minima, 0.0141 for 1024.
 4. First every node meets the leaders of its buckets; links are confirmed on the full
    sets and joined to components.  Then the members that a bucket's leader did not
    reach meet all other members of the bucket that are in another component, each pair
@@ -49,8 +49,8 @@ PLANE_WORDS = PERMUTATIONS // 64
 LEAST_SIMILARITY = 0.55
 DEEP_WORDS = 16
 DEEP_SIMILARITY = 0.679
-# Estimates of sets with fewer shingles spread wider; their pairs are compared exactly.
-FEW_SHINGLES = 64
+# Sets of few shingles must reach estimates seven deviations below only: a chance below 1e-11.
+FEW_SHINGLES, FEW_SIMILARITY, FEW_DEEP_SIMILARITY = 64, 0.47, 0.65
 TILE = 1000  # rows of a hot key that are joined in one place
 BLOCK = 1 << 16
 SEED = 20240229
@@ -237,12 +237,12 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     planes = nodes.select("node", "n", "planes")
     members = materialize(members.join(planes, "node"), "minhash-buckets")
 
-    few = lambda a, b: F.least(a, b) < FEW_SHINGLES
+    gate = lambda a, b, many, few: F.when(F.least(a, b) < FEW_SHINGLES, few).otherwise(many)
     alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    near = lambda x, y: estimated(F.col(f"planes{x}"), F.col(f"planes{y}")) >= LEAST_SIMILARITY
+    near = lambda x, y: estimated(F.col(f"planes{x}"), F.col(f"planes{y}")) >= gate(f"n{x}", f"n{y}", LEAST_SIMILARITY, FEW_SIMILARITY)
     leaders = members.select(F.explode(F.array("low", "high", "any")).alias("a"), F.col("node").alias("b"), "n", "planes").where("a <> b").distinct()
     led = dealt(leaders, planes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("planes").alias("planes_a")), "a", "b")
-    led = led.where(alike("n_a", "n") & (few("n_a", "n") | near("_a", "")))
+    led = led.where(alike("n_a", "n") & near("_a", ""))
     first = materialize(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-pairs")
 
     texts = docs.select(F.col("doc").alias("node"), "text")
@@ -263,11 +263,10 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     # A pair of two members outside the leader's component comes up twice: take it once.
     once = (F.col("component_y") == F.col("main")) | (F.col("node_x") < F.col("node_y"))
     in_first = F.array_intersect("bands_x", "bands_y")[0] == F.col("band")
-    deeply = deeply_estimated(F.col("deep_x"), F.col("deep_y")) >= DEEP_SIMILARITY
-    likely = few("n_x", "n_y") | (near("_x", "_y") & deeply)
+    deeply = deeply_estimated(F.col("deep_x"), F.col("deep_y")) >= gate("n_x", "n_y", DEEP_SIMILARITY, FEW_DEEP_SIMILARITY)
     # A band that many unlike documents share is cut into tiles.
     met = dealt(left, right, "band", "node_x")
-    across = met.where((F.col("component_x") != F.col("component_y")) & once & alike("n_x", "n_y") & in_first & likely)
+    across = met.where((F.col("component_x") != F.col("component_y")) & once & alike("n_x", "n_y") & in_first & near("_x", "_y") & deeply)
     second = across.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
     second = materialize(second.join(first, ["a", "b"], "left_anti"), "minhash-pairs")
     all_links = links.unionByName(_confirm(second, sets, percent))

@@ -83,6 +83,21 @@ def test_pairs_of_few_shingles_at_the_threshold(spark):
     assert got == {d: (d - d % 2, d % 2 == 0) for d in range(3000)}
 
 
+@pytest.mark.parametrize("union", [4, 12, 40])
+def test_estimates_of_few_shingles_spread_as_computed(union):
+    """The gates rest on deviations of independent places, also for sets of few shingles."""
+    rng = np.random.default_rng(union)
+    sets = list(rng.integers(0, 2**63, (8000, union)).astype(np.uint64))
+    parts = [s[: 3 * union // 4] for s in sets]
+    for first, many in ((0, 128), (128, 1024)):
+        a, b = (bbit_minhash.bit_planes(bbit_minhash.minima(x, first, many)).view(np.uint64).reshape(len(x), bbit_minhash.BITS, -1) for x in (sets, parts))
+        different = np.bitwise_count(np.bitwise_or.reduce(a ^ b, axis=1)).sum(axis=1)
+        estimate = (1 - different / many - 1 / 16) * 16 / 15
+        equal = 0.75 + 0.25 / 16
+        assert abs(estimate.mean() - 0.75) < 0.003
+        assert abs(estimate.std() / (math.sqrt(equal * (1 - equal) / many) * 16 / 15) - 1) < 0.05
+
+
 def test_one_band_over_many_unlike_documents(spark, monkeypatch):
     """A passage all share puts unlike documents into the same bands; tiles lose none of the few links."""
     monkeypatch.setattr(bbit_minhash, "TILE", 7)
