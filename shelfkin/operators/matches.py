@@ -9,6 +9,8 @@ How a large catalogue is handled:
   query visits a cell only if a proven upper bound of the cell's scores reaches the
   score it is already sure of (see ``tiles.cells_to_visit`` for the cosine and
   ``bounds.cells_in_reach`` for the other metrics): nothing is lost.
+* Tree.  With more items than the pivots can tell apart, each cell has leaves of its own
+  (see ``pivot_tree``), so a cell keeps its size when the table grows.
 * Groups.  Neighbouring cells are compared together, so that data without clusters,
   where no cell can be skipped, is not copied more often than plain tiles would be.
 * Tiles.  A group's items and its visitors are both cut by hash into tiles of bounded
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import logging
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import METRICS
 from ..session import materialize
-from . import bounds, tiles
+from . import bounds, pivot_tree, tiles
 
 LOG = logging.getLogger(__name__)
 
@@ -256,6 +258,14 @@ def compare_tiles(
 ) -> DataFrame:
     """(q1, q2, ids, first_id, score): the ``keep`` best of each pair of tiles."""
     left, right = tile_sides(routed, assigned, sizes, group_of_cell, tile, metric)
+    return left.groupBy(*TILE_KEYS).cogroup(right.groupBy(*TILE_KEYS)).applyInArrow(best_of_tiles(shape, keep, metric), FOUND)
+
+
+FOUND = "q1 long, q2 long, ids array<long>, first_id long, score double"
+
+
+def best_of_tiles(shape: tiles.Shape, keep: int, metric: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The comparison of one tile of queries with one tile of items."""
     out = pa.schema([
         ("q1", pa.int64()), ("q2", pa.int64()), ("ids", pa.list_(pa.int64())),
         ("first_id", pa.int64()), ("score", pa.float64()),
@@ -274,11 +284,7 @@ def compare_tiles(
         q1, q2 = (pa.array(tiles.numbers(queries[c])[rows]) for c in ("q1", "q2"))
         return pa.Table.from_arrays([q1, q2, ids.take(pa.array(cols)), pa.array(first[cols]), pa.array(value)], schema=out)
 
-    return (
-        left.groupBy(*TILE_KEYS)
-        .cogroup(right.groupBy(*TILE_KEYS))
-        .applyInArrow(compare, "q1 long, q2 long, ids array<long>, first_id long, score double")
-    )
+    return compare
 
 
 def merge_tiles(found: DataFrame, keep: int) -> DataFrame:
@@ -307,12 +313,35 @@ def one_cell(items: DataFrame, count: int) -> tuple[DataFrame, np.ndarray]:
     return items.withColumn("cell", F.lit(0)), np.array([count])
 
 
+def root_pivots(packed: DataFrame, many: int, shape: tiles.Shape) -> tuple[np.ndarray, list[int]]:
+    """The first items by content hash, which is as good as at random, and their hashes."""
+    rows = packed.orderBy("k1", "k2").limit(many).select("vec", "k1").toArrow()
+    return tiles.matrix(rows["vec"], shape.width), rows["k1"].to_pylist()
+
+
+def tree_found(packed: DataFrame, different: DataFrame, count: int, shape: tiles.Shape, keep: int, tile: int, max_pivots: int) -> DataFrame:
+    """The best of all tiles through two levels of cells, for the cosine."""
+    pivots, keys = root_pivots(packed, max_pivots, shape)
+    assigned = materialize(assign_cells(packed, pivots, shape), "assigned-items")
+    cells = describe_cells(assigned, pivots)
+    rooted = route_queries(different, cells, np.arange(len(pivots), dtype=np.int32), shape, keep)
+    visits = materialize(rooted.withColumn("cell", F.explode("groups")).drop("groups"), "root-visits")
+    found, leaves, routed = pivot_tree.tree_join(
+        assigned, cells, keys, visits, shape, keep, tile, min(CELL_ROWS, tile), best_of_tiles(shape, keep, "cosine"), FOUND
+    )
+    sizes = leaves.groupBy("cell", "group").agg(F.sum("n").alias("n"))
+    row = routed.join(sizes, ["cell", "group"]).agg(F.sum("n")).first()
+    every = different.count() * count
+    of = leaves.agg(F.count("*"), F.max("n"), F.avg("n")).first()
+    LOG.info("tree of %d roots and %d leaves of %.1f items, at most %d: %d of %d comparisons (%.4f)", len(pivots), of[0], of[2] or 0, of[1] or 0, row[0] or 0, every, (row[0] or 0) / max(1, every))
+    return found
+
+
 def celled_items(
     packed: DataFrame, count: int, shape: tiles.Shape, tile: int, max_pivots: int, metric: str
 ) -> tuple[DataFrame, tiles.Cells | bounds.MetricCells, np.ndarray]:
     """Items with their cells, what is known of the cells, and the group of each cell."""
-    pivot_count = min(max_pivots, math.ceil(count / min(CELL_ROWS, tile)))
-    pivots = tiles.matrix(packed.orderBy("k1", "k2").limit(pivot_count).select("vec").toArrow()["vec"], shape.width)
+    pivots, _ = root_pivots(packed, min(max_pivots, math.ceil(count / min(CELL_ROWS, tile))), shape)
     if metric == "cosine":
         assigned = materialize(assign_cells(packed, pivots, shape), "assigned-items")
         cells = describe_cells(assigned, pivots)
@@ -358,16 +387,18 @@ def top_matches(
     keyed = queries.withColumns({"q1": digest(1, *content), "q2": digest(2, *content)})
     different = keyed.select("q1", "q2", vec, "text_weight", "image_weight").dropDuplicates(["q1", "q2"])
 
-    if count > tile:
-        assigned, cells, group_of_cell = celled_items(packed, count, shape, tile, max_pivots, metric)
-        sizes = cells.size
-        routed = route_queries(different, cells, group_of_cell, shape, keep, metric)
+    if metric == "cosine" and count > tile and math.ceil(count / min(CELL_ROWS, tile)) > max_pivots:
+        found = tree_found(packed, different, count, shape, keep, tile, max_pivots)
     else:
-        assigned, sizes = one_cell(packed, count)
-        group_of_cell, routed = np.zeros(1, dtype=np.int32), route_everywhere(different)
-    routed = materialize(routed, "routed-queries")
-
-    found = compare_tiles(routed, assigned, sizes, group_of_cell, shape, keep, tile, metric)
+        if count > tile:
+            assigned, cells, group_of_cell = celled_items(packed, count, shape, tile, max_pivots, metric)
+            sizes = cells.size
+            routed = route_queries(different, cells, group_of_cell, shape, keep, metric)
+        else:
+            assigned, sizes = one_cell(packed, count)
+            group_of_cell, routed = np.zeros(1, dtype=np.int32), route_everywhere(different)
+        routed = materialize(routed, "routed-queries")
+        found = compare_tiles(routed, assigned, sizes, group_of_cell, shape, keep, tile, metric)
     others = F.slice(F.filter("best", lambda e: ~e["id"].eqNullSafe(F.col("self_id"))), 1, k)
     below = F.col("entry.below")
     return (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.weights import DEFAULT_WEIGHT, resolve_weights, switched_weights
-from ..operators.matches import top_matches
+from ..operators.matches import MAX_PIVOTS, top_matches
 from ..operators.similarity import score_all, top_n as top_scores
 
 BROADCAST_WINNERS = 100_000  # rows of 32 bytes; beyond it Spark picks the join itself
@@ -69,6 +69,7 @@ def recommend_all(
     strict_weights: bool = False,
     tile: int | None = None,
     metric: str = "cosine",
+    max_pivots: int = MAX_PIVOTS,
 ) -> DataFrame:
     """(query_id, rank, id, score) for every product, or for the ids given."""
     wt, wi = switched_weights(use_text, use_image, text_weight, image_weight, strict_weights)
@@ -81,7 +82,7 @@ def recommend_all(
         F.col("id").alias("query_id"), F.col("id").alias("self_id"), "text", "image",
         F.lit(float(wt)).alias("text_weight"), F.lit(float(wi)).alias("image_weight"),
     )
-    return top_matches(queries, items, top_n, tile, metric=metric)
+    return top_matches(queries, items, top_n, tile, max_pivots, metric)
 
 
 def recommend_requests(vectors: DataFrame, requests: DataFrame, top_n: int, tile: int | None = None) -> DataFrame:

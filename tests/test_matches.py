@@ -267,3 +267,34 @@ def test_bounds_hold_for_every_member():
         assert (best >= floor - 2e-6).all()
         needed = score > best[:, None] + 1e-6
         assert mask[np.nonzero(needed)[0], cell[np.nonzero(needed)[1]]].all()
+
+
+@pytest.mark.parametrize("roots", [1, 5])
+def test_two_levels_of_cells_equal_brute_force(spark, caplog, roots):
+    rng = np.random.default_rng(14)
+    centres = rng.normal(size=(25, 6)) * 3
+    text = np.round(centres[np.arange(420) % 25] + rng.normal(size=(420, 6)) * 0.03, 3)
+    text[100:240] = text[1]  # a third of all rows are copies
+    text[419] = 0.0
+    image = [None if k % 7 == 0 else np.round(centres[k % 25][:3] + rng.normal(size=3) * 0.02, 3) for k in range(420)]
+    for k in range(100, 240):
+        image[k] = image[1]
+    with caplog.at_level("INFO", logger="shelfkin.operators.matches"):
+        got = rows(recommend_all(frame(spark, text, image), 4, text_weight=0.7, image_weight=0.3, tile=9, max_pivots=roots))
+    assert got == brute(text, image, 4, 0.7, 0.3)
+    assert caplog.records[-1].getMessage().startswith(f"tree of {roots} roots")
+
+
+def test_leaves_keep_their_size_when_the_table_grows(spark, caplog):
+    rng = np.random.default_rng(15)
+    centres = unit(rng.normal(size=(40, 8)))
+    seen = []
+    for many in (400, 4000):
+        text = np.repeat(centres, many // 40, axis=0) + rng.normal(size=(many, 8)) * 0.01
+        some = spark.range(0, many, many // 40)
+        with caplog.at_level("INFO", logger="shelfkin.operators.matches"):
+            recommend_all(frame(spark, text), 3, some, use_image=False, text_weight=1.0, tile=16, max_pivots=8).collect()
+        message = caplog.records[-1].getMessage()
+        seen.append((float(message.split("leaves of ")[1].split(" ")[0]), float(message.split("(")[-1].rstrip(")"))))
+    # Sixteen items a leaf are wanted; the share that is compared falls.
+    assert all(8 < size < 20 for size, _ in seen) and seen[1][1] < seen[0][1] / 2
