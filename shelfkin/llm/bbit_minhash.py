@@ -176,12 +176,13 @@ def deeply_estimated(a: Column, b: Column) -> Column:
     return (1 - different / (64 * DEEP_WORDS) - chance) / (1 - chance)
 
 
-def dealt(many: DataFrame, few: DataFrame, key: str, by: str, size: int = TILE) -> DataFrame:
+def dealt(many: DataFrame, few: DataFrame, key: str, by: str, size: int = TILE, counted: DataFrame | None = None) -> DataFrame:
     """``many`` joined to ``few`` on ``key``, rows of a key with more than ``size`` dealt over tiles by ``by``.
 
     Every tile meets all rows of ``few``, so no pair is lost and no task has a whole hot key.
+    Keys are counted in ``counted``, if given: a stored table with the rows of ``many`` or more.
     """
-    hot = many.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("n")).where(F.col("n") > size)
+    hot = (many if counted is None else counted).groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("n")).where(F.col("n") > size)
     hot = held(hot.select("__hot", F.ceil(F.col("n") / size).cast("int").alias("__tiles")))
     tiles = F.coalesce("__tiles", F.lit(1))
     left = many.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__tile", F.pmod(F.xxhash64(by), tiles).cast("int"))
@@ -195,7 +196,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
-    both = dealt(dealt(pairs, right, "b", "a"), left, "a", "b")
+    both = dealt(dealt(pairs, right, "b", "a"), left, "a", "b", counted=pairs)
     return both.where(100 * common >= percent * union).select("a", "b").distinct()
 
 
@@ -241,7 +242,10 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     near = lambda x, y: estimated(F.col(f"planes{x}"), F.col(f"planes{y}")) >= gate(f"n{x}", f"n{y}", LEAST_SIMILARITY, FEW_SIMILARITY)
     leaders = members.select(F.explode(F.array("low", "high", "any")).alias("a"), F.col("node").alias("b"), "n", "planes").where("a <> b").distinct()
-    led = dealt(leaders, planes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("planes").alias("planes_a")), "a", "b")
+    of_leader = planes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("planes").alias("planes_a"))
+    # Leaders of several buckets are counted more than once, which only makes more tiles.
+    named = members.select(F.explode(F.array("low", "high", "any")).alias("a"))
+    led = dealt(leaders, of_leader, "a", "b", counted=named)
     led = led.where(alike("n_a", "n") & near("_a", ""))
     first = materialize(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-pairs")
 
