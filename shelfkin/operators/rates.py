@@ -67,17 +67,19 @@ def write_retained(df: DataFrame, path: str, as_of: Column, days: int = 15, ts:
     """Store the rows to keep, a folder per day.
 
     Only the days that ``df`` holds are written anew; folders of days that have expired
-    are dropped, all others stay as they are.
+    are dropped after the write, also by an empty batch, all others stay as they are.
+    ``as_of`` is a value: a literal or a scalar subquery.
     """
     kept = retained(df, as_of, days, ts).withColumn("day", F.to_date(ts))
     kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
-    _drop_expired_days(df.sparkSession, path, df.select(F.to_date(F.timestamp_micros(F.unix_micros(as_of) - F.lit(days * 86_400_000_000)))))
+    first_day = F.to_date(F.timestamp_micros(F.unix_micros(as_of) - F.lit(days * 86_400_000_000)))
+    _drop_expired_days(df.sparkSession, path, df.sparkSession.range(1).select(first_day))
 
 
 def _drop_expired_days(spark: SparkSession, path: str, first_day: DataFrame) -> None:
     """Delete the day folders before the first day to keep; one small row reaches the driver."""
-    row = first_day.limit(1).first()
-    if row is None or row[0] is None:
+    row = first_day.first()
+    if row[0] is None:
         return
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())

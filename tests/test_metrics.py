@@ -159,6 +159,15 @@ def test_recent_and_retained(spark):
     assert sorted(r["value"] for r in R.retained(df, F.lit(T0)).collect()) == [1, 2, 3, 4]
 
 
+def test_an_empty_batch_retires_old_days(spark, tmp_path):
+    path = str(tmp_path / "r")
+    df = samples(spark, [(0, "a", 1), (-10 * 86400, "a", 2)])
+    R.write_retained(df, path, F.lit(T0))
+    later = F.lit(T0 + timedelta(days=8))
+    R.write_retained(df.limit(0), path, later)
+    assert [r["value"] for r in spark.read.parquet(path).collect()] == [1]
+
+
 def test_exposition_escapes_and_orders(spark, tmp_path):
     df = spark.createDataFrame([('a"b\\c\nd', 2), (None, 1)], "l string, n long")
     lines = E.exposition_lines(df, "hits_total", ["l"], "n")
