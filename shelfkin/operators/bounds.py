@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .tiles import ROUNDING_SLACK, Shape, kth_best, other_scores, rounded
+from .tiles import ROUNDING_SLACK, Shape, distances, kth_best, other_scores, parts_of, rounded
 
 GUARD = 1e-9  # relative allowance for the rounding of distances
 MISMATCH = 1e30  # keeps items that lack a part away from pivots that have it
@@ -34,11 +34,6 @@ class MetricCells:
         return self.radius.sum(axis=1)
 
 
-def parts_of(shape: Shape) -> list[tuple[int, slice]]:
-    both = ((0, slice(0, shape.text)), (1, slice(shape.text, shape.width)))
-    return [(k, s) for k, s in both if s.stop > s.start]
-
-
 def lacks(rows: np.ndarray, part: slice) -> np.ndarray:
     return np.isnan(rows[:, part.start])
 
@@ -76,14 +71,6 @@ def _span(low: np.ndarray, high: np.ndarray, weight: np.ndarray) -> tuple[np.nda
     return np.where(off, 0.0, np.minimum(a, b)), np.where(off, 0.0, np.maximum(a, b))
 
 
-def _distances(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        gap = a[:, j, None] - b[None, :, j]
-        out += np.abs(gap) if metric == "manhattan" else gap * gap
-    return out if metric == "manhattan" else np.sqrt(out)
-
-
 def score_bounds(metric: str, queries: np.ndarray, weights: np.ndarray, cells: MetricCells, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """(lowest, highest) score any member of a cell may have for a query."""
     lowest, highest = np.zeros((len(queries), len(cells.size))), np.zeros((len(queries), len(cells.size)))
@@ -103,7 +90,7 @@ def score_bounds(metric: str, queries: np.ndarray, weights: np.ndarray, cells: M
             high = np.where(some | np.isnan(high), np.maximum(np.nan_to_num(high, nan=0.0), 0.0), high)
             none = np.isnan(norm)[:, 0]
         else:
-            d = _distances(metric, q, p)
+            d = distances(metric, q, p)
             with np.errstate(invalid="ignore"):
                 guard = GUARD * (d + radius)
                 low, high = np.maximum(d - radius - guard, 0.0), d + radius + guard

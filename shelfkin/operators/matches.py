@@ -10,11 +10,14 @@ How a large catalogue is handled:
   score it is already sure of (see ``tiles.cells_to_visit`` for the cosine and
   ``bounds.cells_in_reach`` for the other metrics): nothing is lost.
 * Tree.  With more items than the pivots can tell apart, each cell has leaves of its own
-  (see ``pivot_tree``), so a cell keeps its size when the table grows.
+  (see ``pivot_tree``), so a cell keeps its size when the table grows.  Queries that must
+  visit most cells anyway are compared in plain tiles, which copies them less often.
 * Groups.  Neighbouring cells are compared together, so that data without clusters,
   where no cell can be skipped, is not copied more often than plain tiles would be.
 * Tiles.  A group's items and its visitors are both cut by hash into tiles of bounded
   size; one task call sees one tile of each, whatever the size of the group.
+* Screens.  Within a tile cheap bounds tell which pairs can be among the best; only those
+  are scored (see ``screens``).
 * Only the ``k + 1`` best of each tile leave it; scores of all pairs never exist.
 """
 
@@ -26,17 +29,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import METRICS
 from ..session import materialize
-from . import bounds, pivot_tree, tiles
+from . import bounds, pivot_tree, screens, tiles
 
 LOG = logging.getLogger(__name__)
 
 TILE_BYTES = 32 * 1024 * 1024  # vectors of one tile
-TILE_ROWS = 8192
+TILE_ROWS = 32_768
+LEAST_TILE_ROWS = 4096  # a table of fewer rows is not cut for the sake of more tasks
+PAIRS_PER_CORE = 4  # tile pairs of a table that is compared with itself
+MOST_PARTITIONS = 2000  # that tile pairs are dealt over
+TREE_VISITS = 64  # root cells that a query may visit on average, being copied to each
 CELL_ROWS = 128
 SPARK_GROUP_LIMIT = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
 SALTS = 64
@@ -48,6 +55,12 @@ def tile_rows(shape: tiles.Shape) -> int:
     return max(256, min(TILE_ROWS, TILE_BYTES // (8 * shape.width)))
 
 
+def balanced_tile(spark: SparkSession, shape: tiles.Shape, count: int) -> int:
+    """Rows of a tile: as many as fit, but few enough that all cores get tile pairs."""
+    parts = math.sqrt(PAIRS_PER_CORE * spark.sparkContext.defaultParallelism)
+    return max(min(LEAST_TILE_ROWS, tile_rows(shape)), min(tile_rows(shape), math.ceil(count / parts)))
+
+
 def digest(seed: int, *cols: Column) -> Column:
     """64 bits of a row's content; the separators keep shifted nulls apart."""
     parts: list[Column] = [F.lit(seed)]
@@ -191,7 +204,7 @@ def metric_groups(cells: bounds.MetricCells, tile: int, shape: tiles.Shape) -> n
 def route_queries(
     queries: DataFrame, cells: tiles.Cells | bounds.MetricCells, group_of_cell: np.ndarray, shape: tiles.Shape, keep: int, metric: str = "cosine"
 ) -> DataFrame:
-    """Add ``floor``, a score each query is sure of, and ``groups``, where it has to look."""
+    """Add ``floor``, a score each query is sure of, ``cells``, how many may hold its best, and their ``groups``."""
     known = queries.sparkSession.sparkContext.broadcast((cells, group_of_cell))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,17 +220,21 @@ def route_queries(
                     visits, floor = bounds.cells_in_reach(metric, rows, weights, described, shape, keep)
                 groups = pa.array([np.unique(group[v]) for v in visits], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(floor), groups], [*batch.schema.names, "floor", "groups"]
+                    [*batch.columns, pa.array(floor), pa.array(visits.sum(axis=1), pa.int32()), groups],
+                    [*batch.schema.names, "floor", "cells", "groups"],
                 )
 
     fields = "q1 long, q2 long, vec array<double>, text_weight double, image_weight double"
-    return queries.mapInArrow(route, f"{fields}, floor double, groups array<int>")
+    return queries.mapInArrow(route, f"{fields}, floor double, cells int, groups array<int>")
 
 
 def tile_sides(
     routed: DataFrame, assigned: DataFrame, sizes: np.ndarray, group_of_cell: np.ndarray, tile: int, metric: str
 ) -> tuple[DataFrame, DataFrame]:
-    """Visitors and members of every group, each row with the (group, item_tile, query_tile) it is compared in."""
+    """Visitors and members of every group, each row with the (group, item_tile, query_tile) it is compared in.
+
+    Both are dealt over about one partition per tile pair.
+    """
     spark = routed.sparkSession
     visits = routed.withColumn("group", F.explode("groups")).drop("groups")
     visitors = {r["group"]: r["n"] for r in visits.groupBy("group").agg(F.count("*").alias("n")).collect()}
@@ -247,7 +264,8 @@ def tile_sides(
         .withColumn("query_tile", F.explode(F.sequence(F.lit(0), F.col("query_tiles") - 1)))
         .drop("item_tiles", "query_tiles", "k1", "cell")
     )
-    return left, right
+    pairs = max(1, min(MOST_PARTITIONS, sum(a * b for a, b in cuts.values())))
+    return left.repartition(pairs, *TILE_KEYS), right.repartition(pairs, *TILE_KEYS)
 
 
 TILE_KEYS = ["group", "item_tile", "query_tile"]
@@ -277,7 +295,7 @@ def best_of_tiles(shape: tiles.Shape, keep: int, metric: str) -> Callable[[pa.Ta
         weights = np.column_stack([tiles.numbers(queries[c]) for c in ("text_weight", "image_weight")])
         ids = items["ids"].combine_chunks()
         first = np.asarray(ids.flatten())[np.asarray(ids.offsets)[:-1] - ids.offsets[0].as_py()]
-        rows, cols, value = tiles.best_of_tile(
+        rows, cols, value = screens.best_of_tile(
             tiles.matrix(queries["vec"], shape.width), weights, tiles.numbers(queries["floor"]),
             tiles.matrix(items["vec"], shape.width), first, shape, keep, metric,
         )
@@ -306,7 +324,7 @@ def merge_tiles(found: DataFrame, keep: int) -> DataFrame:
 
 def route_everywhere(queries: DataFrame) -> DataFrame:
     """Every query looks at the one cell there is."""
-    return queries.withColumns({"floor": F.lit(float("-inf")), "groups": F.array(F.lit(0))})
+    return queries.withColumns({"floor": F.lit(float("-inf")), "cells": F.lit(1), "groups": F.array(F.lit(0))})
 
 
 def one_cell(items: DataFrame, count: int) -> tuple[DataFrame, np.ndarray]:
@@ -319,12 +337,11 @@ def root_pivots(packed: DataFrame, many: int, shape: tiles.Shape) -> tuple[np.nd
     return tiles.matrix(rows["vec"], shape.width), rows["k1"].to_pylist()
 
 
-def tree_found(packed: DataFrame, different: DataFrame, count: int, shape: tiles.Shape, keep: int, tile: int, max_pivots: int) -> DataFrame:
+def tree_found(
+    assigned: DataFrame, cells: tiles.Cells, keys: list[int], different: DataFrame, count: int, shape: tiles.Shape, keep: int, tile: int
+) -> DataFrame:
     """The best of all tiles through two levels of cells, for the cosine."""
-    pivots, keys = root_pivots(packed, max_pivots, shape)
-    assigned = materialize(assign_cells(packed, pivots, shape), "assigned-items")
-    cells = describe_cells(assigned, pivots)
-    rooted = route_queries(different, cells, np.arange(len(pivots), dtype=np.int32), shape, keep)
+    rooted = route_queries(different, cells, np.arange(len(cells.size), dtype=np.int32), shape, keep).drop("cells")
     visits = materialize(rooted.withColumn("cell", F.explode("groups")).drop("groups"), "root-visits")
     found, leaves, routed = pivot_tree.tree_join(
         assigned, cells, keys, visits, shape, keep, tile, min(CELL_ROWS, tile), best_of_tiles(shape, keep, "cosine"), FOUND
@@ -333,22 +350,22 @@ def tree_found(packed: DataFrame, different: DataFrame, count: int, shape: tiles
     row = routed.join(sizes, ["cell", "group"]).agg(F.sum("n")).first()
     every = different.count() * count
     of = leaves.agg(F.count("*"), F.max("n"), F.avg("n")).first()
-    LOG.info("tree of %d roots and %d leaves of %.1f items, at most %d: %d of %d comparisons (%.4f)", len(pivots), of[0], of[2] or 0, of[1] or 0, row[0] or 0, every, (row[0] or 0) / max(1, every))
+    LOG.info("tree of %d roots and %d leaves of %.1f items, at most %d: %d of %d comparisons (%.4f)", len(cells.size), of[0], of[2] or 0, of[1] or 0, row[0] or 0, every, (row[0] or 0) / max(1, every))
     return found
 
 
 def celled_items(
     packed: DataFrame, count: int, shape: tiles.Shape, tile: int, max_pivots: int, metric: str
-) -> tuple[DataFrame, tiles.Cells | bounds.MetricCells, np.ndarray]:
-    """Items with their cells, what is known of the cells, and the group of each cell."""
-    pivots, _ = root_pivots(packed, min(max_pivots, math.ceil(count / min(CELL_ROWS, tile))), shape)
+) -> tuple[DataFrame, tiles.Cells | bounds.MetricCells, np.ndarray, list[int]]:
+    """Items with their cells, what is known of the cells, the group of each cell and the hash of its pivot."""
+    pivots, keys = root_pivots(packed, min(max_pivots, math.ceil(count / min(CELL_ROWS, tile))), shape)
     if metric == "cosine":
         assigned = materialize(assign_cells(packed, pivots, shape), "assigned-items")
         cells = describe_cells(assigned, pivots)
-        return assigned, cells, tiles.cell_groups(cells, tile, shape)
+        return assigned, cells, tiles.cell_groups(cells, tile, shape), keys
     assigned = materialize(assign_metric_cells(packed, pivots, shape, metric), "assigned-items")
     cells = describe_metric_cells(assigned, pivots)
-    return assigned, cells, metric_groups(cells, tile, shape)
+    return assigned, cells, metric_groups(cells, tile, shape), keys
 
 
 def top_matches(
@@ -378,7 +395,7 @@ def top_matches(
     if not count or not shape.width:
         query_type = queries.schema["query_id"].dataType.simpleString()
         return spark.createDataFrame([], f"query_id {query_type}, rank int, id long, score double")
-    tile = tile or tile_rows(shape)
+    tile = tile or balanced_tile(spark, shape, count)
     vec = joined_vector(shape, 0.0 if metric == "cosine" else float("nan")).alias("vec")
     packed = stored.select("k1", "k2", "ids", vec)
 
@@ -387,17 +404,18 @@ def top_matches(
     keyed = queries.withColumns({"q1": digest(1, *content), "q2": digest(2, *content)})
     different = keyed.select("q1", "q2", vec, "text_weight", "image_weight").dropDuplicates(["q1", "q2"])
 
-    if metric == "cosine" and count > tile and math.ceil(count / min(CELL_ROWS, tile)) > max_pivots:
-        found = tree_found(packed, different, count, shape, keep, tile, max_pivots)
+    if count > tile:
+        assigned, cells, group_of_cell, keys = celled_items(packed, count, shape, tile, max_pivots, metric)
+        sizes = cells.size
+        routed = route_queries(different, cells, group_of_cell, shape, keep, metric)
+    else:
+        assigned, sizes = one_cell(packed, count)
+        group_of_cell, routed = np.zeros(1, dtype=np.int32), route_everywhere(different)
+    routed = materialize(routed, "routed-queries")
+    crowded = metric == "cosine" and count > tile and math.ceil(count / min(CELL_ROWS, tile)) > max_pivots
+    if crowded and (routed.agg(F.avg("cells")).first()[0] or 0) <= TREE_VISITS:
+        found = tree_found(assigned, cells, keys, routed.drop("floor", "cells", "groups"), count, shape, keep, tile)
     else:
-        if count > tile:
-            assigned, cells, group_of_cell = celled_items(packed, count, shape, tile, max_pivots, metric)
-            sizes = cells.size
-            routed = route_queries(different, cells, group_of_cell, shape, keep, metric)
-        else:
-            assigned, sizes = one_cell(packed, count)
-            group_of_cell, routed = np.zeros(1, dtype=np.int32), route_everywhere(different)
-        routed = materialize(routed, "routed-queries")
         found = compare_tiles(routed, assigned, sizes, group_of_cell, shape, keep, tile, metric)
     others = F.slice(F.filter("best", lambda e: ~e["id"].eqNullSafe(F.col("self_id"))), 1, k)
     below = F.col("entry.below")

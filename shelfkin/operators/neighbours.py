@@ -76,7 +76,7 @@ def similar_classes(
     packed = stored.select("k1", "k2", "ids", vec)
     queries = packed.select(F.col("k1").alias("q1"), F.col("ids")[0].alias("own"), "vec")
     if count > tile:
-        assigned, cells, group_of_cell = celled_items(packed, count, shape, tile, max_pivots, metric)
+        assigned, cells, group_of_cell, _ = celled_items(packed, count, shape, tile, max_pivots, metric)
         sizes = cells.size
         routed = _routed(queries, cells, group_of_cell, shape, (text_weight, image_weight), least, metric)
     else:

@@ -17,6 +17,7 @@ from ..functions.vectors import IMAGE_EPSILON
 DECIMALS = 6
 ROUNDING_SLACK = 2e-6  # two scores this close may be equal after rounding
 SLICE_CELLS = 2_000_000  # scores held at once, 16 MB
+DISTANCE_CELLS, DISTANCE_ITEMS = 16_384, 4096  # a block of distances and its columns
 
 
 @dataclass(frozen=True)
@@ -48,6 +49,11 @@ def numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.asarray(column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False))
 
 
+def parts_of(shape: Shape) -> list[tuple[int, slice]]:
+    both = ((0, slice(0, shape.text)), (1, slice(shape.text, shape.width)))
+    return [(k, s) for k, s in both if s.stop > s.start]
+
+
 def unit_rows(rows: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
@@ -74,6 +80,25 @@ def scores(queries: np.ndarray, weights: np.ndarray, items: np.ndarray, shape: S
     return out
 
 
+def distances(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Plain distances of all rows of ``a`` to all of ``b``, in blocks whose work areas stay in the cache."""
+    out = np.zeros((len(a), len(b)))
+    area = np.empty(DISTANCE_CELLS)
+    for x in range(0, len(b), DISTANCE_ITEMS):
+        columns = np.ascontiguousarray(b[x : x + DISTANCE_ITEMS].T)
+        step = max(1, DISTANCE_CELLS // columns.shape[1])
+        for at in range(0, len(a), step):
+            rows = a[at : at + step]
+            gap = area[: len(rows) * columns.shape[1]].reshape(len(rows), -1)
+            total = np.zeros(gap.shape)
+            for j in range(rows.shape[1]):
+                np.subtract(rows[:, j, None], columns[j], out=gap)
+                np.abs(gap, out=gap) if metric == "manhattan" else np.multiply(gap, gap, out=gap)
+                total += gap
+            out[at : at + step, x : x + DISTANCE_ITEMS] = total if metric == "manhattan" else np.sqrt(total, out=total)
+    return out
+
+
 def other_scores(metric: str, queries: np.ndarray, weights: np.ndarray, items: np.ndarray, shape: Shape) -> np.ndarray:
     """Blended value of another metric, distances negated so that larger is closer.
 
@@ -89,12 +114,7 @@ def other_scores(metric: str, queries: np.ndarray, weights: np.ndarray, items: n
         if metric == "dot_product":
             value = a @ b.T
         else:
-            value = np.zeros(out.shape)
-            for j in range(a.shape[1]):
-                gap = a[:, j, None] - b[None, :, j]
-                value -= np.abs(gap) if metric == "manhattan" else gap * gap
-            if metric == "euclidean":
-                value = -np.sqrt(-value)
+            value = -distances(metric, a, b)
         weight = weights[:, number, None]
         if metric != "dot_product":
             far = np.isnan(b[:, 0])[None, :] & ~np.isnan(a[:, 0])[:, None] & (weight > 0)
@@ -129,7 +149,7 @@ def best_per_row(
     candidates = score >= (floor - ROUNDING_SLACK)[:, None]
     crowded = np.nonzero(candidates.sum(axis=1) > 16 * keep)[0]
     if len(crowded):
-        own = kth_best(score[crowded], keep)
+        own = kth_best(np.where(np.isnan(score[crowded]), -np.inf, score[crowded]), keep)
         candidates[crowded] = score[crowded] >= (own - ROUNDING_SLACK)[:, None]
     rows, cols = np.nonzero(candidates)
     value = rounded(score[rows, cols])
@@ -140,30 +160,6 @@ def best_per_row(
     return rows[inside], cols[inside], value[inside]
 
 
-def best_of_tile(
-    queries: np.ndarray,
-    weights: np.ndarray,
-    floor: np.ndarray,
-    items: np.ndarray,
-    item_ids: np.ndarray,
-    shape: Shape,
-    keep: int,
-    metric: str = "cosine",
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``best_per_row`` of a whole tile pair, a few query rows at a time."""
-    step = max(1, SLICE_CELLS // len(items))
-    found = []
-    for at in range(0, len(queries), step):
-        part = slice(at, at + step)
-        if metric == "cosine":
-            score = scores(queries[part], weights[part], items, shape)
-        else:
-            score = other_scores(metric, queries[part], weights[part], items, shape)
-        rows, cols, value = best_per_row(score, item_ids, keep, floor[part])
-        found.append((rows + at, cols, value))
-    return tuple(np.concatenate(columns) for columns in zip(*found))
-
-
 def nearest_pivot(items: np.ndarray, pivots: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """Cell number and distance to its pivot, in the space of unit parts."""
     x, p = unit_parts(items, shape), unit_parts(pivots, shape)
