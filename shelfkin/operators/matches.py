@@ -230,11 +230,9 @@ def route_queries(
 
 def tile_sides(
     routed: DataFrame, assigned: DataFrame, sizes: np.ndarray, group_of_cell: np.ndarray, tile: int, metric: str
-) -> tuple[DataFrame, DataFrame]:
-    """Visitors and members of every group, each row with the (group, item_tile, query_tile) it is compared in.
-
-    Both are dealt over about one partition per tile pair.
-    """
+) -> tuple[DataFrame, DataFrame, int]:
+    """Visitors and members of every group, each row with the (group, item_tile, query_tile) it is compared in,
+    and the number of partitions to deal them over, about one per tile pair."""
     spark = routed.sparkSession
     visits = routed.withColumn("group", F.explode("groups")).drop("groups")
     visitors = {r["group"]: r["n"] for r in visits.groupBy("group").agg(F.count("*").alias("n")).collect()}
@@ -265,7 +263,7 @@ def tile_sides(
         .drop("item_tiles", "query_tiles", "k1", "cell")
     )
     pairs = max(1, min(MOST_PARTITIONS, sum(a * b for a, b in cuts.values())))
-    return left.repartition(pairs, *TILE_KEYS), right.repartition(pairs, *TILE_KEYS)
+    return left, right, pairs
 
 
 TILE_KEYS = ["group", "item_tile", "query_tile"]
@@ -275,7 +273,8 @@ def compare_tiles(
     routed: DataFrame, assigned: DataFrame, sizes: np.ndarray, group_of_cell: np.ndarray, shape: tiles.Shape, keep: int, tile: int, metric: str
 ) -> DataFrame:
     """(q1, q2, ids, first_id, score): the ``keep`` best of each pair of tiles."""
-    left, right = tile_sides(routed, assigned, sizes, group_of_cell, tile, metric)
+    left, right, pairs = tile_sides(routed, assigned, sizes, group_of_cell, tile, metric)
+    left, right = left.repartition(pairs, *TILE_KEYS), right.repartition(pairs, *TILE_KEYS)
     return left.groupBy(*TILE_KEYS).cogroup(right.groupBy(*TILE_KEYS)).applyInArrow(best_of_tiles(shape, keep, metric), FOUND)
 
 

@@ -8,7 +8,7 @@ if a proven upper bound of the group's scores reaches the threshold.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,22 +17,22 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import METRICS
 from ..session import materialize
-from . import bounds, tiles
+from . import bounds, screens, tiles
 from .matches import (
     MAX_PIVOTS,
     ROUTED_ROWS,
     TILE_KEYS,
+    balanced_tile,
     celled_items,
     digest,
     distinct_items,
     joined_vector,
     one_cell,
-    tile_rows,
     tile_sides,
     vector_shape,
 )
 
-PAIR_TILE = 2048  # a pair of tiles gives at most the square of it
+OUT_ROWS = 262_144  # pairs of a block that is scored in full; blocks leave one by one, however many pairs they give
 
 
 def vector_classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,7 +71,7 @@ def similar_classes(
     count, shape = vector_shape(stored)
     if not count or not shape.width:
         return spark.createDataFrame([], "class_a long, class_b long, score double"), members
-    tile = tile or min(PAIR_TILE, tile_rows(shape))
+    tile = tile or balanced_tile(spark, shape, count)
     vec = joined_vector(shape, 0.0 if metric == "cosine" else float("nan")).alias("vec")
     packed = stored.select("k1", "k2", "ids", vec)
     queries = packed.select(F.col("k1").alias("q1"), F.col("ids")[0].alias("own"), "vec")
@@ -83,37 +83,71 @@ def similar_classes(
         assigned, sizes = one_cell(packed, count)
         group_of_cell, routed = np.zeros(1, dtype=np.int32), queries.withColumn("groups", F.array(F.lit(0)))
     routed = materialize(routed, "routed-classes")
-    left, right = tile_sides(routed, assigned, sizes, group_of_cell, tile, metric)
-    out = pa.schema([("class_a", pa.int64()), ("class_b", pa.int64()), ("score", pa.float64())])
-
-    def compare(asked: pa.Table, found: pa.Table) -> pa.Table:
-        if not len(asked) or not len(found):
-            return out.empty_table()
-        # Every class has one id here, its lowest.
-        own, first = tiles.numbers(asked["own"]), np.asarray(found["ids"].combine_chunks().flatten())
-        x, y = tiles.matrix(asked["vec"], shape.width), tiles.matrix(found["vec"], shape.width)
-        weights = np.tile([float(text_weight), float(image_weight)], (len(x), 1))
-        parts = []
-        step = max(1, tiles.SLICE_CELLS // len(y))
-        for at in range(0, len(x), step):
-            part = slice(at, at + step)
+    left, right, partitions = tile_sides(routed, assigned, sizes, group_of_cell, tile, metric)
+    # Both sides of a tile pair come as one group, so that its pairs leave it a block at a time.
+    sides = left.select(*TILE_KEYS, F.col("own").alias("first"), "vec", F.lit(True).alias("asked")).unionByName(
+        right.select(*TILE_KEYS, F.col("ids")[0].alias("first"), "vec", F.lit(False).alias("asked"))
+    )
+    compare = pairs_of_tiles(shape, (text_weight, image_weight), least, metric)
+    sides = sides.filter(F.col("first").isNotNull()).repartition(partitions, *TILE_KEYS)
+    pairs = sides.groupBy(*TILE_KEYS).applyInArrow(compare, "class_a long, class_b long, score double")
+    return pairs, members
+
+
+def pairs_of_tiles(shape: tiles.Shape, both: tuple[float, float], least: float, metric: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The comparison of one tile of classes with one tile of classes: every pair that reaches ``least``."""
+    distance = not METRICS[metric]
+
+    def near(screen: screens.Screen, some: slice, of: slice, hit: np.ndarray, own: np.ndarray, first: np.ndarray) -> tuple:
+        rows, cols = screens.pairs_within(hit)
+        rows, cols = rows + some.start, cols + of.start
+        below = own[rows] < first[cols]
+        rows, cols = rows[below], cols[below]
+        return rows, cols, tiles.rounded(screen.exact(rows, cols))
+
+    def screened(x: np.ndarray, y: np.ndarray, weights: np.ndarray, own: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
+        screen = screens.Screen(x, weights, y, shape, metric)
+        areas = screen.areas()
+        for some in screens.blocks(len(x), screen.block[0]):
+            cap = screen.cap(np.full(some.stop - some.start, least), some)[:, None]
+            for of in screens.blocks(len(y), screen.block[1]):
+                yield near(screen, some, of, screen.least(some, of, areas) <= cap, own, first)
+
+    def in_full(x: np.ndarray, y: np.ndarray, weights: np.ndarray, own: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
+        for some in screens.blocks(len(x), max(1, OUT_ROWS // len(y))):
             if metric == "cosine":
-                score = tiles.scores(x[part], weights[part], y, shape)
+                score = tiles.scores(x[some], weights[some], y, shape)
             else:
-                score = tiles.other_scores(metric, x[part], weights[part], y, shape)
-            rows, cols = np.nonzero((score >= least - tiles.ROUNDING_SLACK) & (own[part][:, None] < first[None, :]))
-            value = tiles.rounded(score[rows, cols])
-            near = value >= least
-            if distance:
-                for k, span in bounds.parts_of(shape):
-                    if weights[0, k] > 0:
-                        near &= bounds.lacks(x, span)[at + rows] == bounds.lacks(y, span)[cols]
-            parts.append((own[part][rows[near]], first[cols[near]], value[near]))
-        a, b, value = (np.concatenate(c) for c in zip(*parts, strict=True))
-        return pa.Table.from_arrays([pa.array(a), pa.array(b), pa.array(0.0 - value if distance else value)], schema=out)
-
-    pairs = left.groupBy(*TILE_KEYS).cogroup(right.groupBy(*TILE_KEYS)).applyInArrow(compare, "class_a long, class_b long, score double")
-    return pairs, members
+                score = tiles.other_scores(metric, x[some], weights[some], y, shape)
+            rows, cols = np.nonzero((score >= least - tiles.ROUNDING_SLACK) & (own[some][:, None] < first[None, :]))
+            yield rows + some.start, cols, tiles.rounded(score[rows, cols])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        asked = np.concatenate([np.asarray(b.column("asked").to_pandas(), dtype=bool) for b in parts])
+        ids = np.concatenate([tiles.numbers(b.column("first")) for b in parts])
+        vectors = np.concatenate([tiles.matrix(b.column("vec"), shape.width) for b in parts])
+        del parts
+        own, first, x, y = ids[asked], ids[~asked], vectors[asked], vectors[~asked]
+        del vectors
+        if not len(x) or not len(y):
+            return
+        weights = np.tile([float(both[0]), float(both[1])], (len(x), 1))
+        lacking = [{k: bounds.lacks(side, span) for k, span in bounds.parts_of(shape)} for side in (x, y)]
+        for way, some, of in screens.plain_sides(x, weights, y, shape, metric):
+            found = (screened if way else in_full)(x[some], y[of], weights[some], own[some], first[of])
+            for rows, cols, value in found:
+                rows, cols, reached = some[rows], of[cols], value >= least
+                if distance:
+                    for k, span in bounds.parts_of(shape):
+                        if both[k] > 0:
+                            reached &= lacking[0][k][rows] == lacking[1][k][cols]
+                a, b, value = own[rows[reached]], first[cols[reached]], value[reached]
+                if len(a):
+                    columns = [pa.array(a), pa.array(b), pa.array(0.0 - value if distance else value)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["class_a", "class_b", "score"])
+
+    return compare
 
 
 def _routed(

@@ -47,6 +47,17 @@ def plain_weights(weights: np.ndarray) -> np.ndarray:
     return ((weights >= 0) & (weights <= 1e3)).all(axis=1)
 
 
+def plain_sides(
+    queries: np.ndarray, weights: np.ndarray, items: np.ndarray, shape: Shape, metric: str
+) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """Queries and items that make up all pairs: (True, ..) plain ones only, (False, ..) pairs with an odd row."""
+    usable, common = plain(queries, shape, metric) & plain_weights(weights), plain(items, shape, metric)
+    parts = [(True, usable, common), (False, ~usable, np.ones(len(items), bool)), (False, usable, ~common)]
+    for plainly, some, of in parts:
+        if some.any() and of.any():
+            yield plainly, np.nonzero(some)[0], np.nonzero(of)[0]
+
+
 class Screen:
     """Plain queries against plain items under one metric."""
 
@@ -260,16 +271,12 @@ def best_of_tile(
     Plain rows go through a screen that scores candidates only; what
     involves a row with odd numbers is scored in full.
     """
-    usable = plain(queries, shape, metric) & plain_weights(weights), plain(items, shape, metric)
-    usual, common, odd = np.nonzero(usable[0])[0], np.nonzero(usable[1])[0], np.nonzero(~usable[1])[0]
     found = []
-    if len(usual) and len(common):
-        rows, cols, value = screened_best(
-            queries[usual], weights[usual], floor[usual], items[common], item_ids[common], shape, keep, metric
-        )
-        found.append((usual[rows], common[cols], value))
-    for some, of in ((np.nonzero(~usable[0])[0], np.arange(len(items))), (usual, odd)):
-        if len(some) and len(of):
+    for plainly, some, of in plain_sides(queries, weights, items, shape, metric):
+        if plainly:
+            rows, cols, value = screened_best(queries[some], weights[some], floor[some], items[of], item_ids[of], shape, keep, metric)
+            found.append((some[rows], of[cols], value))
+        else:
             found += _scored_in_full(queries, weights, floor, items, item_ids, shape, keep, metric, some, of)
     if len(found) == 1:
         return found[0]

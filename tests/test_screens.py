@@ -1,10 +1,12 @@
 """The screen of a tile: the same best pairs as scoring every pair, at few exact scores."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from shelfkin.operators import screens, tiles
-from shelfkin.plans.recommend import recommend_all
+from shelfkin.operators import neighbours, screens, tiles
+from shelfkin.plans.answer import answer, record_runs
+from shelfkin.plans.recommend import recommend_all, with_details
 
 METRICS = ["cosine", "dot_product", "euclidean", "manhattan"]
 
@@ -88,3 +90,26 @@ def test_queries_that_must_look_everywhere_are_not_copied_to_every_root(spark, c
     np.fill_diagonal(score, -np.inf)
     want = {(i, r + 1, int(j)) for i in range(1200) for r, j in enumerate(np.lexsort((np.arange(1200), -score[i]))[:3])}
     assert {(r["query_id"], r["rank"], r["id"]) for r in found} == want
+
+
+def test_pairs_within_a_threshold_leave_in_blocks():
+    """However many pairs two tiles give, no batch holds more than one block of them."""
+    rng = np.random.default_rng(7)
+    vectors = unit(rng, 3000, 4)
+    for metric, least in (("cosine", -1.0), ("euclidean", -2.5)):
+        ids = np.arange(3000)
+        sides = [
+            pa.RecordBatch.from_pydict({"first": ids, "vec": vectors.tolist(), "asked": np.full(3000, asked)}) for asked in (True, False)
+        ]
+        found = list(neighbours.pairs_of_tiles(tiles.Shape(4, 0), (1.0, 0.0), least, metric)(iter(sides)))
+        assert sum(b.num_rows for b in found) == 3000 * 2999 // 2
+        assert max(b.num_rows for b in found) <= screens.BLOCK[0] * screens.BLOCK[1]
+
+
+def test_products_are_not_sent_to_the_driver(spark):
+    products = spark.createDataFrame([(1, "c", "n", "d", "p")], "id long, category string, name string, description string, image_path string")
+    recs = with_details(spark.createDataFrame([(1, 1, 1, 0.5)], "query_id long, rank int, id long, score double"), products)
+    made = answer(recs, products, lambda: lambda prompts: [p[:3] for p in prompts])
+    runs = record_runs(made, spark.createDataFrame([(1, 2)], "query_id long, history_length long"), products)
+    assert "Broadcast" not in runs._jdf.queryExecution().executedPlan().toString()
+    assert runs.count() == 1
