@@ -70,7 +70,8 @@ def prompts(recs: DataFrame, products: DataFrame, system_text: str = SYSTEM_TEXT
     """(query_id, prompt): the system text, a blank line, the filled request."""
     slots = ["original_product_name", "original_product_category", "original_product_description", "recommended_products"]
     text = filled(F.lit(f"{system_text}\n\n{template}"), {s: F.col(s) for s in slots})
-    return product_blocks(recs).join(original_fields(products), "query_id").select("query_id", text.alias("prompt"))
+    # By a shuffle, as in with_details: every product may ask, and none of it goes through the driver.
+    return product_blocks(recs).join(original_fields(products).hint("merge"), "query_id").select("query_id", text.alias("prompt"))
 
 
 def _image() -> Column:
@@ -146,7 +147,7 @@ def formatted(texts: DataFrame, recs: DataFrame) -> DataFrame:
     """Texts with their images; a failed text has no images and count 0."""
     if "error" not in texts.columns:
         texts = texts.withColumn("error", F.lit(None).cast("string"))
-    joined = texts.join(image_lists(recs), "query_id", "left")
+    joined = texts.join(image_lists(recs).hint("merge"), "query_id", "left")
     shown = F.col("error").isNull() & F.col("images").isNotNull()
     none = F.slice("images", 1, 0)
     return joined.select(
@@ -159,8 +160,8 @@ def formatted(texts: DataFrame, recs: DataFrame) -> DataFrame:
 
 def responses(queries: DataFrame, products: DataFrame, answers: DataFrame) -> DataFrame:
     """One response row per (query_id); a query without an answer is a failure row."""
-    asked = queries.select("query_id").join(products.withColumnRenamed("id", "query_id"), "query_id", "left")
-    joined = asked.join(answers.select("query_id", "text", "images", "product_count"), "query_id", "left")
+    asked = queries.select("query_id").join(products.withColumnRenamed("id", "query_id").hint("merge"), "query_id", "left")
+    joined = asked.join(answers.select("query_id", "text", "images", "product_count").hint("merge"), "query_id", "left")
     found = F.col("images").isNotNull()
     return joined.select(
         "query_id",

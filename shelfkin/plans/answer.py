@@ -29,11 +29,11 @@ def record_runs(answered: DataFrame, histories: DataFrame | None = None, product
         answered = answered.withColumn("generation_s", F.lit(0.0))
     if products is not None:
         asked = products.select(F.col("id").alias("query_id"), F.col("name").alias("original_product_name"), F.col("category").alias("original_product_category"))
-        answered = answered.join(asked, "query_id", "left")
+        answered = answered.join(asked.hint("merge"), "query_id", "left")
     if histories is None:
         answered = answered.withColumn("history_length", F.lit(0))
     else:
-        answered = answered.join(histories, "query_id", "left").withColumn(
+        answered = answered.join(histories.hint("merge"), "query_id", "left").withColumn(
             "history_length", F.coalesce("history_length", F.lit(0))
         )
     return recommendation_runs(answered, A.NO_TEXT)
