@@ -14,7 +14,7 @@ N = 3
 
 
 def recs(spark, sf):
-    hits = recommend_all(S.product_vectors(spark, sf), N, text_weight=0.7, image_weight=0.3)
+    hits = recommend_all(S.product_vectors(spark, sf, shuffled=True), N, text_weight=0.7, image_weight=0.3)
     return with_details(hits, S.products(spark, sf))
 
 

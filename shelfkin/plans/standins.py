@@ -41,10 +41,13 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_from_events(table(spark, sf_dir, "events"))
 
 
-def product_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors that have a product; the smallest table set has some that have none."""
+def product_vectors(spark: SparkSession, sf_dir: str, shuffled: bool = False) -> DataFrame:
+    """Vectors that have a product; the smallest table set has some that have none.
+
+    ``shuffled`` keeps Spark from sending the ids of a large table through the driver.
+    """
     ids = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
-    return vectors(spark, sf_dir).join(ids, "id", "left_semi")
+    return vectors(spark, sf_dir).join(ids.hint("merge") if shuffled else ids, "id", "left_semi")
 
 
 def log_from_events(events: DataFrame) -> DataFrame:
