@@ -42,6 +42,7 @@ TILE_BYTES = 32 * 1024 * 1024  # vectors of one tile
 TILE_ROWS = 32_768
 LEAST_TILE_ROWS = 4096  # a table of fewer rows is not cut for the sake of more tasks
 PAIRS_PER_CORE = 4  # tile pairs of a table that is compared with itself
+MUTUAL_PER_CORE = 8  # the same if a pair of tiles is compared once for both, so that half of them are left
 MOST_PARTITIONS = 2000  # that tile pairs are dealt over
 TREE_VISITS = 64  # root cells that a query may visit on average, being copied to each
 CELL_ROWS = 128
@@ -55,9 +56,9 @@ def tile_rows(shape: tiles.Shape) -> int:
     return max(256, min(TILE_ROWS, TILE_BYTES // (8 * shape.width)))
 
 
-def balanced_tile(spark: SparkSession, shape: tiles.Shape, count: int) -> int:
+def balanced_tile(spark: SparkSession, shape: tiles.Shape, count: int, per_core: int = PAIRS_PER_CORE) -> int:
     """Rows of a tile: as many as fit, but few enough that all cores get tile pairs."""
-    parts = math.sqrt(PAIRS_PER_CORE * spark.sparkContext.defaultParallelism)
+    parts = math.sqrt(per_core * spark.sparkContext.defaultParallelism)
     return max(min(LEAST_TILE_ROWS, tile_rows(shape)), min(tile_rows(shape), math.ceil(count / parts)))
 
 
@@ -224,7 +225,7 @@ def route_queries(
                     [*batch.schema.names, "floor", "cells", "groups"],
                 )
 
-    fields = "q1 long, q2 long, vec array<double>, text_weight double, image_weight double"
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema)
     return queries.mapInArrow(route, f"{fields}, floor double, cells int, groups array<int>")
 
 
@@ -279,27 +280,84 @@ def compare_tiles(
 
 
 FOUND = "q1 long, q2 long, ids array<long>, first_id long, score double"
+FOUND_ARROW = pa.schema([
+    ("q1", pa.int64()), ("q2", pa.int64()), ("ids", pa.list_(pa.int64())),
+    ("first_id", pa.int64()), ("score", pa.float64()),
+])
+
+
+def first_ids(ids: pa.Array) -> np.ndarray:
+    return np.asarray(ids.flatten())[np.asarray(ids.offsets)[:-1] - ids.offsets[0].as_py()]
 
 
 def best_of_tiles(shape: tiles.Shape, keep: int, metric: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """The comparison of one tile of queries with one tile of items."""
-    out = pa.schema([
-        ("q1", pa.int64()), ("q2", pa.int64()), ("ids", pa.list_(pa.int64())),
-        ("first_id", pa.int64()), ("score", pa.float64()),
-    ])
 
     def compare(queries: pa.Table, items: pa.Table) -> pa.Table:
         if not len(queries) or not len(items):
-            return out.empty_table()
+            return FOUND_ARROW.empty_table()
         weights = np.column_stack([tiles.numbers(queries[c]) for c in ("text_weight", "image_weight")])
         ids = items["ids"].combine_chunks()
-        first = np.asarray(ids.flatten())[np.asarray(ids.offsets)[:-1] - ids.offsets[0].as_py()]
+        first = first_ids(ids)
         rows, cols, value = screens.best_of_tile(
             tiles.matrix(queries["vec"], shape.width), weights, tiles.numbers(queries["floor"]),
             tiles.matrix(items["vec"], shape.width), first, shape, keep, metric,
         )
         q1, q2 = (pa.array(tiles.numbers(queries[c])[rows]) for c in ("q1", "q2"))
-        return pa.Table.from_arrays([q1, q2, ids.take(pa.array(cols)), pa.array(first[cols]), pa.array(value)], schema=out)
+        return pa.Table.from_arrays([q1, q2, ids.take(pa.array(cols)), pa.array(first[cols]), pa.array(value)], schema=FOUND_ARROW)
+
+    return compare
+
+
+def most_pairs_left(routed: DataFrame, sizes: np.ndarray, group_of_cell: np.ndarray) -> bool:
+    """Whether the cells leave more pairs than a table has that is compared with itself once for both sides."""
+    members = np.bincount(group_of_cell, weights=sizes)
+    visits = routed.select(F.explode("groups").alias("group")).groupBy("group").agg(F.count("*").alias("n")).collect()
+    return 2 * sum(r["n"] * members[r["group"]] for r in visits) > members.sum() ** 2
+
+
+def compare_mutually(routed: DataFrame, count: int, shape: tiles.Shape, keep: int, tile: int) -> DataFrame:
+    """``compare_tiles`` for queries that are the items, by the cosine: a pair of tiles is compared once for both.
+
+    A row is copied to each tile it meets, once, not as a query and as an item.
+    """
+    cut = math.ceil(count / tile)
+    pairs = cut * (cut + 1) // 2
+    LOG.info("join of vectors by cosine: %d tiles compared with each other once, %d pairs of tiles", cut, pairs)
+    met = routed.select(
+        "q1", "q2", "ids", "vec", "text_weight", "image_weight", "floor", F.pmod("q1", F.lit(cut)).cast("int").alias("tile"),
+        F.explode(F.sequence(F.lit(0), F.lit(cut - 1))).alias("other"),
+    ).withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
+    dealt = met.drop("other").repartition(max(1, min(MOST_PARTITIONS, pairs)), "low", "high")
+    return dealt.groupBy("low", "high").applyInArrow(best_of_both(shape, keep), FOUND)
+
+
+def best_of_both(shape: tiles.Shape, keep: int) -> Callable[[pa.Table], pa.Table]:
+    """The comparison of two tiles with each other, or of one with itself."""
+
+    def side(table: pa.Table) -> tuple[pa.Array, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        weights = np.column_stack([tiles.numbers(table[c]) for c in ("text_weight", "image_weight")])
+        ids = table["ids"].combine_chunks()
+        return ids, (tiles.matrix(table["vec"], shape.width), weights, tiles.numbers(table["floor"]), first_ids(ids))
+
+    def rows_of(table: pa.Table, ids: pa.Array, first: np.ndarray, found: screens.Found) -> pa.Table:
+        rows, cols, value = found
+        q1, q2 = (pa.array(tiles.numbers(table[c])[rows]) for c in ("q1", "q2"))
+        return pa.Table.from_arrays([q1, q2, ids.take(pa.array(cols)), pa.array(first[cols]), pa.array(value)], schema=FOUND_ARROW)
+
+    def compare(pair: pa.Table) -> pa.Table:
+        low, high = pair["low"][0].as_py(), pair["high"][0].as_py()
+        tile = tiles.numbers(pair["tile"])
+        tables = [pair.filter(pa.array(tile == t)) for t in ([low] if low == high else [low, high])]
+        if low == high:
+            ids, (vectors, weights, floor, first) = side(tables[0])
+            found = screens.best_of_tile(vectors, weights, floor, vectors, first, shape, keep)
+            return rows_of(tables[0], ids, first, found)
+        if not all(len(t) for t in tables):
+            return FOUND_ARROW.empty_table()
+        ids, sides = zip(*(side(t) for t in tables))
+        both = screens.mutual_best(*sides, shape, keep)
+        return pa.concat_tables([rows_of(tables[k], ids[1 - k], sides[1 - k][3], both[k]) for k in (0, 1)])
 
     return compare
 
@@ -374,12 +432,14 @@ def top_matches(
     tile: int | None = None,
     max_pivots: int = MAX_PIVOTS,
     metric: str = "cosine",
+    mutual: tuple[float, float] | None = None,
 ) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` best items of every query, exactly.
 
     ``queries`` has (query_id, self_id, text, image, text_weight, image_weight) with a
     query_id of any type; the item named by self_id is left out of that query's answer.
-    ``items`` has (id, text, image).  Cells are used for more than one tile of items; the
+    ``items`` has (id, text, image).  With ``mutual`` the queries are the items, all with
+    these two weights: by the cosine each pair is then compared once, unless cells leave fewer.  Cells are used for more than one tile of items; the
     share of comparisons that was left is logged.  Builds scratch tables, so calling it
     starts jobs.
     """
@@ -394,14 +454,22 @@ def top_matches(
     if not count or not shape.width:
         query_type = queries.schema["query_id"].dataType.simpleString()
         return spark.createDataFrame([], f"query_id {query_type}, rank int, id long, score double")
+    mutual = mutual if metric == "cosine" else None
+    halves = tile or balanced_tile(spark, shape, count, MUTUAL_PER_CORE)
     tile = tile or balanced_tile(spark, shape, count)
     vec = joined_vector(shape, 0.0 if metric == "cosine" else float("nan")).alias("vec")
     packed = stored.select("k1", "k2", "ids", vec)
 
-    check_queries(queries, shape)
     content = [F.col(c) for c in ("text", "image", "text_weight", "image_weight")]
+    if mutual:
+        content = content[:2]  # the keys of distinct items
     keyed = queries.withColumns({"q1": digest(1, *content), "q2": digest(2, *content)})
-    different = keyed.select("q1", "q2", vec, "text_weight", "image_weight").dropDuplicates(["q1", "q2"])
+    if mutual:
+        weights = {"text_weight": F.lit(mutual[0]), "image_weight": F.lit(mutual[1])}
+        different = packed.withColumnsRenamed({"k1": "q1", "k2": "q2"}).withColumns(weights)
+    else:
+        check_queries(queries, shape)
+        different = keyed.select("q1", "q2", vec, "text_weight", "image_weight").dropDuplicates(["q1", "q2"])
 
     if count > tile:
         assigned, cells, group_of_cell, keys = celled_items(packed, count, shape, tile, max_pivots, metric)
@@ -413,9 +481,11 @@ def top_matches(
     routed = materialize(routed, "routed-queries")
     crowded = metric == "cosine" and count > tile and math.ceil(count / min(CELL_ROWS, tile)) > max_pivots
     if crowded and (routed.agg(F.avg("cells")).first()[0] or 0) <= TREE_VISITS:
-        found = tree_found(assigned, cells, keys, routed.drop("floor", "cells", "groups"), count, shape, keep, tile)
+        found = tree_found(assigned, cells, keys, routed.drop("ids", "floor", "cells", "groups"), count, shape, keep, tile)
+    elif mutual and count > tile and most_pairs_left(routed, sizes, group_of_cell):
+        found = compare_mutually(routed, count, shape, keep, halves)
     else:
-        found = compare_tiles(routed, assigned, sizes, group_of_cell, shape, keep, tile, metric)
+        found = compare_tiles(routed.drop("ids"), assigned, sizes, group_of_cell, shape, keep, tile, metric)
     others = F.slice(F.filter("best", lambda e: ~e["id"].eqNullSafe(F.col("self_id"))), 1, k)
     below = F.col("entry.below")
     return (

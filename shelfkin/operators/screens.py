@@ -26,6 +26,8 @@ FAR = 1e15  # stands for the distance to an item that lacks a part
 CODES = 32767  # sums of steps that 16 bits hold
 LEAST_STEPS = 128  # coarser steps are no screen
 GATHERED = 8192  # pairs scored at once
+MUTUAL = (512, 1024)  # rows of the two tables of a block that is searched from both sides
+WORD = 8  # truth values looked at together
 
 
 def plain(rows: np.ndarray, shape: Shape, metric: str) -> np.ndarray:
@@ -196,9 +198,13 @@ class Screen:
 
     def cap(self, floor: np.ndarray, some: slice) -> np.ndarray:
         """What ``least`` may be for a pair whose score reaches ``floor``."""
-        need = ROUNDING_SLACK - floor + self.tolerance[some]
-        with np.errstate(invalid="ignore"):
-            return np.where(np.isfinite(need), need + 4e-6 * np.abs(need), need).astype(np.float32)
+        return allowed(floor, self.tolerance[some])
+
+
+def allowed(floor: np.ndarray, tolerance: np.ndarray | float) -> np.ndarray:
+    need = ROUNDING_SLACK - floor + tolerance
+    with np.errstate(invalid="ignore"):
+        return np.where(np.isfinite(need), need + 4e-6 * np.abs(need), need).astype(np.float32)
 
 
 def blocks(length: int, size: int) -> Iterator[slice]:
@@ -206,7 +212,13 @@ def blocks(length: int, size: int) -> Iterator[slice]:
 
 
 def pairs_within(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.divmod(np.flatnonzero(hit), hit.shape[1])
+    """Where a block is true; few places are, so whole words without any are passed over."""
+    flat = hit.ravel()
+    if len(flat) % WORD:
+        return np.divmod(np.flatnonzero(flat), hit.shape[1])
+    words = np.flatnonzero(flat.view(np.uint64))
+    word, place = np.nonzero(flat.reshape(-1, WORD)[words])
+    return np.divmod(words[word] * WORD + place, hit.shape[1])
 
 
 def best_pairs(
@@ -283,6 +295,115 @@ def best_of_tile(
     return best_pairs(*(np.concatenate(columns) for columns in zip(*found)), item_ids, keep, len(queries))
 
 
+class Side:
+    """What the rows of one of two tables have found in the other: their ``keep`` best, and the score each is sure of."""
+
+    def __init__(self, floor: np.ndarray, other_ids: np.ndarray, keep: int, block: int):
+        self.sure, self.other_ids, self.keep = np.array(floor, dtype=np.float64), other_ids, keep
+        self.blocks = list(blocks(len(floor), block))
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.best, self.new = [none] * len(self.blocks), [[] for _ in self.blocks]
+
+    def add(self, at: int, rows: np.ndarray, others: np.ndarray, value: np.ndarray) -> None:
+        """Hits of block ``at``, sorted in once they are many; until then they only make no row surer."""
+        self.new[at].append((rows, others, value))
+        count = self.blocks[at].stop - self.blocks[at].start
+        if sum(len(hits[0]) for hits in self.new[at]) >= self.keep * count:
+            self.sort_in(at)
+
+    def sort_in(self, at: int) -> None:
+        some = self.blocks[at]
+        count = some.stop - some.start
+        best = best_pairs(*(np.concatenate(c) for c in zip(self.best[at], *self.new[at])), self.other_ids, self.keep, count)
+        self.best[at], self.new[at] = best, []
+        full = np.bincount(best[0], minlength=count) == self.keep
+        worst = np.full(count, np.inf)
+        np.minimum.at(worst, best[0], best[2])
+        self.sure[some] = np.where(full, np.maximum(self.sure[some], worst), self.sure[some])
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        for at, new in enumerate(self.new):
+            if new:
+                self.sort_in(at)
+        found = [(best[0] + some.start, best[1], best[2]) for some, best in zip(self.blocks, self.best)]
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def screened_mutual(
+    rows: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], others: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], shape: Shape, keep: int
+) -> tuple[Found, Found]:
+    """``screened_best`` by the cosine of plain rows among plain others, and of the others among the rows.
+
+    A score is the same from both sides, so a block is made once.  The tolerance of a row holds
+    for all its pairs; the others take the largest of them.
+    """
+    screen = Screen(rows[0], rows[1], others[0], shape, "cosine")
+    loosest = screen.tolerance.max()
+    left, right = Side(rows[2], others[3], keep, MUTUAL[0]), Side(others[2], rows[3], keep, MUTUAL[1])
+    area = np.empty(min(MUTUAL[0], len(rows[0])) * min(MUTUAL[1], len(others[0])), np.float32)
+
+    def hits(least: np.ndarray, some: slice, of: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        caps = allowed(left.sure[some], screen.tolerance[some]), allowed(right.sure[of], loosest)
+        hit = least <= caps[0][:, None]
+        hit |= least <= caps[1]
+        i, j = pairs_within(hit)
+        near = least[i, j]
+        return i, j, near <= caps[0][i], near <= caps[1][j]
+
+    def surer(side: Side, some: slice, least: np.ndarray, crowd: np.ndarray, score) -> None:
+        """The exact scores of any ``keep`` others are something a row is sure of."""
+        first = np.argpartition(least[crowd], keep - 1, axis=1)[:, :keep]
+        own = rounded(score(np.repeat(crowd, keep), first.ravel())).reshape(-1, keep).min(axis=1)
+        side.sure[some.start + crowd] = np.maximum(side.sure[some.start + crowd], own)
+
+    for a, some in enumerate(left.blocks):
+        for b, of in enumerate(right.blocks):
+            m, n = some.stop - some.start, of.stop - of.start
+            least = np.matmul(screen.left[some], screen.right[:, of], out=area[: m * n].reshape(m, n))
+            i, j, mine, theirs = hits(least, some, of)
+            crowds = [
+                np.nonzero(np.bincount(x, minlength=size) > 16 * keep)[0] for x, size in ((i[mine], m), (j[theirs], n))
+            ]
+            if len(crowds[0]) or len(crowds[1]):
+                if len(crowds[0]):
+                    surer(left, some, least, crowds[0], lambda x, y: screen.exact(some.start + x, of.start + y))
+                if len(crowds[1]):
+                    surer(right, of, least.T, crowds[1], lambda y, x: screen.exact(some.start + x, of.start + y))
+                i, j, mine, theirs = hits(least, some, of)
+            if len(i):
+                value = rounded(screen.exact(some.start + i, of.start + j))
+                if mine.any():
+                    left.add(a, i[mine], j[mine] + of.start, value[mine])
+                if theirs.any():
+                    right.add(b, j[theirs], i[theirs] + some.start, value[theirs])
+    return left.found(), right.found()
+
+
+def mutual_best(
+    rows: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], others: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], shape: Shape, keep: int
+) -> tuple[Found, Found]:
+    """``best_of_tile`` by the cosine for both of two tables of (vectors, weights, floors, ids), all with the same weights."""
+    tables = rows, others
+    plainly = [plain(t[0], shape, "cosine") & plain_weights(t[1]) for t in tables]
+    usable, odd = [np.nonzero(p)[0] for p in plainly], [np.nonzero(~p)[0] for p in plainly]
+    found: tuple[list, list] = [], []
+    if len(usable[0]) and len(usable[1]):
+        both = screened_mutual(*(tuple(c[u] for c in t) for t, u in zip(tables, usable)), shape, keep)
+        for k in (0, 1):
+            found[k].append((usable[k][both[k][0]], usable[1 - k][both[k][1]], both[k][2]))
+    for k in (0, 1):
+        (vectors, weights, floor, _), (items, _, _, ids) = tables[k], tables[1 - k]
+        for some, of in ((odd[k], np.arange(len(items))), (usable[k], odd[1 - k])):
+            if len(some) and len(of):
+                found[k].extend(_scored_in_full(vectors, weights, floor, items, ids, shape, keep, "cosine", some, of))
+    return tuple(
+        best_pairs(*(np.concatenate(c) for c in zip(*found[k])), tables[1 - k][3], keep, len(tables[k][0])) for k in (0, 1)
+    )
+
+
 def _scored_in_full(
     queries: np.ndarray, weights: np.ndarray, floor: np.ndarray, items: np.ndarray, item_ids: np.ndarray, shape: Shape, keep: int, metric: str,
     some: np.ndarray, of: np.ndarray,

@@ -89,7 +89,7 @@ def recommend_all(
         F.col("id").alias("query_id"), F.col("id").alias("self_id"), "text", "image",
         F.lit(float(wt)).alias("text_weight"), F.lit(float(wi)).alias("image_weight"),
     )
-    return top_matches(queries, items, top_n, tile, max_pivots, metric)
+    return top_matches(queries, items, top_n, tile, max_pivots, metric, mutual=(float(wt), float(wi)) if query_ids is None else None)
 
 
 def recommend_requests(vectors: DataFrame, requests: DataFrame, top_n: int, tile: int | None = None) -> DataFrame:

@@ -298,3 +298,25 @@ def test_leaves_keep_their_size_when_the_table_grows(spark, caplog):
         seen.append((float(message.split("leaves of ")[1].split(" ")[0]), float(message.split("(")[-1].rstrip(")"))))
     # Sixteen items a leaf are wanted; the share that is compared falls.
     assert all(8 < size < 20 for size, _ in seen) and seen[1][1] < seen[0][1] / 2
+
+
+def test_pairs_of_a_table_with_itself_are_compared_once(spark, monkeypatch):
+    rng = np.random.default_rng(19)
+    text, image = rng.normal(size=(300, 6)), list(rng.normal(size=(300, 5)))
+    image[::9] = [None] * len(image[::9])
+    met = []
+    monkeypatch.setattr(matches, "compare_tiles", lambda *a: pytest.fail("compared from both sides"))
+    mutually = matches.compare_mutually
+    monkeypatch.setattr(matches, "compare_mutually", lambda *a: met.append(a) or mutually(*a))
+    got = rows(recommend_all(frame(spark, text, image), 3, text_weight=0.7, image_weight=0.3, tile=64))
+    assert got == brute(text, image, 3, 0.7, 0.3)
+    assert met
+
+
+def test_cells_that_leave_fewer_pairs_are_used(spark, monkeypatch):
+    rng = np.random.default_rng(20)
+    centres = rng.normal(size=(12, 6)) * 5
+    text = np.vstack([centres[i % 12] + rng.normal(size=6) * 0.01 for i in range(600)])
+    monkeypatch.setattr(matches, "compare_mutually", lambda *a: pytest.fail("cells were passed over"))
+    got = rows(recommend_all(frame(spark, text), 3, use_image=False, text_weight=1.0, tile=16))
+    assert got == brute(text, None, 3, 1.0, 0)

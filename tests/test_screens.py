@@ -113,3 +113,34 @@ def test_products_are_not_sent_to_the_driver(spark):
     runs = record_runs(made, spark.createDataFrame([(1, 2)], "query_id long, history_length long"), products)
     assert "Broadcast" not in runs._jdf.queryExecution().executedPlan().toString()
     assert runs.count() == 1
+
+
+def test_both_sides_of_a_block_find_what_each_finds_alone():
+    rng = np.random.default_rng(17)
+    shape = tiles.Shape(6, 5)
+
+    def table(count, odd):
+        rows = rng.normal(size=(count, 11))
+        rows[::7, 6:] = 0.0
+        rows[20:90] = rows[20]  # crowded: more equal hits than are kept
+        if odd:
+            rows[5] *= 1e7
+            rows[9, 3] = np.nan
+            rows[11] = 0.0
+        return rows, np.tile([0.7, 0.3], (count, 1)), np.full(count, -np.inf), rng.permutation(count)
+
+    for odd in (False, True):
+        left, right = table(1203, odd), table(700, odd)
+        both = screens.mutual_best(left, right, shape, 4)
+        for found, a, b in ((both[0], left, right), (both[1], right, left)):
+            alone = screens.best_of_tile(a[0], a[1], a[2], b[0], b[3], shape, 4)
+            for got, expected in zip(found, alone):
+                np.testing.assert_array_equal(got, expected)
+
+
+def test_hits_are_found_in_blocks_of_any_size():
+    rng = np.random.default_rng(18)
+    for size in ((3, 8), (5, 7), (16, 64), (1, 1)):
+        hit = rng.random(size) < 0.1
+        for got, expected in zip(screens.pairs_within(hit), np.nonzero(hit)):
+            np.testing.assert_array_equal(got, expected)
