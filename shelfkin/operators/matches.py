@@ -316,24 +316,55 @@ def most_pairs_left(routed: DataFrame, sizes: np.ndarray, group_of_cell: np.ndar
     return 2 * sum(r["n"] * members[r["group"]] for r in visits) > members.sum() ** 2
 
 
+OWN = (
+    "q1 long, q2 long, ids array<long>, vec array<double>, text_weight double, image_weight double, floor double, tile int, "
+    "hits array<struct<ids: array<long>, first_id: long, score: double>>"
+)
+
+
 def compare_mutually(routed: DataFrame, count: int, shape: tiles.Shape, keep: int, tile: int) -> DataFrame:
     """``compare_tiles`` for queries that are the items, by the cosine: a pair of tiles is compared once for both.
 
-    A row is copied to each tile it meets, once, not as a query and as an item.
+    Each tile is compared with itself first: what its rows find there they are sure of in all other tiles.
+    A row is copied to each tile it meets, once, not as a query and as an item; tiles and pairs of
+    tiles are numbered and dealt by number, so that no partition gets several while others get none.
     """
     cut = math.ceil(count / tile)
-    pairs = cut * (cut + 1) // 2
-    LOG.info("join of vectors by cosine: %d tiles compared with each other once, %d pairs of tiles", cut, pairs)
-    met = routed.select(
-        "q1", "q2", "ids", "vec", "text_weight", "image_weight", "floor", F.pmod("q1", F.lit(cut)).cast("int").alias("tile"),
-        F.explode(F.sequence(F.lit(0), F.lit(cut - 1))).alias("other"),
-    ).withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")})
-    dealt = met.drop("other").repartition(max(1, min(MOST_PARTITIONS, pairs)), "low", "high")
-    return dealt.groupBy("low", "high").applyInArrow(best_of_both(shape, keep), FOUND)
+    pairs = cut * (cut - 1) // 2
+    LOG.info("join of vectors by cosine: %d tiles compared with each other once, %d pairs of tiles", cut, cut + pairs)
+    rows = ["q1", "q2", "ids", "vec", "text_weight", "image_weight", "floor"]
+    cut_up = routed.select(*rows, F.pmod("q1", F.lit(cut)).cast("int").alias("tile"))
+    own = materialize(cut_up.repartitionById(cut, "tile").groupBy("tile").applyInArrow(best_of_own(shape, keep), OWN), "own-tiles")
+    parts = max(1, min(MOST_PARTITIONS, pairs))
+    met = own.select(*rows, "tile", F.explode(F.sequence(F.lit(0), F.lit(cut - 1))).alias("other")).filter("other != tile")
+    low, high = F.least("tile", "other").cast("long"), F.greatest("tile", "other").cast("long")
+    dealt = met.select(*rows, "tile", (high * (high - 1) / 2 + low).cast("long").alias("pair"))
+    dealt = dealt.withColumn("part", F.pmod("pair", F.lit(parts)).cast("int")).repartitionById(parts, "part")
+    others = dealt.groupBy("part", "pair").applyInArrow(best_of_both(shape, keep), FOUND)
+    return others.unionByName(own.select("q1", "q2", F.inline("hits")))
+
+
+def best_of_own(shape: tiles.Shape, keep: int) -> Callable[[pa.Table], pa.Table]:
+    """The comparison of one tile with itself: its rows with their ``keep`` best and the score they are now sure of."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        weights = np.column_stack([tiles.numbers(table[c]) for c in ("text_weight", "image_weight")])
+        ids, vectors, floor = table["ids"].combine_chunks(), tiles.matrix(table["vec"], shape.width), tiles.numbers(table["floor"])
+        first = first_ids(ids)
+        found, cols, value = screens.best_of_tile(vectors, weights, floor, vectors, first, shape, keep)
+        start = np.searchsorted(found, np.arange(len(table) + 1))  # found rows come in order
+        worst = np.full(len(table), np.inf)
+        np.minimum.at(worst, found, value)
+        sure = np.where(np.diff(start) == keep, np.fmax(floor, worst), floor)
+        hits = pa.StructArray.from_arrays([ids.take(pa.array(cols)), pa.array(first[cols]), pa.array(value)], ["ids", "first_id", "score"])
+        table = table.set_column(table.schema.get_field_index("floor"), "floor", pa.array(sure))
+        return table.append_column("hits", pa.ListArray.from_arrays(pa.array(start, pa.int32()), hits))
+
+    return compare
 
 
 def best_of_both(shape: tiles.Shape, keep: int) -> Callable[[pa.Table], pa.Table]:
-    """The comparison of two tiles with each other, or of one with itself."""
+    """The comparison of two tiles with each other."""
 
     def side(table: pa.Table) -> tuple[pa.Array, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         weights = np.column_stack([tiles.numbers(table[c]) for c in ("text_weight", "image_weight")])
@@ -346,14 +377,9 @@ def best_of_both(shape: tiles.Shape, keep: int) -> Callable[[pa.Table], pa.Table
         return pa.Table.from_arrays([q1, q2, ids.take(pa.array(cols)), pa.array(first[cols]), pa.array(value)], schema=FOUND_ARROW)
 
     def compare(pair: pa.Table) -> pa.Table:
-        low, high = pair["low"][0].as_py(), pair["high"][0].as_py()
         tile = tiles.numbers(pair["tile"])
-        tables = [pair.filter(pa.array(tile == t)) for t in ([low] if low == high else [low, high])]
-        if low == high:
-            ids, (vectors, weights, floor, first) = side(tables[0])
-            found = screens.best_of_tile(vectors, weights, floor, vectors, first, shape, keep)
-            return rows_of(tables[0], ids, first, found)
-        if not all(len(t) for t in tables):
+        tables = [pair.filter(pa.array(tile == t)) for t in np.unique(tile)]
+        if len(tables) < 2:
             return FOUND_ARROW.empty_table()
         ids, sides = zip(*(side(t) for t in tables))
         both = screens.mutual_best(*sides, shape, keep)

@@ -313,6 +313,24 @@ def test_pairs_of_a_table_with_itself_are_compared_once(spark, monkeypatch):
     assert met
 
 
+def test_what_a_row_finds_in_its_own_tile_it_is_sure_of_in_the_others(spark):
+    rng = np.random.default_rng(21)
+    text = rng.normal(size=(300, 6))
+    text[:40] = text[0] * np.linspace(1, 2, 40)[:, None]  # equal scores
+    text[50] = 0.0
+    text[51] *= 1e8  # scored without a screen
+    one = [F.lit(x).alias(n) for n, x in (("text_weight", 1.0), ("image_weight", 0.0), ("floor", float("-inf")))]
+    routed = frame(spark, text).select(
+        F.xxhash64("id").alias("q1"), F.col("id").alias("q2"), F.array("id").alias("ids"), F.col("text").alias("vec"), *one
+    )
+    found = matches.compare_mutually(routed, 300, tiles.Shape(6, 0), 4, 60)
+    got = {r["q2"]: [(e["id"], e["below"]) for e in r["best"]] for r in matches.merge_tiles(found, 4).collect()}
+    score = np.round(unit(text) @ unit(text).T, 6) + 0.0
+    want = {q: [(int(j), 0.0 - score[q, j]) for j in np.lexsort((np.arange(300), -score[q]))[:4]] for q in range(300)}
+    assert got == want
+    assert found.count() < 0.8 * 300 * 4 * 5  # without it each row takes its 4 best out of all 5 tiles
+
+
 def test_cells_that_leave_fewer_pairs_are_used(spark, monkeypatch):
     rng = np.random.default_rng(20)
     centres = rng.normal(size=(12, 6)) * 5
