@@ -29,7 +29,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import METRICS
@@ -40,10 +41,14 @@ LOG = logging.getLogger(__name__)
 
 TILE_BYTES = 32 * 1024 * 1024  # vectors of one tile
 TILE_ROWS = 32_768
+WIDE_ROWS = 65_536  # the same where two sides are copied to each other's tiles, which large tiles do less often
 LEAST_TILE_ROWS = 4096  # a table of fewer rows is not cut for the sake of more tasks
 PAIRS_PER_CORE = 4  # tile pairs of a table that is compared with itself
 MUTUAL_PER_CORE = 8  # the same if a pair of tiles is compared once for both, so that half of them are left
 MOST_PARTITIONS = 2000  # that tile pairs are dealt over
+MOST_ASKS = 64  # queries that travel with one copy of their vector
+ASKS_PER_ROW = 4  # queries of a tile for each row it may hold
+PLAIN_SHARE = 0.8  # of all comparisons; if cells leave more, tiles of equal size are copied less often than groups
 TREE_VISITS = 64  # root cells that a query may visit on average, being copied to each
 CELL_ROWS = 128
 SPARK_GROUP_LIMIT = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
@@ -52,14 +57,14 @@ ROUTED_ROWS = 1024  # queries routed at once; the work area is this times the pi
 MAX_PIVOTS = 1024  # bounds what the driver and every task hold: pivots x width doubles
 
 
-def tile_rows(shape: tiles.Shape) -> int:
-    return max(256, min(TILE_ROWS, TILE_BYTES // (8 * shape.width)))
+def tile_rows(shape: tiles.Shape, most: int = TILE_ROWS) -> int:
+    return max(256, min(most, TILE_BYTES // (8 * shape.width)))
 
 
-def balanced_tile(spark: SparkSession, shape: tiles.Shape, count: int, per_core: int = PAIRS_PER_CORE) -> int:
+def balanced_tile(spark: SparkSession, shape: tiles.Shape, count: int, per_core: int = PAIRS_PER_CORE, most: int = TILE_ROWS) -> int:
     """Rows of a tile: as many as fit, but few enough that all cores get tile pairs."""
-    parts = math.sqrt(per_core * spark.sparkContext.defaultParallelism)
-    return max(min(LEAST_TILE_ROWS, tile_rows(shape)), min(tile_rows(shape), math.ceil(count / parts)))
+    parts, fit = math.sqrt(per_core * spark.sparkContext.defaultParallelism), tile_rows(shape, most)
+    return max(min(LEAST_TILE_ROWS, fit), min(fit, math.ceil(count / parts)))
 
 
 def digest(seed: int, *cols: Column) -> Column:
@@ -229,54 +234,140 @@ def route_queries(
     return queries.mapInArrow(route, f"{fields}, floor double, cells int, groups array<int>")
 
 
+def route_asks(
+    asked: DataFrame, cells: tiles.Cells | bounds.MetricCells, group_of_cell: np.ndarray, shape: tiles.Shape, keep: int, metric: str = "cosine"
+) -> DataFrame:
+    """``route_queries`` for rows of a vector and the queries that ask by it."""
+    known = asked.sparkSession.sparkContext.broadcast((cells, group_of_cell))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        described, group = known.value
+        for batch in batches:
+            vectors = tiles.matrix(batch.column("vec"), shape.width)
+            asks, start, of = unfolded(batch.column("asks"))
+            weights = np.column_stack([tiles.numbers(asks.field(c)) for c in ("text_weight", "image_weight")])
+            floor, reached, groups = np.zeros(len(of)), np.zeros(len(of), np.int32), []
+            for some in screens.blocks(len(of), ROUTED_ROWS):
+                if metric == "cosine":
+                    visits, floor[some] = tiles.cells_to_visit(vectors[of[some]], weights[some], described, shape, keep)
+                else:
+                    visits, floor[some] = bounds.cells_in_reach(metric, vectors[of[some]], weights[some], described, shape, keep)
+                reached[some] = visits.sum(axis=1)
+                groups += [np.unique(group[v]) for v in visits]
+            known_columns = [asks.field(c) for c in ASK]
+            extra = [pa.array(floor), pa.array(reached), pa.array(groups, pa.list_(pa.int32()))]
+            told = pa.StructArray.from_arrays([*known_columns, *extra], [*ASK, "floor", "cells", "groups"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec"), pa.ListArray.from_arrays(pa.array(start), told)], ["vec", "asks"])
+
+    return asked.select("vec", "asks").mapInArrow(route, f"vec array<double>, {ROUTED_ASKS}")
+
+
+ASK = ["q1", "q2", "text_weight", "image_weight"]
+ROUTED_ASKS = (
+    "asks array<struct<q1: long, q2: long, text_weight: double, image_weight: double, floor: double, cells: int, groups: array<int>>>"
+)
+
+
+def unfolded(asks: pa.ListArray) -> tuple[pa.StructArray, np.ndarray, np.ndarray]:
+    """The queries of all rows, where those of each row start, and the row of each."""
+    start = np.asarray(asks.offsets)
+    start = (start - start[0]).astype(np.int32)
+    return asks.flatten(), start, np.repeat(np.arange(len(asks)), np.diff(start))
+
+
+def single_asks(routed: DataFrame) -> DataFrame:
+    """Queries of which each has a vector of its own, as rows of a vector and the queries that ask by it."""
+    return routed.select("vec", F.array(F.struct(*ASK, "floor", "cells", "groups")).alias("asks"))
+
+
+def asked_vectors(keys: DataFrame, packed: DataFrame) -> DataFrame:
+    """(vec, asks): the vectors of items that queries ask by, each with its different queries, about MOST_ASKS a row at most."""
+    different = keys.select("v1", "v2", *ASK).dropDuplicates(["q1", "q2"])
+    parts = F.ceil(F.count("*") / MOST_ASKS).alias("parts")
+    many = different.groupBy("v1", "v2").agg(parts).filter("parts > 1")
+    dealt = different.join(many, ["v1", "v2"], "left").withColumn("part", F.pmod("q1", F.coalesce("parts", F.lit(1))))
+    asks = dealt.groupBy("v1", "v2", "part").agg(F.collect_list(F.struct(*ASK)).alias("asks"))
+    vectors = packed.select(F.col("k1").alias("v1"), F.col("k2").alias("v2"), "vec")
+    return asks.join(vectors, ["v1", "v2"]).select("vec", "asks")
+
+
 def tile_sides(
-    routed: DataFrame, assigned: DataFrame, sizes: np.ndarray, group_of_cell: np.ndarray, tile: int, metric: str
+    visits: DataFrame, total: int, assigned: DataFrame, sizes: np.ndarray, group_of_cell: np.ndarray, tile: int, metric: str
 ) -> tuple[DataFrame, DataFrame, int]:
-    """Visitors and members of every group, each row with the (group, item_tile, query_tile) it is compared in,
-    and the number of partitions to deal them over, about one per tile pair."""
-    spark = routed.sparkSession
-    visits = routed.withColumn("group", F.explode("groups")).drop("groups")
-    visitors = {r["group"]: r["n"] for r in visits.groupBy("group").agg(F.count("*").alias("n")).collect()}
+    """Visitors and members of every group, each row with the ``pair`` of tiles it is compared in, and the number of
+    partitions to deal pairs over, about one each.
+
+    ``visits`` has (group, q1, n), with the number n of queries of a row; ``total`` is the number of all queries.
+    """
+    spark = visits.sparkSession
+    counted = visits.groupBy("group").agg(F.count("*"), F.sum("n")).collect()
     members = np.bincount(group_of_cell, weights=sizes)
-    compared, every = sum(n * members[g] for g, n in visitors.items()), routed.count() * members.sum()
+    compared, every = sum(n * members[g] for g, _, n in counted), total * members.sum()
     LOG.info("join of vectors by %s: %d of %d comparisons (%.4f)", metric, compared, every, compared / max(1, every))
-    cuts = {g: (math.ceil(members[g] / tile), math.ceil(n / tile)) for g, n in visitors.items()}
+    item_tiles = {g: math.ceil(members[g] / tile) for g, _, _ in counted}
+    # Few queries of many items are cut further, so that all cores get tile pairs.
+    wanted = math.ceil(PAIRS_PER_CORE * spark.sparkContext.defaultParallelism / max(1, sum(item_tiles.values())))
+    cuts, pairs = [], 0
+    for g, rows, n in counted:
+        least = max(math.ceil(rows / tile), math.ceil(n / (ASKS_PER_ROW * tile)))
+        query_tiles = max(least, min(wanted, math.ceil(n / LEAST_TILE_ROWS)))
+        cuts.append((g, pairs, item_tiles[g], query_tiles))
+        pairs += item_tiles[g] * query_tiles
     # One row per group or cell, so at most MAX_PIVOTS rows.
-    query_cut = F.broadcast(
-        spark.createDataFrame([(g, *cut) for g, cut in cuts.items()], "group int, item_tiles int, query_tiles int")
-    )
-    groups = enumerate(group_of_cell.tolist())
-    item_cut = F.broadcast(
-        spark.createDataFrame(
-            [(cell, g, *cuts[g]) for cell, g in groups if g in cuts], "cell int, group int, item_tiles int, query_tiles int"
-        )
-    )
+    kinds = "group int, first_pair long, item_tiles int, query_tiles int"
+    query_cut = F.broadcast(spark.createDataFrame(cuts, kinds))
+    groups = {cut[0]: cut for cut in cuts}
+    celled = [(cell, *groups[g]) for cell, g in enumerate(group_of_cell.tolist()) if g in groups]
+    item_cut = F.broadcast(spark.createDataFrame(celled, f"cell int, {kinds}"))
+    pair = (F.col("first_pair") + F.col("item_tile") * F.col("query_tiles") + F.col("query_tile")).alias("pair")
     left = (
         visits.join(query_cut, "group")
-        .withColumn("query_tile", F.pmod("q1", "query_tiles").cast("int"))
+        .withColumn("query_tile", F.pmod("q1", "query_tiles"))
         .withColumn("item_tile", F.explode(F.sequence(F.lit(0), F.col("item_tiles") - 1)))
-        .drop("item_tiles", "query_tiles")
+        .select(pair, *[c for c in visits.columns if c not in ("group", "n")])
     )
     right = (
         assigned.select("k1", "ids", "vec", "cell").join(item_cut, "cell")
-        .withColumn("item_tile", F.pmod("k1", "item_tiles").cast("int"))
+        .withColumn("item_tile", F.pmod("k1", "item_tiles"))
         .withColumn("query_tile", F.explode(F.sequence(F.lit(0), F.col("query_tiles") - 1)))
-        .drop("item_tiles", "query_tiles", "k1", "cell")
+        .select(pair, "ids", "vec")
     )
-    pairs = max(1, min(MOST_PARTITIONS, sum(a * b for a, b in cuts.values())))
-    return left, right, pairs
+    return left, right, max(1, min(MOST_PARTITIONS, pairs))
+
+
+def dealt(rows: DataFrame, parts: int) -> GroupedData:
+    """Rows by their ``pair``, dealt by number, so that no partition gets several pairs while others get none."""
+    return rows.withColumn("part", F.pmod("pair", F.lit(parts)).cast("int")).repartitionById(parts, "part").groupBy("part", "pair")
 
 
-TILE_KEYS = ["group", "item_tile", "query_tile"]
+def comparisons_left(routed: DataFrame, sizes: np.ndarray, group_of_cell: np.ndarray) -> tuple[int, int]:
+    """Number of queries, and of the comparisons that their groups leave them."""
+    members = np.bincount(group_of_cell, weights=sizes)
+    asks = routed.select(F.inline("asks"))
+    visits = asks.select(F.explode("groups").alias("group")).groupBy("group").agg(F.count("*").alias("n")).collect()
+    return routed.agg(F.sum(F.size("asks"))).first()[0] or 0, int(sum(r["n"] * members[r["group"]] for r in visits))
 
 
 def compare_tiles(
     routed: DataFrame, assigned: DataFrame, sizes: np.ndarray, group_of_cell: np.ndarray, shape: tiles.Shape, keep: int, tile: int, metric: str
 ) -> DataFrame:
-    """(q1, q2, ids, first_id, score): the ``keep`` best of each pair of tiles."""
-    left, right, pairs = tile_sides(routed, assigned, sizes, group_of_cell, tile, metric)
-    left, right = left.repartition(pairs, *TILE_KEYS), right.repartition(pairs, *TILE_KEYS)
-    return left.groupBy(*TILE_KEYS).cogroup(right.groupBy(*TILE_KEYS)).applyInArrow(best_of_tiles(shape, keep, metric), FOUND)
+    """(q1, q2, ids, first_id, score): the ``keep`` best of each pair of tiles.
+
+    A vector is copied once for all the queries that ask by it.
+    """
+    total, left_over = comparisons_left(routed, sizes, group_of_cell)
+    asks = F.col("asks")
+    if left_over > PLAIN_SHARE * total * sizes.sum():
+        assigned, sizes = one_cell(assigned, int(sizes.sum()))
+        group_of_cell, visits = np.zeros(1, dtype=np.int32), routed.withColumn("group", F.lit(0))
+    else:
+        visits = routed.withColumn("group", F.explode(F.array_distinct(F.flatten(F.transform(asks, lambda a: a["groups"])))))
+        asks = F.filter(asks, lambda a: F.array_contains(a["groups"], F.col("group")))
+    visits = visits.select("group", "vec", F.transform(asks, lambda a: F.struct(*[a[c].alias(c) for c in (*ASK, "floor")])).alias("asks"))
+    visits = visits.withColumns({"q1": F.col("asks")[0]["q1"], "n": F.size("asks")})
+    left, right, parts = tile_sides(visits, total, assigned, sizes, group_of_cell, tile, metric)
+    sides = left.select("pair", "vec", "asks").unionByName(right, allowMissingColumns=True)
+    return dealt(sides, parts).applyInArrow(best_of_asked(shape, keep, metric), FOUND)
 
 
 FOUND = "q1 long, q2 long, ids array<long>, first_id long, score double"
@@ -309,6 +400,29 @@ def best_of_tiles(shape: tiles.Shape, keep: int, metric: str) -> Callable[[pa.Ta
     return compare
 
 
+def best_of_asked(shape: tiles.Shape, keep: int, metric: str) -> Callable[[pa.Table], pa.Table]:
+    """The comparison of a tile of vectors, with the queries that ask by them, with one tile of items."""
+
+    def compare(pair: pa.Table) -> pa.Table:
+        asking = pair["asks"].is_valid()
+        queries, items = pair.filter(asking), pair.filter(pc.invert(asking))
+        if not len(queries) or not len(items):
+            return FOUND_ARROW.empty_table()
+        vectors, rows = (tiles.matrix(side["vec"], shape.width) for side in (queries, items))
+        asks, _, of = unfolded(queries["asks"].combine_chunks())
+        weights = np.column_stack([tiles.numbers(asks.field(c)) for c in ("text_weight", "image_weight")])
+        q1, q2, floor = (tiles.numbers(asks.field(c)) for c in ("q1", "q2", "floor"))
+        ids = items["ids"].combine_chunks()
+        first, found = first_ids(ids), []
+        for some in screens.blocks(len(of), TILE_ROWS):
+            at, cols, value = screens.best_of_tile(vectors[of[some]], weights[some], floor[some], rows, first, shape, keep, metric)
+            columns = [pa.array(q1[some][at]), pa.array(q2[some][at]), ids.take(pa.array(cols)), pa.array(first[cols]), pa.array(value)]
+            found.append(pa.Table.from_arrays(columns, schema=FOUND_ARROW))
+        return pa.concat_tables(found)
+
+    return compare
+
+
 def most_pairs_left(routed: DataFrame, sizes: np.ndarray, group_of_cell: np.ndarray) -> bool:
     """Whether the cells leave more pairs than a table has that is compared with itself once for both sides."""
     members = np.bincount(group_of_cell, weights=sizes)
@@ -405,9 +519,16 @@ def merge_tiles(found: DataFrame, keep: int) -> DataFrame:
     return entries.groupBy("q1", "q2").agg(F.sort_array(F.collect_list(F.struct("below", "id"))).alias("best"))
 
 
+EVERYWHERE = {"floor": float("-inf"), "cells": 1, "groups": [0]}  # of a query that looks at the one cell there is
+
+
 def route_everywhere(queries: DataFrame) -> DataFrame:
-    """Every query looks at the one cell there is."""
-    return queries.withColumns({"floor": F.lit(float("-inf")), "cells": F.lit(1), "groups": F.array(F.lit(0))})
+    return queries.withColumns({c: F.lit(value) for c, value in EVERYWHERE.items()})
+
+
+def route_asks_everywhere(asked: DataFrame) -> DataFrame:
+    told = [F.lit(value).alias(c) for c, value in EVERYWHERE.items()]
+    return asked.select("vec", F.transform("asks", lambda a: F.struct(*[a[c].alias(c) for c in ASK], *told)).alias("asks"))
 
 
 def one_cell(items: DataFrame, count: int) -> tuple[DataFrame, np.ndarray]:
@@ -464,6 +585,7 @@ def top_matches(
 
     ``queries`` has (query_id, self_id, text, image, text_weight, image_weight) with a
     query_id of any type; the item named by self_id is left out of that query's answer.
+    Without text and image a query asks by the vector of that item, and has no answer if there is none.
     ``items`` has (id, text, image).  With ``mutual`` the queries are the items, all with
     these two weights: by the cosine each pair is then compared once, unless cells leave fewer.  Cells are used for more than one tile of items; the
     share of comparisons that was left is logged.  Builds scratch tables, so calling it
@@ -482,36 +604,45 @@ def top_matches(
         return spark.createDataFrame([], f"query_id {query_type}, rank int, id long, score double")
     mutual = mutual if metric == "cosine" else None
     halves = tile or balanced_tile(spark, shape, count, MUTUAL_PER_CORE)
-    tile = tile or balanced_tile(spark, shape, count)
+    tile = tile or balanced_tile(spark, shape, count, most=WIDE_ROWS)
     vec = joined_vector(shape, 0.0 if metric == "cosine" else float("nan")).alias("vec")
     packed = stored.select("k1", "k2", "ids", vec)
 
-    content = [F.col(c) for c in ("text", "image", "text_weight", "image_weight")]
-    if mutual:
-        content = content[:2]  # the keys of distinct items
-    keyed = queries.withColumns({"q1": digest(1, *content), "q2": digest(2, *content)})
     if mutual:
+        content = [F.col(c) for c in ("text", "image")]  # the keys of distinct items
+        keyed = queries.withColumns({"q1": digest(1, *content), "q2": digest(2, *content)})
         weights = {"text_weight": F.lit(mutual[0]), "image_weight": F.lit(mutual[1])}
         different = packed.withColumnsRenamed({"k1": "q1", "k2": "q2"}).withColumns(weights)
-    else:
+    elif "text" in queries.columns:
+        content = [F.col(c) for c in ("text", "image", "text_weight", "image_weight")]
+        keyed = queries.withColumns({"q1": digest(1, *content), "q2": digest(2, *content)})
         check_queries(queries, shape)
         different = keyed.select("q1", "q2", vec, "text_weight", "image_weight").dropDuplicates(["q1", "q2"])
+        different = different.select("vec", F.array(F.struct(*ASK)).alias("asks"))
+    else:
+        # No vector is joined to a query: an item's keys stand for it.
+        content = [F.col(c) for c in ("text", "image")]
+        named = items.select(F.col("id").alias("self_id"), digest(1, *content).alias("v1"), digest(2, *content).alias("v2"))
+        content = [F.col(c) for c in ("v1", "v2", "text_weight", "image_weight")]
+        keyed = materialize(queries.join(named, "self_id").withColumns({"q1": digest(1, *content), "q2": digest(2, *content)}), "query-keys")
+        different = asked_vectors(keyed, packed)
 
     if count > tile:
         assigned, cells, group_of_cell, keys = celled_items(packed, count, shape, tile, max_pivots, metric)
         sizes = cells.size
-        routed = route_queries(different, cells, group_of_cell, shape, keep, metric)
+        routed = (route_queries if mutual else route_asks)(different, cells, group_of_cell, shape, keep, metric)
     else:
         assigned, sizes = one_cell(packed, count)
-        group_of_cell, routed = np.zeros(1, dtype=np.int32), route_everywhere(different)
+        group_of_cell, routed = np.zeros(1, dtype=np.int32), (route_everywhere if mutual else route_asks_everywhere)(different)
     routed = materialize(routed, "routed-queries")
+    flat = routed if mutual else routed.select("vec", F.inline("asks"))
     crowded = metric == "cosine" and count > tile and math.ceil(count / min(CELL_ROWS, tile)) > max_pivots
-    if crowded and (routed.agg(F.avg("cells")).first()[0] or 0) <= TREE_VISITS:
-        found = tree_found(assigned, cells, keys, routed.drop("ids", "floor", "cells", "groups"), count, shape, keep, tile)
+    if crowded and (flat.agg(F.avg("cells")).first()[0] or 0) <= TREE_VISITS:
+        found = tree_found(assigned, cells, keys, flat.select("q1", "q2", "vec", "text_weight", "image_weight"), count, shape, keep, tile)
     elif mutual and count > tile and most_pairs_left(routed, sizes, group_of_cell):
         found = compare_mutually(routed, count, shape, keep, halves)
     else:
-        found = compare_tiles(routed.drop("ids"), assigned, sizes, group_of_cell, shape, keep, tile, metric)
+        found = compare_tiles(single_asks(routed) if mutual else routed, assigned, sizes, group_of_cell, shape, keep, tile, metric)
     others = F.slice(F.filter("best", lambda e: ~e["id"].eqNullSafe(F.col("self_id"))), 1, k)
     below = F.col("entry.below")
     return (

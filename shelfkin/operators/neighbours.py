@@ -21,9 +21,9 @@ from . import bounds, screens, tiles
 from .matches import (
     MAX_PIVOTS,
     ROUTED_ROWS,
-    TILE_KEYS,
     balanced_tile,
     celled_items,
+    dealt,
     digest,
     distinct_items,
     joined_vector,
@@ -83,14 +83,14 @@ def similar_classes(
         assigned, sizes = one_cell(packed, count)
         group_of_cell, routed = np.zeros(1, dtype=np.int32), queries.withColumn("groups", F.array(F.lit(0)))
     routed = materialize(routed, "routed-classes")
-    left, right, partitions = tile_sides(routed, assigned, sizes, group_of_cell, tile, metric)
+    visits = routed.select(F.explode("groups").alias("group"), "q1", "own", "vec", F.lit(1).alias("n"))
+    left, right, partitions = tile_sides(visits, routed.count(), assigned, sizes, group_of_cell, tile, metric)
     # Both sides of a tile pair come as one group, so that its pairs leave it a block at a time.
-    sides = left.select(*TILE_KEYS, F.col("own").alias("first"), "vec", F.lit(True).alias("asked")).unionByName(
-        right.select(*TILE_KEYS, F.col("ids")[0].alias("first"), "vec", F.lit(False).alias("asked"))
+    sides = left.select("pair", F.col("own").alias("first"), "vec", F.lit(True).alias("asked")).unionByName(
+        right.select("pair", F.col("ids")[0].alias("first"), "vec", F.lit(False).alias("asked"))
     )
     compare = pairs_of_tiles(shape, (text_weight, image_weight), least, metric)
-    sides = sides.filter(F.col("first").isNotNull()).repartition(partitions, *TILE_KEYS)
-    pairs = sides.groupBy(*TILE_KEYS).applyInArrow(compare, "class_a long, class_b long, score double")
+    pairs = dealt(sides.filter(F.col("first").isNotNull()), partitions).applyInArrow(compare, "class_a long, class_b long, score double")
     return pairs, members
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.weights import DEFAULT_WEIGHT, resolve_weights, switched_weights
 from ..operators.matches import MAX_PIVOTS, top_matches
 from ..operators.similarity import score_all, top_n as top_scores
+from ..session import materialize
 
 BROADCAST_WINNERS = 100_000  # rows of 32 bytes; beyond it Spark picks the join itself
 DETAILS = ["name", "category", "description", "image_path"]
@@ -96,13 +97,12 @@ def recommend_requests(vectors: DataFrame, requests: DataFrame, top_n: int, tile
     """Answer (request_id, product_id, use_text, use_image, percent) rows in one job.
 
     Requests for the same product with the same weights are answered once: they are
-    made distinct before any vector is joined, and joined to the answers at the end.
+    made distinct before any product is looked up, and joined to the answers at the end.
     """
     settings = resolve_weights(F.col("use_text"), F.col("use_image"), F.col("percent"))
     asked = requests.select("request_id", "product_id", settings.alias("w")).select("request_id", "product_id", "w.*")
     same = ["product_id", "text_weight", "image_weight"]
-    queries = asked.select(*same).distinct().join(vectors.withColumnRenamed("id", "product_id"), "product_id").select(
-        F.struct(*same).alias("query_id"), F.col("product_id").alias("self_id"), "text", "image", "text_weight", "image_weight"
-    )
+    different = materialize(asked.select(*same).distinct(), "distinct-requests")
+    queries = different.select(F.struct(*same).alias("query_id"), F.col("product_id").alias("self_id"), "text_weight", "image_weight")
     found = top_matches(queries, vectors, top_n, tile).select("query_id.*", "rank", "id", "score")
     return asked.join(found, same).select("request_id", "rank", "id", "score")

@@ -136,6 +136,29 @@ def test_requests_with_a_hot_product(spark):
     assert got == expected
 
 
+@pytest.mark.parametrize("plain", [0.0, 2.0])
+def test_requests_with_other_weights_share_a_copy_of_their_vector(spark, monkeypatch, plain):
+    rng = np.random.default_rng(17)
+    centres = rng.normal(size=(5, 4)) * 3
+    text = centres[np.arange(60) % 5] + rng.normal(size=(60, 4)) * 0.05
+    text[40:45] = text[0]  # copies ask by one vector
+    image = [None if k % 7 == 0 else rng.normal(size=3) for k in range(60)]
+    for k in range(40, 45):
+        image[k] = image[0]
+    # The sixtieth product does not exist; product 3 is asked for with more weights than travel together.
+    asked = [(p, percent) for p in range(61) for percent in (0, 30, 50, 70, 100)] + [(3, percent / 8) for percent in range(1, 200)]
+    asked = [(n, p, True, None, float(percent)) for n, (p, percent) in enumerate(asked)]
+    requests = spark.createDataFrame(asked, "request_id long, product_id long, use_text boolean, use_image boolean, percent double")
+    stored, real = {}, matches.materialize
+    monkeypatch.setattr(matches, "PLAIN_SHARE", plain)
+    monkeypatch.setattr(matches, "materialize", lambda df, purpose: stored.setdefault(purpose, real(df, purpose)))
+    got = rows(recommend_requests(frame(spark, text, image), requests, 2, tile=16))
+    best = {percent: brute(text, image, 2, percent / 100, (100 - percent) / 100) for percent in {a[4] for a in asked}}
+    assert got == {(n, r, i, s) for n, p, _, _, percent in asked for q, r, i, s in best[percent] if q == p}
+    asking = stored["routed-queries"]
+    assert 55 <= asking.count() <= 60 and asking.agg(F.max(F.size("asks"))).first()[0] < 2 * matches.MOST_ASKS
+
+
 def test_query_ids_and_unknown_ids(spark):
     text = np.random.default_rng(7).normal(size=(20, 3))
     some = spark.createDataFrame([(4,), (4,), (999,)], "id long")
