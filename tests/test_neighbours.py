@@ -1,9 +1,10 @@
 """The thresholded similarity table against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from shelfkin.operators import neighbours
+from shelfkin.operators import neighbours, tiles
 
 from .test_matches import SCHEMA, frame, unit
 
@@ -74,6 +75,30 @@ def test_far_groups_are_not_compared(spark, caplog):
     assert float(caplog.records[-1].getMessage().split("(")[-1].rstrip(")")) < 0.2
 
 
+def test_tiles_meet_once_if_cells_leave_most_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    text = unit(rng.normal(size=(90, 3)))
+    copied, real = [], neighbours.dealt
+    monkeypatch.setattr(neighbours, "dealt", lambda rows, parts: copied.append(rows.count()) or real(rows, parts))
+    for tile in (2, 30, None):  # of the smallest tiles some are empty
+        pairs, _, _ = found(spark, text, [None] * 90, 1.4, metric="euclidean", tile=tile)
+        gap = np.round(np.linalg.norm(text[:, None] - text[None], axis=2), 6)
+        assert {p[:2] for p in pairs} == {(a, b) for a in range(90) for b in range(a + 1, 90) if gap[a, b] <= 1.4}
+    assert copied == [90 * 45, 90 * 3, 90]
+
+
+def test_pairs_leave_in_an_order_in_which_scores_repeat():
+    rng = np.random.default_rng(5)
+    grid = rng.integers(0, 4, size=(700, 3)).astype(float)
+    sides = [pa.RecordBatch.from_pydict({"first": np.arange(700) * 2 + asked, "vec": grid.tolist(), "asked": np.full(700, asked)}) for asked in (True, False)]
+    both = list(neighbours.pairs_of_tiles(tiles.Shape(3, 0), (1.0, 0.0), -2.0, "euclidean", True)(iter(sides)))
+    close = np.linalg.norm(grid[:, None] - grid[None], axis=2) <= 2.0
+    assert sum(b.num_rows for b in both) == close.sum()  # whichever of two classes is the lower
+    for batch in both:
+        assert (np.diff(batch.column("score").to_numpy()) >= 0).all()
+        assert (batch.column("class_a").to_numpy() < batch.column("class_b").to_numpy()).all()
+
+
 def test_empty_tables_and_unknown_metrics(spark):
     pairs, members = neighbours.similar_classes(spark.createDataFrame([], SCHEMA), 0.5)
     assert pairs.collect() == [] and members.collect() == []
